@@ -43,9 +43,13 @@ def clean_json(text: Column, trim: bool = False) -> Column:
 
     Without such a span the text is left as it is, or trimmed if `trim` is set.
     """
-    bare = F.regexp_replace(F.regexp_replace(text, r"```json\s*", ""), r"```\s*$", "")
-    span = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(span, strip(bare) if trim else bare)
+    unfenced = F.regexp_replace(F.regexp_replace(text, r"```json\s*", ""), r"```\s*$", "")
+
+    def span(bare: Column) -> Column:
+        found = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
+        return F.coalesce(found, strip(bare) if trim else bare)
+
+    return bind(unfenced, span)
 
 
 def is_json_object(json: Column) -> Column:
@@ -54,25 +58,27 @@ def is_json_object(json: Column) -> Column:
     `from_json` reads the first object and ignores what follows, so the text is also
     read as the only element of an array.
     """
-    array = F.concat(F.lit("["), json, F.lit("]"))
-    return F.coalesce(
-        json.startswith("{")
-        & json.endswith("}")
-        & F.try_parse_json(array).isNotNull()
-        & (F.json_array_length(array) == 1),
-        F.lit(False),
-    )
+
+    def strict(j: Column) -> Column:
+        array = F.concat(F.lit("["), j, F.lit("]"))
+        return (
+            j.startswith("{")
+            & j.endswith("}")
+            & F.try_parse_json(array).isNotNull()
+            & (F.json_array_length(array) == 1)
+        )
+
+    return F.coalesce(bind(json, strict), F.lit(False))
 
 
 def parse_record(
     df: DataFrame, json: str, raw: str, schema: T.StructType = ANSWER, out: str = "record"
 ) -> DataFrame:
     """Add the parsed record, `success`, and for bad answers `error` and `raw_response`."""
-    valid = is_json_object(F.col(json))
-    return df.withColumns(
+    valid = F.col("success")
+    return df.withColumn("success", is_json_object(F.col(json))).withColumns(
         {
             out: F.when(valid, F.from_json(F.col(json), schema)),
-            "success": valid,
             "error": F.when(~valid, F.lit(PARSE_FAILED)),
             "raw_response": F.when(~valid, F.left(F.col(raw), F.lit(RAW_LENGTH))),
         }
