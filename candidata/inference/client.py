@@ -25,11 +25,11 @@ def infer(
     out: str = "body",
     concurrency: int | None = None,
 ) -> DataFrame:
-    """Add the model's answer to every row; a failed call gives null.
+    """Add the model's answer to every row; a failed call gives null, as does a null prompt.
 
     One client is made per task. `concurrency` sets the number of tasks and so of
-    calls at a time; by default every task of the input makes its own calls. Filter
-    the requests before this stage: nothing is pushed through it.
+    calls at a time; by default every task of the input makes its own calls. Nothing
+    is pushed through this stage, so decide before it what is worth a call.
     """
     schema = T.StructType([*requests.schema.fields, T.StructField(out, T.StringType())])
 
@@ -37,6 +37,8 @@ def infer(
         client = client_factory()
 
         def answer(text, provider_name, model_name):
+            if text is None:
+                return None
             try:
                 return client(text, provider_name, model_name)
             except Exception:

@@ -51,6 +51,11 @@ def ledger_text(usage: DataFrame) -> DataFrame:
     )
 
 
+def write_usage_ledger(usage: DataFrame, path: str) -> None:
+    """One ledger file per provider, in a folder of its own."""
+    ledger_text(usage).write.partitionBy("provider").text(path)
+
+
 def usage_counts(log: DataFrame, ts: str = "ts") -> DataFrame:
     """Calls per provider, model and day."""
     return log.groupBy("provider", "model", day_key(F.col(ts)).alias("day")).agg(
@@ -75,8 +80,8 @@ def usage_on(usage: DataFrame, day: str | None = None) -> DataFrame:
 
 def catalog_by_day(catalog: DataFrame, first: Column, last: Column) -> DataFrame:
     """The catalog once for every day from `first` to `last`."""
-    days = F.sequence(first.cast("date"), last.cast("date"))
-    return catalog.withColumn("day", day_key(F.explode(days)))
+    days = F.explode(F.sequence(first.cast("date"), last.cast("date")))
+    return catalog.withColumn("day", days).withColumn("day", day_key(F.col("day")))
 
 
 def usage_vs_limits(catalog: DataFrame, usage: DataFrame) -> DataFrame:

@@ -124,24 +124,25 @@ def _(spark, d):
     return exports.detailed_sheet(clean_candidates(spark, d))
 
 
-REPORT_SQL = (
+REPORT = (
     CAND_WITH
     + """, numbered_cand AS (
-      SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY candidate_id) AS number FROM cand)
-    SELECT r_regionkey, number, 'Resume ' || number || ': ' || filename || chr(10) || 'Name: ' || coalesce(name, 'N/A')
-      || chr(10) || 'Email: ' || email || chr(10) || 'Phone: ' || phone || chr(10) || 'Location: ' || location
-      || CASE WHEN len(skills) > 0 THEN chr(10) || 'Skills:' || chr(10) || list_aggregate(skills, 'string_agg', ', ') ELSE '' END
-      || CASE WHEN len(experience) > 0 THEN chr(10) || 'Experience:' || chr(10) || list_aggregate(list_transform(experience,
-           lambda e: e.title || ' at ' || e.company || ' (' || e.duration || ')'), 'string_agg', chr(10)) ELSE '' END
-      || chr(10) || 'Education:' || chr(10) || degree || ' from ' || institution || ' (' || edu_year || ')' AS text
-    FROM numbered_cand
-    UNION ALL
-    SELECT r_regionkey, 0, 'Resume Extraction Report' || chr(10) || 'Total Resumes Processed: ' || count(*)
-    FROM cand GROUP BY r_regionkey"""
+      SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY candidate_id) AS number FROM cand),
+    report AS (
+      SELECT r_regionkey, number, 'Resume ' || number || ': ' || filename || chr(10) || 'Name: ' || coalesce(name, 'N/A')
+        || chr(10) || 'Email: ' || email || chr(10) || 'Phone: ' || phone || chr(10) || 'Location: ' || location
+        || CASE WHEN len(skills) > 0 THEN chr(10) || 'Skills:' || chr(10) || list_aggregate(skills, 'string_agg', ', ') ELSE '' END
+        || CASE WHEN len(experience) > 0 THEN chr(10) || 'Experience:' || chr(10) || list_aggregate(list_transform(experience,
+             lambda e: e.title || ' at ' || e.company || ' (' || e.duration || ')'), 'string_agg', chr(10)) ELSE '' END
+        || chr(10) || 'Education:' || chr(10) || degree || ' from ' || institution || ' (' || edu_year || ')' AS text
+      FROM numbered_cand
+      UNION ALL
+      SELECT r_regionkey, 0, 'Resume Extraction Report' || chr(10) || 'Total Resumes Processed: ' || count(*)
+      FROM cand GROUP BY r_regionkey)"""
 )
 
 
-@query("report_text", REPORT_SQL)
+@query("report_text", REPORT + " SELECT * FROM report")
 def _(spark, d):
     return exports.report_text(
         clean_candidates(spark, d), "r_regionkey", "candidate_id", id_block("candidate_id", 100)
@@ -197,13 +198,7 @@ def _(spark, d):
     )
 
 
-@query(
-    "export",
-    REPORT_SQL.replace("SELECT r_regionkey, number, 'Resume '", ", report AS (SELECT 'Resume '", 1).replace(
-        "SELECT r_regionkey, 0,", "SELECT"
-    )
-    + ") SELECT unnest(string_split(text, chr(10))) AS text FROM report",
-)
+@query("export", REPORT + " SELECT unnest(string_split(text, chr(10))) AS text FROM report")
 def _(spark, d):
     """The report written as text and read back; it is one text line per line of the report."""
     path = fresh_path(spark, "report")

@@ -15,9 +15,9 @@ def scan_candidates(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 
 def scan_usage_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The counts of a ledger file; a missing or unreadable file has none."""
+    """The counts of ledger files, each one JSON object; missing or unreadable ones have none."""
     try:
-        files = spark.read.text(path, wholetext=True)
+        files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
