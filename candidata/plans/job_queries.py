@@ -12,16 +12,17 @@ from candidata.operators import jobs
 from candidata.operators.extraction import extract_documents
 from candidata.operators.positions import id_block
 from candidata.operators.usage import usage_counts
-from candidata.plans.fixture_sql import CALLS, CAND_WITH, STATES, with_
+from candidata.plans.fixture_sql import CALLS, CAND_WITH, DOCS, STATES, with_
 from candidata.plans.fixtures import (
     CHAT_PROVIDERS,
     as_job_events,
     clean_candidates,
+    docs,
     job_events,
     table,
 )
 from candidata.plans.registry import query
-from candidata.sources.documents import scan_documents, stream_documents
+from candidata.sources.documents import stream_documents
 from candidata.streaming.jobs import expire_jobs_stream
 from candidata.streaming.rates import stream_request_rate
 from candidata.streaming.runs import append_to, latest, update_log
@@ -180,27 +181,23 @@ def _(spark, d):
     return _text_times(_appended(spark, rates))
 
 
-def _document_files(spark, d):
-    """Every document as a text file of its own; returns the folder."""
-    folder = fresh_path(spark, "files")
-    texts = table(spark, d, "documents").select("doc_id", F.col("text").alias("value"))
-    texts.write.partitionBy("doc_id").text(folder)
-    return folder
+BUNDLE = 20
 
 
-_EXTRACTED = """SELECT doc_id, true AS success, length(text) + 1 AS text_length,
-  'm read ' || (length(text) + 1) || ' characters' AS summary, 0 AS n_skills, NULL::VARCHAR AS error FROM documents"""
+def _bundle_files(spark, d):
+    """The documents in text files of `BUNDLE` documents each; returns the folder."""
+    folder = fresh_path(spark, "files")
+    bundle = F.floor(F.col("doc_id") / BUNDLE).alias("bundle")
+    texts = table(spark, d, "documents").select(bundle, F.col("text").alias("value"))
+    texts.repartition("bundle").write.partitionBy("bundle").text(folder)
+    return folder
 
 
 def _extracted(files):
-    # Files of one document are all named part-...; the folder tells them apart.
-    doc = F.concat(F.regexp_extract("path", r"doc_id=(\d+)/", 1), F.lit(".txt"))
     client = functools.partial(OfflineClient, frozenset(CHAT_PROVIDERS))
-    records = extract_documents(
-        files.withColumn("filename", doc), client, F.lit("p2"), F.lit("m"), CHAT_PROVIDERS
-    )
+    records = extract_documents(files, client, F.lit("p2"), F.lit("m"), CHAT_PROVIDERS)
     return records.select(
-        F.regexp_extract("filename", r"\d+", 0).cast("bigint").alias("doc_id"),
+        F.regexp_extract("filename", r"\d+", 0).cast("bigint").alias("id"),
         "success",
         "text_length",
         "summary",
@@ -209,12 +206,28 @@ def _extracted(files):
     )
 
 
-@query("extract_documents", _EXTRACTED)
+@query(
+    "extract_documents",
+    with_(DOCS)
+    + """SELECT doc_id AS id, ok AS success, CASE WHEN ok THEN length(text) END AS text_length,
+      CASE WHEN ok THEN 'm read ' || length(text) || ' characters' END AS summary, 0 AS n_skills,
+      CASE WHEN ok THEN NULL WHEN mime_type IN ('text/plain', 'application/pdf')
+        THEN 'Error processing file: Error extracting text from .zip file: Unsupported file type: .zip'
+        ELSE 'File "' || filename || '" is not supported. Please upload PDF, DOC, DOCX, XLS, XLSX, or TXT files.' END AS error
+    FROM (SELECT *, NOT ends_with(filename, '.zip') AS ok FROM docs)""",
+)
 def _(spark, d):
-    return _extracted(scan_documents(spark, _document_files(spark, d)))
+    return _extracted(docs(spark, d).withColumn("content", F.encode("text", "UTF-8")).drop("text"))
 
 
-@query("stream_documents", _EXTRACTED)
+@query(
+    "stream_documents",
+    f"""SELECT id, true AS success, n AS text_length, 'm read ' || n || ' characters' AS summary, 0 AS n_skills,
+      NULL::VARCHAR AS error
+    FROM (SELECT doc_id // {BUNDLE} AS id, sum(length(text) + 1)::BIGINT AS n FROM documents GROUP BY id)""",
+)
 def _(spark, d):
-    files = stream_documents(spark, _document_files(spark, d), files_per_batch=500)
-    return _appended(spark, _extracted(files))
+    files = stream_documents(spark, _bundle_files(spark, d), files_per_batch=50)
+    # The files are all called part-...; their folders tell them apart.
+    named = F.concat(F.regexp_extract("path", r"bundle=(\d+)/", 1), F.lit(".txt"))
+    return _appended(spark, _extracted(files.withColumn("filename", named)))
