@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from candidata.functions.binding import bind
+
 # The units sizes are shown in.
 SIZE_UNITS = ("Bytes", "KB", "MB", "GB")
 
@@ -39,12 +41,9 @@ def day_key(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 
 
-def _month(c: Column, year_only_month: int) -> Column:
-    year = F.regexp_extract(c, r"(\d{4})\s*$", 1).try_cast("int")
-    month = F.coalesce(
-        F.regexp_extract(c, r"(\d{1,2})/\d{4}\s*$", 1).try_cast("int"), F.lit(year_only_month)
-    )
-    return F.when(month.between(1, 12), F.make_date(year, month, F.lit(1)))
+def _month(year: Column, month: Column, year_only_month: int) -> Column:
+    number = F.coalesce(month.try_cast("int"), F.lit(year_only_month))
+    return F.when(number.between(1, 12), F.make_date(year.try_cast("int"), number, F.lit(1)))
 
 
 def parse_period(c: Column, as_of: Column) -> Column:
@@ -53,18 +52,24 @@ def parse_period(c: Column, as_of: Column) -> Column:
     A year alone starts in January and ends in December. `as_of` stands for an end
     that is still open.
     """
-    parts = F.split(F.trim(c), r"\s+-\s+")
-    last = F.element_at(parts, -1)
-    end = F.when(
-        F.lower(F.trim(last)).isin("present", "current", "now"),
-        F.trunc(as_of.cast("date"), "month"),
-    ).otherwise(_month(last, 12))
-    return F.struct(_month(F.get(parts, F.lit(0)), 1).alias("start"), end.alias("end"))
+    date = r"(?:(\d{1,2})/)?(\d{4})"
+    first = r"^\s*" + date + r"(?:\s+-\s|\s*$)"
+    last = r"(?:^|\s-\s)\s*" + date + r"\s*$"
+    start = _month(F.regexp_extract(c, first, 2), F.regexp_extract(c, first, 1), 1)
+    end = _month(F.regexp_extract(c, last, 2), F.regexp_extract(c, last, 1), 12)
+    is_open = c.rlike(r"(?i)(?:^|\s-\s)\s*(?:present|current|now)\s*$")
+    return F.struct(
+        start.alias("start"),
+        F.when(is_open, F.trunc(as_of.cast("date"), "month")).otherwise(end).alias("end"),
+    )
 
 
 def experience_years(experience: Column, as_of: Column) -> Column:
     """Years from the first start to the last end of a list of positions; null without dates."""
-    periods = F.transform(experience, lambda e: parse_period(e["duration"], as_of))
-    first = F.array_min(F.transform(periods, lambda p: p["start"]))
-    last = F.array_max(F.transform(periods, lambda p: p["end"]))
-    return F.datediff(last, first) / 365.25
+
+    def span(periods: Column) -> Column:
+        first = F.array_min(F.transform(periods, lambda p: p["start"]))
+        last = F.array_max(F.transform(periods, lambda p: p["end"]))
+        return F.datediff(last, first) / 365.25
+
+    return bind(F.transform(experience, lambda e: parse_period(e["duration"], as_of)), span)

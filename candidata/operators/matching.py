@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candidata.functions.binding import bind
+from candidata.functions.binding import bind, explode_once, inline_once
 from candidata.functions.measures import experience_years
 from candidata.functions.text import normalize_terms, search_text, search_words
 
@@ -50,34 +50,43 @@ def requirements(options: DataFrame, out: str = "requirements") -> DataFrame:
 
     `cf_requirements` is another name for certifications.
     """
-    none = F.array().cast("array<string>")
 
-    def listed(number: int, kind: str) -> Column:
-        text = F.col(kind) if kind in options.columns else F.lit(None).cast("string")
+    def option(kind: str) -> Column:
+        text = F.col(kind) if kind in options.columns else F.lit(None)
         if kind == "certifications" and "cf_requirements" in options.columns:
             text = F.concat_ws(",", text, F.col("cf_requirements"))
-        text = text.cast("string")
-        if kind in SINGLE_KINDS:
-            terms = F.filter(F.array(F.trim(text)), lambda x: x != "")
-        else:
-            terms = F.array_distinct(normalize_terms(text))
+        return text.cast("string")
+
+    given = F.array(
+        *[
+            F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), option(kind).alias("text"))
+            for n, kind in enumerate(KINDS)
+        ]
+    )
+
+    def listed(o: Column) -> Column:
+        single = F.filter(F.array(F.trim(o["text"])), lambda x: x != "")
+        several = F.array_distinct(normalize_terms(o["text"]))
+        terms = F.when(o["kind"].isin(*SINGLE_KINDS), single).otherwise(several)
         return F.transform(
-            F.coalesce(terms, none),
+            terms,
             lambda x, i: F.struct(
-                (F.lit(number * 1000) + i).alias("ord"),
-                F.lit(kind).alias("kind"),
+                (o["n"] * 1000 + i).alias("ord"),
+                o["kind"].alias("kind"),
                 x.alias("term"),
                 search_text(x).alias("needle"),
             ),
         )
 
-    lists = [listed(number, kind) for number, kind in enumerate(KINDS)]
-    return options.withColumn(out, F.concat(*lists).cast(REQUIREMENT))
+    set_options = F.filter(given, lambda o: o["text"].isNotNull())
+    return options.withColumn(
+        out, F.flatten(F.transform(set_options, listed)).cast(REQUIREMENT)
+    )
 
 
 def requirement_rows(jobs: DataFrame, job: str) -> DataFrame:
     """One row per requirement."""
-    return jobs.select(job, F.inline("requirements")).drop("needle")
+    return inline_once(jobs, [job], F.col("requirements"), "ord").drop("needle")
 
 
 def pair_candidates(candidates: DataFrame, jobs: DataFrame, request: str) -> DataFrame:
@@ -115,7 +124,7 @@ def record_text(candidates: DataFrame, exclude: tuple[str, ...] = ()) -> Column:
 def candidate_terms(candidates: DataFrame, key: str, text: str) -> DataFrame:
     """One row per distinct word of a candidate's text."""
     words = F.array_distinct(search_words(F.col(text)))
-    return candidates.select(key, F.explode(words).alias("term"))
+    return explode_once(candidates, [key], words, "term")
 
 
 def check_requirements(
@@ -157,7 +166,7 @@ def check_requirements(
 
 def match_requirements(checked: DataFrame, *keys: str) -> DataFrame:
     """One row per candidate, job and requirement: found or missing."""
-    return checked.select(*keys, F.inline("checks"))
+    return inline_once(checked, list(keys), F.col("checks"), "ord")
 
 
 def collect_matches(checked: DataFrame, checks: str = "checks") -> DataFrame:

@@ -178,14 +178,13 @@ def clean_record(df: DataFrame, skills_mode: str = "compat") -> DataFrame:
 def _phrases(words: Column, longest: int) -> Column:
     """All runs of 1 to `longest` neighbouring words."""
 
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    grams = [runs(n) for n in range(2, longest + 1)]
-    long_enough = [F.when(F.size(words) >= n, g) for n, g in enumerate(grams, 2)]
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(words, *[F.coalesce(g, none) for g in long_enough]))
+    grams, longer = [words], words
+    for n in range(2, longest + 1):
+        following = F.slice(words, n, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        # Runs that reach past the last word have no partner and become null.
+        longer = F.zip_with(longer, following, lambda a, b: F.concat(a, F.lit(" "), b))
+        grams.append(F.filter(longer, lambda g: g.isNotNull()))
+    return F.array_distinct(F.concat(*grams))
 
 
 def rule_extract(
@@ -195,7 +194,9 @@ def rule_extract(
 
     `dictionary` is a table of skills of at most `longest` words. The words of a
     document meet the dictionary in a hash join; where the dictionary is small enough
-    Spark broadcasts it, and matches are gathered per document before the shuffle.
+    Spark broadcasts it. Each document also sends one mark that no skill is equal to:
+    it carries the contact data, and all other words without a match are dropped
+    before the shuffle.
     """
     page = F.regexp_extract(F.col(text), WEB_PAGE, 0)
     fields = {
@@ -206,14 +207,19 @@ def rule_extract(
         "linkedin": F.regexp_extract(F.col(text), LINKEDIN, 0),
         "portfolio": F.when(F.lower(page).contains("linkedin.com"), "").otherwise(page),
     }
-    phrases = bind(search_words(F.col(text)), lambda words: _phrases(words, longest))
+    mark = F.concat(F.lit("\0"), F.col(key).cast("string"))
+    phrases = F.array_append(
+        bind(search_words(F.col(text)), lambda words: _phrases(words, longest)), mark
+    )
     known = dictionary.select(
         F.array_join(search_words(F.col(skill)), " ").alias("_phrase"), F.col(skill).alias("_skill")
     ).distinct()
     found = (
+        # Fields are made first: beside an explode they would be made for every word.
         docs.select(key, *[c.alias(n) for n, c in fields.items()], phrases.alias("_phrases"))
         .select(key, *fields, F.explode_outer("_phrases").alias("_phrase"))
         .join(known, "_phrase", "left")
+        .filter(F.col("_skill").isNotNull() | F.col("_phrase").startswith("\0"))
     )
     return found.groupBy(key).agg(
         *[F.first(n).alias(n) for n in fields],

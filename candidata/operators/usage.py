@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candidata.functions.binding import explode_once
 from candidata.functions.measures import day_key
 from candidata.operators.positions import position, running_total
 from candidata.schemas import LEDGER
@@ -26,11 +27,9 @@ WINDOW_REQUESTS = 15
 def ledger_rows(df: DataFrame, text: str) -> DataFrame:
     """Ledger texts (provider -> model -> day -> calls) as rows; unreadable ones give none."""
     ledger = F.from_json(F.col(text), LEDGER)
-    return (
-        df.select(F.explode(ledger).alias("provider", "_models"))
-        .select("provider", F.explode("_models").alias("model", "_days"))
-        .select("provider", "model", F.explode("_days").alias("day", "calls"))
-    )
+    models = explode_once(df, [], ledger, "provider", "_models")
+    days = explode_once(models, ["provider"], F.col("_models"), "model", "_days")
+    return explode_once(days, ["provider", "model"], F.col("_days"), "day", "calls")
 
 
 def ledger_text(usage: DataFrame) -> DataFrame:

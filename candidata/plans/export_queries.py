@@ -9,7 +9,7 @@ from candidata.operators.jobs import latest_experience
 from candidata.operators.positions import id_block
 from candidata.operators.ranking import grid_query
 from candidata.plans.fixture_sql import CAND_WITH
-from candidata.plans.fixtures import clean_candidates
+from candidata.plans.fixtures import clean_candidates, stored_candidates
 from candidata.plans.registry import query
 from candidata.schemas import CANDIDATE
 from candidata.sinks import exports
@@ -95,7 +95,7 @@ def _flat_sql() -> str:
 
 @query("flatten_csv", _flat_sql())
 def _(spark, d):
-    return exports.flatten_csv(clean_candidates(spark, d))
+    return exports.flatten_csv(stored_candidates(spark, d))
 
 
 @query("write_csv", _flat_sql())
@@ -145,7 +145,7 @@ REPORT = (
 @query("report_text", REPORT + " SELECT * FROM report")
 def _(spark, d):
     return exports.report_text(
-        clean_candidates(spark, d), "r_regionkey", "candidate_id", id_block("candidate_id", 100)
+        stored_candidates(spark, d), "r_regionkey", "candidate_id", id_block("candidate_id", 100)
     )
 
 
@@ -164,7 +164,7 @@ GRID = (
 
 def _grid(spark, d):
     return exports.grid(
-        clean_candidates(spark, d), "r_regionkey", "candidate_id", id_block("candidate_id", 100)
+        stored_candidates(spark, d), "r_regionkey", "candidate_id", id_block("candidate_id", 100)
     )
 
 
@@ -203,7 +203,7 @@ def _(spark, d):
     """The report written as text and read back; it is one text line per line of the report."""
     path = fresh_path(spark, "report")
     exports.export(
-        clean_candidates(spark, d),
+        stored_candidates(spark, d),
         "PDF",
         path,
         request="r_regionkey",

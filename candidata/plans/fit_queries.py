@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from candidata.cluster import written
 from candidata.functions.measures import experience_years
 from candidata.operators import admission, matching, ranking
 from candidata.plans.fixture_sql import (
@@ -265,6 +266,7 @@ def _(spark, d):
     unnamed = fit_results(spark, d).withColumn(
         "candidate_name", F.nullif("candidate_name", F.lit("Unknown"))
     )
+    unnamed = written(unnamed, "fit")
     ranked = ranking.rank_after_filter(
         unnamed, "job_id", "candidate_id", F.col("min_fit_percent"), block=100
     )

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candidata.cluster import spread, written
 from candidata.functions.measures import day_key
 from candidata.operators.admission import validate_weights
 from candidata.operators.matching import evaluate_fit, requirements
@@ -20,7 +21,9 @@ CHAT_PROVIDERS = ["p2"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; those whose rows take long are spread over the cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "customer") else rows
 
 
 def pick(number: Column, *values) -> Column:
@@ -223,10 +226,15 @@ def fit_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate_fit(sent, valid_jobs(spark, sf_dir), "job_id", F.lit(AS_OF_DAY), keep=("candidate_id",))
 
 
+def stored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean records as a table, for operators that read their input more than once."""
+    return written(clean_candidates(spark, sf_dir), "candidates")
+
+
 def ranked_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank_after_filter(
-        fit_results(spark, sf_dir), "job_id", "candidate_id", F.col("min_fit_percent")
-    )
+    """Ranks over stored results: ranking reads its input twice, evaluation should run once."""
+    stored = written(fit_results(spark, sf_dir), "fit")
+    return rank_after_filter(stored, "job_id", "candidate_id", F.col("min_fit_percent"))
 
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:

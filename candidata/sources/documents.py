@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candidata.functions.binding import bind
 from candidata.functions.text import is_blank
 from candidata.schemas import BINARY_FILE
 
@@ -141,35 +142,40 @@ def assemble_text(
     )
 
 
+def _cells_text(cells: Column, inside: str, row_end: str, last: str) -> Column:
+    """Texts of (row, col, text) cells in order; what follows a cell depends on its row."""
+
+    def laid_out(ordered: Column) -> Column:
+        def with_end(cell: Column, i: Column) -> Column:
+            following = F.get(ordered, i + 1)
+            end = F.when(following.isNull(), last).when(
+                following["row"] == cell["row"], inside
+            )
+            return F.concat(cell["text"], F.coalesce(end, F.lit(row_end)))
+
+        return F.array_join(F.transform(ordered, with_end), "")
+
+    return bind(F.array_sort(cells), laid_out)
+
+
 def assemble_table_text(
     cells: DataFrame, doc: str, table: str, row: str, col: str, text: str, block: int = 1000
 ) -> DataFrame:
-    """One text per document from table cells: a blank after each cell, `\\n` after each row."""
-    cell = F.struct(F.col(col).alias("col"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = cells.groupBy(doc, table, row).agg(
-        _joined(F.collect_list(cell), "text", " ").alias("_row_text")
+    """One text per document from table cells: a blank after each cell, `\n` after each row.
+
+    Cells meet in blocks of rows, so a very long table is laid out by many tasks.
+    """
+    cell = F.struct(
+        F.col(row).alias("row"), F.col(col).alias("col"), F.coalesce(text, F.lit("")).alias("text")
     )
-    blocks = rows.groupBy(doc, table, F.floor(F.col(row) / block).alias("_block")).agg(
-        _joined(
-            F.collect_list(F.struct(F.col(row).alias("row"), F.col("_row_text").alias("text"))),
-            "text",
-            "\n",
-        ).alias("_text")
+    blocks = cells.groupBy(doc, table, F.floor(F.col(row) / block).alias("_block")).agg(
+        _cells_text(F.collect_list(cell), " ", " \n", " \n").alias("_text")
     )
     return blocks.groupBy(doc).agg(
-        _joined(
-            F.collect_list(F.struct(F.col(table), F.col("_block"), F.col("_text").alias("text"))),
-            "text",
-            "",
-        ).alias("text")
+        _joined(F.collect_list(F.struct(table, "_block", "_text")), "_text", "").alias("text")
     )
 
 
-def _separated(items: Column, text: str, between: str) -> Column:
-    """Texts of structs in the order of the structs, with `between` between them."""
-    return F.array_join(F.transform(F.array_sort(items), lambda x: x[text]), between)
-
-
 def assemble_sheet_text(
     cells: DataFrame,
     doc: str,
@@ -192,19 +198,16 @@ def assemble_sheet_text(
         cell = F.replace(cell, F.lit(raw), F.lit(escaped))
     shown = cells.select(*page_key, row, col, cell.alias("_cell"))
     widths = shown.groupBy(*page_key, col).agg(F.max(F.length("_cell")).alias("_width"))
-    padding = F.repeat(F.lit(" "), F.col("_width") - F.length("_cell"))
-    rows = (
+    padded = F.lpad("_cell", F.col("_width"), F.lit(" "))
+    placed = F.struct(F.col(row).alias("row"), F.col(col).alias("col"), padded.alias("text"))
+    blocks = (
         shown.join(widths, [*page_key, col])
-        .select(*page_key, row, F.struct(col, F.concat(padding, "_cell").alias("text")).alias("c"))
-        .groupBy(*page_key, row)
-        .agg(_separated(F.collect_list("c"), "text", " ").alias("_text"))
-    )
-    blocks = rows.groupBy(*page_key, F.floor(F.col(row) / block).alias("_block")).agg(
-        _separated(F.collect_list(F.struct(row, "_text")), "_text", "\n").alias("_text")
-    )
-    pages = blocks.groupBy(*page_key).agg(
-        _separated(F.collect_list(F.struct("_block", "_text")), "_text", "\n").alias("_text")
+        .groupBy(*page_key, F.floor(F.col(row) / block).alias("_block"))
+        .agg(_cells_text(F.collect_list(placed), " ", "\n", "").alias("_text"))
     )
+    # The name of a sheet stands before its first block, an empty line after its last.
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_text"))), lambda b: b["_text"])
+    pages = blocks.groupBy(*page_key).agg(F.array_join(whole, "\n").alias("_text"))
     page = F.concat(F.lit("Sheet: "), F.col(sheet), F.lit("\n"), F.col("_text"))
     return pages.groupBy(doc).agg(
         _joined(F.collect_list(F.struct(sheet_pos, page.alias("text"))), "text", "\n\n").alias("text")
