@@ -47,7 +47,7 @@ def _named(files: DataFrame) -> DataFrame:
 
 
 def scan_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """All files below a folder, one row each."""
+    """All files below a folder, one row each; Spark skips names that start with `.` or `_`."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return _named(reader.load(path))
 
