@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 
 from pyspark.sql import functions as F
@@ -127,14 +128,30 @@ def _event_stream(spark, d):
     )
 
 
+@contextlib.contextmanager
+def _local_state(spark):
+    """On one machine keep no more state partitions than there are cores."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if spark.sparkContext.master.startswith("local"):
+        fewer = min(int(before), spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.shuffle.partitions", str(fewer))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def _updated(spark, stream, keys):
     folder = fresh_path(spark, "stream")
-    return latest(update_log(stream, f"{folder}/updates", f"{folder}/checkpoint"), keys)
+    with _local_state(spark):
+        log = update_log(stream, f"{folder}/updates", f"{folder}/checkpoint")
+    return latest(log, keys)
 
 
 def _appended(spark, stream):
     folder = fresh_path(spark, "stream")
-    return append_to(stream, f"{folder}/rows", f"{folder}/checkpoint")
+    with _local_state(spark):
+        return append_to(stream, f"{folder}/rows", f"{folder}/checkpoint")
 
 
 @query("job_state_stream", STATE_SQL)

@@ -1,29 +1,15 @@
 """Physical plans: what is read, shuffled and broadcast."""
 
-import pytest
-
 import __spark_entry__ as entry
 from candidata.operators import matching
 from candidata.plans import fixtures
 from conftest import SMALL
 
 QUERIES = entry.queries()
-STREAMS = {n for n in QUERIES if "stream" in n}
-PYTHON = {"infer", "extract_documents"}
-
-
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
-def test_no_cross_joins_and_no_python_by_row(spark, name):
-    text = plan(QUERIES[name](spark, SMALL))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "BatchEvalPython" not in text
-    assert ("MapInPandas" in text) == (name in PYTHON)
-
-
 def test_top_candidates_are_cut_before_the_shuffle(spark):
     text = plan(QUERIES["top_candidates"](spark, SMALL))
     assert text.count("WindowGroupLimit") == 4  # two for the fixture, two here
