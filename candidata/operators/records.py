@@ -108,18 +108,20 @@ def resolve_attempts(
     shuffle, so repeated keys do not pile up in one task.
     """
     number = F.col(attempt)
-    chosen = F.struct(number.alias("attempt"), *payload)
-    last = F.struct(number, F.left(F.col(response), F.lit(RAW_LENGTH)).alias("raw"))
-    resolved = (
-        attempts.filter(number <= max_attempts)
-        .groupBy(key)
-        .agg(
-            F.min_by(F.when(F.col(valid), chosen), F.when(F.col(valid), number)).alias("_chosen"),
-            F.max_by(last, number).alias("_last"),
-        )
+    # The aggregate sorts its input, so only what it may keep goes into it.
+    narrow = attempts.filter(number <= max_attempts).select(
+        key,
+        number.alias("_number"),
+        F.when(F.col(valid), number).alias("_valid"),
+        F.when(F.col(valid), F.struct(number.alias("attempt"), *payload)).alias("_payload"),
+        F.when(~F.col(valid), F.left(F.col(response), F.lit(RAW_LENGTH))).alias("_raw"),
+    )
+    resolved = narrow.groupBy(key).agg(
+        F.min_by("_payload", "_valid").alias("_chosen"),
+        F.max_by(F.struct("_number", "_raw"), "_number").alias("_last"),
     )
     success = F.col("_chosen").isNotNull()
-    unread = (F.col(f"_last.{attempt}") == max_attempts) & F.col("_last.raw").isNotNull()
+    unread = (F.col("_last._number") == max_attempts) & F.col("_last._raw").isNotNull()
     return resolved.select(
         key,
         success.alias("success"),
@@ -128,7 +130,7 @@ def resolve_attempts(
         F.when(~success & unread, F.lit(PARSE_FAILED))
         .when(~success, F.lit(NO_ATTEMPT_WORKED))
         .alias("error"),
-        F.when(~success & unread, F.col("_last.raw")).alias("raw_response"),
+        F.when(~success & unread, F.col("_last._raw")).alias("raw_response"),
     )
 
 

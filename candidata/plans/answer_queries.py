@@ -7,25 +7,25 @@ import functools
 from pyspark.sql import functions as F
 
 from candidata.functions import measures
+from candidata.functions.text import display_terms, normalize_terms
 from candidata.inference import prompts
 from candidata.inference.client import OfflineClient, infer
 from candidata.operators import records
 from candidata.operators.ranking import drop_empty_results, min_fit_filter
-from candidata.plans.fixture_sql import CLEANED, RESPONSES, quoted, with_
+from candidata.plans.fixture_sql import CAND_WITH, CLEANED, DOCS, RESPONSES, quoted, with_
 from candidata.plans.fixtures import (
     CHAT_PROVIDERS,
     applications,
     candidates,
     clean_candidates,
     docs,
-    job_options,
+    part_options,
     responses,
     table,
     valid_jobs,
 )
 from candidata.plans.registry import query
 from candidata.schemas import FIT_ANSWER, FIT_REQUIRED
-from candidata.plans.fixture_sql import CAND_WITH, DOCS, JOBS
 
 ANSWERS = with_(RESPONSES, CLEANED)
 
@@ -40,46 +40,35 @@ def _(spark, d):
     )
 
 
-def _display(name):
-    return F.array_join(F.transform(F.split(F.col(name), ","), F.trim), ", ")
-
-
 @query(
     "fit_instructions",
-    with_(JOBS)
-    + """SELECT job_id, 'EVALUATION GUIDELINES:' || chr(10) || list_aggregate(list_transform(list_filter([
+    """SELECT p_partkey AS job_id, 'EVALUATION GUIDELINES:' || chr(10) || list_aggregate(list_transform(list_filter([
       'Priority keywords: ' || pk,
       'Check every priority keyword [' || pk || ']: present goes to ''key_matches'', absent to ''key_gaps''.',
-      'Required skills: Brand#' || (r + 6),
-      'Check every required skill [Brand#' || (r + 6) || ']: present goes to ''key_matches'', absent to ''key_gaps''.',
-      'Required experience: 5 years or more. This counts strongly.',
-      'With 5 years or more add ''Meets minimum experience requirement (5+ years)'' to ''key_matches'', otherwise ''Lacks minimum experience requirement (5 years)'' to ''key_gaps''.',
+      'Required skills: ' || rs,
+      'Check every required skill [' || rs || ']: present goes to ''key_matches'', absent to ''key_gaps''.',
+      'Required experience: ' || years || ' years or more. This counts strongly.',
+      'With ' || years || ' years or more add ''Meets minimum experience requirement (' || years
+        || '+ years)'' to ''key_matches'', otherwise ''Lacks minimum experience requirement (' || years || ' years)'' to ''key_gaps''.',
       'Required education: ' || edu,
       'Check the education requirement ''' || edu || ''': met goes to ''key_matches'', not met to ''key_gaps''.',
-      'Weights for the percentage: ' || CASE r WHEN 0 THEN 'Skills: 40%, Experience: 40%, Education: 20%'
-        WHEN 2 THEN 'Skills: 50%, Experience: 30%, Education: 20%' WHEN 3 THEN 'Skills: 40%, Experience: 40%, Education: 30%'
-        WHEN 4 THEN 'Skills: 60%, Experience: 20%' END,
-      'Deal breakers, each strongly lowering the percentage if absent: Brand#' || (r + 11),
-      'Check every deal breaker [Brand#' || (r + 11) || ']: present goes to ''key_matches'', absent to ''key_gaps''.',
-      'Welcome extras that raise the percentage: ' || nh,
-      'Check every extra [' || nh || ']: present goes to ''key_matches'' marked ''(nice-to-have)''.',
-      'Required areas of experience: 1-URGENT, company o',
-      'Check every area [1-URGENT, company o]: present goes to ''key_matches'', absent to ''key_gaps''.',
-      CASE WHEN r <> 2 THEN 'Required technical skills: Brand#' || (r + 21) END,
-      CASE WHEN r <> 2 THEN 'Check every technical skill [Brand#' || (r + 21) || ']: present goes to ''key_matches'', absent to ''key_gaps''.' END,
-      CASE WHEN r = 4 THEN 'Required or preferred certifications: specified' END,
-      CASE WHEN r = 4 THEN 'Check every certification [specified]: present goes to ''key_matches'', absent to ''key_gaps''.' END,
-      'Preferred location: ' || nullif(location_preference, ''),
-      'Salary range: ' || salary_range,
+      'Weights for the percentage: Skills: ' || p_size || '%' || CASE WHEN p_size % 5 > 0 THEN ', Experience: ' || (60 - p_size) || '%' ELSE '' END,
+      'Deal breakers, each strongly lowering the percentage if absent: ' || p_name,
+      'Check every deal breaker [' || p_name || ']: present goes to ''key_matches'', absent to ''key_gaps''.',
+      'Welcome extras that raise the percentage: Node.js, ' || p_brand,
+      'Check every extra [Node.js, ' || p_brand || ']: present goes to ''key_matches'' marked ''(nice-to-have)''.',
+      CASE WHEN p_size % 2 = 0 THEN 'Required or preferred certifications: c' || p_size END,
+      CASE WHEN p_size % 2 = 0 THEN 'Check every certification [c' || p_size || ']: present goes to ''key_matches'', absent to ''key_gaps''.' END,
+      CASE WHEN p_size % 7 = 0 THEN 'Preferred location: Berlin' END,
+      CASE WHEN p_size % 9 = 0 THEN 'Salary range: ' || p_size || 'k' END,
       'List every requirement once, in ''key_matches'' or in ''key_gaps''. Leave none out.'
     ], lambda x: x IS NOT NULL), lambda x: '- ' || x), 'string_agg', chr(10)) || chr(10) AS instructions
-    FROM (SELECT *, 'Brand#' || (r + 1) || ', Brand#' || (r + 2) AS pk, 'Brand#' || (r + 16) || ', Brand#' || (r + 17) AS nh
-          FROM options)
-    UNION ALL SELECT r_regionkey + 100, '' FROM region""",
+    FROM (SELECT *, p_brand || ', ' || p_type AS pk,
+            split_part(p_name, ' ', 1) || ', ' || split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1) AS rs,
+            nullif(p_size % 4, 0) AS years, CASE WHEN p_size % 3 > 0 THEN p_type END AS edu FROM part)
+    UNION ALL SELECT -p_partkey - 1, '' FROM part""",
 )
 def _(spark, d):
-    from candidata.functions.text import display_terms, normalize_terms
-
     shown = {
         name: display_terms(normalize_terms(F.col(name)))
         for name in (
@@ -101,11 +90,11 @@ def _(spark, d):
         "salary_range",
     )
     options = {**shown, **{n: F.col(n) for n in plain}, "certifications": F.col("cf_requirements")}
-    instructions = job_options(spark, d).select(
+    instructions = part_options(spark, d).select(
         "job_id", prompts.fit_instructions(options).alias("instructions")
     )
-    without = table(spark, d, "region").select(
-        (F.col("r_regionkey") + 100).alias("job_id"),
+    without = table(spark, d, "part").select(
+        (-F.col("p_partkey") - 1).alias("job_id"),
         prompts.fit_instructions({"salary_range": F.lit("")}).alias("instructions"),
     )
     return instructions.unionByName(without)

@@ -136,12 +136,12 @@ def _(spark, d):
 @query(
     "append_batch",
     """SELECT doc_id, source, NULL::VARCHAR AS lang FROM documents
-       UNION ALL SELECT doc_id, source, lang FROM documents WHERE lang = 'en'""",
+       UNION ALL SELECT doc_id, source, lang FROM documents""",
 )
 def _(spark, d):
     t = table(spark, d, "documents")
     return source.append_batch(
-        t.select("doc_id", "source"), t.filter("lang = 'en'").select("doc_id", "source", "lang")
+        t.select("doc_id", "source"), t.select("doc_id", "source", "lang")
     )
 
 

@@ -23,8 +23,7 @@ from candidata.plans.fixtures import (
     applications,
     clean_candidates,
     fit_results,
-    job_options,
-    pick,
+    part_options,
     ranked_fit,
     table,
     valid_jobs,
@@ -67,9 +66,22 @@ def _(spark, d):
     return admission.validate_weights(given)
 
 
-@query("requirements", with_(JOBS) + "SELECT job_id, ord, kind, term FROM reqs")
+@query(
+    "requirements",
+    """SELECT p_partkey AS job_id, ord, kind, term FROM (
+      SELECT p_partkey, 0 AS ord, 'priority_keywords' AS kind, p_brand AS term FROM part
+      UNION ALL SELECT p_partkey, 1, 'priority_keywords', p_type FROM part
+      UNION ALL SELECT p_partkey, 1000, 'required_skills', split_part(p_name, ' ', 1) FROM part
+      UNION ALL SELECT p_partkey, 1001, 'required_skills', split_part(p_name, ' ', 2) FROM part
+      UNION ALL SELECT p_partkey, 2000, 'min_experience', (p_size % 4)::VARCHAR FROM part WHERE p_size % 4 > 0
+      UNION ALL SELECT p_partkey, 3000, 'edu_requirements', p_type FROM part WHERE p_size % 3 > 0
+      UNION ALL SELECT p_partkey, 4000, 'deal_breakers', p_name FROM part
+      UNION ALL SELECT p_partkey, 5000, 'nice_to_have', 'Node.js' FROM part
+      UNION ALL SELECT p_partkey, 5001, 'nice_to_have', p_brand FROM part
+      UNION ALL SELECT p_partkey, 8000, 'certifications', 'c' || p_size FROM part WHERE p_size % 2 = 0)""",
+)
 def _(spark, d):
-    return matching.requirement_rows(matching.requirements(job_options(spark, d)), "job_id")
+    return matching.requirement_rows(matching.requirements(part_options(spark, d)), "job_id")
 
 
 @query(
@@ -251,7 +263,8 @@ def _(spark, d):
     FIT_WITH + "SELECT job_id, candidate_id, fit_percentage FROM fit",
 )
 def _(spark, d):
-    fit = fit_results(spark, d).select("job_id", "candidate_id", "fit_percentage")
+    # A sort samples its input before it reads it.
+    fit = written(fit_results(spark, d), "fit").select("job_id", "candidate_id", "fit_percentage")
     return ranking.rank_candidates(fit, "job_id", "candidate_id")
 
 

@@ -209,6 +209,28 @@ def job_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job per part."""
+    size, name = F.col("p_size"), F.split("p_name", " ")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("job_id"),
+        F.concat(F.lit(" "), "p_brand", F.lit(" ,, "), "p_type", F.lit(" ")).alias("priority_keywords"),
+        F.concat(name[0], F.lit(" , "), name[1], F.lit(","), name[0]).alias("required_skills"),
+        F.when(size % 4 > 0, (size % 4).cast("string")).alias("min_experience"),
+        F.when(size % 3 > 0, F.col("p_type")).otherwise("").alias("edu_requirements"),
+        size.cast("string").alias("weight_skills"),
+        F.when(size % 5 > 0, (60 - size).cast("string")).alias("weight_experience"),
+        F.lit("").alias("weight_education"),
+        F.col("p_name").alias("deal_breakers"),
+        F.concat(F.lit("Node.js,"), "p_brand").alias("nice_to_have"),
+        F.lit(None).cast("string").alias("experience_areas"),
+        F.lit(" , ").alias("technical_skills"),
+        F.when(size % 2 == 0, F.concat(F.lit("c"), size)).alias("cf_requirements"),
+        F.when(size % 7 == 0, "Berlin").alias("location_preference"),
+        F.when(size % 9 == 0, F.concat(size, F.lit("k"))).alias("salary_range"),
+    )
+
+
 def valid_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requirements(validate_weights(job_options(spark, sf_dir)).filter("error is null")).drop(
         "error"
