@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from candidata.cluster import spread
 from candidata.functions import measures, text
+from candidata.operators.matching import candidate_terms
 from candidata.operators.records import rule_extract
 from candidata.plans.fixture_sql import DOCS, SPACE, with_
-from candidata.plans.fixtures import docs, pick, table
+from candidata.plans.fixtures import docs, table
 from candidata.plans.registry import query
 from candidata.sources import documents as source
 
@@ -73,7 +75,7 @@ def _cells(spark, d):
     """Three cells per line of an order; the last is missing on line 3."""
     n = F.col("l_quantity").cast("int").cast("string")
     values = F.array("l_returnflag", "l_linestatus", F.when(F.col("l_linenumber") != 3, n))
-    return table(spark, d, "lineitem").select(
+    return spread(table(spark, d, "lineitem")).select(
         "l_orderkey",
         (F.col("l_suppkey") % 2).alias("part_no"),
         # Line numbers repeat within an order, prices do not.
@@ -319,8 +321,6 @@ _WORDS = f"""words AS (
     with_(_WORDS) + "SELECT doc_id, unnest(list_distinct(words)) AS term FROM words",
 )
 def _(spark, d):
-    from candidata.operators.matching import candidate_terms
-
     return candidate_terms(table(spark, d, "documents"), "doc_id", "text")
 
 

@@ -15,7 +15,6 @@ from candidata.plans.fixture_sql import (
     JOBS,
     RECORD_WORDS,
     SPACE,
-    quoted,
     with_,
 )
 from candidata.plans.fixtures import (
@@ -31,8 +30,6 @@ from candidata.plans.fixtures import (
 from candidata.plans.registry import query
 from candidata.sinks import exports
 
-BLANK = quoted(" \t\n")
-
 
 @query(
     "normalize_job_text",

@@ -1,5 +1,7 @@
 """Physical plans: what is read, shuffled and broadcast."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from candidata.operators import matching
 from candidata.plans import fixtures
@@ -46,3 +48,37 @@ def test_jobs_are_only_broadcast_while_they_are_small(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "SortMergeJoin" in large and "BroadcastHashJoin" not in large
+
+
+def test_a_hot_request_is_split(spark):
+    """Two thirds of the candidates belong to one of 300 jobs, and no side may be broadcast."""
+    n = F.col("candidate_id")
+    people = fixtures.stored_candidates(spark, SMALL).drop("r_regionkey")
+    people = people.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    people = people.withColumn("job_id", F.when(n % 3 != 0, 7).otherwise((n * 10 + F.col("copy")) % 300))
+    job = fixtures.valid_jobs(spark, SMALL).filter("job_id = 0").drop("job_id")
+    jobs = job.withColumn("job_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(299).cast("bigint"))))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        fit = matching.evaluate_fit(
+            people.repartition(8),
+            jobs,
+            "job_id",
+            F.lit(fixtures.AS_OF_DAY),
+            keep=("candidate_id", "copy"),
+        )
+        assert len(fit.collect()) == people.count()
+        assert "SortMergeJoin(skew=true)" in plan(fit)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
