@@ -71,6 +71,42 @@ def is_json_object(json: Column) -> Column:
     return F.coalesce(bind(json, strict), F.lit(False))
 
 
+def _default(dtype: T.DataType) -> Column:
+    return F.lit("") if dtype == T.StringType() else F.array().cast(dtype)
+
+
+def parse_loosely(json: Column, schema: T.StructType) -> Column:
+    """The record in a JSON object, where lists need not look as asked for.
+
+    `from_json` alone would give up the whole list. Here a text in a list of objects
+    becomes the first field of an object, and a value in place of a list becomes a
+    list of that value.
+    """
+    as_text = lambda t: T.StringType() if isinstance(t, T.ArrayType) else t
+    loose = T.StructType([T.StructField(f.name, as_text(f.dataType)) for f in schema.fields])
+
+    def entry(e: Column, dtype: T.StructType) -> Column:
+        first, *others = dtype.fields
+        plain = F.struct(e.alias(first.name), *[_default(f.dataType).alias(f.name) for f in others])
+        return F.when(e.startswith("{"), F.from_json(e, dtype)).when(e.isNotNull(), plain.cast(dtype))
+
+    def listed(text: Column, dtype: T.DataType) -> Column:
+        items = F.coalesce(
+            F.when(text.startswith("["), F.from_json(text, T.ArrayType(T.StringType()))),
+            F.when(text.isNotNull(), F.array(text)),
+        )
+        if not isinstance(dtype, T.StructType):
+            return items
+        return F.transform(items, lambda e: entry(e, dtype))
+
+    def field(record: Column, f: T.StructField) -> Column:
+        value = record[f.name]
+        is_list = isinstance(f.dataType, T.ArrayType)
+        return (listed(value, f.dataType.elementType) if is_list else value).alias(f.name)
+
+    return bind(F.from_json(json, loose), lambda r: F.struct(*[field(r, f) for f in schema.fields]))
+
+
 def parse_record(
     df: DataFrame, json: str, raw: str, schema: T.StructType = ANSWER, out: str = "record"
 ) -> DataFrame:
@@ -78,7 +114,7 @@ def parse_record(
     valid = F.col("success")
     return df.withColumn("success", is_json_object(F.col(json))).withColumns(
         {
-            out: F.when(valid, F.from_json(F.col(json), schema)),
+            out: F.when(valid, parse_loosely(F.col(json), schema)),
             "error": F.when(~valid, F.lit(PARSE_FAILED)),
             "raw_response": F.when(~valid, F.left(F.col(raw), F.lit(RAW_LENGTH))),
         }

@@ -116,3 +116,23 @@ def test_instructions_need_an_option(one):
     lines = one(fit_instructions({"min_experience": F.col("v")}), v="3").splitlines()
     assert lines[0] == "EVALUATION GUIDELINES:" and len(lines) == 4
     assert "'Meets minimum experience requirement (3+ years)'" in lines[2]
+
+def test_lists_of_other_shapes_are_kept(spark):
+    answer = {
+        "experience": ["did x", {"title": "a", "company": 3}, None],
+        "education": "BSc",
+        "skills": "one, two",
+        "languages": {"language": "fr"},
+        "projects": ["site"],
+        "awards": ["[first]", 2],
+        "summary": 5,
+    }
+    df = spark.createDataFrame([(json.dumps(answer),)], "j string")
+    got = df.select(records.parse_loosely(F.col("j"), ANSWER).alias("r")).first()["r"].asDict(True)
+    assert [e and e["title"] for e in got["experience"]] == ["did x", "a", None]
+    assert got["experience"][0]["company"] == "" and got["experience"][1]["company"] == "3"
+    assert [e["degree"] for e in got["education"]] == ["BSc"]
+    assert got["skills"] == ["one, two"] and got["languages"][0]["language"] == "fr"
+    assert got["projects"] == [{"name": "site", "description": "", "technologies": [], "duration": ""}]
+    assert got["awards"] == ["[first]", "2"] and got["summary"] == "5"
+    assert got["certifications"] is None and got["personal_info"] is None
