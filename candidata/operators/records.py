@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,15 +75,18 @@ def _default(dtype: T.DataType) -> Column:
     return F.lit("") if dtype == T.StringType() else F.array().cast(dtype)
 
 
-def parse_loosely(json: Column, schema: T.StructType) -> Column:
-    """The record in a JSON object, where lists need not look as asked for.
+def loose_schema(schema: T.StructType) -> T.StructType:
+    """The schema with every list as text, so that a list of another shape is still read."""
+    as_text = lambda t: T.StringType() if isinstance(t, T.ArrayType) else t
+    return T.StructType([T.StructField(f.name, as_text(f.dataType)) for f in schema.fields])
+
+
+def tight_columns(schema: T.StructType, value: Callable[[str], Column]) -> list[Column]:
+    """The columns of `schema` out of what was read with its loose schema.
 
-    `from_json` alone would give up the whole list. Here a text in a list of objects
-    becomes the first field of an object, and a value in place of a list becomes a
-    list of that value.
+    A text in a list of objects becomes the first field of an object, and a value in
+    place of a list becomes a list of that value.
     """
-    as_text = lambda t: T.StringType() if isinstance(t, T.ArrayType) else t
-    loose = T.StructType([T.StructField(f.name, as_text(f.dataType)) for f in schema.fields])
 
     def entry(e: Column, dtype: T.StructType) -> Column:
         first, *others = dtype.fields
@@ -99,12 +102,22 @@ def parse_loosely(json: Column, schema: T.StructType) -> Column:
             return items
         return F.transform(items, lambda e: entry(e, dtype))
 
-    def field(record: Column, f: T.StructField) -> Column:
-        value = record[f.name]
-        is_list = isinstance(f.dataType, T.ArrayType)
-        return (listed(value, f.dataType.elementType) if is_list else value).alias(f.name)
+    return [
+        (
+            listed(value(f.name), f.dataType.elementType)
+            if isinstance(f.dataType, T.ArrayType)
+            else value(f.name)
+        ).alias(f.name)
+        for f in schema.fields
+    ]
+
 
-    return bind(F.from_json(json, loose), lambda r: F.struct(*[field(r, f) for f in schema.fields]))
+def parse_loosely(json: Column, schema: T.StructType) -> Column:
+    """The record in a JSON object; lists need not look as asked for."""
+    return bind(
+        F.from_json(json, loose_schema(schema)),
+        lambda record: F.struct(*tight_columns(schema, lambda name: record[name])),
+    )
 
 
 def parse_record(

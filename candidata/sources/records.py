@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from candidata.operators.records import loose_schema, tight_columns
 from candidata.operators.usage import ledger_rows
 from candidata.schemas import CANDIDATE, USAGE
 
 
 def scan_candidates(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Extracted records from JSON lines, or from files holding one array each."""
-    return spark.read.schema(CANDIDATE).option("multiLine", multi_line).json(path)
+    reader = spark.read.schema(loose_schema(CANDIDATE)).option("multiLine", multi_line)
+    return reader.json(path).select(*tight_columns(CANDIDATE, F.col))
 
 
 def scan_usage_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -121,3 +121,10 @@ def test_csv_has_the_columns_of_the_longest_record(spark):
     assert "experience_3_title" in flat.columns and "experience_4_title" not in flat.columns
     assert flat.filter("experience_2_title <> ''").count() == 1
     assert exports.flatten_csv(uneven.limit(0)).columns[-1] == "skills"
+
+
+def test_records_from_arrays_and_of_other_shapes(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"skills": "x", "experience": ["did y"]},\n {"filename": "b", "success": true}]')
+    first, second = scan_candidates(spark, str(tmp_path), multi_line=True).collect()
+    assert first["skills"] == ["x"] and first["experience"][0]["title"] == "did y"
+    assert second["filename"] == "b" and second["success"] and second["skills"] is None
