@@ -259,7 +259,7 @@ def _(spark, d):
 @query(
     "attach_metadata",
     with_(DOCS)
-    + """SELECT doc_id, filename, true AS success, length(text) AS text_length,
+    + """SELECT doc_id, filename, true AS success, length(text)::INT AS text_length,
       CASE WHEN doc_id % 2 = 0 THEN 'p1' ELSE 'p2' END AS provider, 'model ' || lang AS model FROM docs""",
 )
 def _(spark, d):
@@ -277,7 +277,7 @@ def _(spark, d):
 @query(
     "ensure_defaults",
     CAND_WITH
-    + """SELECT candidate_id, len(skills) AS n_skills, len(experience) AS n_experience, 0 AS n_certifications,
+    + """SELECT candidate_id, len(skills)::INT AS n_skills, len(experience)::INT AS n_experience, 0 AS n_certifications,
       0 AS n_projects, 0 AS n_languages, 0 AS n_awards,
       CASE WHEN candidate_id % 7 = 0 THEN '' ELSE name END AS name FROM cand""",
 )

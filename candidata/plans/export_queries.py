@@ -37,7 +37,7 @@ def _stored(spark, d):
 @query(
     "scan_candidates",
     CAND_WITH
-    + """SELECT filename, name, email, array_to_string(skills, '|') AS skills, len(experience) AS n_experience,
+    + """SELECT filename, name, email, array_to_string(skills, '|') AS skills, len(experience)::INT AS n_experience,
       degree, success FROM cand""",
 )
 def _(spark, d):

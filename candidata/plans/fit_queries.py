@@ -287,7 +287,7 @@ def _(spark, d):
     "top_candidates",
     FIT_WITH
     + """SELECT job_id, candidate_id, candidate_name, fit_percentage,
-      row_number() OVER (PARTITION BY job_id ORDER BY fit_percentage DESC, candidate_id) AS rank
+      row_number() OVER (PARTITION BY job_id ORDER BY fit_percentage DESC, candidate_id)::INT AS rank
     FROM fit QUALIFY rank <= 10""",
 )
 def _(spark, d):

@@ -189,7 +189,7 @@ def job_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("r_regionkey")
     brand = lambda n: F.concat(F.lit("Brand#"), r + n)
     return table(spark, sf_dir, "region").select(
-        r.alias("job_id"),
+        r.cast("bigint").alias("job_id"),
         F.concat(F.lit("\n Specialist for "), "r_name", F.lit(" \t")).alias("description"),
         F.concat(F.lit(" "), brand(1), F.lit(" , "), brand(2), F.lit(",")).alias("priority_keywords"),
         brand(6).alias("required_skills"),
@@ -239,7 +239,9 @@ def valid_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def applications(people: DataFrame) -> DataFrame:
     """Candidates with the jobs they are sent to: of their own region and one by number."""
-    own_and_other = F.array_distinct(F.array("r_regionkey", (F.col("candidate_id") % 5).cast("int")))
+    own_and_other = F.array_distinct(
+        F.array(F.col("r_regionkey").cast("bigint"), F.col("candidate_id") % 5)
+    )
     return people.withColumn("job_id", F.explode(own_and_other)).drop("r_regionkey")
 
 

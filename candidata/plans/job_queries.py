@@ -80,7 +80,7 @@ def _(spark, d):
     "progress",
     with_(STATES)
     + """SELECT event_id, job_id, (row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) * 100
-      // count(*) OVER (PARTITION BY job_id)) AS progress FROM job_events""",
+      // count(*) OVER (PARTITION BY job_id))::INT AS progress FROM job_events""",
 )
 def _(spark, d):
     items = job_events(spark, d).select("event_id", "job_id", "ts")
@@ -226,7 +226,7 @@ def _extracted(files):
 @query(
     "extract_documents",
     with_(DOCS)
-    + """SELECT doc_id AS id, ok AS success, CASE WHEN ok THEN length(text) END AS text_length,
+    + """SELECT doc_id AS id, ok AS success, CASE WHEN ok THEN length(text)::INT END AS text_length,
       CASE WHEN ok THEN 'm read ' || length(text) || ' characters' END AS summary, 0 AS n_skills,
       CASE WHEN ok THEN NULL WHEN mime_type IN ('text/plain', 'application/pdf')
         THEN 'Error processing file: Error extracting text from .zip file: Unsupported file type: .zip'
@@ -239,7 +239,7 @@ def _(spark, d):
 
 @query(
     "stream_documents",
-    f"""SELECT id, true AS success, n AS text_length, 'm read ' || n || ' characters' AS summary, 0 AS n_skills,
+    f"""SELECT id, true AS success, n::INT AS text_length, 'm read ' || n || ' characters' AS summary, 0 AS n_skills,
       NULL::VARCHAR AS error
     FROM (SELECT doc_id // {BUNDLE} AS id, sum(length(text) + 1)::BIGINT AS n FROM documents GROUP BY id)""",
 )
