@@ -12,7 +12,17 @@ from candidata.inference import prompts
 from candidata.inference.client import OfflineClient, infer
 from candidata.operators import records
 from candidata.operators.ranking import drop_empty_results, min_fit_filter
-from candidata.plans.fixture_sql import CAND_WITH, CLEANED, DOCS, RESPONSES, quoted, with_
+from candidata.plans.fixture_sql import (
+    APPLICATIONS,
+    CAND_WITH,
+    CANDIDATES,
+    CLEANED,
+    DOCS,
+    JOBS,
+    RESPONSES,
+    quoted,
+    with_,
+)
 from candidata.plans.fixtures import (
     CHAT_PROVIDERS,
     applications,
@@ -100,8 +110,19 @@ def _(spark, d):
     return instructions.unionByName(without)
 
 
-@query("fit_prompt")
+@query(
+    "fit_prompt",
+    with_(CANDIDATES, JOBS, APPLICATIONS)
+    + f"""SELECT job_id, candidate_id, {quoted(prompts.FIT_INTRODUCTION)} || chr(10) || 'EVALUATION GUIDELINES:' || chr(10)
+      || '- Required skills: Brand#' || (r + 6) || chr(10) || '- Check every required skill [Brand#' || (r + 6)
+      || ']: present goes to ''key_matches'', absent to ''key_gaps''.' || chr(10)
+      || '- List every requirement once, in ''key_matches'' or in ''key_gaps''. Leave none out.' || chr(10) || chr(10)
+      || 'Job description:' || chr(10) || description || chr(10) AS task,
+      email, skills[1] AS skill, experience[1].duration AS period, edu_year
+    FROM sent JOIN cand USING (candidate_id) JOIN options USING (job_id) WHERE r <> 3""",
+)
 def _(spark, d):
+    """The prompt, taken apart again: its text, and fields of the record it ends with."""
     jobs = valid_jobs(spark, d).select(
         "job_id",
         "description",
@@ -109,10 +130,17 @@ def _(spark, d):
     )
     sent = applications(clean_candidates(spark, d)).join(jobs, "job_id")
     record = F.struct("personal_info", "skills", "experience", "education")
-    return sent.select(
+    prompt = prompts.fit_prompt(F.col("instructions"), F.col("description"), record)
+    parts = sent.select("job_id", "candidate_id", F.split(prompt, "\nCandidate:\n", 2).alias("parts"))
+    part = lambda path: F.get_json_object(F.col("parts")[1], path)
+    return parts.select(
         "job_id",
         "candidate_id",
-        prompts.fit_prompt(F.col("instructions"), F.col("description"), record).alias("prompt"),
+        F.col("parts")[0].alias("task"),
+        part("$.personal_info.email").alias("email"),
+        part("$.skills[0]").alias("skill"),
+        part("$.experience[0].duration").alias("period"),
+        part("$.education[0].year").alias("edu_year"),
     )
 
 

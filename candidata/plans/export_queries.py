@@ -119,9 +119,23 @@ def _(spark, d):
     return exports.summary_sheet(clean_candidates(spark, d))
 
 
-@query("detailed_sheet")
+@query(
+    "detailed_sheet",
+    CAND_WITH
+    + """SELECT filename, email, skills[1] AS skill, experience[1].company AS company, degree,
+      success::VARCHAR AS success FROM cand""",
+)
 def _(spark, d):
-    return exports.detailed_sheet(clean_candidates(spark, d))
+    """The sheet, with fields of the JSON it holds."""
+    field = lambda path: F.get_json_object("full_data", path)
+    return exports.detailed_sheet(clean_candidates(spark, d)).select(
+        "filename",
+        field("$.personal_info.email").alias("email"),
+        field("$.skills[0]").alias("skill"),
+        field("$.experience[0].company").alias("company"),
+        field("$.education[0].degree").alias("degree"),
+        field("$.success").alias("success"),
+    )
 
 
 REPORT = (

@@ -30,7 +30,7 @@ def test_query(spark, con, name):
 
 def test_names():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"scan_documents", "fit_prompt", "detailed_sheet"}
+    assert set(QUERIES) - set(SQL) == {"scan_documents"}
 
 
 def test_entry(spark):
