@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from candidata.plans import registry
 from conftest import SMALL
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 PYTHON = {"infer", "extract_documents"}
 
 
