@@ -132,14 +132,15 @@ def judge(
     removed = hits.groupBy("__doc", "__host", "__text").agg(
         F.collect_set(F.struct("__place", "__n")).alias("__removed")
     )
-    rows = base_statistics(docs, text)
+    # The hash is a column before the join, so that the text is shuffled only for `clean_text`.
+    rows = base_statistics(docs, text).withColumn("__hash", F.xxhash64(text))
     rows = rows.join(
         removed,
         rows[doc_id].eqNullSafe(removed["__doc"])
         & rows[host].eqNullSafe(removed["__host"])
-        & (F.xxhash64(rows[text]) == removed["__text"]),
+        & (F.col("__hash") == removed["__text"]),
         "left",
-    ).drop("__doc", "__host", "__text")
+    ).drop("__doc", "__host", "__text", "__hash")
     n_shared = F.coalesce(
         F.aggregate("__removed", F.lit(0).cast("bigint"), lambda total, x: total + x["__n"]),
         F.lit(0).cast("bigint"),
