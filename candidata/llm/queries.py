@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candidata.llm import decontamination, mixing, quality_rules, sharding, simhash_index
+from candidata.cluster import fresh_path
+from candidata.llm import decontamination, mixing, pii, quality_rules, sharding, simhash_index, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,6 +80,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written in Re-Pair blocks and read back."""
+    import public_tokenizers
+
+    path = fresh_path(spark, "token-blocks")
+    token_output.write_tokens(
+        table(spark, sf_dir, "documents"), path, str(public_tokenizers.path("word_bpe_49k.json"))
+    )
+    return token_output.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
@@ -87,6 +100,12 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
