@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from candidata.cluster import fresh_path
-from candidata.llm import decontamination, mixing, pii, quality_rules, sharding, simhash_index, token_output
+from candidata.llm import (
+    decontamination,
+    licenses,
+    mixing,
+    pii,
+    quality_rules,
+    sharding,
+    simhash_index,
+    token_counts,
+    token_output,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,18 +92,44 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length histogram of every source, with suffix sums."""
+    lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["source"])
+    return token_counts.length_histogram(lengths, "source")
+
+
 @query
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written in Re-Pair blocks and read back."""
-    import public_tokenizers
-
     path = fresh_path(spark, "token-blocks")
-    token_output.write_tokens(
-        table(spark, sf_dir, "documents"), path, str(public_tokenizers.path("word_bpe_49k.json"))
-    )
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return token_output.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
+
+
 @query
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
@@ -118,3 +156,23 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     ).drop("__text")
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, own or inherited.
+
+    Documents have no paths; here every fifth is its directory's licence file, and every
+    twenty-fifth and hundred-and-twenty-fifth one of the directories above.
+    """
+    i = F.col("doc_id")
+    source, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    part = F.concat(F.lit("part"), F.pmod(F.floor(i / 5), F.lit(16)))
+    path = (
+        F.when(i % 125 == 0, F.concat_ws("/", source, F.lit("LICENSE")))
+        .when(i % 25 == 0, F.concat_ws("/", source, lang, F.lit("LICENSE")))
+        .when(i % 5 == 0, F.concat_ws("/", source, lang, part, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", source, lang, part, F.concat(i, F.lit(".txt"))))
+    )
+    docs = table(spark, sf_dir, "documents").withColumn("path", path)
+    return licenses.scan(docs).select("doc_id", "path", *licenses.RESULTS)
