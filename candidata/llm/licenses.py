@@ -134,16 +134,16 @@ def scan(
     dirs = docs.select(directory_of(F.col(path)).alias("__dir")).filter("__dir IS NOT NULL").distinct()
     above = dirs.select("__dir", F.posexplode(ancestors(F.col("__dir"))).alias("up", "dir"))
     nearest = above.join(notices, "dir").groupBy("__dir").agg(F.min(F.struct("up", "dir", "of_dir")).alias("near"))
-    nearest = nearest.select(F.col("__dir").alias("__d"), F.col("near.dir").alias("from_dir"), F.col("near.of_dir").alias("of_dir"))
+    nearest = nearest.select(F.col("__dir").alias("__d"), F.col("near.dir").alias("__from"), F.col("near.of_dir").alias("__of"))
 
     found = docs.withColumn("__hash", F.xxhash64(text)).withColumn("__dir", directory_of(F.col(path)))
     found = found.join(own, F.col(path).eqNullSafe(F.col("__p")) & (F.col("__hash") == F.col("__t")), "left")
     found = found.join(nearest, F.col("__dir") == F.col("__d"), "left")
     itself = F.when(F.coalesce(name_of(F.col(path)), F.lit("")).rlike(licence_name), "file").otherwise("header")
     return (
-        found.withColumn("license", F.coalesce("own_license", "of_dir"))
-        .withColumn("license_from", F.when(F.col("own_license").isNotNull(), itself).otherwise(F.col("from_dir")))
-        .drop("__hash", "__dir", "__p", "__t", "__d", "from_dir", "of_dir")
+        found.withColumn("license", F.coalesce("own_license", "__of"))
+        .withColumn("license_from", F.when(F.col("own_license").isNotNull(), itself).otherwise(F.col("__from")))
+        .drop("__hash", "__dir", "__p", "__t", "__d", "__from", "__of")
     )
 
 

@@ -33,6 +33,7 @@ def apportion(parties: DataFrame, group: Sequence[str], weight: str, seats: Colu
     rows = rows.withColumn(
         "__short", F.when(F.sum(weight).over(of) > 0, F.col("__seats") - F.sum("__base").over(of)).otherwise(0)
     ).withColumn("__parties", F.count("*").over(of))
+    rows = rows.withColumn("__number", F.row_number().over(of.orderBy(F.col(order).asc_nulls_last())))
     # A change of the divisor that moves `short` seats moves a party by no more than this.
     reach = F.floor(F.col("__share") * (F.abs("__short") + F.col("__parties")) / F.greatest("__seats", F.lit(1))) + 2
     step = F.sequence(F.lit(1).cast("bigint"), reach.cast("bigint"))
@@ -42,7 +43,9 @@ def apportion(parties: DataFrame, group: Sequence[str], weight: str, seats: Colu
     quotient = F.when(F.col("__step").isNotNull() & (seat >= 1), F.col(weight) / (2 * seat - 1))
     rows = rows.withColumn("__quotient", quotient)
     best = F.when(gives, -F.col("__quotient")).otherwise(F.col("__quotient"))
-    rank = F.row_number().over(of.orderBy(best.asc_nulls_last(), order, "__step"))
+    # Of equal quotients the last is taken back first.
+    tie = F.when(gives, F.col("__number")).otherwise(-F.col("__number"))
+    rank = F.row_number().over(of.orderBy(best.asc_nulls_last(), tie, "__step"))
     rows = rows.withColumn("__moved", (rank <= F.abs("__short")) & F.col("__quotient").isNotNull())
     return (
         rows.groupBy(*parties.columns, "__base", "__short")
@@ -175,7 +178,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows of one id and text share the copies that their words make together.
     """
     found = mix(docs, doc_id, text, source, **kwargs)
-    found = found.groupBy("doc_id", "source", "__text").agg(
+    found = found.filter("size > 0").groupBy("doc_id", "source", "__text").agg(
         F.floor(F.sum("taken") / F.max("size") + 0.5).alias("__copies"), F.count("*").alias("__rows")
     )
     found = found.withColumnsRenamed({"doc_id": "__id", "source": "__s", "__text": "__hash"}).filter("__copies > 0")

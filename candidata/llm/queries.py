@@ -147,7 +147,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return simhash_index.near_duplicates(table(spark, sf_dir, "documents")).drop("__text")
+    return simhash_index.near_duplicates(table(spark, sf_dir, "documents")).drop("__text", "__root")
 
 
 @query

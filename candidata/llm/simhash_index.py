@@ -232,11 +232,11 @@ def code_links(codes: DataFrame, max_bits: int = 4) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4
 ) -> DataFrame:
-    """(doc_id, __text, fingerprint, component_id) for every document.
+    """(doc_id, __text, __root, fingerprint, component_id) for every document.
 
     Fingerprints link at `max_bits` or fewer differing bits; `component_id` is the smallest
-    id that chains of links reach. `__text` is a hash of the text, for callers that look for
-    one row among those of equal id. Fingerprints are written once, and only codes, never
+    id that chains of links reach. For callers that look for one row of a component where ids
+    repeat, `__text` is a hash of the text and `__root` the component itself. Fingerprints are written once, and only codes, never
     texts or documents, meet in the search.
 
     Texts shorter than a shingle are one shingle; null and empty texts and texts without
@@ -251,9 +251,9 @@ def near_duplicates(
         "code", "first", F.coalesce("root", "code").alias("root")
     )
     smallest = labels.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = labels.join(smallest, "root").select(F.col("code").alias("__code"), "component_id")
+    labels = labels.join(smallest, "root").select(F.col("code").alias("__code"), F.col("root").alias("__root"), "component_id")
     return docs_codes.join(labels, F.col("code") == F.col("__code")).select(
-        "doc_id", "__text", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "__text", "__root", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
@@ -265,9 +265,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     found = near_duplicates(docs, doc_id, text, width, max_bits)
     # Ids first, nulls last, so that a null id stays only where there is no other.
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__text")
-    stay = found.groupBy(F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")))).agg(
-        F.min(row).alias("row")
-    )
+    stay = found.groupBy("__root").agg(F.min(row).alias("row"))
     stay = stay.select(F.col("row.doc_id").alias("__id"), F.col("row.__text").alias("__hash"))
     rows = docs.join(stay, docs[doc_id].eqNullSafe(stay["__id"]) & (F.xxhash64(docs[text]) == stay["__hash"]))
     return rows.dropDuplicates([doc_id, "__hash"]).drop("__id", "__hash")
