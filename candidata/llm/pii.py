@@ -28,8 +28,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What makes a passage worth a look: a digit, an at sign, or a spelt one.
 TRIGGER = re.compile(r"[0-9@]|[\[({][\x20]?(?:at|dot)[\x20]?[\])}]", re.IGNORECASE)
-TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
-CONTEXT, GAP, LONGEST = 24, 16, 14
+TOKEN = re.compile(r"[\[({][\x20]?(?:at|dot)[\x20]?[\])}]|[A-Za-z0-9]+|[^\sA-Za-z0-9]", re.IGNORECASE)
+CONTEXT, GAP, LONGEST = 40, 24, 14
 
 Span = tuple[str, int, int]
 
@@ -67,35 +67,21 @@ def exact_spans(text: str) -> list[Span]:
 
 
 def passages(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
-    """Stretches around triggers outside the taken spans; no stretch reaches into a taken span."""
-    blocked = sorted((s, e) for _, s, e in taken)
-    k = 0
-    first = last = None
-    limit = 0  # no stretch begins before the end of the last taken span
-    for m in TRIGGER.finditer(text):
-        at = m.start()
-        while k < len(blocked) and blocked[k][1] <= at:
-            if first is not None and blocked[k][0] >= last:
-                yield max(limit, first - CONTEXT), min(blocked[k][0], last + CONTEXT)
-                first = None
-            limit = max(limit, blocked[k][1])
-            k += 1
-        if k < len(blocked) and blocked[k][0] <= at:
-            if first is not None:
-                yield max(limit, first - CONTEXT), min(blocked[k][0], last + CONTEXT)
-                first = None
-            limit = max(limit, blocked[k][1])
-            continue
-        if at < limit:
-            continue
-        if first is not None and at - last > GAP:
-            yield max(limit, first - CONTEXT), last + CONTEXT
-            limit, first = last, None
-        first = at if first is None else first
-        last = m.end()
-    if first is not None:
-        stop = min([s for s, _ in blocked[k:] if s >= last][:1] + [last + CONTEXT, len(text)])
-        yield max(limit, first - CONTEXT), stop
+    """Disjoint stretches around triggers; none reaches into a taken span."""
+    low = 0
+    for start, end in [*sorted((s, e) for _, s, e in taken), (len(text), len(text))]:
+        groups: list[list[int]] = []
+        for m in TRIGGER.finditer(text, low, max(low, start)):
+            if groups and m.start() - groups[-1][1] <= GAP:
+                groups[-1][1] = m.end()
+            else:
+                groups.append([m.start(), m.end()])
+        for k, (first, last) in enumerate(groups):
+            stop = groups[k + 1][0] if k + 1 < len(groups) else start
+            stop = min(stop, last + CONTEXT)
+            yield max(low, first - CONTEXT), stop
+            low = stop
+        low = max(low, end)
 
 
 def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str] | None:
