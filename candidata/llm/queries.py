@@ -110,7 +110,7 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written in Re-Pair blocks and read back."""
     path = fresh_path(spark, "token-blocks")
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
-    return token_output.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_output.read_tokens(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 RULES = (

@@ -104,8 +104,12 @@ class WordEncoder:
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... sizes[0] times, then the same for the next."""
-    begins = np.cumsum(sizes) - sizes
-    return np.repeat(starts - begins, sizes) + np.arange(int(sizes.sum()))
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 30 and (not len(starts) or starts.max() < 1 << 30) else np.int64
+    places = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    places += np.arange(total, dtype=kind)
+    return places
 
 
 def compress(ids: np.ndarray, terminals: int, rounds: int, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,18 +136,18 @@ def compress(ids: np.ndarray, terminals: int, rounds: int, pairs: int, least: in
         if not len(good):
             break
         chosen = np.sort(ordered[at[good]])
-        hit = member(keys, chosen)
+        # Of pairs that share a slot of the hash table one waits for the next round.
+        chosen = chosen[np.sort(np.unique(slot(chosen), return_index=True)[1])]
+        number = find(keys, chosen)
         # Within a run of overlapping hits every second one is taken, from the left.
-        place = np.flatnonzero(hit)
+        place = np.flatnonzero(number >= 0)
         new_run = np.concatenate(([True], np.diff(place) != 1))
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(place)), 0))
         place = place[(np.arange(len(place)) - run_start) % 2 == 0]
-        symbols = np.searchsorted(chosen, keys[place])
-        used, symbols = np.unique(symbols, return_inverse=True)
+        used, symbols = np.unique(number[place], return_inverse=True)
         rules.append(np.stack((chosen[used] >> 32, chosen[used] & 0xFFFFFFFF), axis=1))
         keep = np.ones(len(sequence), bool)
         keep[place + 1] = False
-        sequence = sequence.copy()
         sequence[place] = terminals + n_rules + symbols
         sequence = sequence[keep]
         known = np.concatenate([*lengths, np.empty(0, np.int64)])
@@ -154,18 +158,18 @@ def compress(ids: np.ndarray, terminals: int, rounds: int, pairs: int, least: in
     return rules, np.concatenate([*lengths, np.empty(0, np.int64)]), sequence
 
 
-def member(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Which keys are among the chosen, sorted ones; a hash table rules most out."""
-    def slot(x: np.ndarray) -> np.ndarray:
-        return ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+def slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
-    table = np.zeros(1 << 18, bool)
-    table[slot(chosen)] = True
-    hit = table[slot(keys)]
-    at = np.flatnonzero(hit)
-    place = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
-    hit[at] = chosen[place] == keys[at]
-    return hit
+
+def find(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Number of the chosen key that each key is, or -1. The chosen ones have slots of their own."""
+    table = np.full(1 << 18, -1, np.int32)
+    table[slot(chosen)] = np.arange(len(chosen))
+    number = table[slot(keys)]
+    at = np.flatnonzero(number >= 0)
+    number[at[chosen[number[at]] != keys[at]]] = -1
+    return number
 
 
 class Block:
@@ -292,14 +296,16 @@ def encode_blocks(
     return rows.mapInArrow(encode, schema)
 
 
-def decode_documents(blocks: DataFrame) -> DataFrame:
+def decode_documents(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
     """(doc_id, part, block, within, n_tokens, ids_crc32, ids) of all documents, from the blocks.
 
     `within` is the number of ids before the document in its block; `ids` are little-endian
-    unsigned 32-bit numbers, ids_crc32 their checksum.
+    unsigned 32-bit numbers, ids_crc32 their checksum. `with_ids`: false leaves `ids` out.
     """
     id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    schema = f"doc_id {id_type}, part int, block int, within bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
+    schema = f"doc_id {id_type}, part int, block int, within bigint, n_tokens bigint, ids_crc32 bigint" + (
+        ", ids binary" if with_ids else ""
+    )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,18 +317,18 @@ def decode_documents(blocks: DataFrame) -> DataFrame:
                 sizes = np.asarray(row.column("doc_lengths").flatten()).astype(np.int64)
                 ends = np.cumsum(sizes)
                 spans = list(zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        row.column("doc_ids").flatten(),
-                        pa.array(np.full(len(sizes), one["part"], np.int32)),
-                        pa.array(np.full(len(sizes), one["block"], np.int32)),
-                        pa.array(ends - sizes),
-                        pa.array(sizes),
-                        pa.array([zlib.crc32(data[a:b]) for a, b in spans], pa.int64()),
-                        pa.array([data[a:b] for a, b in spans], pa.binary()),
-                    ],
-                    names=["doc_id", "part", "block", "within", "n_tokens", "ids_crc32", "ids"],
-                )
+                view = memoryview(data)
+                columns = {
+                    "doc_id": row.column("doc_ids").flatten(),
+                    "part": pa.array(np.full(len(sizes), one["part"], np.int32)),
+                    "block": pa.array(np.full(len(sizes), one["block"], np.int32)),
+                    "within": pa.array(ends - sizes),
+                    "n_tokens": pa.array(sizes),
+                    "ids_crc32": pa.array([zlib.crc32(view[a:b]) for a, b in spans], pa.int64()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array([data[a:b] for a, b in spans], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
 
     return blocks.mapInArrow(decode, schema)
 
@@ -332,7 +338,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, **kwargs) -> N
     encode_blocks(docs, tokenizer_path, **kwargs).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """`decode_documents` with `start`: the number of ids in all documents before.
 
     Offsets are running sums over parts, then over the blocks of a part; both tables have a row
@@ -346,6 +352,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     offsets = sizes.join(parts, F.col("part") == F.col("p"))
     inside = F.coalesce(F.sum("n_ids").over(before.partitionBy("part").orderBy("block")), F.lit(0))
     offsets = offsets.select(F.col("part").alias("p"), F.col("block").alias("b"), (F.col("of_part") + inside).alias("offset"))
-    docs = decode_documents(blocks)
+    docs = decode_documents(blocks, with_ids)
     rows = docs.join(offsets, (F.col("part") == F.col("p")) & (F.col("block") == F.col("b")))
     return rows.withColumn("start", F.col("offset") + F.col("within")).drop("p", "b", "offset", "part", "block", "within")
