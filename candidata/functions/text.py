@@ -106,7 +106,6 @@ def search_words(c: Column) -> Column:
     return F.filter(F.split(search_text(c), " "), lambda x: x != "")
 
 
-def contains_phrase(haystack: Column, phrase: Column) -> Column:
-    """Whole-word search; `haystack` is a search_text, `phrase` plain text."""
-    needle = search_text(phrase)
+def contains_phrase(haystack: Column, needle: Column) -> Column:
+    """Whole-word search; both are search_texts. An empty phrase is nowhere."""
     return F.contains(haystack, needle) & (needle != " ")

@@ -1,19 +1,57 @@
-"""The one Python stage: asking a model for every row of a DataFrame."""
+"""The Python stages: asking a model for every row of a DataFrame."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+ANSWERS = "array<struct<attempt:int,provider:string,model:string,body:string,error:string>>"
+
 
 class Client(Protocol):
     def __call__(self, prompt: str, provider: str, model: str) -> str | None:
-        """The body of the answer, or None if the call failed."""
+        """The body of the answer, or None if there is none. May raise; may run in many threads."""
+
+
+def _asked(client: Client, prompt: str, provider: str, model: str) -> tuple[str | None, str | None]:
+    """The body, or why there is none."""
+    try:
+        body = client(prompt, provider, model)
+        return body, None if body is not None else "no answer"
+    except Exception as failure:
+        return None, f"{type(failure).__name__}: {failure}"
+
+
+def _rows(
+    requests: DataFrame,
+    schema: T.StructType,
+    client_factory: Callable[[], Client],
+    answer: Callable[[Client, dict], dict],
+    columns: Sequence[str],
+    concurrency: int | None,
+    in_flight: int,
+) -> DataFrame:
+    """One call of `answer` per row, at most `in_flight` at a time in each task."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = client_factory()
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                rows = batch[list(columns)].to_dict("records")
+                found = list(pool.map(lambda row: answer(client, row), rows))
+                added = [f.name for f in schema.fields if f.name not in batch.columns]
+                yield batch.assign(**{name: [x[name] for x in found] for name in added})
+
+    if concurrency is not None:
+        requests = requests.repartition(concurrency)
+    return requests.mapInPandas(ask, schema)
 
 
 def infer(
@@ -23,45 +61,125 @@ def infer(
     provider: str = "provider",
     model: str = "model",
     out: str = "body",
+    error: str = "call_error",
     concurrency: int | None = None,
+    in_flight: int = 8,
 ) -> DataFrame:
-    """Add the model's answer to every row; a failed call gives null, as does a null prompt.
+    """Add the model's answer to every row, or why the call failed; a null prompt gives neither.
 
-    One client is made per task. `concurrency` sets the number of tasks and so of
-    calls at a time; by default every task of the input makes its own calls. Nothing
-    is pushed through this stage, so decide before it what is worth a call.
+    One client is made per task and asked by `in_flight` threads. `concurrency` sets the number
+    of tasks; by default every task of the input makes its own calls. Nothing is pushed through
+    this stage, so decide before it what is worth a call.
     """
-    schema = T.StructType([*requests.schema.fields, T.StructField(out, T.StringType())])
+    text = T.StringType()
+    schema = T.StructType([*requests.schema.fields, T.StructField(out, text), T.StructField(error, text)])
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = client_factory()
+    def answer(client: Client, row: dict) -> dict:
+        if row[prompt] is None:
+            return {out: None, error: None}
+        body, why = _asked(client, row[prompt], row[provider], row[model])
+        return {out: body, error: why}
 
-        def answer(text, provider_name, model_name):
-            if text is None:
-                return None
-            try:
-                return client(text, provider_name, model_name)
-            except Exception:
-                return None
+    return _rows(requests, schema, client_factory, answer, (prompt, provider, model), concurrency, in_flight)
 
-        for batch in batches:
-            calls = zip(batch[prompt], batch[provider], batch[model])
-            yield batch.assign(**{out: [answer(*call) for call in calls]})
 
-    if concurrency is not None:
-        requests = requests.repartition(concurrency)
-    return requests.mapInPandas(ask, schema)
+def readable(body: str | None, required: Sequence[str] = ()) -> bool:
+    """Whether a body holds an envelope, and in it an object with the required keys."""
+    try:
+        outer = json.loads(body)
+        if "choices" in outer:
+            text = outer["choices"][0]["message"]["content"]
+        else:
+            text = outer["candidates"][0]["content"]["parts"][0]["text"]
+        found = json.loads(text[text.index("{") : text.rindex("}") + 1])
+    except (TypeError, ValueError, KeyError, IndexError):
+        return False
+    return isinstance(found, dict) and all(k in found for k in required)
+
+
+def infer_attempts(
+    requests: DataFrame,
+    client_factory: Callable[[], Client],
+    prompt: str = "prompt",
+    attempts: str = "attempts",
+    out: str = "answers",
+    required: Sequence[str] = (),
+    concurrency: int | None = None,
+    in_flight: int = 8,
+) -> DataFrame:
+    """Ask the models listed in `attempts` one after the other until an answer can be read.
+
+    `attempts` is a list of (provider, model). Adds the list of all answers got; a null prompt
+    or an empty list gives an empty one. No row is asked for again once it has its answer.
+    """
+    dtype = T._parse_datatype_string(ANSWERS)
+    schema = T.StructType([*requests.schema.fields, T.StructField(out, dtype)])
+
+    def answer(client: Client, row: dict) -> dict:
+        got = []
+        planned = row[attempts] if row[prompt] is not None and row[attempts] is not None else ()
+        for number, step in enumerate(planned, 1):
+            body, why = _asked(client, row[prompt], step["provider"], step["model"])
+            got.append(
+                {"attempt": number, "provider": step["provider"], "model": step["model"], "body": body, "error": why}
+            )
+            if readable(body, required):
+                break
+        return {out: got}
+
+    return _rows(requests, schema, client_factory, answer, (prompt, attempts), concurrency, in_flight)
 
 
 class OfflineClient:
-    """A stand-in for tests: answers with a record that depends on the prompt alone."""
+    """A stand-in for tests: answers with a record that depends on the prompt alone.
+
+    Models end in the number of their attempt. Some documents get no answer or one without a
+    record at the first attempt, and some never get a record.
+    """
 
     def __init__(self, chat_providers: frozenset[str] = frozenset({"p2"})):
         self.chat_providers = chat_providers
 
-    def __call__(self, prompt: str, provider: str, model: str) -> str | None:
-        document = prompt.split("Document:\n", 1)[-1]
-        text = json.dumps({"summary": f"{model} read {len(document)} characters"})
+    def envelope(self, text: str, provider: str) -> str:
         if provider in self.chat_providers:
             return json.dumps({"choices": [{"message": {"content": text}}]})
         return json.dumps({"candidates": [{"content": {"parts": [{"text": text}]}}]})
+
+    def __call__(self, prompt: str, provider: str, model: str) -> str | None:
+        n = len(prompt.split("Document:\n", 1)[-1])
+        if n % 4 == 1 and model[-1] == "1":
+            raise ConnectionError("no connection")
+        if n % 4 == 2 and (model[-1] == "1" or n % 8 == 2):
+            return self.envelope(f"No record for {n} characters", provider)
+        record = {
+            "personal_info": {
+                "name": f"Reader of {n}",
+                "email": f"Write to r{n}@mail.example.org today",
+                "phone": f"Tel. +49 (30) 555-{n % 10000:04d}",
+            },
+            "summary": f"{model} read {n} characters",
+            "skills": ["python", "Python", " sql ", f"skill {n % 7}", ""],
+            "experience": ["Reader", {"title": "Author", "company": f"Company {n % 5}"}],
+            "education": {"degree": "Letters"},
+            "projects": [{"name": "P", "technologies": "Spark"}],
+        }
+        text = json.dumps(record)
+        return self.envelope(f"```json\n{text}\n```" if n % 4 == 3 else text, provider)
+
+
+class OfflineFitClient(OfflineClient):
+    """A stand-in for tests that judges a candidate by the end of the phone number in the prompt."""
+
+    def __call__(self, prompt: str, provider: str, model: str) -> str | None:
+        n = int(re.search(r"555-(\d{4})", prompt)[1])
+        if n % 4 == 3 and model[-1] != "3":
+            raise TimeoutError("too slow")
+        record = {
+            "summary": f"{model} judged {n}",
+            "fit_percentage": f"{n % 101}%",
+            "key_matches": ["reading", f"number {n % 9}"],
+            "key_gaps": [],
+        }
+        if n % 4 == 2 or (n % 4 == 1 and model[-1] == "1"):
+            del record["key_gaps"]
+        return self.envelope(json.dumps(record), provider)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from candidata.functions.text import display_terms, term_list
 
 EXTRACTION_PROMPT = """\
 Read the document below and answer with one JSON object describing the candidate.
@@ -44,7 +47,7 @@ _OPTION_LINES = (
     ),
     (
         "required_skills",
-        "Required skills: {}",
+        "Skills that must be present: {}",
         "Check every required skill [{}]: present goes to 'key_matches', absent to 'key_gaps'.",
     ),
     (
@@ -75,7 +78,7 @@ _OPTION_LINES = (
     ),
     (
         "technical_skills",
-        "Required technical skills: {}",
+        "Technical skills asked for: {}",
         "Check every technical skill [{}]: present goes to 'key_matches', absent to 'key_gaps'.",
     ),
     (
@@ -84,7 +87,7 @@ _OPTION_LINES = (
         "Check every certification [{}]: present goes to 'key_matches', absent to 'key_gaps'.",
     ),
     ("location_preference", "Preferred location: {}", None),
-    ("salary_range", "Salary range: {}", None),
+    ("salary_range", "Pay offered: {}", None),
 )
 _WEIGHTS = (
     ("weight_skills", "Skills"),
@@ -93,6 +96,7 @@ _WEIGHTS = (
 )
 _WEIGHTS_AFTER = "edu_requirements"
 _EXHAUSTIVE = "List every requirement once, in 'key_matches' or in 'key_gaps'. Leave none out."
+# Fixed value: the title of the guidelines.
 GUIDELINE_TITLE = "EVALUATION GUIDELINES:"
 
 
@@ -109,10 +113,27 @@ def _filled(template: str, value: Column) -> Column:
     return F.concat(*parts)
 
 
+def option_texts(options: DataFrame) -> dict[str, Column]:
+    """Option columns as display texts; lists are joined, texts stay as they are."""
+    return {
+        f.name: display_terms(term_list(F.col(f.name)))
+        if isinstance(f.dataType, T.ArrayType)
+        else F.col(f.name).cast("string")
+        for f in options.schema.fields
+    }
+
+
+def job_text(jobs: DataFrame, description: str) -> Column:
+    """A job description as text; an object becomes its JSON."""
+    if isinstance(jobs.schema[description].dataType, (T.StructType, T.MapType)):
+        return F.to_json(description, {"pretty": "true", "ignoreNullFields": "false"})
+    return F.col(description).cast("string")
+
+
 def fit_instructions(options: dict[str, Column]) -> Column:
     """Bullets for the options that are set, or an empty text if none is.
 
-    `options` maps option names to text columns (lists as `display_terms`), so that
+    `options` maps option names to text columns, as `option_texts` makes them, so that
     the options of many jobs become their instructions in one projection.
     """
     given = {name: F.nullif(c.cast("string"), F.lit("")) for name, c in options.items()}
@@ -149,6 +170,6 @@ def fit_prompt(instructions: Column, job: Column, candidate: Column) -> Column:
         F.lit("\nJob description:\n"),
         job,
         F.lit("\n\nCandidate:\n"),
-        F.to_json(candidate, {"pretty": "true"}),
+        F.to_json(candidate, {"pretty": "true", "ignoreNullFields": "false"}),
         F.lit("\n"),
     )

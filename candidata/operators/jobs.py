@@ -51,18 +51,16 @@ def expire_jobs(jobs: DataFrame, now: Column, ttl_seconds: float = TTL_SECONDS)
     return jobs.filter(age <= int(ttl_seconds * 1_000_000))
 
 
-def progress(items: DataFrame, job: str, order: list[Column], bucket: Column) -> DataFrame:
+def progress(items: DataFrame, job: str, order: list[Column]) -> DataFrame:
     """Add `progress`: the whole percentage of the job's items up to this one."""
-    numbered = position(items, [job], bucket, order, "_n", total="_total")
+    numbered = position(items, [job], order, "_n", total="_total")
     share = F.floor(F.col("_n") * 100 / F.col("_total")).cast("int")
     return numbered.withColumn("progress", share).drop("_n", "_total")
 
 
-def assign_batches(
-    items: DataFrame, request: str, order: list[Column], bucket: Column, size: int
-) -> DataFrame:
+def assign_batches(items: DataFrame, request: str, order: list[Column], size: int) -> DataFrame:
     """Add `batch`: items of a request in input order, `size` at a time, from 0."""
-    numbered = position(items, [request], bucket, order, "_n")
+    numbered = position(items, [request], order, "_n")
     return numbered.withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 

@@ -10,10 +10,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candidata.functions.binding import bind, explode_once, inline_once
 from candidata.functions.measures import experience_years
-from candidata.functions.text import normalize_terms, search_text, search_words
+from candidata.functions.text import (
+    contains_phrase,
+    display_terms,
+    normalize_terms,
+    search_text,
+    search_words,
+    strip,
+    term_list,
+)
 
 # The order in which requirements are listed; term kinds hold comma-separated terms.
 KINDS = (
@@ -42,46 +51,53 @@ EXTRA_POINTS = 2
 METADATA = ("filename", "success", "text_length", "provider", "model", "error", "raw_response")
 
 # `needle` is the term as it is looked for in a searchable text.
-REQUIREMENT = "array<struct<ord:int,kind:string,term:string,needle:string>>"
+REQUIREMENT = "array<struct<ord:bigint,kind:string,term:string,needle:string>>"
+# Places within one kind are below this, the length of a list.
+KIND_STEP = 1 << 31
 
 
 def requirements(options: DataFrame, out: str = "requirements") -> DataFrame:
     """Add the list of all requirements of a job: position, kind and term.
 
-    `cf_requirements` is another name for certifications.
+    An option is a comma-separated text or a list of terms. `cf_requirements` is another
+    name for certifications. Single kinds take their text, or list, as one term.
     """
+    nothing = F.array().cast("array<string>")
+
+    def terms_of(name: str) -> Column:
+        if name not in options.columns:
+            return nothing
+        column, listed = F.col(name), isinstance(options.schema[name].dataType, T.ArrayType)
+        if name in SINGLE_KINDS:
+            whole = display_terms(term_list(column)) if listed else strip(column.cast("string"))
+            terms = F.filter(F.array(whole), lambda x: x != "")
+        else:
+            terms = term_list(column) if listed else normalize_terms(column.cast("string"))
+        return F.coalesce(terms, nothing)
 
     def option(kind: str) -> Column:
-        text = F.col(kind) if kind in options.columns else F.lit(None)
-        if kind == "certifications" and "cf_requirements" in options.columns:
-            text = F.concat_ws(",", text, F.col("cf_requirements"))
-        return text.cast("string")
+        also = ["cf_requirements"] if kind == "certifications" else []
+        return F.array_distinct(F.concat(*[terms_of(name) for name in (kind, *also)]))
 
     given = F.array(
         *[
-            F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), option(kind).alias("text"))
+            F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), option(kind).alias("terms"))
             for n, kind in enumerate(KINDS)
         ]
     )
 
     def listed(o: Column) -> Column:
-        single = F.filter(F.array(F.trim(o["text"])), lambda x: x != "")
-        several = F.array_distinct(normalize_terms(o["text"]))
-        terms = F.when(o["kind"].isin(*SINGLE_KINDS), single).otherwise(several)
         return F.transform(
-            terms,
+            o["terms"],
             lambda x, i: F.struct(
-                (o["n"] * 1000 + i).alias("ord"),
+                (o["n"] * F.lit(KIND_STEP).cast("bigint") + i).alias("ord"),
                 o["kind"].alias("kind"),
                 x.alias("term"),
                 search_text(x).alias("needle"),
             ),
         )
 
-    set_options = F.filter(given, lambda o: o["text"].isNotNull())
-    return options.withColumn(
-        out, F.flatten(F.transform(set_options, listed)).cast(REQUIREMENT)
-    )
+    return options.withColumn(out, F.flatten(F.transform(given, listed)).cast(REQUIREMENT))
 
 
 def requirement_rows(jobs: DataFrame, job: str) -> DataFrame:
@@ -145,7 +161,7 @@ def check_requirements(
         found = F.coalesce(
             F.when(experience, enough)
             .when(r["kind"] == "edu_requirements", studied)
-            .otherwise(F.contains(words, r["needle"]) & (r["needle"] != " ")),
+            .otherwise(contains_phrase(words, r["needle"])),
             F.lit(False),
         )
         label = (
@@ -221,7 +237,7 @@ def fit_percentage(scored: DataFrame) -> DataFrame:
 
 def fit_summary(scored: DataFrame) -> DataFrame:
     """Add a summary of two to four sentences."""
-    listed = lambda c: F.concat_ws(", ", F.slice(c, 1, 3))
+    listed = lambda c: F.array_join(c, ", ")
     met, gaps = F.size("key_matches"), F.size("key_gaps")
     verdict = F.when(F.col("fit_percentage") >= 75, "a strong").when(
         F.col("fit_percentage") >= 50, "a fair"
@@ -254,23 +270,27 @@ def location_preference(pairs: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_fit(
-    candidates: DataFrame, jobs: DataFrame, request: str, as_of: Column, keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """All candidates of all requests with percentage, matches, gaps and summary.
-
-    `jobs` holds validated weights and `requirements`. The searchable text and the
-    years are made before the join, once per candidate record.
-    """
-    described = candidates.select(
-        request,
+def describe(candidates: DataFrame, as_of: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What the checks read of a candidate: made once per record, before it meets jobs."""
+    return candidates.select(
         *keep,
         F.col("personal_info"),
         F.col("education"),
         experience_years(F.col("experience"), as_of).alias("years"),
-        record_text(candidates, exclude=(request, *keep)).alias("search_text"),
+        record_text(candidates, exclude=keep).alias("search_text"),
     )
-    checked = check_requirements(pair_candidates(described, jobs, request))
+
+
+def evaluate_fit(
+    described: DataFrame, applications: DataFrame, jobs: DataFrame, request: str, keep: tuple[str, ...]
+) -> DataFrame:
+    """All applications with percentage, matches, gaps and summary.
+
+    `described` comes from `describe`; `applications` has the columns `keep` and the request;
+    `jobs` holds validated weights and `requirements`.
+    """
+    sent = described.join(applications.select(*keep, request), list(keep))
+    checked = check_requirements(pair_candidates(sent, jobs, request))
     scored = fit_percentage(score_parts(collect_matches(checked)))
     return attach_candidate_name(fit_summary(scored)).select(
         request,

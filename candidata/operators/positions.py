@@ -1,12 +1,12 @@
 """Running totals and positions within groups of any size.
 
-A window over a group puts the whole group into one task. Here the caller also
-names a bucket: an expression that never decreases along the wanted order (a
-block of ids, an hour of a timestamp). Bucket totals are aggregated first, with
-partial aggregation, their running sums are taken over the small table of
-totals, and only the rows of one bucket ever meet in a task. The result is exact
-and does not depend on how the data happens to be partitioned, so a lost task
-can be repeated. The rows are shuffled once.
+A window over a group puts the whole group into one task. Here rows are dealt by ranges of
+group and order first; Spark finds the borders in a sample of the data, so a busy group, day or
+score is cut into as many parts as its rows need, whatever its ids or times look like. The parts
+are stored, part totals are aggregated, their running sums are taken over the small table of
+totals (a row per part, and one more per group that begins in it), and only the rows of one part
+meet in a task. The stored parts are what every later task reads, so a lost task is repeated with
+the same result.
 """
 
 from __future__ import annotations
@@ -16,32 +16,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candidata.cluster import written
+
 GROUP = "_group"
 
 
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
-    bucket: Column,
     order: Sequence[Column],
     value: Column,
     out: str,
     *,
     total: str | None = None,
     ties_together: bool = False,
+    attach: DataFrame | None = None,
 ) -> DataFrame:
     """Add `out`: the sum of `value` over the rows of the group up to this one.
 
-    total: also add the sum over the whole group. ties_together: rows that are equal
-    in `order` all get the sum including each other; they must share a bucket.
+    total: also add the sum over the whole group. ties_together: rows that are equal in `order`
+    all get the sum including each other. attach: a table with a row per group, whose other
+    columns are added as well; it meets the part totals, not the rows. Rows that are equal in
+    keys and order share a part. The input is read twice, once for the sample of the borders.
     """
+    parts = df.withColumn("_value", value).repartitionByRange(*[F.col(k) for k in keys], *order)
+    parts = written(parts.withColumn("_part", F.spark_partition_id()), "parts")
     # Keys are compared inside a struct, where null equals null.
-    rows = df.withColumn(GROUP, F.struct(*keys, bucket.alias("_bucket")))
-    totals = rows.groupBy(GROUP).agg(F.sum(value).alias("_sum"))
+    rows = parts.withColumn(GROUP, F.struct(*keys, "_part")).drop("_part")
+    totals = rows.groupBy(GROUP).agg(F.sum("_value").alias("_sum"))
     group_keys = [F.col(f"{GROUP}.{k}") for k in keys]
     before = (
         Window.partitionBy(*group_keys)
-        .orderBy(f"{GROUP}._bucket")
+        .orderBy(f"{GROUP}._part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(
@@ -49,6 +55,10 @@ def running_total(
         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
         *([F.sum("_sum").over(Window.partitionBy(*group_keys)).alias(total)] if total else []),
     )
+    if attach is not None:
+        of_group = attach.withColumn("_of", F.struct(*keys)).drop(*keys)
+        offsets = offsets.join(of_group, F.struct(*[k.alias(n) for k, n in zip(group_keys, keys)]) == F.col("_of"), "left")
+        offsets = offsets.drop("_of")
     frame = Window.partitionBy(GROUP).orderBy(*order)
     frame = (
         frame.rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -57,24 +67,11 @@ def running_total(
     )
     return (
         rows.join(offsets, GROUP)
-        .withColumn(out, F.col("_before") + F.sum(value).over(frame))
-        .drop(GROUP, "_before")
+        .withColumn(out, F.col("_before") + F.sum("_value").over(frame))
+        .drop(GROUP, "_before", "_value")
     )
 
 
-def position(
-    df: DataFrame,
-    keys: Sequence[str],
-    bucket: Column,
-    order: Sequence[Column],
-    out: str,
-    **kwargs,
-) -> DataFrame:
+def position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, **kwargs) -> DataFrame:
     """Add `out`: 1 for the first row of the group, 2 for the next, and so on."""
-    one = F.lit(1).cast("bigint")
-    return running_total(df, keys, bucket, order, one, out, **kwargs)
-
-
-def id_block(c: str, size: int = 100_000) -> Column:
-    """Bucket for an order by a whole-number id."""
-    return F.floor(F.col(c) / size)
+    return running_total(df, keys, order, F.lit(1).cast("bigint"), out, **kwargs)

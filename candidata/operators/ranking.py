@@ -37,22 +37,14 @@ def rank_after_filter(
     ordinal: str,
     minimum: Column,
     score: str = "fit_percentage",
-    block: int = 100_000,
 ) -> DataFrame:
     """Add `rank`, 1 for the best, counted after the threshold.
 
-    A missing name becomes `Candidate <rank>`. Rows are shuffled by request and
-    score, so a large request is spread over its scores and blocks of equal scores.
+    A missing name becomes `Candidate <rank>`. A large request is shared by many tasks.
     """
-    points = -parse_percent(F.col(score))
     kept = min_fit_filter(fit, minimum, score)
-    ranked = position(
-        kept,
-        [request],
-        F.struct(points.alias("points"), F.floor(F.col(ordinal) / block).alias("block")),
-        [F.col(ordinal)],
-        "rank",
-    )
+    best_first = [parse_percent(F.col(score)).desc(), F.col(ordinal)]
+    ranked = position(kept, [request], best_first, "rank")
     fallback = F.concat(F.lit("Candidate "), F.col("rank"))
     return ranked.withColumn("candidate_name", F.coalesce("candidate_name", fallback))
 
@@ -100,8 +92,17 @@ def grid_query(
     offset: int = 0,
     limit: int | None = None,
 ) -> DataFrame:
-    """Rows that contain all terms in any of their columns, sorted, one page of them."""
+    """Rows that contain all terms in any of their columns, sorted, one page of them.
+
+    Pages are cut by position, so a deep one is not gathered in one task. `order` has to
+    tell rows apart for pages that do not overlap.
+    """
     text = F.lower(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in grid.columns]))
     hits = reduce(lambda a, b: a & b, [F.contains(text, F.lit(t.lower())) for t in terms], F.lit(True))
-    page = grid.filter(hits).orderBy(*order).offset(offset)
-    return page if limit is None else page.limit(limit)
+    found = grid.filter(hits)
+    if not offset and limit is None:
+        return found.orderBy(*order)
+    place = F.col("_row")
+    page = position(found, [], order, "_row").filter(place > offset)
+    page = page if limit is None else page.filter(place <= offset + limit)
+    return page.orderBy("_row").drop("_row")

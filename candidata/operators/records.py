@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candidata.functions.binding import bind
+from candidata.functions.binding import bind, explode_once
 from candidata.functions.text import (
     UNICODE,
     EMAIL,
@@ -24,6 +24,7 @@ from candidata.schemas import ANSWER, ARRAY_FIELDS, PERSONAL_INFO
 # Messages of error records and how much of a bad answer they keep.
 PARSE_FAILED = "Failed to parse AI response as JSON"
 NO_ATTEMPT_WORKED = "Failed to extract resume data after multiple attempts."
+ALL_EXHAUSTED = "All API providers have reached their daily limits."
 RAW_LENGTH = 500
 MAX_ATTEMPTS = 3
 
@@ -76,22 +77,33 @@ def _default(dtype: T.DataType) -> Column:
 
 
 def loose_schema(schema: T.StructType) -> T.StructType:
-    """The schema with every list as text, so that a list of another shape is still read."""
-    as_text = lambda t: T.StringType() if isinstance(t, T.ArrayType) else t
+    """The schema with every list and object as text, so that one of another shape is still read."""
+    as_text = lambda t: T.StringType() if isinstance(t, (T.ArrayType, T.StructType)) else t
     return T.StructType([T.StructField(f.name, as_text(f.dataType)) for f in schema.fields])
 
 
 def tight_columns(schema: T.StructType, value: Callable[[str], Column]) -> list[Column]:
     """The columns of `schema` out of what was read with its loose schema.
 
-    A text in a list of objects becomes the first field of an object, and a value in
-    place of a list becomes a list of that value.
+    A text in place of an object becomes the first field of one whose other fields are empty,
+    and a value in place of a list becomes a list of that value, at any depth. Objects in a
+    list get empty values for fields they lack.
     """
 
-    def entry(e: Column, dtype: T.StructType) -> Column:
+    def record(e: Column, dtype: T.StructType, lacking: Callable[[T.DataType], Column]) -> Column:
         first, *others = dtype.fields
-        plain = F.struct(e.alias(first.name), *[_default(f.dataType).alias(f.name) for f in others])
-        return F.when(e.startswith("{"), F.from_json(e, dtype)).when(e.isNotNull(), plain.cast(dtype))
+        plain = F.struct(
+            e.alias(first.name), *[_default(f.dataType).alias(f.name) for f in others]
+        ).cast(dtype)
+
+        def filled(o: Column) -> Column:
+            fields = tight_columns(dtype, lambda name: o[name])
+            return F.struct(
+                *[F.coalesce(c, lacking(f.dataType)).alias(f.name) for c, f in zip(fields, dtype.fields)]
+            ).cast(dtype)
+
+        whole = bind(F.from_json(e, loose_schema(dtype)), filled)
+        return F.when(e.startswith("{"), whole).when(e.isNotNull(), plain)
 
     def listed(text: Column, dtype: T.DataType) -> Column:
         items = F.coalesce(
@@ -100,16 +112,16 @@ def tight_columns(schema: T.StructType, value: Callable[[str], Column]) -> list[
         )
         if not isinstance(dtype, T.StructType):
             return items
-        return F.transform(items, lambda e: entry(e, dtype))
+        return F.transform(items, lambda e: record(e, dtype, _default))
 
-    return [
-        (
-            listed(value(f.name), f.dataType.elementType)
-            if isinstance(f.dataType, T.ArrayType)
-            else value(f.name)
-        ).alias(f.name)
-        for f in schema.fields
-    ]
+    def shaped(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.ArrayType):
+            return listed(value(f.name), f.dataType.elementType)
+        if isinstance(f.dataType, T.StructType):
+            return record(value(f.name), f.dataType, lambda t: F.lit(None).cast(t))
+        return value(f.name)
+
+    return [shaped(f).alias(f.name) for f in schema.fields]
 
 
 def parse_loosely(json: Column, schema: T.StructType) -> Column:
@@ -183,6 +195,49 @@ def resolve_attempts(
     )
 
 
+def resolve_answers(
+    answers: Column, chat_providers: Sequence[str], valid: Callable[[Column], Column], trim: bool = False
+) -> Column:
+    """The outcome of a list of answers, as `resolve_attempts` has it for a table of attempts.
+
+    A struct of success, attempt, provider, model and json of the first valid answer, else
+    error, raw_response, and the cause if the last call failed.
+    """
+
+    def read(a: Column) -> Column:
+        def cleaned(raw: Column) -> Column:
+            def judged(json: Column) -> Column:
+                return F.struct(
+                    *[a[n].alias(n) for n in ("attempt", "provider", "model")],
+                    a["error"].alias("cause"),
+                    raw.alias("raw"),
+                    json.alias("json"),
+                    valid(json).alias("valid"),
+                )
+
+            return bind(clean_json(raw, trim), judged)
+
+        return bind(unwrap_response(a["body"], a["provider"], chat_providers), cleaned)
+
+    def outcome(read_answers: Column) -> Column:
+        chosen = F.get(F.filter(read_answers, lambda a: a["valid"]), F.lit(0))
+        last = F.try_element_at(read_answers, F.lit(-1))
+        success = chosen.isNotNull()
+        unread = last["raw"].isNotNull()
+        return F.struct(
+            success.alias("success"),
+            *[chosen[n].alias(n) for n in ("attempt", "provider", "model", "json")],
+            F.when(~success & unread, F.lit(PARSE_FAILED))
+            .when(~success & (F.size(read_answers) == 0), F.lit(ALL_EXHAUSTED))
+            .when(~success, F.lit(NO_ATTEMPT_WORKED))
+            .alias("error"),
+            F.when(~success & unread, F.left(last["raw"], F.lit(RAW_LENGTH))).alias("raw_response"),
+            F.when(~success, last["cause"]).alias("cause"),
+        )
+
+    return bind(F.transform(answers, read), outcome)
+
+
 def attach_metadata(df: DataFrame, filename: str, text: str, provider: str, model: str) -> DataFrame:
     """Say where a successful record comes from; the text length is in characters."""
     return df.withColumns(
@@ -239,15 +294,13 @@ def _phrases(words: Column, longest: int) -> Column:
 
 
 def rule_extract(
-    docs: DataFrame, key: str, text: str, dictionary: DataFrame, skill: str, longest: int = 1
+    docs: DataFrame, key: str, text: str, dictionary: DataFrame, skill: str
 ) -> DataFrame:
     """Contact data by pattern and skills by dictionary, without a model.
 
-    `dictionary` is a table of skills of at most `longest` words. The words of a
-    document meet the dictionary in a hash join; where the dictionary is small enough
-    Spark broadcasts it. Each document also sends one mark that no skill is equal to:
-    it carries the contact data, and all other words without a match are dropped
-    before the shuffle.
+    `dictionary` is a table of skills of any number of words; the longest decides which runs
+    of words are looked up. Runs carry the key only and meet the dictionary in an inner join;
+    found skills are gathered per key and joined with the narrow contact row.
     """
     page = F.regexp_extract(F.col(text), WEB_PAGE, 0)
     fields = {
@@ -258,21 +311,14 @@ def rule_extract(
         "linkedin": F.regexp_extract(F.col(text), LINKEDIN, 0),
         "portfolio": F.when(F.lower(page).contains("linkedin.com"), "").otherwise(page),
     }
-    mark = F.concat(F.lit("\0"), F.col(key).cast("string"))
-    phrases = F.array_append(
-        bind(search_words(F.col(text)), lambda words: _phrases(words, longest)), mark
-    )
-    known = dictionary.select(
-        F.array_join(search_words(F.col(skill)), " ").alias("_phrase"), F.col(skill).alias("_skill")
-    ).distinct()
-    found = (
-        # Fields are made first: beside an explode they would be made for every word.
-        docs.select(key, *[c.alias(n) for n, c in fields.items()], phrases.alias("_phrases"))
-        .select(key, *fields, F.explode_outer("_phrases").alias("_phrase"))
-        .join(known, "_phrase", "left")
-        .filter(F.col("_skill").isNotNull() | F.col("_phrase").startswith("\0"))
-    )
-    return found.groupBy(key).agg(
-        *[F.first(n).alias(n) for n in fields],
-        F.array_sort(F.collect_set("_skill")).alias("skills"),
-    )
+    words = search_words(F.col(skill))
+    known = dictionary.select(F.array_join(words, " ").alias("_phrase"), F.col(skill).alias("_skill"))
+    known = known.filter("_phrase <> ''").distinct()
+    longest = dictionary.agg(F.max(F.size(words))).first()[0] or 1
+    phrases = bind(search_words(F.col(text)), lambda w: _phrases(w, longest))
+    runs = explode_once(docs, [F.col(key).alias("_key")], phrases, "_phrase")
+    found = runs.join(known, "_phrase").groupBy("_key").agg(F.collect_set("_skill").alias("_skills"))
+    contacts = docs.select(key, *[c.alias(n) for n, c in fields.items()])
+    skills = F.coalesce(F.array_sort("_skills"), F.array().cast("array<string>"))
+    rows = contacts.join(found, F.col(key) == F.col("_key"), "left")
+    return rows.withColumn("skills", skills).drop("_key", "_skills")

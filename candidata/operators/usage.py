@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from candidata.functions.binding import explode_once
 from candidata.functions.measures import day_key
 from candidata.operators.positions import position, running_total
+from candidata.operators.records import ALL_EXHAUSTED, MAX_ATTEMPTS
 from candidata.schemas import LEDGER
 
 # Messages and states.
-ALL_EXHAUSTED = "All API providers have reached their daily limits."
 AVAILABLE, EXHAUSTED, LIMIT_REACHED = "Available", "Exhausted", "Daily limit reached"
 USED, UNUSED = "Today", "Not used today"
 WINDOW_SECONDS = 60
@@ -172,26 +172,24 @@ def route_models(
     requests: DataFrame,
     intervals: DataFrame,
     order: Sequence[str],
-    bucket: Column,
     day: str = "day",
 ) -> DataFrame:
     """Give each request of a day the first model with calls left, else an error.
 
-    Requests are numbered within their day bucket by bucket, so a busy day is shared
-    by many tasks. The intervals of a day are one short list, found by an equi-join on
-    the day; the range test then runs on the row.
+    Requests are numbered within their day part by part, so a busy day is shared by many
+    tasks. The intervals of a day are one short list; it comes with the offset of the part,
+    and the range test then runs on the row.
     """
     lists = intervals.groupBy(day).agg(
         F.collect_list(F.struct("lo", "hi", "provider", "model")).alias("_intervals")
     )
-    numbered = position(requests, [day], bucket, [F.col(c) for c in order], "request_no")
+    numbered = position(requests, [day], [F.col(c) for c in order], "request_no", attach=lists)
     number = F.col("request_no")
     hit = F.get(
         F.filter("_intervals", lambda i: (i["lo"] < number) & (number <= i["hi"])), F.lit(0)
     )
     return (
-        numbered.join(lists, day, "left")
-        .withColumn("_hit", hit)
+        numbered.withColumn("_hit", hit)
         .withColumns(
             {
                 "routed_provider": F.col("_hit.provider"),
@@ -203,31 +201,54 @@ def route_models(
     )
 
 
+def route_attempts(
+    files: DataFrame, intervals: DataFrame, order: Sequence[str], attempts: int = MAX_ATTEMPTS, day: str = "day"
+) -> DataFrame:
+    """Add `attempts`: the models a file may ask, one after the other, as the limits allow.
+
+    The first attempts of all files of a day are routed before the second ones. A file that
+    finds no capacity gets fewer attempts, or none. `order` has to tell files apart.
+    """
+    steps = files.select(
+        *order, day, F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("_step")
+    )
+    routed = route_models(steps, intervals, ["_step", *order], day).filter("error IS NULL")
+    step = F.struct("_step", F.col("routed_provider").alias("provider"), F.col("routed_model").alias("model"))
+    planned = routed.groupBy(*order, day).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+    rows = files.join(planned, [*order, day], "left")
+    listed = F.transform("_steps", lambda s: F.struct(s["provider"], s["model"]))
+    nothing = F.array().cast("array<struct<provider:string,model:string>>")
+    return rows.withColumn("attempts", F.coalesce(listed, nothing)).drop("_steps")
+
+
 def requests_in_window(
     log: DataFrame,
     key: str,
     ts: str = "ts",
     seconds: float = WINDOW_SECONDS,
     max_requests: int = WINDOW_REQUESTS,
-    bucket_seconds: float = 3600,
 ) -> DataFrame:
     """Add the number of requests in the trailing window and whether it is over the limit.
 
     A request counts from its time until just before `seconds` later. Each one is a +1
-    at its time and a -1 when it leaves the window, and the count is a running total,
-    so neither a busy key nor a long window has to fit into one task.
+    at its time and a -1, without the other columns, when it leaves the window. The count is
+    a running total, so neither a busy key nor a long window has to fit into one task.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
+    payload = [f for f in log.schema.fields if f.name != key]
     changes = F.inline(
         F.array(
-            F.struct(at.alias("_at"), F.lit(1).alias("_change")),
-            F.struct((at + int(seconds * 1_000_000)).alias("_at"), F.lit(-1).alias("_change")),
+            F.struct(at.alias("_at"), F.lit(1).alias("_change"), *[f.name for f in payload]),
+            F.struct(
+                (at + int(seconds * 1_000_000)).alias("_at"),
+                F.lit(-1).alias("_change"),
+                *[F.lit(None).cast(f.dataType).alias(f.name) for f in payload],
+            ),
         )
     )
     counted = running_total(
-        log.select("*", changes),
+        log.select(key, changes),
         [key],
-        F.floor(F.col("_at") / int(bucket_seconds * 1_000_000)),
         [F.col("_at")],
         F.col("_change"),
         "in_window",

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from candidata.functions import measures
 from candidata.functions.text import display_terms, normalize_terms
 from candidata.inference import prompts
-from candidata.inference.client import OfflineClient, infer
+from candidata.inference.client import OfflineClient, OfflineFitClient, infer
 from candidata.operators import records
+from candidata.operators.evaluation import evaluate_with_model
+from candidata.operators.extraction import attempts_of
+from candidata.operators.matching import requirements
 from candidata.operators.ranking import drop_empty_results, min_fit_filter
 from candidata.plans.fixture_sql import (
     APPLICATIONS,
@@ -28,6 +31,7 @@ from candidata.plans.fixtures import (
     applications,
     candidates,
     clean_candidates,
+    customers,
     docs,
     part_options,
     responses,
@@ -55,7 +59,7 @@ def _(spark, d):
     """SELECT p_partkey AS job_id, 'EVALUATION GUIDELINES:' || chr(10) || list_aggregate(list_transform(list_filter([
       'Priority keywords: ' || pk,
       'Check every priority keyword [' || pk || ']: present goes to ''key_matches'', absent to ''key_gaps''.',
-      'Required skills: ' || rs,
+      'Skills that must be present: ' || rs,
       'Check every required skill [' || rs || ']: present goes to ''key_matches'', absent to ''key_gaps''.',
       'Required experience: ' || years || ' years or more. This counts strongly.',
       'With ' || years || ' years or more add ''Meets minimum experience requirement (' || years
@@ -70,7 +74,7 @@ def _(spark, d):
       CASE WHEN p_size % 2 = 0 THEN 'Required or preferred certifications: c' || p_size END,
       CASE WHEN p_size % 2 = 0 THEN 'Check every certification [c' || p_size || ']: present goes to ''key_matches'', absent to ''key_gaps''.' END,
       CASE WHEN p_size % 7 = 0 THEN 'Preferred location: Berlin' END,
-      CASE WHEN p_size % 9 = 0 THEN 'Salary range: ' || p_size || 'k' END,
+      CASE WHEN p_size % 9 = 0 THEN 'Pay offered: ' || p_size || 'k' END,
       'List every requirement once, in ''key_matches'' or in ''key_gaps''. Leave none out.'
     ], lambda x: x IS NOT NULL), lambda x: '- ' || x), 'string_agg', chr(10)) || chr(10) AS instructions
     FROM (SELECT *, p_brand || ', ' || p_type AS pk,
@@ -114,7 +118,7 @@ def _(spark, d):
     "fit_prompt",
     with_(CANDIDATES, JOBS, APPLICATIONS)
     + f"""SELECT job_id, candidate_id, {quoted(prompts.FIT_INTRODUCTION)} || chr(10) || 'EVALUATION GUIDELINES:' || chr(10)
-      || '- Required skills: Brand#' || (r + 6) || chr(10) || '- Check every required skill [Brand#' || (r + 6)
+      || '- Skills that must be present: Brand#' || (r + 6) || chr(10) || '- Check every required skill [Brand#' || (r + 6)
       || ']: present goes to ''key_matches'', absent to ''key_gaps''.' || chr(10)
       || '- List every requirement once, in ''key_matches'' or in ''key_gaps''. Leave none out.' || chr(10) || chr(10)
       || 'Job description:' || chr(10) || description || chr(10) AS task,
@@ -146,9 +150,10 @@ def _(spark, d):
 
 @query(
     "infer",
-    """SELECT doc_id, CASE WHEN doc_id % 2 = 0
-         THEN '{"candidates": [{"content": {"parts": [{"text": "{\\"summary\\": \\"m read ' || length(text) || ' characters\\"}"}]}}]}'
-         ELSE '{"choices": [{"message": {"content": "{\\"summary\\": \\"m read ' || length(text) || ' characters\\"}"}}]}' END AS body
+    """SELECT doc_id, length(text) % 4 <> 1 AS answered,
+         CASE WHEN length(text) % 4 IN (0, 3) THEN 'm1 read ' || length(text) || ' characters' END AS summary,
+         CASE WHEN length(text) % 4 = 2 THEN 'No record for ' || length(text) || ' characters' END AS prose,
+         CASE WHEN length(text) % 4 = 1 THEN 'ConnectionError: no connection' END AS call_error
        FROM documents""",
 )
 def _(spark, d):
@@ -156,10 +161,124 @@ def _(spark, d):
         "doc_id",
         prompts.extraction_prompt(F.col("text")).alias("prompt"),
         F.when(F.col("doc_id") % 2 == 0, "p1").otherwise("p2").alias("provider"),
-        F.lit("m").alias("model"),
+        F.lit("m1").alias("model"),
     )
     answered = infer(requests, functools.partial(OfflineClient, frozenset(CHAT_PROVIDERS)))
-    return answered.select("doc_id", "body")
+    raw = records.unwrap_response(F.col("body"), F.col("provider"), CHAT_PROVIDERS)
+    rows = answered.withColumn("raw", raw).withColumn("json", records.clean_json(F.col("raw")))
+    return rows.select(
+        "doc_id",
+        F.col("body").isNotNull().alias("answered"),
+        F.get_json_object("json", "$.summary").alias("summary"),
+        F.when(F.col("raw").startswith("No record"), F.col("raw")).alias("prose"),
+        "call_error",
+    )
+
+
+@query(
+    "parse_candidate",
+    """SELECT doc_id, 'Ann ' || lang AS name, CASE WHEN k = 0 THEN NULL ELSE 'a' || doc_id || '@x.org' END AS email,
+      CASE k WHEN 1 THEN 'sql' ELSE 'go|sql' END AS skills,
+      CASE k WHEN 0 THEN 'Clerk//' ELSE 'Clerk//|Lead/' || source || '/' END AS worked,
+      CASE k WHEN 2 THEN 'P:Spark' ELSE 'P:Spark+SQL|Q:' END AS projects,
+      CASE k WHEN 1 THEN 'de:' ELSE 'de:C1' END AS languages, true AS success
+    FROM (SELECT *, doc_id % 3 AS k FROM documents)""",
+)
+def _(spark, d):
+    """Whole records in loose shapes: texts for objects, values for lists, fields left out."""
+    k = F.col("doc_id") % 3
+    q = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    lang, source, i = F.col("lang"), F.col("source"), F.col("doc_id").cast("string")
+    info = F.when(k == 0, q('"Ann ', lang, '"')).otherwise(q('{"name": "Ann ', lang, '", "email": "a', i, '@x.org"}'))
+    skills = F.when(k == 1, '"sql"').otherwise('["go", "sql"]')
+    worked = F.when(k == 0, '"Clerk"').otherwise(q('["Clerk", {"title": "Lead", "company": "', source, '"}]'))
+    projects = F.when(k == 2, '{"name": "P", "technologies": "Spark"}').otherwise(
+        '[{"name": "P", "technologies": ["Spark", "SQL"]}, "Q"]'
+    )
+    languages = F.when(k == 1, '["de"]').otherwise('[{"language": "de", "proficiency": "C1"}]')
+    json = q(
+        '{"personal_info": ', info, ', "skills": ', skills, ', "experience": ', worked, ', "projects": ', projects,
+        ', "languages": ', languages, "}",
+    )
+    parsed = records.parse_record(table(spark, d, "documents").withColumn("json", json), "json", "json")
+    joined = lambda c, show: F.array_join(F.transform(c, show), "|")
+    return parsed.select(
+        "doc_id",
+        F.col("record.personal_info.name").alias("name"),
+        F.nullif(F.col("record.personal_info.email"), F.lit("")).alias("email"),
+        F.array_join("record.skills", "|").alias("skills"),
+        joined("record.experience", lambda e: F.concat_ws("/", e["title"], e["company"], e["location"])).alias("worked"),
+        joined(
+            "record.projects", lambda p: F.concat(p["name"], F.lit(":"), F.array_join(p["technologies"], "+"))
+        ).alias("projects"),
+        joined("record.languages", lambda x: F.concat(x["language"], F.lit(":"), x["proficiency"])).alias("languages"),
+        "success",
+    )
+
+
+def _listed_options(spark, d):
+    """The options of `part_options` as lists; terms may hold blanks."""
+    options = part_options(spark, d)
+    names = ("priority_keywords", "required_skills", "edu_requirements", "deal_breakers", "nice_to_have", "technical_skills", "cf_requirements")
+    return options.withColumns({n: F.split(n, ",") for n in names})
+
+
+@query(
+    "listed_options",
+    "SELECT p_partkey AS job_id, true AS same_requirements, true AS same_instructions FROM part",
+)
+def _(spark, d):
+    """Options as lists give what their comma-separated twins give."""
+    texts, lists = part_options(spark, d), _listed_options(spark, d)
+    found = []
+    for options, name in ((texts, "texts"), (lists, "lists")):
+        shown = prompts.option_texts(options.drop("job_id"))
+        if name == "texts":
+            terms = ("priority_keywords", "required_skills", "deal_breakers", "nice_to_have", "technical_skills")
+            shown |= {n: display_terms(normalize_terms(F.col(n))) for n in terms}
+        found.append(
+            requirements(options).select(
+                F.col("job_id"), F.struct("requirements", prompts.fit_instructions(shown).alias("text")).alias(name)
+            )
+        )
+    both = found[0].join(found[1], "job_id")
+    return both.select(
+        "job_id",
+        F.col("texts.requirements").eqNullSafe(F.col("lists.requirements")).alias("same_requirements"),
+        F.col("texts.text").eqNullSafe(F.col("lists.text")).alias("same_instructions"),
+    )
+
+
+@query(
+    "evaluate_with_model",
+    with_(CANDIDATES, JOBS, APPLICATIONS)
+    + """SELECT job_id, candidate_id, coalesce(name, 'Unknown') AS candidate_name, n % 4 <> 2 AS success,
+      CASE n % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 3 END::INT AS attempt,
+      CASE WHEN n % 4 <> 2 THEN 'm' || CASE n % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END || ' judged ' || n END AS summary,
+      CASE WHEN n % 4 <> 2 THEN (n % 101) || '%' END AS fit_percentage,
+      CASE WHEN n % 4 <> 2 THEN 'reading|number ' || n % 9 END AS key_matches,
+      CASE WHEN n % 4 = 2 THEN 'Failed to parse AI response as JSON' END AS error,
+      CASE WHEN n % 4 = 2 THEN '{"summary": "m3 judged ' || n || '", ' END AS raw
+    FROM (SELECT *, candidate_id % 10000 AS n FROM sent JOIN cand USING (candidate_id) JOIN jobs USING (job_id))""",
+)
+def _(spark, d):
+    people = clean_candidates(spark, d).drop("r_regionkey")
+    sent = people.join(applications(customers(spark, d)), "candidate_id")
+    jobs = valid_jobs(spark, d).withColumn("description", F.struct("description", "salary_range"))
+    judged = evaluate_with_model(
+        sent,
+        jobs.drop("requirements"),
+        "job_id",
+        functools.partial(OfflineFitClient, frozenset(CHAT_PROVIDERS)),
+        attempts_of(("p1", "m1"), ("p2", "m2"), ("p1", "m3")),
+        CHAT_PROVIDERS,
+        keep=["candidate_id"],
+    )
+    return judged.select(
+        "job_id", "candidate_id", "candidate_name", "success", "attempt", "summary", "fit_percentage",
+        F.array_join("key_matches", "|").alias("key_matches"), "error",
+        F.substring_index("raw_response", '"fit_percentage"', 1).alias("raw"),
+    )
 
 
 def _unwrapped(spark, d):

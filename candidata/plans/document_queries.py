@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from candidata.cluster import spread
+from candidata.cluster import fresh_path
 from candidata.functions import measures, text
 from candidata.operators.matching import candidate_terms
 from candidata.operators.records import rule_extract
@@ -17,10 +17,34 @@ EMAIL = text.EMAIL
 PHONE = text.PHONE
 
 
-@query("scan_documents")
+@query(
+    "scan_documents",
+    """SELECT doc_id // 20 AS bundle, CASE WHEN doc_id // 20 % 2 = 1 THEN '.csv' ELSE '.txt' END AS extension,
+         string_agg(CASE WHEN doc_id // 20 % 2 = 1
+           THEN regexp_replace(replace(text, chr(10), ' '), '[^\\x00-\\x{ff}]', '?', 'g') ELSE text END || chr(10),
+           '' ORDER BY doc_id) AS text
+       FROM documents GROUP BY ALL""",
+)
 def _(spark, d):
-    files = source.scan_documents(spark, d)
-    return files.select("filename", "extension", "length")
+    """Documents in files of twenty, some in UTF-8, some in Latin-1, scanned and decoded."""
+    folder = fresh_path(spark, "files")
+    bundle = F.floor(F.col("doc_id") / 20)
+    rows = table(spark, d, "documents").withColumn("bundle", bundle).repartition("bundle")
+    rows = rows.sortWithinPartitions("bundle", "doc_id")
+    latin = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit(" ")), r"[^\x00-\xff]", "?")
+    rows.filter(bundle % 2 == 0).select("bundle", "text").write.partitionBy("bundle").text(f"{folder}/a")
+    as_they_are = {
+        "encoding": "ISO-8859-1", "sep": "\u0001", "quote": "",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    }
+    narrow = rows.filter(bundle % 2 == 1).select("bundle", latin.alias("text"))
+    narrow.write.partitionBy("bundle").options(**as_they_are).csv(f"{folder}/b")
+    files = source.scan_documents(spark, folder)
+    return files.select(
+        F.regexp_extract("path", r"bundle=(\d+)/", 1).cast("bigint").alias("bundle"),
+        "extension",
+        source.decode_text(F.col("content")).alias("text"),
+    )
 
 
 @query(
@@ -75,7 +99,7 @@ def _cells(spark, d):
     """Three cells per line of an order; the last is missing on line 3."""
     n = F.col("l_quantity").cast("int").cast("string")
     values = F.array("l_returnflag", "l_linestatus", F.when(F.col("l_linenumber") != 3, n))
-    return spread(table(spark, d, "lineitem")).select(
+    return table(spark, d, "lineitem").select(
         "l_orderkey",
         (F.col("l_suppkey") % 2).alias("part_no"),
         # Line numbers repeat within an order, prices do not.
@@ -328,15 +352,18 @@ def _(spark, d):
     "rule_extract",
     with_(
         _WORDS,
+        f"""known AS (
+      SELECT list_filter(list_transform(string_split_regex(lower(text), '[{SPACE},;()]+'),
+        lambda w: regexp_replace(w, '[.:]+$', '')), lambda w: w <> '') AS w FROM benchmark)""",
         """dictionary AS (
-      SELECT DISTINCT a AS skill FROM (SELECT unnest(list_filter(string_split(lower(text), ' '),
-        lambda w: regexp_matches(w, '^[a-z]{2,6}$'))) AS a FROM benchmark)
-      UNION SELECT DISTINCT 'of ' || a FROM (SELECT unnest(list_filter(string_split(lower(text), ' '),
-        lambda w: regexp_matches(w, '^[a-z]{2,6}$'))) AS a FROM benchmark))""",
+      SELECT unnest(w) AS skill FROM known UNION SELECT 'of ' || unnest(w) FROM known
+      UNION SELECT w[1] || ' ' || w[2] || ' ' || w[3] FROM known WHERE len(w) >= 3)""",
         """grams AS (
       SELECT doc_id, unnest(words) AS g FROM words
       UNION SELECT doc_id, unnest(list_transform(list_zip(words[:-2], words[2:]), lambda z: z[1] || ' ' || z[2]))
-      FROM words WHERE len(words) > 1)""",
+      FROM words WHERE len(words) > 1
+      UNION SELECT doc_id, unnest(list_transform(list_zip(words[:-3], words[2:-2], words[3:]),
+        lambda z: z[1] || ' ' || z[2] || ' ' || z[3])) FROM words WHERE len(words) > 2)""",
         """skills AS (
       SELECT doc_id, string_agg(skill, '|' ORDER BY skill) AS skills FROM grams JOIN dictionary ON g = skill
       GROUP BY doc_id)""",
@@ -348,9 +375,13 @@ def _(spark, d):
     FROM documents LEFT JOIN skills USING (doc_id)""",
 )
 def _(spark, d):
-    words = F.explode(F.filter(F.split(F.lower("text"), " "), lambda w: w.rlike("^[a-z]{2,6}$")))
-    single = table(spark, d, "benchmark").select(words.alias("skill")).distinct()
+    # Every word of the benchmark, each after "of", and the first three of every item.
+    known = table(spark, d, "benchmark").select(text.search_words(F.col("text")).alias("words"))
+    single = known.select(F.explode("words").alias("skill")).distinct()
     pairs = single.select(F.concat(F.lit("of "), "skill").alias("skill"))
+    triples = known.filter(F.size("words") >= 3).select(
+        F.array_join(F.slice("words", 1, 3), " ").alias("skill")
+    )
     links = F.concat(
         F.lit("https://d"),
         "doc_id",
@@ -363,8 +394,7 @@ def _(spark, d):
         table(spark, d, "documents").select("doc_id", profile.alias("text")),
         "doc_id",
         "text",
-        single.unionByName(pairs),
+        single.unionByName(pairs).unionByName(triples),
         "skill",
-        longest=2,
     )
     return found.withColumn("skills", F.array_join("skills", "|"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from candidata.cluster import fresh_path
 from candidata.operators.jobs import latest_experience
-from candidata.operators.positions import id_block
 from candidata.operators.ranking import grid_query
 from candidata.plans.fixture_sql import CAND_WITH
 from candidata.plans.fixtures import clean_candidates, stored_candidates
@@ -73,37 +74,40 @@ def _(spark, d):
     )
 
 
-def _flat_sql() -> str:
-    entry = lambda i, f: (
-        f"coalesce(experience[{i}].{f}, '')" if f != "description" else "''"
-    )
-    columns = [
-        f"{entry(i, f)} AS experience_{i}_{f}"
-        for i in range(1, 6)
-        for f in ("title", "company", "location", "duration", "description")
-    ]
-    return (
-        CAND_WITH
-        + "SELECT filename, coalesce(name, '') AS personal_name, email AS personal_email, phone AS personal_phone,"
-        " location AS personal_location, '' AS personal_linkedin, '' AS personal_portfolio,"
-        " coalesce(list_aggregate(skills, 'string_agg', ', '), '') AS skills, "
-        + ", ".join(columns)
-        + ", degree AS education_1_degree, institution AS education_1_institution,"
-        " edu_location AS education_1_location, edu_year AS education_1_year, '' AS education_1_gpa FROM cand"
+FLAT = (
+    CAND_WITH
+    + """, entries AS (SELECT filename, unnest(experience) AS e, generate_subscripts(experience, 1) AS i FROM cand),
+    cells AS (
+      SELECT filename, unnest(['personal_name', 'personal_email', 'personal_phone', 'personal_location', 'skills',
+        'education_1_degree', 'education_1_institution', 'education_1_location', 'education_1_year']) AS field,
+        unnest([coalesce(name, ''), email, phone, location, coalesce(list_aggregate(skills, 'string_agg', ', '), ''),
+        degree, institution, edu_location, edu_year]) AS value FROM cand
+      UNION ALL
+      SELECT filename, unnest(['experience_' || i || '_title', 'experience_' || i || '_company',
+        'experience_' || i || '_location', 'experience_' || i || '_duration']),
+        unnest([e.title, e.company, e.location, e.duration]) FROM entries)
+    SELECT filename, field, value FROM cells WHERE value <> ''"""
+)
+
+
+def _cells(flat):
+    """One row per filled cell; the width of the table follows the longest list."""
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in flat.columns if c != "filename"]
     )
+    return flat.select("filename", F.inline(cells)).filter("value <> ''")
 
 
-@query("flatten_csv", _flat_sql())
+@query("flatten_csv", FLAT)
 def _(spark, d):
-    return exports.flatten_csv(stored_candidates(spark, d))
+    return _cells(exports.flatten_csv(stored_candidates(spark, d)))
 
 
-@query("write_csv", _flat_sql())
+@query("write_csv", FLAT)
 def _(spark, d):
     path = fresh_path(spark, "csv")
-    exports.write_csv(clean_candidates(spark, d), path, n_experience=5, n_education=1)
-    back = spark.read.options(header=True, escape='"').csv(path)
-    return back.fillna("")
+    exports.write_csv(stored_candidates(spark, d), path)
+    return _cells(spark.read.options(header=True, escape='"').csv(path))
 
 
 @query(
@@ -119,23 +123,30 @@ def _(spark, d):
     return exports.summary_sheet(clean_candidates(spark, d))
 
 
+# Keys in alphabetical order, as parse_json leaves them.
+WHOLE = """SELECT filename, json_object('awards', [], 'candidate_id', candidate_id, 'certifications', [],
+      'education', [json_object('degree', degree, 'gpa', '', 'institution', institution,
+        'location', edu_location, 'year', edu_year)],
+      'experience', list_transform(experience, lambda e: json_object('company', e.company, 'description', '',
+        'duration', e.duration, 'location', e.location, 'title', e.title)),
+      'filename', filename, 'languages', [],
+      'personal_info', json_object('email', email, 'linkedin', '', 'location', location, 'name', name,
+        'phone', phone, 'portfolio', ''),
+      'projects', [], 'skills', skills, 'success', success, 'summary', '')::VARCHAR AS full_data FROM cand"""
+
+
+def _compact(sheet):
+    return sheet.select("filename", F.parse_json("full_data").cast("string").alias("full_data"))
+
+
 @query(
     "detailed_sheet",
     CAND_WITH
-    + """SELECT filename, email, skills[1] AS skill, experience[1].company AS company, degree,
-      success::VARCHAR AS success FROM cand""",
+    + WHOLE,
 )
 def _(spark, d):
-    """The sheet, with fields of the JSON it holds."""
-    field = lambda path: F.get_json_object("full_data", path)
-    return exports.detailed_sheet(clean_candidates(spark, d)).select(
-        "filename",
-        field("$.personal_info.email").alias("email"),
-        field("$.skills[0]").alias("skill"),
-        field("$.experience[0].company").alias("company"),
-        field("$.education[0].degree").alias("degree"),
-        field("$.success").alias("success"),
-    )
+    """The sheet; its JSON without the layout."""
+    return _compact(exports.detailed_sheet(clean_candidates(spark, d).drop("r_regionkey")))
 
 
 REPORT = (
@@ -158,9 +169,7 @@ REPORT = (
 
 @query("report_text", REPORT + " SELECT * FROM report")
 def _(spark, d):
-    return exports.report_text(
-        stored_candidates(spark, d), "r_regionkey", "candidate_id", id_block("candidate_id", 100)
-    )
+    return exports.report_text(stored_candidates(spark, d), "r_regionkey", "candidate_id")
 
 
 GRID = (
@@ -177,9 +186,7 @@ GRID = (
 
 
 def _grid(spark, d):
-    return exports.grid(
-        stored_candidates(spark, d), "r_regionkey", "candidate_id", id_block("candidate_id", 100)
-    )
+    return exports.grid(stored_candidates(spark, d), "r_regionkey", "candidate_id")
 
 
 @query("grid", GRID + "SELECT * FROM grid")
@@ -201,6 +208,56 @@ def _(spark, d):
     )
 
 
+@query(
+    "grid_query_from",
+    GRID
+    + """SELECT * FROM grid WHERE lower("Experience") LIKE '%urgent%' ORDER BY "Name" DESC, "Email", r_regionkey OFFSET 1000""",
+)
+def _(spark, d):
+    """All pages from the thousand-and-first row on."""
+    order = [F.desc("Name"), F.col("Email"), F.col("r_regionkey")]
+    return grid_query(_grid(spark, d), ["urgent"], order, offset=1000)
+
+
+@query(
+    "export_formats",
+    CAND_WITH
+    + """SELECT unnest(['json', 'csv', 'parquet', 'summary', 'detailed']) AS format, candidate_id, filename, email,
+      coalesce(list_aggregate(skills, 'string_agg', ', '), '') AS skills FROM cand""",
+)
+def _(spark, d):
+    """The same records in every format of tables, read back."""
+    people = stored_candidates(spark, d).drop("r_regionkey")
+    path = fresh_path(spark, "formats")
+    for name in ("JSON", "csv", "Parquet", "xlsx"):
+        exports.export(people, name, f"{path}/{name}")
+    csv = spark.read.options(header=True, escape='"', multiLine=True)
+    number = F.regexp_extract("filename", r"\d+", 0).cast("bigint")
+    listed = F.array_join("skills", ", ")
+    mail = F.col("personal_info.email")
+    detailed = csv.csv(f"{path}/xlsx/Detailed").select(
+        F.from_json("full_data", people.schema).alias("r")
+    ).select("r.*")
+    summary = csv.csv(f"{path}/xlsx/Summary")
+    by_mail = people.select(mail.alias("m"), F.col("personal_info.phone").alias("p"), "filename", "candidate_id")
+    summary = summary.join(by_mail, (F.col("Email") == F.col("m")) & (F.col("Phone") == F.col("p")))
+
+    def shown(df, format, number, email, skills):
+        return df.select(
+            F.lit(format).alias("format"), number.alias("candidate_id"), "filename", email.alias("email"),
+            F.coalesce(skills, F.lit("")).alias("skills"),
+        )
+
+    frames = [
+        shown(scan_candidates(spark, f"{path}/JSON"), "json", number, mail, listed),
+        shown(csv.csv(f"{path}/csv"), "csv", number, F.col("personal_email"), F.col("skills")),
+        shown(spark.read.parquet(f"{path}/Parquet"), "parquet", F.col("candidate_id"), mail, listed),
+        shown(summary, "summary", F.col("candidate_id"), F.col("Email"), F.col("Skills")),
+        shown(detailed, "detailed", F.col("candidate_id"), mail, listed),
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), frames)
+
+
 @query(
     "latest_experience",
     CAND_WITH
@@ -222,6 +279,5 @@ def _(spark, d):
         path,
         request="r_regionkey",
         ordinal="candidate_id",
-        bucket=id_block("candidate_id", 100),
     )
     return spark.read.text(path).withColumnRenamed("value", "text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from candidata.cluster import written
@@ -21,6 +22,7 @@ from candidata.plans.fixtures import (
     AS_OF_DAY,
     applications,
     clean_candidates,
+    customers,
     fit_results,
     part_options,
     ranked_fit,
@@ -68,14 +70,14 @@ def _(spark, d):
     """SELECT p_partkey AS job_id, ord, kind, term FROM (
       SELECT p_partkey, 0 AS ord, 'priority_keywords' AS kind, p_brand AS term FROM part
       UNION ALL SELECT p_partkey, 1, 'priority_keywords', p_type FROM part
-      UNION ALL SELECT p_partkey, 1000, 'required_skills', split_part(p_name, ' ', 1) FROM part
-      UNION ALL SELECT p_partkey, 1001, 'required_skills', split_part(p_name, ' ', 2) FROM part
-      UNION ALL SELECT p_partkey, 2000, 'min_experience', (p_size % 4)::VARCHAR FROM part WHERE p_size % 4 > 0
-      UNION ALL SELECT p_partkey, 3000, 'edu_requirements', p_type FROM part WHERE p_size % 3 > 0
-      UNION ALL SELECT p_partkey, 4000, 'deal_breakers', p_name FROM part
-      UNION ALL SELECT p_partkey, 5000, 'nice_to_have', 'Node.js' FROM part
-      UNION ALL SELECT p_partkey, 5001, 'nice_to_have', p_brand FROM part
-      UNION ALL SELECT p_partkey, 8000, 'certifications', 'c' || p_size FROM part WHERE p_size % 2 = 0)""",
+      UNION ALL SELECT p_partkey, 1 * 2147483648 + 0, 'required_skills', split_part(p_name, ' ', 1) FROM part
+      UNION ALL SELECT p_partkey, 1 * 2147483648 + 1, 'required_skills', split_part(p_name, ' ', 2) FROM part
+      UNION ALL SELECT p_partkey, 2 * 2147483648 + 0, 'min_experience', (p_size % 4)::VARCHAR FROM part WHERE p_size % 4 > 0
+      UNION ALL SELECT p_partkey, 3 * 2147483648 + 0, 'edu_requirements', p_type FROM part WHERE p_size % 3 > 0
+      UNION ALL SELECT p_partkey, 4 * 2147483648 + 0, 'deal_breakers', p_name FROM part
+      UNION ALL SELECT p_partkey, 5 * 2147483648 + 0, 'nice_to_have', 'Node.js' FROM part
+      UNION ALL SELECT p_partkey, 5 * 2147483648 + 1, 'nice_to_have', p_brand FROM part
+      UNION ALL SELECT p_partkey, 8 * 2147483648 + 0, 'certifications', 'c' || p_size FROM part WHERE p_size % 2 = 0)""",
 )
 def _(spark, d):
     return matching.requirement_rows(matching.requirements(part_options(spark, d)), "job_id")
@@ -121,16 +123,11 @@ def _(spark, d):
 
 
 def _checked(spark, d):
-    people = applications(clean_candidates(spark, d)).filter("success")
-    described = people.select(
-        "job_id",
-        "candidate_id",
-        "education",
-        experience_years(F.col("experience"), F.lit(AS_OF_DAY)).alias("years"),
-        matching.record_text(people, exclude=("job_id", "candidate_id")).alias("search_text"),
-    )
+    people = clean_candidates(spark, d).filter("success").drop("r_regionkey")
+    described = matching.describe(people, F.lit(AS_OF_DAY), keep=("candidate_id",))
+    sent = described.join(applications(customers(spark, d)), "candidate_id")
     return matching.check_requirements(
-        matching.pair_candidates(described, valid_jobs(spark, d), "job_id")
+        matching.pair_candidates(sent, valid_jobs(spark, d), "job_id")
     )
 
 
@@ -257,12 +254,19 @@ def _(spark, d):
 
 @query(
     "rank_candidates",
-    FIT_WITH + "SELECT job_id, candidate_id, fit_percentage FROM fit",
+    FIT_WITH
+    + """SELECT job_id, candidate_id, fit_percentage, row_number() OVER (PARTITION BY job_id
+      ORDER BY fit_percentage DESC, candidate_id)::INT AS place FROM fit""",
 )
 def _(spark, d):
+    """The sorted results with the place in which they come."""
     # A sort samples its input before it reads it.
     fit = written(fit_results(spark, d), "fit").select("job_id", "candidate_id", "fit_percentage")
-    return ranking.rank_candidates(fit, "job_id", "candidate_id")
+    ranked = ranking.rank_candidates(fit, "job_id", "candidate_id").withColumn(
+        "_at", F.monotonically_increasing_id()
+    )
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("_at"))
+    return written(ranked, "ranked").withColumn("place", place).drop("_at")
 
 
 @query(
@@ -278,7 +282,7 @@ def _(spark, d):
     )
     unnamed = written(unnamed, "fit")
     ranked = ranking.rank_after_filter(
-        unnamed, "job_id", "candidate_id", F.col("min_fit_percent"), block=100
+        unnamed, "job_id", "candidate_id", F.col("min_fit_percent")
     )
     return ranked.select("job_id", "candidate_id", "rank", "fit_percentage", "candidate_name")
 
@@ -334,11 +338,14 @@ def _(spark, d):
     "check_batch_caps",
     """SELECT c_custkey % 1000 AS request, count(o_orderkey) AS n_items,
          CASE WHEN count(o_orderkey) = 0 THEN 'No files uploaded'
-           WHEN count(o_orderkey) > 12 THEN 'Too many files. Maximum 12 files per request.' END AS error
-       FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'F' GROUP BY ALL""",
+           WHEN count(o_orderkey) > 20 THEN 'Too many files. Maximum 20 files per request.' END AS error
+       FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL
+       UNION ALL SELECT -1 - c_custkey % 7, 0, 'No files uploaded' FROM customer GROUP BY c_custkey % 7""",
 )
 def _(spark, d):
     request = lambda c: (F.col(c) % 1000).alias("request")
-    items = table(spark, d, "orders").filter("o_orderstatus <> 'F'").select(request("o_custkey"))
+    items = table(spark, d, "orders").select(request("o_custkey"))
     requests = table(spark, d, "customer").select(request("c_custkey"))
-    return admission.check_batch_caps(requests, items, "request", cap=12)
+    # Requests that no item belongs to.
+    empty = table(spark, d, "customer").select((-1 - F.col("c_custkey") % 7).alias("request"))
+    return admission.check_batch_caps(requests.unionByName(empty), items, "request", cap=20)

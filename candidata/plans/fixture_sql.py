@@ -90,7 +90,7 @@ positions AS (
   SELECT c_custkey AS candidate_id, n, o_orderpriority AS title, 'Company ' || o_orderstatus AS company,
     n_name AS location, strftime(o_orderdate, '%m/%Y') AS duration,
     date_trunc('month', o_orderdate)::DATE AS month
-  FROM numbered JOIN people ON o_custkey = c_custkey WHERE n <= 5),
+  FROM numbered JOIN people ON o_custkey = c_custkey),
 worked AS (
   SELECT candidate_id, list(struct_pack(title, company, location, duration) ORDER BY n) AS experience,
     date_diff('day', min(month), max(month)) / 365.25 AS years
@@ -126,16 +126,16 @@ jobs AS (
 reqs AS (
   SELECT r AS job_id, 0 AS ord, 'priority_keywords' AS kind, 'Brand#' || (r + 1) AS term FROM options
   UNION ALL SELECT r, 1, 'priority_keywords', 'Brand#' || (r + 2) FROM options
-  UNION ALL SELECT r, 1000, 'required_skills', 'Brand#' || (r + 6) FROM options
-  UNION ALL SELECT r, 2000, 'min_experience', '5' FROM options
-  UNION ALL SELECT r, 3000, 'edu_requirements', edu FROM options
-  UNION ALL SELECT r, 4000, 'deal_breakers', 'Brand#' || (r + 11) FROM options
-  UNION ALL SELECT r, 5000, 'nice_to_have', 'Brand#' || (r + 16) FROM options
-  UNION ALL SELECT r, 5001, 'nice_to_have', 'Brand#' || (r + 17) FROM options
-  UNION ALL SELECT r, 6000, 'experience_areas', '1-URGENT' FROM options
-  UNION ALL SELECT r, 6001, 'experience_areas', 'company o' FROM options
-  UNION ALL SELECT r, 7000, 'technical_skills', 'Brand#' || (r + 21) FROM options WHERE r <> 2
-  UNION ALL SELECT r, 8000, 'certifications', 'specified' FROM options WHERE r = 4)"""
+  UNION ALL SELECT r, 1 * 2147483648 + 0, 'required_skills', 'Brand#' || (r + 6) FROM options
+  UNION ALL SELECT r, 2 * 2147483648 + 0, 'min_experience', '5' FROM options
+  UNION ALL SELECT r, 3 * 2147483648 + 0, 'edu_requirements', edu FROM options
+  UNION ALL SELECT r, 4 * 2147483648 + 0, 'deal_breakers', 'Brand#' || (r + 11) FROM options
+  UNION ALL SELECT r, 5 * 2147483648 + 0, 'nice_to_have', 'Brand#' || (r + 16) FROM options
+  UNION ALL SELECT r, 5 * 2147483648 + 1, 'nice_to_have', 'Brand#' || (r + 17) FROM options
+  UNION ALL SELECT r, 6 * 2147483648 + 0, 'experience_areas', '1-URGENT' FROM options
+  UNION ALL SELECT r, 6 * 2147483648 + 1, 'experience_areas', 'company o' FROM options
+  UNION ALL SELECT r, 7 * 2147483648 + 0, 'technical_skills', 'Brand#' || (r + 21) FROM options WHERE r <> 2
+  UNION ALL SELECT r, 8 * 2147483648 + 0, 'certifications', 'specified' FROM options WHERE r = 4)"""
 
 APPLICATIONS = """sent AS (
   SELECT DISTINCT job_id, candidate_id FROM (
@@ -185,8 +185,8 @@ fit AS (
     'The candidate is ' || CASE WHEN fit_percentage >= 75 THEN 'a strong' WHEN fit_percentage >= 50 THEN 'a fair'
       ELSE 'a weak' END || ' fit at ' || fit_percentage || ' percent. ' || n_met || ' of ' || (n_met + n_gaps)
       || ' requirements are met.'
-      || CASE WHEN n_met > 0 THEN ' Main matches: ' || list_aggregate(matches[1:3], 'string_agg', ', ') || '.' ELSE '' END
-      || CASE WHEN n_gaps > 0 THEN ' Main gaps: ' || list_aggregate(gaps[1:3], 'string_agg', ', ') || '.' ELSE '' END
+      || CASE WHEN n_met > 0 THEN ' Main matches: ' || list_aggregate(matches, 'string_agg', ', ') || '.' ELSE '' END
+      || CASE WHEN n_gaps > 0 THEN ' Main gaps: ' || list_aggregate(gaps, 'string_agg', ', ') || '.' ELSE '' END
       AS summary,
     coalesce(list_aggregate(matches, 'string_agg', ', '), '') AS matches_text,
     coalesce(list_aggregate(gaps, 'string_agg', ', '), '') AS gaps_text

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candidata.cluster import spread, written
+from candidata.cluster import written
 from candidata.functions.measures import day_key
 from candidata.operators.admission import validate_weights
-from candidata.operators.matching import evaluate_fit, requirements
+from candidata.operators.matching import describe, evaluate_fit, requirements
 from candidata.operators.ranking import rank_after_filter
 from candidata.operators.records import clean_record
 from candidata.schemas import ARRAY_FIELDS
@@ -21,9 +21,7 @@ CHAT_PROVIDERS = ["p2"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; those whose rows take long are spread over the cores."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in ("documents", "customer") else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(number: Column, *values) -> Column:
@@ -108,17 +106,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("o_custkey")
         .agg(F.array_sort(F.collect_list("p_brand")).alias("skills"))
     )
-    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    recent = (
-        orders.withColumn("n", F.row_number().over(newest))
-        .filter("n <= 5")
-        .groupBy("o_custkey")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("n", "o_orderpriority", "o_orderstatus", "o_orderdate"))).alias(
-                "recent"
-            )
-        )
-    )
+    # Newest first.
+    order = F.struct("o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    recent = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(order), asc=False).alias("recent"))
     first = orders.groupBy("o_custkey").agg(F.year(F.min("o_orderdate")).alias("first_year"))
     people = (
         t("customer")
@@ -237,6 +227,15 @@ def valid_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the candidates and their regions."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
+    people = table(spark, sf_dir, "customer")
+    return people.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("candidate_id"), "r_regionkey"
+    )
+
+
 def applications(people: DataFrame) -> DataFrame:
     """Candidates with the jobs they are sent to: of their own region and one by number."""
     own_and_other = F.array_distinct(
@@ -246,8 +245,10 @@ def applications(people: DataFrame) -> DataFrame:
 
 
 def fit_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = applications(clean_candidates(spark, sf_dir)).filter("success")
-    return evaluate_fit(sent, valid_jobs(spark, sf_dir), "job_id", F.lit(AS_OF_DAY), keep=("candidate_id",))
+    people = clean_candidates(spark, sf_dir).filter("success")
+    described = describe(people.drop("r_regionkey"), F.lit(AS_OF_DAY), keep=("candidate_id",))
+    sent = applications(customers(spark, sf_dir))
+    return evaluate_fit(described, sent, valid_jobs(spark, sf_dir), "job_id", keep=("candidate_id",))
 
 
 def stored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

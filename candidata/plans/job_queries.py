@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import functools
 
 from pyspark.sql import functions as F
@@ -10,28 +9,29 @@ from pyspark.sql import functions as F
 from candidata.cluster import fresh_path
 from candidata.inference.client import OfflineClient
 from candidata.operators import jobs
-from candidata.operators.extraction import extract_documents
-from candidata.operators.positions import id_block
-from candidata.operators.usage import usage_counts
+from candidata.operators.extraction import attempts_of, extract_documents
+from candidata.operators.usage import capacity_intervals, catalog_by_day, route_attempts, usage_counts
 from candidata.plans.fixture_sql import CALLS, CAND_WITH, DOCS, STATES, with_
 from candidata.plans.fixtures import (
     CHAT_PROVIDERS,
     as_job_events,
+    call_log,
     clean_candidates,
     docs,
+    first_and_last_day,
     job_events,
+    model_catalog,
     table,
 )
 from candidata.plans.registry import query
-from candidata.sources.documents import stream_documents
-from candidata.streaming.jobs import expire_jobs_stream
-from candidata.streaming.rates import stream_request_rate
+from candidata.plans.usage_queries import LIMITS
+from candidata.sources.documents import drop_repeated_uploads, stream_documents
+from candidata.streaming.jobs import current_states, follow_jobs
+from candidata.streaming.rates import rates_of_ticks, stream_request_ticks
 from candidata.streaming.runs import append_to, latest, update_log
 
 TTL = 29.9 * 86_400
 ORDER = ("ts", "event_id")
-def _hour():
-    return F.date_trunc("hour", "ts")
 
 
 def _text_times(df):
@@ -84,7 +84,7 @@ def _(spark, d):
 )
 def _(spark, d):
     items = job_events(spark, d).select("event_id", "job_id", "ts")
-    return jobs.progress(items, "job_id", [F.col(c) for c in ORDER], _hour()).drop("ts")
+    return jobs.progress(items, "job_id", [F.col(c) for c in ORDER]).drop("ts")
 
 
 @query(
@@ -95,7 +95,7 @@ def _(spark, d):
 def _(spark, d):
     items = table(spark, d, "documents").select("doc_id", "source")
     return jobs.assign_batches(
-        items, "source", [F.col("doc_id")], id_block("doc_id", 10_000), jobs.FILES_PER_BATCH
+        items, "source", [F.col("doc_id")], jobs.FILES_PER_BATCH
     )
 
 
@@ -118,46 +118,46 @@ def _(spark, d):
     return jobs.batch_summary(clean_candidates(spark, d), "r_regionkey")
 
 
+EVENT_FILES = 4
+
+
 def _event_stream(spark, d):
-    schema = table(spark, d, "events").schema
+    """The events in four files, a quarter of the time each, read one after the other.
+
+    Every eighth event of a quarter comes with the next one.
+    """
+    folder = fresh_path(spark, "events")
+    events = table(spark, d, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(us), F.max(us)).first()
+    quarter = F.least(F.lit(EVENT_FILES - 1), F.floor(EVENT_FILES * (us - first) / (last - first)))
+    late = (F.col("event_id") % 8 == 0) & (quarter < EVENT_FILES - 1)
+    rows = events.withColumn("_file", quarter + late.cast("int"))
+    for n in range(EVENT_FILES):
+        rows.filter(F.col("_file") == n).drop("_file").coalesce(1).write.parquet(f"{folder}/{n}")
     return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 8)
-        .parquet(d)
+        spark.readStream.schema(events.schema)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(folder)
     )
 
 
-@contextlib.contextmanager
-def _local_state(spark):
-    """On one machine keep no more state partitions than there are cores."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    if spark.sparkContext.master.startswith("local"):
-        fewer = min(int(before), spark.sparkContext.defaultParallelism)
-        spark.conf.set("spark.sql.shuffle.partitions", str(fewer))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
 def _updated(spark, stream, keys):
     folder = fresh_path(spark, "stream")
-    with _local_state(spark):
-        log = update_log(stream, f"{folder}/updates", f"{folder}/checkpoint")
-    return latest(log, keys)
+    return latest(update_log(stream, f"{folder}/updates", f"{folder}/checkpoint"), keys)
 
 
 def _appended(spark, stream):
     folder = fresh_path(spark, "stream")
-    with _local_state(spark):
-        return append_to(stream, f"{folder}/rows", f"{folder}/checkpoint")
+    return append_to(stream, f"{folder}/rows", f"{folder}/checkpoint")
 
 
 @query("job_state_stream", STATE_SQL)
 def _(spark, d):
-    states = jobs.job_state(as_job_events(_event_stream(spark, d)), order=ORDER)
-    return _text_times(_updated(spark, states, ["job_id"]))
+    """States of all jobs; none is old enough to be forgotten."""
+    followed = follow_jobs(as_job_events(_event_stream(spark, d)), "8 days", 60 * 86_400)
+    return _text_times(current_states(_appended(spark, followed)).drop("expired"))
 
 
 @query("usage_counts_stream", with_(CALLS) + "SELECT provider, model, day, calls FROM used")
@@ -173,12 +173,13 @@ def _(spark, d):
     "expire_jobs_stream",
     with_(STATES)
     + """SELECT job_id, status, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM states
-    WHERE epoch_ms(created_at) + 2583360000 < (SELECT epoch_ms(max(ts)) FROM events)""",
+    WHERE epoch_ms(created_at) + 15 * 86400000 < (SELECT epoch_ms(max(ts)) FROM events) - 8 * 86400000""",
 )
 def _(spark, d):
-    expired = expire_jobs_stream(as_job_events(_event_stream(spark, d)), TTL)
-    shown = _appended(spark, expired).withColumn("created_at", F.timestamp_micros("created_us"))
-    return _text_times(shown.drop("created_us"))
+    """Jobs live for 15 days, and events may come 8 days late."""
+    followed = follow_jobs(as_job_events(_event_stream(spark, d)), "8 days", 15 * 86_400)
+    expired = current_states(_appended(spark, followed).filter("expired"))
+    return _text_times(expired.select("job_id", "status", "created_at"))
 
 
 @query(
@@ -188,63 +189,151 @@ def _(spark, d):
     wins AS (SELECT user_id, start, sum(n)::BIGINT AS requests FROM spread GROUP BY ALL)
     SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
       strftime(start + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S.%f') AS window_end, requests, requests > 5 AS over_limit
-    FROM wins WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    FROM wins""",
 )
 def _(spark, d):
     log = _event_stream(spark, d).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    rates = stream_request_rate(
-        log, "user_id", window="1 day", slide="1 hour", delay="10 minutes", max_requests=5
-    )
-    return _text_times(_appended(spark, rates))
+    ticks = _updated(spark, stream_request_ticks(log, "user_id", slide="1 hour", delay="8 days"), ["user_id", "tick"])
+    return _text_times(rates_of_ticks(ticks, "user_id", window="1 day", slide="1 hour", max_requests=5))
 
 
 BUNDLE = 20
 
 
-def _bundle_files(spark, d):
+def _bundle_files(spark, d, copies=1):
     """The documents in text files of `BUNDLE` documents each; returns the folder."""
     folder = fresh_path(spark, "files")
     bundle = F.floor(F.col("doc_id") / BUNDLE).alias("bundle")
-    texts = table(spark, d, "documents").select(bundle, F.col("text").alias("value"))
-    texts.repartition("bundle").write.partitionBy("bundle").text(folder)
+    texts = table(spark, d, "documents").select(bundle, "doc_id", F.col("text").alias("value"))
+    texts = texts.repartition("bundle").sortWithinPartitions("bundle", "doc_id").drop("doc_id")
+    for n in range(copies):
+        texts.write.partitionBy("bundle").text(f"{folder}/{n}")
     return folder
 
 
+MODELS = (("p2", "m1"), ("p1", "m2"), ("p2", "m3"))
+
+
 def _extracted(files):
     client = functools.partial(OfflineClient, frozenset(CHAT_PROVIDERS))
-    records = extract_documents(files, client, F.lit("p2"), F.lit("m"), CHAT_PROVIDERS)
+    records = extract_documents(files, client, attempts_of(*MODELS), CHAT_PROVIDERS)
+    joined = lambda c, show: F.array_join(F.transform(c, show), "|")
     return records.select(
         F.regexp_extract("filename", r"\d+", 0).cast("bigint").alias("id"),
         "success",
         "text_length",
+        "provider",
+        "model",
         "summary",
-        F.size("skills").alias("n_skills"),
+        *[F.col(f"personal_info.{f}").alias(f) for f in ("name", "email", "phone")],
+        F.array_join("skills", "|").alias("skills"),
+        joined("experience", lambda e: F.concat_ws("/", e["title"], e["company"])).alias("worked"),
+        joined("projects", lambda p: F.concat(p["name"], F.lit(":"), F.array_join(p["technologies"], "+"))).alias("projects"),
+        F.size("awards").alias("n_awards"),
         "error",
+        "raw_response",
+        "cause",
+    )
+
+
+def _extracted_sql(files: str) -> str:
+    """Expected records of files with id, n characters, and an error for those not asked for."""
+    ok, m = "refused IS NULL AND n % 8 <> 2", "CASE WHEN n % 4 IN (1, 2) THEN 'm2' ELSE 'm1' END"
+    record = {
+        "text_length": "n::INT",
+        "provider": "CASE WHEN n % 4 IN (1, 2) THEN 'p1' ELSE 'p2' END",
+        "model": m,
+        "summary": f"{m} || ' read ' || n || ' characters'",
+        "email": "'r' || n || '@mail.example.org'",
+        "phone": "'+49(30)555-' || lpad((n % 10000)::VARCHAR, 4, '0')",
+        "skills": "'Python|Sql|Skill ' || n % 7",
+        "worked": "'Reader/|Author/Company ' || n % 5",
+        "projects": "'P:Spark'",
+    }
+    columns = [f"CASE WHEN {ok} THEN {e} END AS {c}" for c, e in record.items() if c not in ("skills", "worked", "projects")]
+    columns += [f"CASE WHEN {ok} THEN {record[c]} ELSE '' END AS {c}" for c in ("skills", "worked", "projects")]
+    return (
+        f"SELECT id, {ok} AS success, CASE WHEN {ok} THEN 'Reader of ' || n ELSE '' END AS name, "
+        + ", ".join(columns).replace("END AS email", "ELSE '' END AS email").replace("END AS phone", "ELSE '' END AS phone")
+        + """, 0 AS n_awards, CASE WHEN refused IS NOT NULL THEN refused
+        WHEN n % 8 = 2 THEN 'Failed to parse AI response as JSON' END AS error,
+      CASE WHEN refused IS NULL AND n % 8 = 2 THEN 'No record for ' || n || ' characters' END AS raw_response,
+      NULL::VARCHAR AS cause FROM ("""
+        + files
+        + ")"
     )
 
 
 @query(
     "extract_documents",
     with_(DOCS)
-    + """SELECT doc_id AS id, ok AS success, CASE WHEN ok THEN length(text)::INT END AS text_length,
-      CASE WHEN ok THEN 'm read ' || length(text) || ' characters' END AS summary, 0 AS n_skills,
-      CASE WHEN ok THEN NULL WHEN mime_type IN ('text/plain', 'application/pdf')
-        THEN 'Error processing file: Error extracting text from .zip file: Unsupported file type: .zip'
-        ELSE 'File "' || filename || '" is not supported. Please upload PDF, DOC, DOCX, XLS, XLSX, or TXT files.' END AS error
-    FROM (SELECT *, NOT ends_with(filename, '.zip') AS ok FROM docs)""",
+    + _extracted_sql(
+        """SELECT doc_id AS id, length(text) AS n, CASE
+        WHEN ends_with(filename, '.pdf') THEN 'No parsed text for .pdf file'
+        WHEN NOT ends_with(filename, '.zip') THEN NULL
+        WHEN mime_type IN ('text/plain', 'application/pdf')
+          THEN 'Error processing file: Error extracting text from .zip file: Unsupported file type: .zip'
+        ELSE 'File "' || filename || '" is not supported. Please upload PDF, DOC, DOCX, XLS, XLSX, or TXT files.'
+        END AS refused FROM docs"""
+    ),
 )
 def _(spark, d):
-    return _extracted(docs(spark, d).withColumn("content", F.encode("text", "UTF-8")).drop("text"))
+    """Text files come as bytes, documents and sheets as parsed text, PDF files as bytes nobody parsed."""
+    name = F.lower("filename")
+    plain = F.encode("text", "UTF-8")
+    content = F.when(name.endswith(".txt") | name.endswith(".zip"), plain).when(
+        name.endswith(".pdf"), F.unhex(F.lit("255044462D312E34FFFE00"))
+    )
+    text = F.when(~name.rlike(r"\.(txt|zip|pdf)$"), F.col("text"))
+    return _extracted(docs(spark, d).withColumn("content", content).withColumn("text", text))
 
 
 @query(
     "stream_documents",
-    f"""SELECT id, true AS success, n::INT AS text_length, 'm read ' || n || ' characters' AS summary, 0 AS n_skills,
-      NULL::VARCHAR AS error
-    FROM (SELECT doc_id // {BUNDLE} AS id, sum(length(text) + 1)::BIGINT AS n FROM documents GROUP BY id)""",
+    _extracted_sql(
+        f"""SELECT doc_id // {BUNDLE} AS id, sum(length(text) + 1)::BIGINT AS n, NULL::VARCHAR AS refused
+        FROM documents GROUP BY ALL"""
+    ),
 )
 def _(spark, d):
-    files = stream_documents(spark, _bundle_files(spark, d), files_per_batch=50)
+    folder = _bundle_files(spark, d)
+    files = stream_documents(spark, folder, files_per_batch=20)
     # The files are all called part-...; their folders tell them apart.
     named = F.concat(F.regexp_extract("path", r"bundle=(\d+)/", 1), F.lit(".txt"))
     return _appended(spark, _extracted(files.withColumn("filename", named)))
+
+
+@query(
+    "repeated_uploads",
+    f"""SELECT id, any_value(md5(t)) AS digest FROM (SELECT doc_id // {BUNDLE} AS id,
+      string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY ALL) GROUP BY ALL""",
+)
+def _(spark, d):
+    """Every file is uploaded twice and taken once."""
+    files = drop_repeated_uploads(stream_documents(spark, _bundle_files(spark, d, copies=2), 30), "1 day")
+    number = F.regexp_extract("path", r"bundle=(\d+)/", 1).cast("bigint").alias("id")
+    return _appended(spark, files.select(number, F.md5("content").alias("digest")))
+
+
+@query(
+    "route_attempts",
+    with_(CALLS, LIMITS)
+    + """, spans AS (
+      SELECT *, sum(greatest(daily_limit - used, 0)) OVER (PARTITION BY day ORDER BY provider_ord, model_ord) AS hi,
+        hi - greatest(daily_limit - used, 0) AS lo
+      FROM (SELECT * REPLACE (CASE WHEN model = 'error' THEN used ELSE 0 END AS used) FROM limits WHERE enabled)),
+    numbered AS (
+      SELECT event_id, day, step, row_number() OVER (PARTITION BY day ORDER BY step, ts, event_id) AS n
+      FROM calls, (SELECT unnest([1, 2, 3]) AS step) WHERE model <> 'error')
+    SELECT event_id, n.day, coalesce(string_agg(s.provider || '/' || s.model, ' ' ORDER BY step), '') AS attempts
+    FROM numbered n LEFT JOIN spans s ON s.day = n.day AND lo < n AND n <= hi GROUP BY event_id, n.day""",
+)
+def _(spark, d):
+    """Three attempts for every call that did not end in an error, within the day's limits."""
+    log = call_log(spark, d)
+    catalog = catalog_by_day(model_catalog(spark, d), *first_and_last_day(log))
+    intervals = capacity_intervals(catalog, usage_counts(log.filter("model = 'error'")))
+    files = log.filter("model <> 'error'").select("event_id", "ts", "day")
+    routed = route_attempts(files, intervals, ["ts", "event_id"])
+    shown = F.transform("attempts", lambda a: F.concat_ws("/", a["provider"], a["model"]))
+    return routed.select("event_id", "day", F.array_join(shown, " ").alias("attempts"))

@@ -11,9 +11,6 @@ from candidata.plans.fixtures import call_log, first_and_last_day, model_catalog
 from candidata.plans.registry import query
 from candidata.sources.records import scan_usage_ledger
 
-def _hour():
-    return F.date_trunc("hour", "ts")
-
 LIMITS = """limits AS (
   SELECT c.*, d.day, coalesce(u.calls, 0) AS used FROM catalog c CROSS JOIN days d
   LEFT JOIN used u ON u.provider = c.provider AND u.model = c.model AND u.day = d.day)"""
@@ -72,6 +69,18 @@ def _(spark, d):
     return usage.usage_on(_counts(spark, d))
 
 
+@query(
+    "usage_on_day",
+    with_(CALLS)
+    + """, last AS (SELECT max(day) AS day FROM used)
+    SELECT provider, model, day, calls FROM used JOIN last USING (day)
+    UNION ALL SELECT provider, NULL, day, sum(calls)::BIGINT FROM used JOIN last USING (day) GROUP BY provider, day""",
+)
+def _(spark, d):
+    last = call_log(spark, d).agg(F.max("day")).first()[0]
+    return usage.usage_on(_counts(spark, d), day=last)
+
+
 @query(
     "usage_vs_limits",
     with_(CALLS, LIMITS)
@@ -138,7 +147,7 @@ def _(spark, d):
     spent = usage.usage_counts(log.filter("model = 'error'"))
     intervals = usage.capacity_intervals(_daily_catalog(spark, d), spent)
     requests = log.filter("model <> 'error'").select("event_id", "ts", "day")
-    return usage.route_models(requests, intervals, ["ts", "event_id"], _hour()).drop("ts")
+    return usage.route_models(requests, intervals, ["ts", "event_id"]).drop("ts")
 
 
 @query(
@@ -153,6 +162,5 @@ def _(spark, d):
         "user_id",
         seconds=86_400,
         max_requests=5,
-        bucket_seconds=6 * 3600,
     )
     return counted.drop("ts")

@@ -31,18 +31,13 @@ def longest_lists(records: DataFrame) -> tuple[int, int]:
     return tuple(max(n or 0, 0) for n in longest)
 
 
-def flatten_csv(
-    records: DataFrame, n_experience: int | None = None, n_education: int | None = None
-) -> DataFrame:
+def flatten_csv(records: DataFrame) -> DataFrame:
     """One flat row per record, with numbered columns for the entries of lists.
 
-    The columns are those the longest lists need. Their lengths are found by one
-    aggregate unless they are given.
+    The columns are those the longest lists need, found by one aggregate that reads the
+    lengths only. No entry is left out, so one very long list makes a very wide table.
     """
-    if n_experience is None or n_education is None:
-        found = longest_lists(records)
-        n_experience = found[0] if n_experience is None else n_experience
-        n_education = found[1] if n_education is None else n_education
+    n_experience, n_education = longest_lists(records)
 
     def entries(items: str, n: int, dtype: T.StructType) -> list[Column]:
         return [
@@ -78,7 +73,7 @@ def summary_sheet(records: DataFrame) -> DataFrame:
 
 def detailed_sheet(records: DataFrame) -> DataFrame:
     """File name and the whole record as JSON."""
-    whole = F.to_json(F.struct(*records.columns), {"pretty": "true"})
+    whole = F.to_json(F.struct(*records.columns), {"pretty": "true", "ignoreNullFields": "false"})
     return records.select(_text("filename").alias("filename"), whole.alias("full_data"))
 
 
@@ -94,9 +89,9 @@ def fit_sheet(ranked: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def report_text(records: DataFrame, request: str, ordinal: str, bucket: Column) -> DataFrame:
+def report_text(records: DataFrame, request: str, ordinal: str) -> DataFrame:
     """Report of a request as numbered texts: its heading is number 0, then one per record."""
-    numbered = position(records, [request], bucket, [F.col(ordinal)], "number")
+    numbered = position(records, [request], [F.col(ordinal)], "number")
 
     def section(title: str, items: str, *lines: Column) -> Column:
         return F.when(F.size(items) > 0, F.concat_ws("\n", F.lit(title), *lines))
@@ -131,7 +126,7 @@ def report_text(records: DataFrame, request: str, ordinal: str, bucket: Column)
     )
 
 
-def grid(records: DataFrame, request: str, ordinal: str, bucket: Column) -> DataFrame:
+def grid(records: DataFrame, request: str, ordinal: str) -> DataFrame:
     """The result grid: one row per record, entries of lists separated by ` | `."""
 
     def entry(dtype: T.StructType):
@@ -140,7 +135,7 @@ def grid(records: DataFrame, request: str, ordinal: str, bucket: Column) -> Data
         )
 
     info = lambda field: _text(f"personal_info.{field}")
-    numbered = position(latest_experience(records), [request], bucket, [F.col(ordinal)], "number")
+    numbered = position(latest_experience(records), [request], [F.col(ordinal)], "number")
     return numbered.select(
         request,
         F.col("number").alias("#"),
@@ -156,16 +151,16 @@ def grid(records: DataFrame, request: str, ordinal: str, bucket: Column) -> Data
 
 
 def write_json(records: DataFrame, path: str) -> None:
-    records.write.json(path)
+    records.write.option("ignoreNullFields", "false").json(path)
 
 
-def write_csv(records: DataFrame, path: str, **lengths: int) -> None:
-    flatten_csv(records, **lengths).write.options(**CSV_OPTIONS).csv(path)
+def write_csv(records: DataFrame, path: str) -> None:
+    flatten_csv(records).write.options(**CSV_OPTIONS).csv(path)
 
 
-def write_report(records: DataFrame, path: str, request: str, ordinal: str, bucket: Column) -> None:
+def write_report(records: DataFrame, path: str, request: str, ordinal: str) -> None:
     """The report as text files that follow each other in reading order."""
-    report_text(records, request, ordinal, bucket).orderBy(request, "number").select(
+    report_text(records, request, ordinal).orderBy(request, "number").select(
         "text"
     ).write.text(path)
 
@@ -176,11 +171,10 @@ def export(
     path: str,
     request: str | None = None,
     ordinal: str | None = None,
-    bucket: Column | None = None,
 ) -> None:
     """Write records as json, csv, parquet, a workbook of two tables, or a text report.
 
-    A report needs the request, order and bucket columns of `report_text`.
+    A report needs the request and order columns of `report_text`.
     """
     kind = format.lower()
     if kind == "json":
@@ -193,6 +187,6 @@ def export(
         summary_sheet(records).write.options(**CSV_OPTIONS).csv(f"{path}/Summary")
         detailed_sheet(records).write.options(**CSV_OPTIONS).csv(f"{path}/Detailed")
     elif kind in ("pdf", "text"):
-        write_report(records, path, request, ordinal, bucket)
+        write_report(records, path, request, ordinal)
     else:
         raise ValueError("Unsupported format")

@@ -29,7 +29,6 @@ READERS = {
     ".txt": "plain",
 }
 NO_TEXT = "No text content could be extracted from the file"
-FILES_PER_BATCH = 50
 
 
 def file_name(path: Column) -> Column:
@@ -52,19 +51,20 @@ def scan_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return _named(reader.load(path))
 
 
-def stream_documents(
-    spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH
-) -> DataFrame:
-    """Files as they arrive in a folder, in small batches."""
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_FILE)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_batch)
-    )
+def stream_documents(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Files as they arrive in a folder; a batch takes all there are, or at most so many."""
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return _named(reader.load(path))
 
 
+def drop_repeated_uploads(files: DataFrame, delay: str) -> DataFrame:
+    """Of files with the same bytes in a stream only the first, as long as they come within `delay`."""
+    marked = files.withColumn("_digest", F.sha2("content", 256)).withWatermark("modificationTime", delay)
+    return marked.dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
+
+
 def decode_text(content: Column) -> Column:
     """UTF-8 text, or Latin-1 where the bytes are not UTF-8; line ends become `\\n`."""
     text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(
@@ -74,7 +74,7 @@ def decode_text(content: Column) -> Column:
 
 
 def route_by_format(df: DataFrame, name: str = "filename", mime: str = "mime_type") -> DataFrame:
-    """Add `accepted`, `reader` and `error`.
+    """Add `accepted`, `extension`, `reader` and `error`.
 
     A file is accepted for its declared type or its extension; the reader depends on
     the extension alone, so a file accepted for its type may still have none.
@@ -99,6 +99,7 @@ def route_by_format(df: DataFrame, name: str = "filename", mime: str = "mime_typ
     return df.withColumns(
         {
             "accepted": accepted,
+            "extension": ext,
             "reader": reader,
             "error": F.when(~accepted, rejected).when(reader.isNull(), unreadable),
         }

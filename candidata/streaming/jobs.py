@@ -1,4 +1,4 @@
-"""Job state kept by a stream, with a time to live."""
+"""Job states kept by a stream, with a time to live."""
 
 from __future__ import annotations
 
@@ -11,76 +11,89 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from candidata.operators.jobs import TTL_SECONDS
 
-STEP = "job_id bigint, ts timestamp, created_us bigint, updated_us bigint, status string"
-STATE = "created_us bigint, updated_us bigint, status string"
-EXPIRED = "job_id bigint, created_us bigint, status string"
+STEP = "job_id bigint, ts timestamp, us bigint, event_id bigint, type string, status string, progress bigint"
+STATE = "created_us bigint, updated_us bigint, updated_id bigint, type string, status string, progress bigint, progress_us bigint, progress_id bigint"
+FOLLOWED = "job_id bigint, created_us bigint, updated_us bigint, updated_id bigint, type string, status string, progress bigint, expired boolean"
 
 
-def _reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per job and Arrow batch: its creation, if seen, and its newest event.
+def _matters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each job and Arrow batch: all creations, the newest event, the newest progress.
 
-    The rows of a busy job are combined here, before they are sent to the one task
-    that holds its state.
+    The rows of a busy job are thinned out here, before they are sent to the one task that
+    holds its state. Each keeps its own time, so whether it is late does not depend on its
+    neighbours.
     """
     for batch in batches:
-        ordered = batch.sort_values("us", kind="stable")
-        newest = ordered.groupby("job_id", sort=False).tail(1).set_index("job_id")
-        created = ordered[ordered["status"] == "pending"].groupby("job_id")["us"].min()
-        yield pd.DataFrame(
-            {
-                "job_id": newest.index,
-                "ts": newest["ts"].array,
-                "created_us": created.reindex(newest.index).astype("Int64").array,
-                "updated_us": newest["us"].array,
-                "status": newest["status"].array,
-            }
-        )
-
-
-def expire_jobs_stream(
-    events: DataFrame, ttl_seconds: float = TTL_SECONDS, delay: str = "0 seconds"
-) -> DataFrame:
-    """Jobs as they expire, with their last state.
-
-    Time is the watermark of the events. A job is forgotten once it was created more
-    than the time to live ago; events of a job that was not created are ignored.
+        ordered = batch.sort_values(["us", "event_id"], kind="stable")
+        newest = ordered.groupby("job_id", sort=False).tail(1).index
+        moved = ordered[ordered["progress"].notna()].groupby("job_id", sort=False).tail(1).index
+        created = ordered.index[ordered["status"] == "pending"]
+        yield ordered.loc[newest.union(moved).union(created)]
+
+
+def follow_jobs(events: DataFrame, delay: str, ttl_seconds: float = TTL_SECONDS) -> DataFrame:
+    """A row for every job that changed in a micro-batch, and a last one, `expired`, for each job
+    created more than the time to live ago; then the job is forgotten.
+
+    Time is the watermark of the events, `delay` how late they may come. A `pending` event
+    creates a job; events that come before it are kept with it, and forgotten after the same
+    time if none comes. Events: job_id, ts, event_id, type, status, progress.
     """
     ttl_ms = int(ttl_seconds * 1000)
 
-    def follow(key, steps: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def row(created, status):
-            return pd.DataFrame({"job_id": [key[0]], "created_us": [created], "status": [status]})
+    def row(key, state: tuple, expired: bool) -> pd.DataFrame:
+        created, updated, updated_id, kind, status, progress, *_ = state
+        values = (key[0], created, updated, updated_id, kind, status, progress or 0, expired)
+        names = ("job_id", "created_us", "updated_us", "updated_id", "type", "status", "progress", "expired")
+        return pd.DataFrame({n: [v] for n, v in zip(names, values)})
 
-        if state.hasTimedOut:
-            created, _, status = state.get
-            state.remove()
-            yield row(created, status)
-            return
-        created, updated, status = state.get if state.exists else (None, None, None)
-        for step in steps:
-            newest = step.loc[step["updated_us"].idxmax()]
-            if updated is None or newest["updated_us"] >= updated:
-                updated, status = int(newest["updated_us"]), newest["status"]
-            seen = step["created_us"].dropna()
-            if len(seen):
-                created = int(seen.min()) if created is None else min(created, int(seen.min()))
-        if created is None:
-            return
-        due = -(-created // 1000) + ttl_ms
-        if due < state.getCurrentWatermarkMs():
+    def follow(key, steps: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.get if state.exists else (None,) * 8
+        if not state.hasTimedOut:
+            created, updated, updated_id, kind, status, progress, moved, moved_id = known
+            for step in steps:
+                for us, event, k, s, p in zip(*(step[c] for c in ("us", "event_id", "type", "status", "progress"))):
+                    at = (int(us), int(event))
+                    if updated is None or at >= (updated, updated_id):
+                        (updated, updated_id), kind, status = at, k, s
+                    if not pd.isna(p) and (moved is None or at >= (moved, moved_id)):
+                        (moved, moved_id), progress = at, int(p)
+                    if s == "pending":
+                        created = at[0] if created is None else min(created, at[0])
+            known = (created, updated, updated_id, kind, status, progress, moved, moved_id)
+        created, since = known[0], known[1] if known[0] is None else known[0]
+        due = -(-since // 1000) + ttl_ms
+        if state.hasTimedOut or due < state.getCurrentWatermarkMs():
             if state.exists:
                 state.remove()
-            yield row(created, status)
+            if created is not None:
+                yield row(key, known, True)
             return
-        state.update((created, updated, status))
+        state.update(known)
         # The watermark may stand exactly at the due time; a timeout must lie after it.
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if created is not None:
+            yield row(key, known, False)
 
     steps = (
-        events.select("job_id", "ts", F.unix_micros("ts").alias("us"), "status")
-        .mapInPandas(_reduce, STEP)
+        events.select("job_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "type", "status", "progress")
+        .mapInPandas(_matters, STEP)
         .withWatermark("ts", delay)
     )
     return steps.groupBy("job_id").applyInPandasWithState(
-        follow, EXPIRED, STATE, "append", GroupStateTimeout.EventTimeTimeout
+        follow, FOLLOWED, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def current_states(followed: DataFrame) -> DataFrame:
+    """The state of every job out of the stored rows of `follow_jobs`."""
+    order = F.struct("updated_us", "updated_id", (-F.col("created_us")).alias("earlier"), "expired")
+    values = [c for c in followed.columns if c != "job_id"]
+    newest = followed.groupBy("job_id").agg(F.max_by(F.struct(*values), order).alias("r"))
+    return newest.select(
+        "job_id",
+        *[F.col(f"r.{c}").alias(c) for c in ("status", "type", "progress")],
+        F.timestamp_micros("r.created_us").alias("created_at"),
+        F.timestamp_micros("r.updated_us").alias("updated_at"),
+        "r.expired",
     )

@@ -8,33 +8,31 @@ from pyspark.sql import functions as F
 from candidata.operators.usage import WINDOW_REQUESTS
 
 
-def stream_request_rate(
-    log: DataFrame,
+def stream_request_ticks(
+    log: DataFrame, key: str, ts: str = "ts", slide: str = "1 second", delay: str = "10 seconds"
+) -> DataFrame:
+    """Requests per key and tick of one slide, for `update_log`; ticks are forgotten after the delay."""
+    ticks = log.withWatermark(ts, delay).groupBy(F.window(ts, slide).alias("window"), key)
+    return ticks.agg(F.count(F.lit(1)).alias("n")).select(key, F.col("window.start").alias("tick"), "n")
+
+
+def rates_of_ticks(
+    ticks: DataFrame,
     key: str,
-    ts: str = "ts",
     window: str = "60 seconds",
     slide: str = "1 second",
-    delay: str = "10 seconds",
     max_requests: int = WINDOW_REQUESTS,
 ) -> DataFrame:
-    """Requests per key in sliding windows, and whether they are over the limit.
+    """Requests per key in sliding windows over stored ticks, and whether they are over the limit.
 
-    Requests are counted per slide first and only the counts are spread over the
-    windows, so a request is not multiplied by the number of windows it lies in.
+    All windows that hold a request are there, also those still open. Only counts are spread
+    over the windows, so a request is not multiplied by the number of windows it lies in.
     """
-    ticks = (
-        log.withWatermark(ts, delay)
-        .groupBy(F.window(ts, slide).alias("tick"), key)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return (
-        ticks.groupBy(F.window(F.window_time("tick"), window, slide).alias("window"), key)
-        .agg(F.sum("n").alias("requests"))
-        .select(
-            key,
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            "requests",
-            (F.col("requests") > max_requests).alias("over_limit"),
-        )
+    spans = ticks.groupBy(F.window("tick", window, slide).alias("window"), key)
+    return spans.agg(F.sum("n").alias("requests")).select(
+        key,
+        F.col("window.start").alias("window_start"),
+        F.col("window.end").alias("window_end"),
+        "requests",
+        (F.col("requests") > max_requests).alias("over_limit"),
     )

@@ -48,3 +48,11 @@ def latest(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
         log.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row")).select(*keys, "_row.*")
     )
+
+
+def compact(log: DataFrame, keys: Sequence[str], path: str, batch: int) -> None:
+    """Store the newest rows of an update log as one batch of another log.
+
+    Readers can then go on with the new log, and the old one need not be kept.
+    """
+    latest(log, keys).write.mode("overwrite").parquet(f"{path}/batch={batch}")

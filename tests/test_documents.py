@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from candidata.cluster import fresh_path
 from candidata.inference.client import OfflineClient
-from candidata.operators.extraction import extract_documents
+from candidata.operators.extraction import attempts_of, extract_documents
+from candidata.operators.records import ALL_EXHAUSTED, NO_ATTEMPT_WORKED
 from candidata.plans import fixtures
 from candidata.sinks import exports
 from candidata.sources import documents
@@ -50,12 +51,26 @@ def test_extension(spark):
 
 def test_extraction_gives_a_record_or_a_reason(spark, folder):
     files = documents.scan_documents(spark, folder)
-    records = extract_documents(files, OfflineClient, F.lit("p2"), F.lit("m"), ["p2"]).collect()
+    records = extract_documents(files, OfflineClient, attempts_of(("p2", "m1"), ("p1", "m2")), ["p2"]).collect()
     got = {r["filename"]: r for r in records}
-    assert got["latin.txt"]["summary"] == "m read 4 characters" and got["latin.txt"]["text_length"] == 4
+    assert got["latin.txt"]["summary"] == "m1 read 4 characters" and got["latin.txt"]["text_length"] == 4
+    assert got["latin.txt"]["personal_info"]["email"] == "r4@mail.example.org"
+    assert got["deep.pdf"]["error"] == "No parsed text for .pdf file" and not got["deep.pdf"]["success"]
     assert got["blank.txt"]["error"] == documents.NO_TEXT and not got["blank.txt"]["success"]
     assert got["archive.tar.gz"]["error"].startswith('File "archive.tar.gz" is not supported.')
-    assert all(r["skills"] == [] for r in records)
+    assert all(r["skills"] == [] for r in records if not r["success"])
+    nobody = extract_documents(files, OfflineClient, attempts_of().cast("array<struct<provider:string,model:string>>"), ["p2"])
+    assert {r["filename"]: r["error"] for r in nobody.collect()}["latin.txt"] == ALL_EXHAUSTED
+
+
+def test_a_client_that_always_fails_says_why(spark, folder):
+    class NoKey:
+        def __call__(self, prompt, provider, model):
+            raise PermissionError("no key")
+
+    files = documents.scan_documents(spark, folder).filter("filename = 'latin.txt'")
+    row = extract_documents(files, NoKey, attempts_of(("p2", "m1"), ("p1", "m2")), ["p2"]).first()
+    assert (row["error"], row["cause"]) == (NO_ATTEMPT_WORKED, "PermissionError: no key")
 
 
 def test_a_type_may_be_accepted_without_a_reader(spark):

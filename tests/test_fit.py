@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from candidata.inference.prompts import fit_instructions, option_texts
 from candidata.operators import matching, ranking
 from candidata.operators.admission import validate_weights
 from candidata.plans import fixtures
@@ -40,7 +41,7 @@ def test_rank_of_a_hot_job_with_odd_scores(spark):
     scores = ["90%", "90", "n/a", None, "90.5", "12", "90"] * 50
     data = [("hot" if i % 3 else "cold", i, s, None) for i, s in enumerate(scores)]
     fit = spark.createDataFrame(data, "job string, id bigint, fit_percentage string, candidate_name string")
-    got = ranking.rank_after_filter(fit, "job", "id", F.lit("10"), block=16).collect()
+    got = ranking.rank_after_filter(fit, "job", "id", F.lit("10")).collect()
 
     def number(s):
         return {"90%": 90, "90": 90, "90.5": 90.5, "12": 12}.get(s, 0)
@@ -77,11 +78,36 @@ def test_a_job_without_requirements_gives_full_marks(spark):
             )
         )
     ).withColumn("min_fit_percent", F.lit(None).cast("string"))
-    people = fixtures.applications(fixtures.clean_candidates(spark, SMALL)).filter("job_id = 1")
-    fit = matching.evaluate_fit(people, jobs, "job_id", F.lit(fixtures.AS_OF_DAY))
+    people = fixtures.clean_candidates(spark, SMALL).drop("r_regionkey")
+    described = matching.describe(people, F.lit(fixtures.AS_OF_DAY), keep=("candidate_id",))
+    sent = fixtures.applications(fixtures.customers(spark, SMALL)).filter("job_id = 1")
+    fit = matching.evaluate_fit(described, sent, jobs, "job_id", keep=("candidate_id",))
     assert {r["fit_percentage"] for r in fit.collect()} == {100}
 
 
+def test_options_may_be_lists(spark):
+    jobs = spark.createDataFrame(
+        [(1, [" Python ", "Go", "", "Node.js, Deno", "Go"], [" BSc", "MSc "], None)],
+        "job_id int, required_skills array<string>, edu_requirements array<string>, nice_to_have array<string>",
+    )
+    rows = matching.requirement_rows(matching.requirements(jobs), "job_id").collect()
+    assert [(r["kind"], r["term"]) for r in rows] == [
+        ("required_skills", "Python"),
+        ("required_skills", "Go"),
+        ("required_skills", "Node.js, Deno"),
+        ("edu_requirements", "BSc, MSc"),
+    ]
+    lines = jobs.select(fit_instructions(option_texts(jobs))).first()[0].splitlines()
+    assert lines[1] == "- Skills that must be present: Python, Go, Node.js, Deno, Go"
+
+
+def test_kinds_keep_their_order_with_many_terms(spark):
+    many = ",".join(f"t{i}" for i in range(1500))
+    jobs = spark.createDataFrame([(1, many, "x")], "job_id int, priority_keywords string, required_skills string")
+    rows = matching.requirement_rows(matching.requirements(jobs), "job_id").orderBy("ord").collect()
+    assert [r["term"] for r in rows] == [f"t{i}" for i in range(1500)] + ["x"]
+
+
 def test_missing_years_do_not_meet_a_minimum(spark):
     pairs = spark.createDataFrame(
         [(" x ", None, [], [(0, "min_experience", "5", " 5 ")])],

@@ -1,20 +1,25 @@
 """Physical plans: what is read, shuffled and broadcast."""
 
+import importlib
+
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from candidata.operators import matching
-from candidata.plans import fixtures
+from candidata.operators import positions
+from candidata.plans import fixtures, registry
+from candidata.sources.documents import scan_documents
 from conftest import SMALL
 
-QUERIES = entry.queries()
+for _name in ("document", "answer", "fit", "export", "usage", "job"):
+    importlib.import_module(f"candidata.plans.{_name}_queries")
+QUERIES = registry.QUERIES
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_top_candidates_are_cut_before_the_shuffle(spark):
     text = plan(QUERIES["top_candidates"](spark, SMALL))
-    assert text.count("WindowGroupLimit") == 4  # two for the fixture, two here
+    assert text.count("WindowGroupLimit") == 2
 
 
 def test_checks_run_once_after_the_join(spark):
@@ -24,16 +29,17 @@ def test_checks_run_once_after_the_join(spark):
 
 def test_only_needed_columns_are_read(spark):
     text = plan(QUERIES["assign_batches"](spark, SMALL))
-    assert "ReadSchema: struct<doc_id:bigint,source:string>" in text
-    assert "text:string" not in text
-    files = plan(QUERIES["scan_documents"](spark, SMALL))
+    # The positions are read from stored parts with what the query needs of a document.
+    assert "ReadSchema: struct<doc_id:bigint,source:string,_value:bigint,_part:int>" in text
+    files = plan(scan_documents(spark, SMALL).select("filename", "length"))
     assert "content" not in files
 
 
 def test_positions_shuffle_rows_once(spark):
     text = plan(QUERIES["progress"](spark, SMALL))
     by_group = [line for line in text.splitlines() if "Exchange hashpartitioning(_group" in line]
-    assert len(by_group) == 2  # the rows, and the bucket totals
+    assert len(by_group) == 2  # the stored parts, and their totals
+    assert "rangepartitioning" not in text
 
 
 def test_jobs_are_only_broadcast_while_they_are_small(spark):
@@ -54,8 +60,9 @@ def test_a_hot_request_is_split(spark):
     """Two thirds of the candidates belong to one of 300 jobs, and no side may be broadcast."""
     n = F.col("candidate_id")
     people = fixtures.stored_candidates(spark, SMALL).drop("r_regionkey")
-    people = people.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(10))))
-    people = people.withColumn("job_id", F.when(n % 3 != 0, 7).otherwise((n * 10 + F.col("copy")) % 300))
+    sent = people.select("candidate_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("copy"))
+    sent = sent.withColumn("job_id", F.when(n % 3 != 0, 7).otherwise((n * 10 + F.col("copy")) % 300).cast("bigint"))
+    described = matching.describe(people, F.lit(fixtures.AS_OF_DAY), keep=("candidate_id",))
     job = fixtures.valid_jobs(spark, SMALL).filter("job_id = 0").drop("job_id")
     jobs = job.withColumn("job_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(299).cast("bigint"))))
     settings = {
@@ -64,21 +71,37 @@ def test_a_hot_request_is_split(spark):
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.sql.shuffle.partitions": "16",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        fit = matching.evaluate_fit(
-            people.repartition(8),
-            jobs,
-            "job_id",
-            F.lit(fixtures.AS_OF_DAY),
-            keep=("candidate_id", "copy"),
-        )
-        assert len(fit.collect()) == people.count()
+        fit = matching.evaluate_fit(described.repartition(8), sent, jobs, "job_id", keep=("candidate_id",))
+        assert len(fit.collect()) == sent.count()
         assert "SortMergeJoin(skew=true)" in plan(fit)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_hot_key_is_shared_by_many_parts(spark):
+    """One day, hour and key hold nine tenths of the rows, with ids like hashes."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        key = F.when(F.col("id") % 10 != 0, "hot").otherwise(F.col("id").cast("string"))
+        rows = spark.range(40_000).select(key.alias("k"), F.xxhash64("id").alias("at"))
+        placed = positions.position(rows, ["k"], [F.col("at")], "n", total="size")
+        sizes = [r["n"] for r in placed.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < 0.15 * 40_000
+        stored = [line for line in plan(placed).splitlines() if "parts-" in line]
+        assert stored
+        hot = placed.filter("k = 'hot'").orderBy("at").collect()
+        assert [r["n"] for r in hot] == list(range(1, 36_001)) and {r["size"] for r in hot} == {36_000}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -8,7 +8,7 @@ from candidata.plans import registry
 from conftest import SMALL
 
 QUERIES, SQL = registry.QUERIES, registry.SQL
-PYTHON = {"infer", "extract_documents"}
+PYTHON = {"infer", "extract_documents", "evaluate_with_model"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def test_query(spark, con, name):
 
 def test_names():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"scan_documents"}
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from candidata.inference.client import OfflineClient, infer
+from candidata.inference.client import OfflineClient, infer, infer_attempts
 from candidata.inference.prompts import fit_instructions
 from candidata.operators import records
 from candidata.schemas import ANSWER, FIT_REQUIRED
@@ -103,12 +103,35 @@ def test_failed_calls_are_null(spark):
                 raise TimeoutError
             return OfflineClient()(prompt, provider, model)
 
-    df = spark.createDataFrame([("ok", "p2", "m"), ("bad", "p2", "m"), (None, "p2", "m")], "prompt string, provider string, model string")
-    bodies = {r["prompt"]: r["body"] for r in infer(df, Failing).collect()}
-    assert bodies["bad"] is None and bodies[None] is None
-    assert json.loads(json.loads(bodies["ok"])["choices"][0]["message"]["content"]) == {
-        "summary": "m read 2 characters"
-    }
+    df = spark.createDataFrame([("good", "p2", "m1"), ("bad", "p2", "m1"), (None, "p2", "m1")], "prompt string, provider string, model string")
+    rows = {r["prompt"]: r for r in infer(df, Failing).collect()}
+    assert rows["bad"]["body"] is None and rows["bad"]["call_error"] == "TimeoutError: "
+    assert rows[None]["body"] is None and rows[None]["call_error"] is None
+    answer = json.loads(json.loads(rows["good"]["body"])["choices"][0]["message"]["content"])
+    assert answer["summary"] == "m1 read 4 characters" and rows["good"]["call_error"] is None
+
+
+def test_attempts_end_with_the_first_readable_answer(spark):
+    class Counting:
+        def __call__(self, prompt, provider, model):
+            if model == "broken":
+                raise ValueError("no key")
+            if model == "silent":
+                return None
+            return OfflineClient().envelope({"prose": "nothing here", "half": '{"a": 1', "good": '{"a": 1}'}[model], provider)
+
+    steps = lambda *models: [("p2", m) for m in models]
+    rows = [
+        ("x", steps("broken", "good", "prose")), ("y", steps("broken", "silent")), ("z", steps("half", "prose")), ("n", []), (None, steps("good")), ("e", None),
+    ]
+    df = spark.createDataFrame(rows, "prompt string, attempts array<struct<provider:string,model:string>>")
+    answered = infer_attempts(df, Counting)
+    got = answered.withColumn("r", records.resolve_answers(F.col("answers"), ["p2"], records.is_json_object)).collect()
+    got = {r["prompt"]: (len(r["answers"]), r["r"]) for r in got}
+    assert got["x"][0] == 2 and got["x"][1]["success"] and got["x"][1]["model"] == "good" and got["x"][1]["cause"] is None
+    assert (got["y"][1]["error"], got["y"][1]["cause"]) == (records.NO_ATTEMPT_WORKED, "no answer")
+    assert (got["z"][1]["error"], got["z"][1]["raw_response"]) == (records.PARSE_FAILED, "nothing here")
+    assert all(got[k][0] == 0 and got[k][1]["error"] == records.ALL_EXHAUSTED for k in ("n", None, "e"))
 
 
 def test_instructions_need_an_option(one):
@@ -123,7 +146,8 @@ def test_lists_of_other_shapes_are_kept(spark):
         "education": "BSc",
         "skills": "one, two",
         "languages": {"language": "fr"},
-        "projects": ["site"],
+        "projects": ["site", {"name": "app", "technologies": "Python"}],
+        "personal_info": "Ann",
         "awards": ["[first]", 2],
         "summary": 5,
     }
@@ -132,7 +156,10 @@ def test_lists_of_other_shapes_are_kept(spark):
     assert [e and e["title"] for e in got["experience"]] == ["did x", "a", None]
     assert got["experience"][0]["company"] == "" and got["experience"][1]["company"] == "3"
     assert [e["degree"] for e in got["education"]] == ["BSc"]
+    assert got["personal_info"]["name"] == "Ann" and got["personal_info"]["email"] == ""
+    assert got["projects"][0]["technologies"] == [] and got["projects"][1]["technologies"] == ["Python"]
+    assert got["projects"][1]["description"] == "" and got["experience"][1]["duration"] == ""
     assert got["skills"] == ["one, two"] and got["languages"][0]["language"] == "fr"
-    assert got["projects"] == [{"name": "site", "description": "", "technologies": [], "duration": ""}]
+    assert got["projects"][0] == {"name": "site", "description": "", "technologies": [], "duration": ""}
     assert got["awards"] == ["[first]", "2"] and got["summary"] == "5"
-    assert got["certifications"] is None and got["personal_info"] is None
+    assert got["certifications"] is None

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from candidata.cluster import fresh_path
 from candidata.operators.jobs import expire_jobs, job_state
-from candidata.streaming.jobs import expire_jobs_stream
-from candidata.streaming.runs import append_to, latest, update_log
+from candidata.streaming.jobs import current_states, follow_jobs
+from candidata.streaming.runs import append_to, compact, latest, update_log
 
 SCHEMA = "job_id bigint, ts timestamp, event_id bigint, type string, status string, progress bigint"
 T0 = datetime.datetime(2025, 1, 1)
@@ -56,9 +56,48 @@ def test_state_is_the_same_as_in_a_batch(spark, events):
 
 def test_jobs_expire_by_their_creation(spark, events):
     folder = fresh_path(spark, "stream")
-    expired = append_to(expire_jobs_stream(events, 3600), f"{folder}/rows", f"{folder}/checkpoint")
-    rows = {r["job_id"]: r["status"] for r in expired.collect()}
-    assert rows == {1: "failed", 2: "completed"}
+    followed = append_to(follow_jobs(events, "0 seconds", 3600), f"{folder}/rows", f"{folder}/checkpoint")
+    states = {r["job_id"]: (r["status"], r["expired"]) for r in current_states(followed).collect()}
+    assert states == {1: ("failed", True), 2: ("completed", True), 3: ("pending", False), 4: ("pending", False)}
+
+
+LATE = [
+    [event(1, 0, "pending"), event(2, 10, "processing", 1), event(5, 20, "failed", 8)],
+    [event(1, 5000, "processing", 2), event(7, 5000, "pending", 9)],
+    [event(3, 5001, "pending", 3)],
+    # The creation of 4 is late, its other events are not; 2 is created, after its first event.
+    [event(4, 100, "pending", 4), event(4, 5500, "processing", 5), event(2, 5400, "pending", 6), event(4, 5600, "pending", 7)],
+    [event(3, 20_000, "completed", 10)],
+]
+
+
+@pytest.mark.parametrize("arrow_rows", [1, 2, 10_000])
+def test_late_events_do_not_depend_on_arrow_batches(spark, tmp_path, arrow_rows):
+    for n, batch in enumerate(LATE):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={n}"))
+    stream = (
+        spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+        .parquet(str(tmp_path / "in"))
+    )
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow_rows)
+        rows = append_to(follow_jobs(stream, "600 seconds", 8000), str(tmp_path / "rows"), str(tmp_path / "checkpoint"))
+        states = {r["job_id"]: (r["status"], (r["created_at"] - T0).seconds, r["expired"]) for r in current_states(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert states == {
+        1: ("processing", 0, True), 2: ("pending", 5400, True), 3: ("completed", 5001, True), 4: ("pending", 5600, True), 7: ("pending", 5000, True),
+    }
+
+
+def test_a_log_can_be_compacted(spark, events):
+    folder = fresh_path(spark, "stream")
+    log = update_log(job_state(events, order=("ts", "event_id")), f"{folder}/log", f"{folder}/checkpoint")
+    compact(log, ["job_id"], f"{folder}/short", 9)
+    short = spark.read.option("basePath", f"{folder}/short").parquet(f"{folder}/short/batch=*")
+    assert short.count() == 4 < log.count()
+    assert latest(short, ["job_id"]).orderBy("job_id").collect() == latest(log, ["job_id"]).orderBy("job_id").collect()
 
 
 def test_a_job_lives_through_the_last_second(spark):

@@ -103,7 +103,7 @@ def test_terms_and_phrases(spark):
         ["brand#11", "node.js", "c++", "sql", "new", "york", "x"]
     ]
     found = {
-        phrase: column(spark, [words], lambda c, p=phrase: text.contains_phrase(text.search_text(c), F.lit(p)))[0]
+        phrase: column(spark, [words], lambda c, p=phrase: text.contains_phrase(text.search_text(c), text.search_text(F.lit(p))))[0]
         for phrase in ("brand#1", "brand#11", "NEW york", "york x", "c++", ".", "sql new york")
     }
     assert found == {

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from candidata.cluster import fresh_path
 from candidata.operators import usage
-from candidata.operators.positions import id_block
 from candidata.sources.records import scan_usage_ledger
 
 CATALOG = "provider string, provider_ord int, model string, model_ord int, daily_limit bigint, enabled boolean"
@@ -21,7 +20,7 @@ def test_models_are_used_in_order_up_to_their_limits(spark):
     used = spark.createDataFrame([("a", "a2", "2025-01-01", 2), ("b", "b1", "2025-01-01", 9)], "provider string, model string, day string, calls bigint")
     intervals = usage.capacity_intervals(catalog(spark), used)
     requests = spark.range(5).withColumn("day", F.lit("2025-01-01")).repartition(3)
-    routed = usage.route_models(requests, intervals, ["id"], id_block("id", 2)).orderBy("id").collect()
+    routed = usage.route_models(requests, intervals, ["id"]).orderBy("id").collect()
     assert [r["routed_model"] for r in routed] == ["a1", "a1", "a2", None, None]
     assert [r["error"] for r in routed] == [None] * 3 + [usage.ALL_EXHAUSTED] * 2
 
@@ -29,7 +28,7 @@ def test_models_are_used_in_order_up_to_their_limits(spark):
 def test_a_day_without_models_has_no_capacity(spark):
     intervals = usage.capacity_intervals(catalog(spark), spark.createDataFrame([], "provider string, model string, day string, calls bigint"))
     requests = spark.range(2).withColumn("day", F.lit("2025-02-02"))
-    routed = usage.route_models(requests, intervals, ["id"], id_block("id"))
+    routed = usage.route_models(requests, intervals, ["id"])
     assert {r["error"] for r in routed.collect()} == {usage.ALL_EXHAUSTED}
 
 
@@ -43,6 +42,16 @@ def test_summary_counts_models_outside_the_catalog(spark):
     assert a["models"]["a2"].asDict() == {"usage": 0, "last_used": "Not used today"}
 
 
+def test_later_attempts_get_what_is_left(spark):
+    nothing = spark.createDataFrame([], "provider string, model string, day string, calls bigint")
+    intervals = usage.capacity_intervals(catalog(spark), nothing)
+    files = spark.range(4).withColumn("day", F.lit("2025-01-01"))
+    rows = usage.route_attempts(files, intervals, ["id"], attempts=3).orderBy("id").collect()
+    models = [[a["model"] for a in r["attempts"]] for r in rows]
+    # Nine calls a day: two for a1, three for a2, four for b1.
+    assert models == [["a1", "a2", "b1"], ["a1", "b1"], ["a2", "b1"], ["a2", "b1"]]
+
+
 def test_ledger_files(spark):
     path = fresh_path(spark, "ledger")
     assert scan_usage_ledger(spark, path).collect() == []
