@@ -176,3 +176,69 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = table(spark, sf_dir, "documents").withColumn("path", path)
     return licenses.scan(docs).select("doc_id", "path", *licenses.RESULTS)
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+SQL["op10_license_scan"] = (
+    r"""
+WITH t(k, name, text) AS (VALUES """
+    + ", ".join(f"({k}, {_literal(n)}, {_literal(x)})" for k, (n, x) in enumerate(licenses.TEMPLATES))
+    + r"""),
+d AS (
+  SELECT doc_id, text, CASE
+    WHEN doc_id % 125 = 0 THEN coalesce(source, 'none') || '/LICENSE'
+    WHEN doc_id % 25 = 0 THEN coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/LICENSE'
+    ELSE coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/part' || (doc_id // 5) % 16 || '/'
+      || CASE WHEN doc_id % 5 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END END AS path
+  FROM documents
+), counts AS (
+  SELECT term, count(*) AS n FROM (
+    SELECT unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS term
+    FROM d) GROUP BY term
+), idf AS (
+  SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1 + n)) AS idf FROM counts
+  UNION ALL
+  SELECT DISTINCT term, ln(1.0::DOUBLE + (SELECT count(*) FROM d)) FROM (
+    SELECT unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM t)
+  WHERE term <> '' AND term NOT IN (SELECT term FROM counts)
+), units AS (
+  SELECT doc_id, i AS place, lines[i] AS unit FROM (
+    SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d))
+  UNION ALL SELECT doc_id, 0, text FROM d WHERE ends_with(path, '/LICENSE')
+), unit_terms AS (
+  SELECT doc_id, place, term, count(*) * any_value(idf) AS w FROM (
+    SELECT doc_id, place, unnest(list_filter(string_split_regex(lower(unit), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term
+    FROM units) JOIN idf USING (term) GROUP BY ALL
+), template_terms AS (
+  SELECT k, name, term, count(*) * any_value(idf) AS w FROM (
+    SELECT k, name, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term
+    FROM t) JOIN idf USING (term) GROUP BY ALL
+), norms AS (SELECT doc_id, place, sqrt(sum(w * w)) AS norm FROM unit_terms GROUP BY ALL),
+template_norms AS (SELECT k, sqrt(sum(w * w)) AS norm FROM template_terms GROUP BY ALL),
+cosines AS (
+  SELECT doc_id, k, name, sum(u.w * x.w) / any_value(n.norm) / any_value(m.norm) AS cosine
+  FROM unit_terms u JOIN template_terms x USING (term) JOIN norms n USING (doc_id, place) JOIN template_norms m USING (k)
+  WHERE n.norm > 0 GROUP BY doc_id, place, k, name
+), own AS (
+  SELECT doc_id, arg_max(name, (round(cosine, 9), -k)) AS own_license, round(max(cosine), 6) AS similarity
+  FROM cosines WHERE cosine >= 0.7 GROUP BY doc_id
+), files AS (
+  SELECT doc_id, path, own_license, similarity, regexp_replace(path, '/?[^/]*$', '') AS dir FROM d LEFT JOIN own USING (doc_id)
+), notices AS (
+  SELECT dir, arg_min(own_license, (-similarity, path, own_license)) AS of_dir FROM files
+  WHERE ends_with(path, '/LICENSE') AND own_license IS NOT NULL GROUP BY dir
+), above AS (
+  SELECT DISTINCT f.dir, n.dir AS from_dir, n.of_dir FROM files f JOIN notices n
+  ON f.dir = n.dir OR starts_with(f.dir, n.dir || '/')
+), nearest AS (
+  SELECT dir, arg_max(from_dir, length(from_dir)) AS from_dir, arg_max(of_dir, length(from_dir)) AS of_dir FROM above GROUP BY dir
+)
+SELECT doc_id, path, own_license, similarity, coalesce(own_license, of_dir) AS license,
+  CASE WHEN own_license IS NULL THEN from_dir WHEN ends_with(path, '/LICENSE') THEN 'file' ELSE 'header' END AS license_from
+FROM files LEFT JOIN nearest USING (dir)
+"""
+)
