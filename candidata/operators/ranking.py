@@ -60,6 +60,8 @@ def top_candidates(
 def compare_two(ranked: DataFrame, request: str, by: str, first, second) -> DataFrame:
     """Two results of a request side by side, chosen by the values of column `by`.
 
+    `by` has to be unique within a request, as a rank is.
+
     Only the two rows are kept and brought together by an aggregate. Requests that
     lack one of them are left out.
     """

@@ -57,17 +57,15 @@ def is_json_object(json: Column) -> Column:
     """True for exactly one well-formed JSON object.
 
     `from_json` reads the first object and ignores what follows, so the text is also
-    read as the only element of an array.
+    read as the only element of an array, by one strict parse.
     """
 
     def strict(j: Column) -> Column:
-        array = F.concat(F.lit("["), j, F.lit("]"))
-        return (
-            j.startswith("{")
-            & j.endswith("}")
-            & F.try_parse_json(array).isNotNull()
-            & (F.json_array_length(array) == 1)
+        array = F.try_parse_json(F.concat(F.lit("["), j, F.lit("]")))
+        alone = bind(
+            array, lambda v: v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
         )
+        return j.startswith("{") & j.endswith("}") & alone
 
     return F.coalesce(bind(json, strict), F.lit(False))
 
