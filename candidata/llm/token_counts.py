@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candidata.llm.token_output import WordEncoder
+from candidata.llm.token_output import WordEncoder, read_tokenizer
 from candidata.operators.positions import running_total
 
 
 def encoded_lengths(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., n_tokens) for every document: ids of the whole text, without an end id."""
-    tokenizer_json = Path(tokenizer_path).read_text()
+    tokenizer = read_tokenizer(tokenizer_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_json)
+        encoder = WordEncoder(*tokenizer)
         for batch in batches:
             if batch.num_rows:
                 sizes = encoder.encode(batch.column(batch.num_columns - 1), 0)[1] - 1
@@ -39,16 +38,15 @@ def length_histogram(lengths: DataFrame, group: str, n_tokens: str = "n_tokens")
     docs, tokens: totals of the group.
 
     Lengths are counted before the shuffle, so a hot group costs a row per length and task.
-    Suffix sums go over blocks of 1,024 lengths first, then within a block. Rows of null length
+    Suffix sums go over ranges of lengths first, then within a range. Rows of null length
     are left out; a null group is a group.
     """
     hist = lengths.filter(F.col(n_tokens).isNotNull()).groupBy(
         F.col(group).alias(group), F.col(n_tokens).cast("bigint").alias("n_tokens")
     ).agg(F.count("*").alias("n_docs"))
-    block, order = F.floor(F.col("n_tokens") / 1024), [F.col("n_tokens")]
-    hist = running_total(hist, [group], block, order, F.col("n_docs"), "__docs", total="docs")
-    each = F.col("n_docs") * F.col("n_tokens")
-    hist = running_total(hist, [group], block, order, each, "__tokens", total="tokens")
+    order, each = [F.col("n_tokens")], F.col("n_docs") * F.col("n_tokens")
+    hist = running_total(hist, [group], order, F.col("n_docs"), "__docs", total="docs")
+    hist = running_total(hist, [group], order, each, "__tokens", total="tokens")
     at_least = {"docs_at_least": F.col("docs") - F.col("__docs") + F.col("n_docs")}
     at_least["tokens_at_least"] = F.col("tokens") - F.col("__tokens") + each
     hist = hist.withColumns(at_least)

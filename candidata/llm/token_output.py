@@ -32,17 +32,16 @@ class WordEncoder:
     call and told apart by the word-end mark; all others one by one.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, ends: np.ndarray | None = None):
+        """`ends`: `word_ends` of the tokenizer, if it is known."""
         import os
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.size = max(vocab.values()) + 1
-        self.ends = np.zeros(self.size, bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.ends = word_ends(self.tokenizer) if ends is None else ends
+        self.size = len(self.ends)
 
     def _one_by_one(self, words: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -88,23 +87,39 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
         ids, counts = self._distinct(words.dictionary)
-        starts = np.concatenate(([0], np.cumsum(counts)))
-        ids, counts = np.append(ids, np.uint32(end_id)), np.append(counts, 1)
+        starts = np.concatenate(([0], np.cumsum(counts))).astype(np.int32 if len(ids) < 1 << 31 else np.int64)
+        ids, counts = np.append(ids, np.uint32(end_id)), np.append(counts, 1).astype(np.int32)
         per_text = np.asarray(pc.list_value_length(lists)).astype(np.int64)
         ends = np.cumsum(per_text) + np.arange(len(per_text))
-        used = np.empty(len(words) + len(per_text), np.int64)
+        used = np.empty(len(words) + len(per_text), np.int32)
         is_end = np.zeros(len(used), bool)
         is_end[ends] = True
         used[is_end] = len(counts) - 1
         used[~is_end] = np.asarray(words.indices)
         sizes = counts[used]
-        total = np.cumsum(sizes)[ends]
+        total = np.cumsum(sizes, dtype=np.int64)[ends]
         return ids[ragged(starts[used], sizes)], np.diff(np.concatenate(([0], total)))
 
 
+def word_ends(tokenizer) -> np.ndarray:
+    """For every id, whether it ends a word."""
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+    return ends
+
+
+def read_tokenizer(path: str) -> tuple[str, np.ndarray]:
+    """What tasks need of a tokenizer file, so that they neither open it nor list its vocabulary."""
+    from tokenizers import Tokenizer
+
+    text = Path(path).read_text()
+    return text, word_ends(Tokenizer.from_str(text))
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... sizes[0] times, then the same for the next."""
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     kind = np.int32 if total < 1 << 30 and (not len(starts) or starts.max() < 1 << 30) else np.int64
     places = np.repeat((starts - ends + sizes).astype(kind), sizes)
@@ -243,7 +258,7 @@ def encode_blocks(
     Null and empty texts have `end_id` only. Null ids come first. Rows of one id are in the order
     of a hash of the text; equal rows follow each other. An empty table gives no block.
     """
-    tokenizer_json = Path(tokenizer_path).read_text()
+    tokenizer = read_tokenizer(tokenizer_path)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("__hash"), F.col(text).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("__hash").asc()]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
@@ -251,7 +266,7 @@ def encode_blocks(
     schema = block_schema(rows.schema["doc_id"].dataType.simpleString())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_json)
+        encoder = WordEncoder(*tokenizer)
         part, block = TaskContext.get().partitionId(), 0
         doc_type = None
         held_ids, held_docs, held_sizes = [], [], []
