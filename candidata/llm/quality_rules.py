@@ -108,7 +108,7 @@ def judge(
     text: str = "text",
     host: str = "source",
     min_docs: int = 10,
-    share: float = 0.02,
+    share: float = 0.05,
     depleted_percent: int = 50,
 ) -> DataFrame:
     """Add the base statistics, what the shared lines take away, the text without them, and `kept`.

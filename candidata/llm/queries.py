@@ -65,7 +65,7 @@ WITH d AS (
 ), shared AS (
   SELECT l.source, line FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
   GROUP BY l.source, line, n_docs
-  HAVING count(DISTINCT text) >= 10 AND count(DISTINCT text) > 0.02 * n_docs
+  HAVING count(DISTINCT text) >= 10 AND count(DISTINCT text) > 0.05 * n_docs
 ), removed AS (
   SELECT doc_id, count(*) AS n_lines, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1) AS n_words
   FROM lines l JOIN shared s ON l.line = s.line AND l.source IS NOT DISTINCT FROM s.source GROUP BY doc_id
