@@ -36,10 +36,15 @@ class WordEncoder:
         """`ends`: `word_ends` of the tokenizer, if it is known."""
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        # The same model for plain words, which need no normalising and are split at blanks.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.ends = word_ends(self.tokenizer) if ends is None else ends
         self.size = len(self.ends)
 
@@ -49,8 +54,8 @@ class WordEncoder:
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
-        rows = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
-        found = self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)
+        rows = [" ".join(words[i : i + 64]) for i in range(0, len(words), 64)]
+        found = self.plain.encode_batch_fast(rows, add_special_tokens=False)
         ids = np.concatenate([*(np.array(x.ids, np.uint32) for x in found), np.empty(0, np.uint32)])
         counts = np.diff(np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1)))
         if len(counts) != len(words):
@@ -62,7 +67,7 @@ class WordEncoder:
         match = pc.extract_regex(words, PLAIN)
         plain = np.asarray(match.is_valid())
         core, tail = (match.filter(match.is_valid()).field(k).dictionary_encode() for k in (0, 1))
-        core_ids, core_n = self._plain(core.dictionary.to_pylist())
+        core_ids, core_n = self._plain(pc.utf8_lower(core.dictionary).to_pylist())
         others = self._one_by_one(words.filter(pa.array(~plain)).to_pylist())
         tails = self._one_by_one(tail.dictionary.to_pylist())
         # All pieces in one pool; a word is one piece, or a core and a tail.
