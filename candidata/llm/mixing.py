@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candidata.cluster import written
-from candidata.llm.common import same, unit_draw, without, words
-
-RESULTS = ("size", "source_size", "target", "taken")
+from candidata.llm.common import same, unit_draw, words
 
 
 def apportion(parties: DataFrame, group: Sequence[str], weight: str, seats: Column, order: str, out: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candidata.cluster import written
-from candidata.llm.common import GAP, computed, same, without, words
+from candidata.llm.common import computed, same, without, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 LINES = ("n_shared_lines", "n_shared_words", "clean_text", "kept")
