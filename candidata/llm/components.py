@@ -12,13 +12,14 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Connect larger neighbours of every node to the smallest node around it."""
     both = links.union(links.select(F.col("b"), F.col("a")))
     least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("least"))
+    least = written(least, "least")
     rows = both.filter("b > a").join(least, F.col("a") == F.col("node"))
     return rows.select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them. Rows have a > b."""
-    least = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+    least = written(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")), "least")
     rows = links.join(least, F.col("a") == F.col("node"))
     moved = rows.filter("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct()
@@ -30,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     Nodes that are their own root are left out. Alternates two contractions until nothing
     changes: about as many rounds as the logarithm of the longest path. Every round is
     written to the shared folder; the driver sees a count and a checksum. A node with very
-    many links is the hot side of a plain equi-join, which Spark splits.
+    many links is the hot side of a join of two stored tables, which Spark splits: an aggregate
+    right below the join would tie all links of a node to one task.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = written(links.filter("a > b").distinct(), "links")

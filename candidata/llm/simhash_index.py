@@ -250,7 +250,8 @@ def near_duplicates(
     labels = codes.join(roots, codes["code"] == roots["node"], "left").select(
         "code", "first", F.coalesce("root", "code").alias("root")
     )
-    smallest = labels.groupBy("root").agg(F.min("first").alias("component_id"))
+    labels = written(labels, "labels")
+    smallest = written(labels.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     labels = labels.join(smallest, "root").select(F.col("code").alias("__code"), F.col("root").alias("__root"), "component_id")
     return docs_codes.join(labels, F.col("code") == F.col("__code")).select(
         "doc_id", "__text", "__root", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id"
