@@ -39,35 +39,51 @@ def grams(points: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
+def starts(points: np.ndarray) -> list[int]:
+    """Every word start, and every eighth character of a longer word (scripts without blanks)."""
+    begins = np.concatenate(([0], np.flatnonzero(points == ord(" ")) + 1))
+    ends = np.concatenate((begins[1:] - 1, [len(points)]))
+    return [at for b, e in zip(begins.tolist(), ends.tolist()) for at in range(b, max(e, b + 1), 8)]
+
+
 class Windows:
     """The windows of some benchmark items, with an index of their q-grams."""
 
-    def __init__(self, texts: list[str | None], q: int, window: int, edit_rate: float):
+    def __init__(self, texts: list[str | None], q: int, window: int, edit_rate: float, least: int | None = None):
         self.q = q
-        points, item, number, length, budget = [], [], [], [], []
+        points, keys, place, start, item, number, length = [], [], [], [], [], [], []
+        base = 0
         for i, text in enumerate(texts):
             whole = normalised(text)
             size = min(window, len(whole))
             if size < q:
                 continue
             last = len(whole) - size
-            for n, at in enumerate(sorted({*range(0, last, max(1, window // 2)), last})):
-                points.append(whole[at : at + size])
+            taken = {(at, size) for at in (*range(0, last, max(1, window // 2)), last)}
+            if least is not None and q <= least < len(whole):
+                taken |= {(at, least) for at in starts(whole) if at + least <= len(whole)}
+                taken.add((len(whole) - least, least))
+            for n, (at, size) in enumerate(sorted(taken)):
+                start.append(base + at)
                 item.append(i)
                 number.append(n)
                 length.append(size)
-                # A budget that leaves at least one q-gram to share.
-                budget.append(min(int(edit_rate * size), (size - q) // q))
-        self.points = points
+            points.append(whole)
+            keys.append(grams(whole, q))
+            place.append(base + np.arange(len(keys[-1])))
+            base += len(whole)
+        # The items end to end; windows and q-grams are places there.
+        self.points = np.concatenate([*points, np.empty(0, np.uint32)])
+        self.start = np.array(start, np.int64)
         self.item, self.number = np.array(item, np.int64), np.array(number, np.int64)
-        self.length, self.budget = np.array(length, np.int64), np.array(budget, np.int64)
+        self.length = np.array(length, np.int64)
+        # A budget that leaves at least one q-gram to share.
+        self.budget = np.minimum((edit_rate * self.length).astype(np.int64), (self.length - q) // q)
         self.least = self.length - q + 1 - self.budget * q
-        parts = [grams(p, q) for p in points]
-        keys = np.concatenate([*parts, np.empty(0, np.uint64)])
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        place = np.concatenate([*[np.arange(len(p)) for p in parts], np.empty(0, np.int64)])
+        keys = np.concatenate([*keys, np.empty(0, np.uint64)])
+        place = np.concatenate([*place, np.empty(0, np.int64)])
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.place = keys[order], owner[order], place[order]
+        self.keys, self.place = keys[order], place[order]
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[keys >> np.uint64(64 - TABLE_BITS)] = True
 
@@ -91,19 +107,36 @@ class Windows:
         low = np.searchsorted(self.keys, h[at], side="left")
         n = np.searchsorted(self.keys, h[at], side="right") - low
         entry = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        owner = self.owner[entry]
-        diagonal = np.repeat(at, n) - self.place[entry]
+        place, at = self.place[entry], np.repeat(at, n)
+        order = np.argsort(place, kind="stable")
+        place, at = place[order], at[order]
+        low = np.searchsorted(place, self.start, side="left")
+        n = np.searchsorted(place, self.start + self.length - self.q, side="right") - low
+        live = np.flatnonzero(n >= self.least)
+        # Windows are counted apart from each other, so many at a time as share about PIECE q-grams.
+        group = np.cumsum(n[live]) // PIECE
+        found = [none]
+        for rows in np.split(live, np.flatnonzero(np.diff(group)) + 1):
+            entry = np.repeat(low[rows] - (np.cumsum(n[rows]) - n[rows]), n[rows]) + np.arange(n[rows].sum())
+            found.append(self.counted(np.repeat(rows, n[rows]), place[entry], at[entry]))
+        owner, band = zip(*found)
+        return np.concatenate(owner), np.concatenate(band)
+
+    def counted(self, owner: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of shared q-grams (window, place in the items, place in the text): the (window, band) pairs with enough."""
+        if not len(owner):
+            return owner, owner
+        diagonal = at - (place - self.start[owner])
         band = diagonal // (self.budget[owner] + 1)
         # Bands of two strides overlap by one: a range of k + 1 diagonals lies in one of them.
-        key = (owner << 40) + (band + (1 << 30))
-        keys, counts = np.unique(key, return_counts=True)
-        starts = np.unique(np.concatenate((keys, keys - 1)))
-
-        def count(wanted: np.ndarray) -> np.ndarray:
-            i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where(keys[i] == wanted, counts[i], 0)
-
-        total = count(starts) + count(starts + 1)
+        keys = np.sort((owner << 40) + (band + (1 << 30)))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        counts, keys = np.diff(np.append(first, len(keys))), keys[first]
+        # With the next band; a band before that is empty has this one's count.
+        follows = np.diff(keys, append=-1) == 1
+        alone = ~np.concatenate(([False], follows[:-1]))
+        total = np.concatenate((counts + np.where(follows, np.append(counts[1:], 0), 0), counts[alone]))
+        starts = np.concatenate((keys, keys[alone] - 1))
         owner, band = starts >> 40, (starts & ((1 << 40) - 1)) - (1 << 30)
         enough = total >= self.least[owner]
         return owner[enough], band[enough]
@@ -124,7 +157,7 @@ class Windows:
     def align(self, points: np.ndarray, owner: np.ndarray, band: np.ndarray):
         """Alignment of windows of one length and budget within their bands, ends free in the text."""
         m, k = int(self.length[owner[0]]), int(self.budget[owner[0]])
-        pattern = np.stack([self.points[w] for w in owner])
+        pattern = self.points[self.start[owner, None] + np.arange(m)]
         start = band * (k + 1) - k
         width = 2 * (k + 1) + 2 * k
         across = np.arange(width)
@@ -162,13 +195,15 @@ def pieces(texts: Iterator[str | None], overlap: int) -> Iterator[tuple[np.ndarr
         yield np.concatenate(held), parts
 
 
-def _scan(docs: DataFrame, items: list, q: int, window: int, edit_rate: float, doc_id: str, text: str) -> DataFrame:
+def _scan(
+    docs: DataFrame, items: list, q: int, window: int, edit_rate: float, least: int | None, doc_id: str, text: str
+) -> DataFrame:
     ids, passages = [x[0] for x in items], [x[1] for x in items]
     shared = docs.sparkSession.sparkContext.broadcast((ids, passages))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, passages = shared.value
-        index = Windows(passages, q, window, edit_rate)
+        index = Windows(passages, q, window, edit_rate, least)
         overlap = int((index.length + 2 * index.budget).max(initial=0)) + 1
         for batch in batches:
             texts = (t.as_py() for t in batch.column(2))
@@ -212,11 +247,15 @@ def contamination(
     window: int = 80,
     edit_rate: float = 0.08,
     block_chars: int = 2_000_000,
+    least: int | None = None,
 ) -> DataFrame:
     """(doc_id, __text, item_id, n_windows, start, end, edits) of documents that hold benchmark passages.
 
     Items are cut into windows of `window` characters that overlap by half; shorter items are
-    one window. A window is found where the text holds it with at most `edit_rate` times its
+    one window. Alone, this grid is sure to meet only passages of 1.5 windows or more. With
+    `least`, windows of so many characters are added at every word start and every eighth
+    character of longer words: a passage of `least` characters that begins with a word holds
+    one, and one of `least` + 8 characters wherever it begins. A window is found where the text holds it with at most `edit_rate` times its
     length edits, in lower case and with single blanks. One row per document and item: windows
     found, the places (in code points of the normalised text; a start is an end less the
     window's length) and the fewest edits.
@@ -235,7 +274,7 @@ def contamination(
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
         if rows or not scans:
-            scans.append(_scan(docs, rows, q, window, edit_rate, doc_id, text))
+            scans.append(_scan(docs, rows, q, window, edit_rate, least, doc_id, text))
     found = reduce(DataFrame.union, scans)
     return found.groupBy("doc_id", "__text", "item_id").agg(
         F.count_distinct("__window").alias("n_windows"),
