@@ -132,50 +132,74 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return places
 
 
-def compress(ids: np.ndarray, terminals: int, rounds: int, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(
+    ids: np.ndarray, terminals: int, rounds: int | None = None, pairs: int = 1 << 16, least: int = 2
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (rules, lengths, sequence). Rule r has symbol terminals + r and is a pair of
     earlier symbols; lengths has the number of ids it stands for.
 
-    Each round counts all neighbouring pairs and replaces, from left to right, the at most
-    `pairs` most frequent that occur `least` times. It ends when there are none, or after
-    `rounds`.
+    Each round counts neighbouring pairs and replaces a batch of at most `pairs`, the most
+    frequent; of places that overlap the more frequent pair's goes first. It ends when no pair
+    occurs `least` times without overlap, or after `rounds`, if given. Later rounds read only
+    places with a new symbol or a pair that was frequent the round before, as old pairs only
+    get rarer.
     """
     sequence = ids.astype(np.int64)
-    rules, lengths = [], []
-    n_rules = 0
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
-        keys = (sequence[:-1] << 32) | sequence[1:]
-        ordered = np.sort(keys)
+    rules, sizes = [], np.ones(terminals, np.int64)
+    place = np.arange(max(0, len(sequence) - 1))
+    least = max(2, least)
+    while len(place) and (rounds is None or len(rules) < rounds):
+        keys = (sequence[place] << 32) | sequence[place + 1]
+        # Of overlapping places of one pair (a run of one symbol) every second one counts, from the left.
+        joined = np.flatnonzero((keys[1:] == keys[:-1]) & (place[1:] - place[:-1] == 1)) + 1
+        opens = np.concatenate(([True], np.diff(joined) != 1))[: len(joined)]
+        nth = np.arange(len(joined))
+        odd = joined[(nth - np.maximum.accumulate(np.where(opens, nth, 0))) % 2 == 0]
+        ordered = np.sort(np.delete(keys, odd))
         at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(at, len(ordered)))
         good = np.flatnonzero(counts >= least)
-        if len(good) > pairs:
-            good = good[np.argsort(-counts[good], kind="stable")[:pairs]]
         if not len(good):
             break
-        chosen = np.sort(ordered[at[good]])
-        # Of pairs that share a slot of the hash table one waits for the next round.
-        chosen = chosen[np.sort(np.unique(slot(chosen), return_index=True)[1])]
+        frequent = ordered[at[good]]
+        again = np.zeros(1 << 18, bool)
+        again[slot(frequent)] = True
+        # Places of rare pairs are read no more.
+        may = again[slot(keys)]
+        if not may.all():
+            gone = np.zeros(len(may), bool)
+            gone[odd] = True
+            odd = np.flatnonzero(gone[may])
+            place, keys = place[may], keys[may]
+        top = np.argsort(-counts[good], kind="stable")[:pairs]
+        # Of pairs that share a slot of the hash table the most frequent goes first, others wait for a later round.
+        top = top[np.unique(slot(frequent[top]), return_index=True)[1]]
+        chosen, rank = frequent[top], counts[good[top]] * len(top) + np.arange(len(top))
         number = find(keys, chosen)
-        # Within a run of overlapping hits every second one is taken, from the left.
-        place = np.flatnonzero(number >= 0)
-        new_run = np.concatenate(([True], np.diff(place) != 1))
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(place)), 0))
-        place = place[(np.arange(len(place)) - run_start) % 2 == 0]
-        used, symbols = np.unique(number[place], return_inverse=True)
+        number[odd] = -1
+        hit = np.flatnonzero(number >= 0)
+        at, number = place[hit], number[hit]
+        beside, rises = np.diff(at) == 1, np.diff(rank[number]) > 0
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~beside | rises
+        wins[:-1] &= ~beside | ~rises
+        at, number = at[wins], number[wins]
+        # The first of the ranks wins all its places, so each round makes a rule.
+        used = np.bincount(number, minlength=len(chosen)) >= least
+        at, number = at[used[number]], number[used[number]]
+        symbol = len(sizes) + np.cumsum(used) - 1
         rules.append(np.stack((chosen[used] >> 32, chosen[used] & 0xFFFFFFFF), axis=1))
+        sizes = np.concatenate((sizes, sizes[rules[-1]].sum(axis=1)))
+        next_place = np.zeros(len(sequence), bool)
+        next_place[place] = True
+        next_place[at] = True
+        next_place[at[at > 0] - 1] = True
         keep = np.ones(len(sequence), bool)
-        keep[place + 1] = False
-        sequence[place] = terminals + n_rules + symbols
+        keep[at + 1] = False
+        sequence[at] = symbol[number]
         sequence = sequence[keep]
-        known = np.concatenate([*lengths, np.empty(0, np.int64)])
-        sizes = [np.where(s < terminals, 1, known[np.maximum(s - terminals, 0)] if len(known) else 1) for s in rules[-1].T]
-        lengths.append(sizes[0] + sizes[1])
-        n_rules += len(used)
-    rules = np.concatenate([*rules, np.empty((0, 2), np.int64)])
-    return rules, np.concatenate([*lengths, np.empty(0, np.int64)]), sequence
+        place = np.flatnonzero(next_place[keep][:-1])
+    return np.concatenate([*rules, np.empty((0, 2), np.int64)]), sizes[terminals:], sequence
 
 
 def slot(keys: np.ndarray) -> np.ndarray:
@@ -200,14 +224,22 @@ class Block:
         self.rules = np.frombuffer(rules, np.uint32).reshape(-1, 2).astype(np.int64)
         self.lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
         self.sequence = np.frombuffer(sequence, np.uint16 if width == 2 else np.uint32).astype(np.int64)
-        flat = np.arange(len(self.rules)) + terminals
-        while (deep := flat >= terminals).any():
-            at = np.cumsum(1 + deep) - (1 + deep)
-            pair = self.rules[flat[deep] - terminals]
-            flat = np.repeat(flat, 1 + deep)
-            flat[at[deep]], flat[at[deep] + 1] = pair[:, 0], pair[:, 1]
-        self.flat = flat
         self.starts = np.cumsum(self.lengths) - self.lengths
+        pool = np.concatenate((np.arange(terminals, dtype=np.uint32), np.empty(int(self.lengths.sum()), np.uint32)))
+        first = 0
+        # Rules whose symbols are all known by then are laid out together, each from its two parts.
+        whole = np.maximum.accumulate(self.rules.max(axis=1, initial=0)) - terminals
+        while first < len(self.rules):
+            last = int(np.searchsorted(whole, first, side="left"))
+            symbols = self.rules[first:last].ravel()
+            deep = symbols >= terminals
+            begins = symbols.copy()
+            begins[deep] = terminals + self.starts[symbols[deep] - terminals]
+            to = terminals + int(self.starts[first])
+            part = pool[ragged(begins, self._sizes(symbols))]
+            pool[to : to + len(part)] = part
+            first = last
+        self.pool = pool
 
     def _sizes(self, symbols: np.ndarray) -> np.ndarray:
         sizes = np.ones(len(symbols), np.int64)
@@ -220,8 +252,7 @@ class Block:
         rule = symbols >= self.terminals
         starts = symbols.copy()
         starts[rule] = self.terminals + self.starts[symbols[rule] - self.terminals]
-        pool = np.concatenate((np.arange(self.terminals, dtype=np.uint32), self.flat.astype(np.uint32)))
-        return pool[ragged(starts, sizes)]
+        return self.pool[ragged(starts, sizes)]
 
     def ids(self) -> np.ndarray:
         return self._expand(self.sequence, self._sizes(self.sequence))
@@ -250,9 +281,9 @@ def encode_blocks(
     text: str = "text",
     end_id: int = 1,
     block_ids: int = 1 << 20,
-    rounds: int = 4,
-    pairs: int = 2048,
-    least: int = 16,
+    rounds: int | None = None,
+    pairs: int = 1 << 16,
+    least: int = 2,
 ) -> DataFrame:
     """One row per block, in the order of (part, block); documents in ascending order of id.
 

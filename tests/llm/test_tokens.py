@@ -61,6 +61,39 @@ def test_repair_round_trip(pairs, rounds):
     assert len(sequence) < 60 and len(rules) < 20
 
 
+def most_frequent(sequence):
+    """The highest number of places without overlap of any pair."""
+    counts, last = {}, {}
+    for i, pair in enumerate(zip(sequence, sequence[1:])):
+        if last.get(pair) != i - 1:
+            counts[pair], last[pair] = counts.get(pair, 0) + 1, i
+    return max(counts.values(), default=0)
+
+
+def test_repair_goes_on_until_no_pair_occurs_twice():
+    draw = np.random.default_rng(8)
+    document = draw.integers(0, 40_000, 700)
+    copies = np.concatenate([x for k in range(9) for x in (document, [50_000 - 1 - k])])
+    text = np.minimum(draw.zipf(1.3, 20_000), 40_000)
+    for ids in (copies, text, np.zeros(999, int), np.array([1, 1, 1]), draw.integers(0, 3, 5000), np.tile(document, 64), np.array([5]), np.array([], int)):
+        ids = ids.astype(np.uint32)
+        for defaults in ({}, {"pairs": 50}):
+            rules, lengths, sequence = token_output.compress(ids, 50_000, **defaults)
+            assert most_frequent(sequence.tolist()) < 2
+            assert len(sequence) + 2 * len(rules) <= len(ids)
+            block = token_output.Block(50_000, rules.astype(np.uint32).tobytes(), lengths.astype(np.uint32).tobytes(), sequence.astype(np.uint32).tobytes(), 4)
+            assert block.ids().tolist() == ids.tolist()
+    # Nine copies of a document are one symbol each.
+    assert len(token_output.compress(copies.astype(np.uint32), 50_000)[2]) == 18
+
+
+def test_blocks_fold_a_few_copies(spark):
+    text = " ".join(f"word{k}" for k in range(300))
+    df = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string").coalesce(1)
+    blocks = [r for r in token_output.encode_blocks(df, PATH).collect() if r["n_ids"] > 1000]
+    assert all(len(r["sequence"]) // r["width"] <= 2 * len(r["doc_ids"]) for r in blocks)
+
+
 def check(spark, df, tokenizer, path, **kwargs):
     token_output.write_tokens(df, path, PATH, **kwargs)
     got = sorted(token_output.read_tokens(spark, path).collect(), key=lambda r: (r["start"], r["n_tokens"]))
