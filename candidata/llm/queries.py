@@ -11,6 +11,7 @@ from candidata.cluster import fresh_path
 from candidata.llm import (
     decontamination,
     licenses,
+    line_dedup,
     mixing,
     pii,
     quality_rules,
@@ -19,6 +20,7 @@ from candidata.llm import (
     token_counts,
     token_output,
     url_filter,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +180,38 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select("doc_id", "path", *licenses.RESULTS)
 
 
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many of them a smaller document holds, and a digest of the rest."""
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op11_line_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, text, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT r, doc_id, i, lines[i] AS line,
+         translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)
+), keys AS (
+  SELECT key, min(doc_id) AS owner FROM l WHERE length(key) >= 10
+  GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 2
+)
+SELECT l.doc_id, count(*) AS n_lines, count(k.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE k.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN keys k ON l.key = k.key AND l.doc_id IS DISTINCT FROM k.owner
+GROUP BY r, l.doc_id
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
