@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candidata.cluster import fresh_path
 from candidata.llm import (
+    collocations,
     decontamination,
     licenses,
     line_dedup,
@@ -212,6 +213,51 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of every language whose words belong together most."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), places AS (
+  SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (VALUES (1), (2), (3), (4), (5)) AS s(m)
+), counts AS (
+  SELECT lang, w[i:i + m - 1] AS gram, count(*) AS f FROM places GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counts WHERE len(gram) = 1 GROUP BY lang
+), phrases AS (
+  SELECT lang, gram, f FROM counts WHERE f >= 100 AND len(gram) > 1
+), cuts AS (
+  SELECT lang, gram, f AS a, unnest(range(1, len(gram))) AS k FROM phrases
+), scores AS (
+  SELECT c.lang, c.gram, a, k, x.f AS l, y.f AS r, n,
+         (1000::HUGEINT * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cuts c JOIN totals t ON c.lang = t.lang
+  JOIN counts x ON c.lang = x.lang AND x.gram = c.gram[1:k]
+  JOIN counts y ON c.lang = y.lang AND y.gram = c.gram[k + 1:]
+), least AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) AS c FROM scores) WHERE c = 1
+), parts AS (
+  SELECT lang, gram[i:i + m - 1] AS gram, max(f) AS longer FROM (
+    SELECT lang, gram, f, m, unnest(range(1, len(gram) - m + 2)) AS i
+    FROM phrases, (VALUES (2), (3), (4)) AS s(m) WHERE m < len(gram)) GROUP BY ALL
+), kept AS (
+  SELECT s.*, array_to_string(s.gram, ' ') AS phrase FROM least s LEFT JOIN parts p ON s.lang = p.lang AND s.gram = p.gram
+  WHERE p.longer IS NULL OR 100 * p.longer < 100 * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
