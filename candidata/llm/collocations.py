@@ -92,7 +92,8 @@ def corpus_blocks(docs: DataFrame, text: str, lang: str, seed: int, hash_words:
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_numpy()
             for part in _slices(sizes):
-                rows = batch.slice(part.start, part.stop - part.start)
+                # A copy, as some text functions misread arrays that begin within a buffer.
+                rows = batch.take(pa.array(np.arange(part.start, part.stop)))
                 langs = rows.column(0).dictionary_encode()
                 ids, words, row = _word_numbers(rows.column(1))
                 of_token = langs.indices.to_numpy()[row]

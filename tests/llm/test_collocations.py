@@ -71,6 +71,9 @@ def corpus(seed, n=500):
 @pytest.mark.parametrize("seed, top, min_count, steps", [(1, 3, 5, 4), (3, 400, 5, 6)])
 def test_growth_and_bounds(spark, monkeypatch, seed, top, min_count, steps):
     monkeypatch.setattr(collocations, "CLASS", steps)
+    # Many slices and blocks per batch.
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(collocations, "BLOCK", 400)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     assert got(collocations.collocations(df, min_count=min_count, top=top)) == brute(rows, min_count, top)
