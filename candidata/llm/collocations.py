@@ -34,9 +34,9 @@ MAP_BITS = 1 << 24
 BUCKET = 1 << 15
 LONGEST = 5
 #: Text bytes that are split at once, and word numbers in a block; a longer piece stays whole.
-SLICE_BYTES, BLOCK = 1 << 24, 1 << 20
+SLICE_BYTES, BLOCK = 1 << 22, 1 << 20
 #: Frequencies of first words in one class differ by at most this factor.
-CLASS = 32
+CLASS = 256
 GRAMS = "lang string, gram array<bigint>, kind int, key bigint, f bigint"
 
 
@@ -118,6 +118,7 @@ def corpus_blocks(docs: DataFrame, text: str, lang: str, seed: int, hash_words:
                             ],
                             names=["lang", "words", "hashes", "counts", "ids"],
                         )
+                pa.default_memory_pool().release_unused()
 
     rows = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("__lang"),

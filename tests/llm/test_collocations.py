@@ -141,4 +141,4 @@ def test_blocks_end_between_pieces(monkeypatch):
     ids = np.array([1, 2, 3, -1, 4, -1, 5, 6, 7, 8, 9, 10, -1, -1, 2, -1])
     found = list(collocations._blocks(ids))
     assert np.concatenate(found).tolist() == ids.tolist() and all(b[-1] == -1 for b in found) and len(found) == 3
-    assert [s.stop - s.start for s in collocations._slices(np.full(5, 1 << 23))] == [1, 2, 2]
+    assert [s.stop - s.start for s in collocations._slices(np.full(5, 1 << 21))] == [1, 2, 2]
