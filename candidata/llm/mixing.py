@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candidata.cluster import written
-from candidata.llm.common import same, unit_draw, words
+from candidata.llm.common import unit_draw, words
 
 
 def apportion(parties: DataFrame, group: Sequence[str], weight: str, seats: Column, order: str, out: str) -> DataFrame:
@@ -92,19 +92,22 @@ def mix(
 ) -> DataFrame:
     """(doc_id, source, __text, size, source_size, target, taken), one row per document.
 
-    Blocks of about `block_words` words (fewer where the smallest source needs finer ones) go
+    Blocks of equal length, `block_words` words or fewer where a source has small parts, go
     to sources by the highest quotients of their targets, and in the same way from a source to
-    groups of shards and to shards. A shard is a seeded random part of the documents, on average
-    `shard_docs` of them. Its documents lie in seeded order, cut into equal blocks; the quota is
-    whole passes over all blocks, and a seeded run of blocks for the rest. `taken` counts the
-    words of a document in those blocks, at most `most` (a whole number) times its size.
+    groups of shards and to shards, by their words. A shard is a seeded random part of a source, on
+    average `shard_docs` documents. Its documents lie in seeded order, as a ring of words; the quota
+    is so many blocks of words from a seeded block on, round the ring as often as it takes. `taken` counts the
+    words of a document among them. No shard gives more than `most` times its words; a block is at most a
+    64th of the mean shard of any source, so what a source that stops there loses by whole blocks is below one
+    in a hundred of its target.
 
-    A hot source is spread over all shards. Texts are read once; the narrow sizes are written,
-    shuffled once by shard, and meet only in windows over one source's part of a shard.
+    A hot source is spread over its shards. Texts are read once, whatever their length; the narrow sizes are
+    written, shuffled once by shard, and meet only in windows over one shard.
 
     Null or empty texts and texts without words have size 0 and taken 0. A null source is a
     source. Among rows of one id and text it is not fixed which row gets which of their values,
-    but the values are. `__text` is a hash of the text. Other columns are not read.
+    but the values are. `__text` is a hash of the text. Other columns are not read. An empty table gives an
+    empty result.
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -113,40 +116,43 @@ def mix(
         F.size(words(F.col(text))).cast("bigint").alias("size"),
     )
     rows = written(rows, "sizes")
-    shards = 1 + rows.count() // shard_docs
-    draw = unit_draw(F.lit(seed), F.col("doc_id"), F.col("__text"))
-    rows = rows.withColumn("__draw", draw).withColumn("__shard", F.floor(F.col("__draw") * shards))
-
-    parts = rows.groupBy("source", "__shard").agg(F.sum("size").alias("__words"))
-    sources = parts.groupBy("source").agg(F.sum("__words").alias("source_size"))
-    sources = targets(sources, weights, total, most)
     everything = Window.partitionBy()
-    finest = F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything), F.lit(1.0)) / 64
-    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(finest))).cast("bigint")
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__docs"))
+    sources = targets(sources, weights, total, most).withColumn("__shards", F.floor(F.col("__docs") / shard_docs) + 1)
+    # Of the sources that have words; by one that has none nothing is shared.
+    mean_part = F.min(F.when(F.col("source_size") > 0, F.col("source_size") / F.col("__shards"))).over(everything)
+    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.coalesce(mean_part, F.lit(1.0)) / 64))).cast("bigint")
     seats = F.floor(F.sum("target").over(everything) / F.col("__block") + 0.5)
     sources = sources.withColumn("__block", block).withColumn("__all_seats", seats)
-    sources = apportion(sources, [], "target", F.col("__all_seats"), "source", "__source_seats").drop("__all_seats")
-
-    blocks = F.greatest(F.floor(F.col("__words") / F.col("__block") + 0.5), F.lit(1)).cast("bigint")
-    parts = parts.filter("__words > 0")
-    parts = parts.join(sources, same(parts, sources, "source")).drop(sources["source"])
-    parts = parts.withColumn("__blocks", blocks).withColumn("__group", F.floor(F.col("__shard") / 1024))
-    groups = parts.groupBy("source", "__group", "__source_seats").agg(F.sum("__blocks").alias("__group_blocks"))
-    groups = apportion(groups, ["source"], "__group_blocks", F.col("__source_seats"), "__group", "__group_seats")
-    groups = groups.drop("__source_seats", "__group_blocks").withColumnsRenamed({"source": "__s", "__group": "__g"})
+    sources = apportion(sources, [], "target", F.col("__all_seats"), "source", "__source_seats")
+    sources = written(sources.drop("__all_seats", "__docs"), "sources")
+
+    of = sources.select(F.col("source").alias("__s"), "__shards")
+    draw = unit_draw(F.lit(seed), F.col("doc_id"), F.col("__text"))
+    rows = rows.withColumn("__draw", draw).join(of, rows["source"].eqNullSafe(of["__s"]))
+    rows = rows.withColumn("__shard", F.floor(F.col("__draw") * F.col("__shards"))).drop("__s", "__shards")
+
+    parts = rows.groupBy("source", "__shard").agg(F.sum("size").alias("__words")).filter("__words > 0")
+    of = sources.withColumnRenamed("source", "__s")
+    parts = parts.join(of, parts["source"].eqNullSafe(of["__s"])).drop("__s")
+    parts = parts.withColumn("__group", F.floor(F.col("__shard") / 1024))
+    groups = parts.groupBy("source", "__group", "__source_seats").agg(F.sum("__words").alias("__group_words"))
+    groups = apportion(groups, ["source"], "__group_words", F.col("__source_seats"), "__group", "__group_seats")
+    groups = groups.drop("__source_seats", "__group_words").withColumnsRenamed({"source": "__s", "__group": "__g"})
     parts = parts.join(groups, parts["source"].eqNullSafe(groups["__s"]) & (F.col("__group") == F.col("__g"))).drop(
-        "__s", "__g", "__source_seats", "target", "__block", "source_size"
+        "__s", "__g", "__source_seats", "target", "source_size", "__shards"
     )
-    parts = apportion(parts, ["source", "__group"], "__blocks", F.col("__group_seats"), "__shard", "__quota")
-    parts = parts.withColumn("__quota", F.least("__quota", F.floor(F.lit(most)) * F.col("__blocks")))
-    parts = parts.select(
+    parts = apportion(parts, ["source", "__group"], "__words", F.col("__group_seats"), "__shard", "__seats_won")
+    quota = F.least(F.col("__seats_won") * F.col("__block"), F.floor(F.lit(most) * F.col("__words")))
+    n_blocks = F.ceil(F.col("__words") / F.col("__block"))
+    first = F.pmod(F.xxhash64(F.lit(seed), F.lit("run"), "source", "__shard"), n_blocks) * F.col("__block")
+    parts = parts.withColumn("__quota", quota.cast("bigint")).select(
         F.col("source").alias("__s"),
         F.col("__shard").alias("__p"),
         "__words",
-        "__blocks",
-        F.floor(F.col("__quota") / F.col("__blocks")).alias("__passes"),
-        F.pmod("__quota", "__blocks").alias("__run"),
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("run"), "source", "__shard"), "__blocks").alias("__first"),
+        F.floor(F.col("__quota") / F.col("__words")).alias("__passes"),
+        F.pmod("__quota", "__words").alias("__run"),
+        first.alias("__first"),
     )
 
     rows = rows.join(parts, rows["source"].eqNullSafe(parts["__s"]) & (F.col("__shard") == F.col("__p")), "left")
@@ -155,15 +161,10 @@ def mix(
     rows = rows.withColumn("__begin", F.col("__end") - F.col("size"))
     last = F.col("__first") + F.col("__run")
 
-    def border(block: Column) -> Column:
-        return F.floor(block * F.col("__words") / F.col("__blocks"))
-
     def within(low: Column, high: Column) -> Column:
         return F.greatest(F.lit(0), F.least(F.col("__end"), high) - F.greatest(F.col("__begin"), low))
 
-    run = within(border(F.col("__first")), border(F.least(last, F.col("__blocks")))) + within(
-        F.lit(0), border(F.greatest(last - F.col("__blocks"), F.lit(0)))
-    )
+    run = within(F.col("__first"), F.least(last, F.col("__words"))) + within(F.lit(0), last - F.col("__words"))
     taken = F.coalesce(F.col("__passes") * F.col("size") + run, F.lit(0)).cast("bigint")
     wide = sources.select(F.col("source").alias("__w"), "source_size", "target")
     rows = rows.withColumn("taken", taken).select("doc_id", "source", "__text", "size", "taken")
@@ -173,7 +174,8 @@ def mix(
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **kwargs) -> DataFrame:
     """The documents of the mix, whole: each as often as the words taken from it make it, rounded.
 
-    Rows of one id and text share the copies that their words make together.
+    Rows of one id and text share the copies that their words make together. Documents without words (null, empty
+    or blank texts) are not in the mix. All columns are passed on; an empty table gives an empty result.
     """
     found = mix(docs, doc_id, text, source, **kwargs)
     found = found.filter("size > 0").groupBy("doc_id", "source", "__text").agg(

@@ -48,6 +48,44 @@ def brute_targets(sizes, weights=(5, 2, 1), total=1.5, most=2.0):
         stopped |= {s: most * sizes[s] for s in over}
 
 
+def brute_taken(df, block_words=64, shard_docs=256, seed=7):
+    """Words taken of every row: quotas seat by seat, then word by word round each shard's ring."""
+    draw = mixing.unit_draw(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
+    rows = df.select("doc_id", "source", "text", F.xxhash64("text").alias("h"), draw.alias("draw")).collect()
+    size = lambda t: len((t or "").encode().split())
+    sizes, counts = {}, {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + size(r["text"])
+        counts[r["source"]] = counts.get(r["source"], 0) + 1
+    goal = brute_targets(sizes)
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    shards = {s: counts[s] // shard_docs + 1 for s in names}
+    block = max(1, min([block_words, *[int(sizes[s] / shards[s] / 64) for s in names if sizes[s]]]))
+    seats = dict(zip(names, brute_seats([goal[s] for s in names], int(sum(goal.values()) / block + 0.5))))
+    starts = {
+        (r["s"], r["p"]): r["x"]
+        for r in df.sparkSession.createDataFrame([(s, p) for s in names for p in range(shards[s])], "s string, p long")
+        .select("s", "p", F.xxhash64(F.lit(seed), F.lit("run"), "s", "p").alias("x")).collect()
+    }
+    out = []
+    for s in names:
+        parts = [[] for _ in range(shards[s])]
+        for r in rows:
+            if r["source"] == s:
+                parts[int(r["draw"] * shards[s])].append((r["draw"], r["doc_id"], r["h"], size(r["text"])))
+        words = [sum(x[3] for x in p) for p in parts]
+        for p, n, won in zip(range(shards[s]), words, brute_seats(words, seats[s])):
+            parts[p].sort(key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2], x[3]))
+            owner = [i for i, x in enumerate(parts[p]) for _ in range(x[3])]
+            got = [0] * len(parts[p])
+            if n:
+                first = starts[s, p] % -(-n // block) * block
+                for k in range(min(won * block, 2 * n)):
+                    got[owner[(first + k) % n]] += 1
+            out += [(x[1], s, x[3], g) for x, g in zip(parts[p], got)]
+    return sorted(out, key=repr)
+
+
 def check(df):
     first = sorted(mixing.mix(df).collect(), key=repr)
     again = sorted(mixing.mix(df.repartition(7, "lang", "doc_id")).collect(), key=repr)
@@ -62,7 +100,8 @@ def check(df):
         assert abs(r["target"] - targets[r["source"]]) < 1e-6 * max(1, targets[r["source"]])
         taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
     for s, t in targets.items():
-        assert abs(taken[s] - t) <= max(2, 0.03 * t), (s, taken[s], t)
+        assert abs(taken[s] - t) <= max(2, 0.01 * t), (s, taken[s], t)
+    assert sorted(((r["doc_id"], r["source"], r["size"], r["taken"]) for r in first), key=repr) == brute_taken(df)
     return first
 
 
@@ -74,8 +113,20 @@ def test_documents(documents):
     assert abs(words - sum(r["taken"] for r in rows)) < 0.1 * words
 
 
+def test_rare_source_of_short_documents(spark):
+    """Parts far smaller than a block of the large source."""
+    rows = [(i, " ".join(["w"] * 40), "big") for i in range(3000)] + [(5000 + i, "a b c d", "rare") for i in range(150)]
+    rows += [(6000 + i, "x", "tiny") for i in range(3)] + [(7000, None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    taken = {}
+    for r in check(df):
+        taken.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert taken["rare"] == [1200.0, 1200] and taken["tiny"] == [6.0, 6] and taken["none"] == [0.0, 0]
+
+
 def test_many_shards(documents):
     small = mixing.mix(documents, shard_docs=4, block_words=16).collect()
+    assert sorted(((r["doc_id"], r["source"], r["size"], r["taken"]) for r in small), key=repr) == brute_taken(documents, 16, 4)
     assert sum(r["taken"] for r in small) > 0
     by = {}
     for r in small:
