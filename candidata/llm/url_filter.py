@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -59,16 +60,46 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """(items, verdict, confidence, support) rules of labelled token lists (tokens, verdict).
+def token_classes(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, class): tokens that stand on at least `least` pages, and what they are mined as.
+
+    Tokens that stand on the same pages are one class, named by its first token: whatever one of them
+    says, all say, and together they say no more. Page sets are compared by their size and 128 bits of hash.
+    `labelled` has the columns page and tokens.
+    """
+    each = labelled.select("page", F.explode(F.array_distinct("tokens")).alias("token"))
+    pages = each.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("page")).alias("a"),
+        F.bit_xor(F.xxhash64(F.lit(1), "page")).alias("b"),
+    )
+    pages = written(pages.filter(F.col("n") >= least), "tokens")
+    names = pages.groupBy("n", "a", "b").agg(F.min("token").alias("class"))
+    return written(pages.join(names, ["n", "a", "b"]).select("token", "class"), "classes")
+
+
+def in_classes(tokens: DataFrame, key: str, classes: DataFrame) -> DataFrame:
+    """(key, classes): the classes of which a row has a token; rows without any are left out."""
+    each = tokens.select(key, F.explode("tokens").alias("token")).join(classes, "token")
+    return each.groupBy(key).agg(F.sort_array(F.collect_set("class")).alias("classes"))
+
+
+def mine(labelled: DataFrame, classes: DataFrame, least: int, min_confidence: float) -> DataFrame:
+    """(items, verdict, confidence, support) rules over classes of tokens, of labelled pages (page, tokens, verdict).
 
     FP-growth finds the frequent combinations; a rule stays if its confidence is at least
-    `min_confidence` and no rule of fewer tokens says the same as surely. The number of rules
-    is bounded by the support: a token list has at most 1 / min_support frequent extensions per size.
+    `min_confidence` and no rule of fewer classes says the same as surely. Tokens that always come together
+    make one item, not two to the power of their number; a page with k different items on enough
+    pages still has two to the power of k combinations.
     """
-    label = F.concat(F.lit("label:"), F.col("verdict"))
-    baskets = labelled.select(F.concat("tokens", F.array(label)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    said = labelled.select("page", F.concat(F.lit("label:"), "verdict").alias("label"))
+    baskets = said.join(in_classes(labelled, "page", classes), "page", "left")
+    items = F.concat(F.coalesce("classes", F.array().cast("array<string>")), F.array("label"))
+    baskets = written(baskets.select(items.alias("items")), "baskets")
+    support = min(1.0, least / max(1, baskets.count()))
+    # Half a page less, as the product of a fraction and a number may round up.
+    support = max(0.0, support - 0.5 / max(1, baskets.count()))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.get("consequent", F.lit(0)).startswith("label:"))
     rules = rules.select(
         F.sort_array("antecedent").alias("items"),
@@ -77,7 +108,7 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
         "support",
     )
     rules = written(rules, "rules")
-    # A smaller rule has one token less; chains of them lead to every subset that is a rule.
+    # A smaller rule has one item less; chains of them lead to every subset that is a rule.
     parents = rules.select("verdict", F.col("items").alias("part"), F.col("confidence").alias("of_part"))
     shorter = rules.select(
         "items", "verdict", "confidence",
@@ -87,22 +118,23 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
     return rules.join(redundant.select("items", "verdict").distinct(), ["items", "verdict"], "left_anti")
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def match(urls: DataFrame, classes: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, verdict) of distinct URLs that an association rule matches, by the surest one.
 
-    An inverted index holds each rule under its rarest token, so that a common token leads to
-    those rules only that have no other. Ties: higher support, then block.
+    A class is matched by any of its tokens. An inverted index holds each rule under its rarest class, so that a
+    common one leads to those rules only that have no other. Ties: higher support, then block.
     """
-    tokens = urls.select("url", tokens_of(F.col("url")).alias("tokens"))
-    postings = tokens.select("url", "tokens", F.explode("tokens").alias("token"))
-    counts = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    each = rules.select("*", F.explode("items").alias("token")).join(counts, "token")
+    tokens = in_classes(urls.select("url", tokens_of(F.col("url")).alias("tokens")), "url", classes)
+    tokens = written(tokens, "url-classes")
+    postings = tokens.select("url", "classes", F.explode("classes").alias("class"))
+    counts = postings.groupBy("class").agg(F.count("*").alias("n"))
+    each = rules.select("*", F.explode("items").alias("class")).join(counts, "class")
     index = each.groupBy("items", "verdict", "confidence", "support").agg(
-        F.min(F.struct("n", "token"))["token"].alias("token")
+        F.min(F.struct("n", "class"))["class"].alias("class")
     )
-    index = index.groupBy("token").agg(F.collect_list(F.struct("confidence", "support", "verdict", "items")).alias("rules"))
-    found = postings.join(index, "token").select(
-        "url", F.filter("rules", lambda r: F.size(F.array_except(r["items"], F.col("tokens"))) == 0).alias("rules")
+    index = index.groupBy("class").agg(F.collect_list(F.struct("confidence", "support", "verdict", "items")).alias("rules"))
+    found = postings.join(index, "class").select(
+        "url", F.filter("rules", lambda r: F.size(F.array_except(r["items"], F.col("classes"))) == 0).alias("rules")
     )
     best = F.array_max(F.transform("rules", lambda r: F.struct(r["confidence"], r["support"], r["verdict"])))
     return found.withColumn("best", best).groupBy("url").agg(F.max("best").alias("best")).filter("best IS NOT NULL").select(
@@ -118,22 +150,23 @@ def judge_urls(
     page_id: str = "page_id",
     label_id: str = "doc_id",
     bad: Column | None = None,
-    min_support: float = 0.002,
-    min_pages: int = 20,
+    min_pages: int = 10,
     min_confidence: float = 0.6,
 ) -> DataFrame:
     """Add host, path, rule and verdict to every page.
 
     A given rule decides where one fits. Else the association rules decide: they are mined from
     all pages that have a label (`bad`: by default quality 0 or toxic 1; a row of labels that is
-    neither good nor bad for nulls counts as good), with a support of at least `min_support`
-    and `min_pages` pages. A URL that no rule matches is allowed.
+    neither good nor bad for nulls counts as good). A rule needs the support of `min_pages` pages and the square
+    root of their number, at every size: 20 pages of a hundred, 110 of ten thousand, 1010 of a
+    million. A URL that no rule matches is allowed.
 
     Association rules see distinct URLs only, so a URL that many pages share is matched once, and
-    joined back on the URL, a join Spark splits. Null URLs and URLs without `://` have an empty
-    host and path and no tokens, and are allowed. Null ids match no label. Equal rows get equal
-    results. Columns with the name of a result are replaced, others passed on. With fewer
-    than `min_pages` labelled pages there are no association rules.
+    joined back on the URL, a join Spark splits. The driver gets the tokens that have the support, at most as
+    many as a page has tokens times the root of the number of pages. Null URLs and URLs without `://` have an empty
+    host and path and no tokens, and are allowed. Very long URLs are read whole. Null ids match no label. Equal rows
+    get equal results. Columns with the name of a result are replaced, others passed on. With few
+    labelled pages there are no association rules.
     """
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1) if bad is None else bad
     pages = without(pages, *({"host", "path", "rule", "verdict"} - {url, page_id}))
@@ -144,14 +177,14 @@ def judge_urls(
     said = labels.groupBy(F.col(label_id).alias("__id")).agg(F.max(F.coalesce(bad, F.lit(False))).alias("__bad"))
     labelled = pages.select(F.col(page_id).alias("__page"), tokens_of(F.col(url)).alias("tokens"))
     labelled = labelled.join(said, F.col("__page") == F.col("__id")).select(
-        "tokens", F.when(F.col("__bad"), "block").otherwise("allow").alias("verdict")
+        F.monotonically_increasing_id().alias("page"),
+        "tokens", F.when(F.col("__bad"), "block").otherwise("allow").alias("verdict"),
     )
     labelled = written(labelled, "labelled")
-    n = labelled.count()
-    if n < min_pages:
-        return given.withColumn("verdict", F.coalesce("__given", F.lit("allow"))).drop("__given")
-    mined = written(mine(labelled, max(min_support, min_pages / n), min_confidence), "rules")
+    least = min_pages + math.ceil(math.sqrt(labelled.count()))
+    classes = token_classes(labelled, least)
+    mined = written(mine(labelled, classes, least, min_confidence), "rules")
     open_urls = given.filter("__given IS NULL").select(F.col(url).alias("url")).filter("url IS NOT NULL").distinct()
-    found = match(open_urls, mined).select(F.col("url").alias("__url"), F.col("verdict").alias("__mined"))
+    found = match(open_urls, classes, mined).select(F.col("url").alias("__url"), F.col("verdict").alias("__mined"))
     rows = given.join(found, F.col(url) == F.col("__url"), "left")
     return rows.withColumn("verdict", F.coalesce("__given", "__mined", F.lit("allow"))).drop("__given", "__url", "__mined")
