@@ -83,16 +83,40 @@ def infer(
     return _rows(requests, schema, client_factory, answer, (prompt, provider, model), concurrency, in_flight)
 
 
-def readable(body: str | None, required: Sequence[str] = ()) -> bool:
-    """Whether a body holds an envelope, and in it an object with the required keys."""
+def _strictly(text: str) -> object:
+    """The value of a JSON text by the rules of the parser that reads the answers later: no NaN or
+    infinities, and no object with a repeated key."""
+
+    def once(pairs: list[tuple[str, object]]) -> dict:
+        found = dict(pairs)
+        if len(found) < len(pairs):
+            raise ValueError("repeated key")
+        return found
+
+    def refuse(constant: str) -> None:
+        raise ValueError(constant)
+
+    return json.loads(text, object_pairs_hook=once, parse_constant=refuse)
+
+
+def readable(body: str | None, chat: bool, required: Sequence[str] = ()) -> bool:
+    """Whether a body holds its provider's envelope, and in it an object with the required keys.
+
+    As `operators.records` decides it for the answers kept, so that no model is asked in vain and none
+    is left out: fences go, and what stands from the first to the last brace is one strict object.
+    """
     try:
         outer = json.loads(body)
-        if "choices" in outer:
+        if chat:
             text = outer["choices"][0]["message"]["content"]
         else:
             text = outer["candidates"][0]["content"]["parts"][0]["text"]
-        found = json.loads(text[text.index("{") : text.rindex("}") + 1])
-    except (TypeError, ValueError, KeyError, IndexError):
+        if text is None:
+            return False
+        text = text if isinstance(text, str) else json.dumps(text)
+        text = re.sub(r"```\s*$", "", re.sub(r"```json\s*", "", text))
+        found = _strictly(text[text.index("{") : text.rindex("}") + 1])
+    except (TypeError, ValueError, KeyError, IndexError, RecursionError):
         return False
     return isinstance(found, dict) and all(k in found for k in required)
 
@@ -100,6 +124,7 @@ def readable(body: str | None, required: Sequence[str] = ()) -> bool:
 def infer_attempts(
     requests: DataFrame,
     client_factory: Callable[[], Client],
+    chat_providers: Sequence[str],
     prompt: str = "prompt",
     attempts: str = "attempts",
     out: str = "answers",
@@ -109,10 +134,10 @@ def infer_attempts(
 ) -> DataFrame:
     """Ask the models listed in `attempts` one after the other until an answer can be read.
 
-    `attempts` is a list of (provider, model). Adds the list of all answers got; a null prompt
+    `attempts` is a list of (provider, model); `chat_providers` use the envelope of chats. Adds the list of all answers got; a null prompt
     or an empty list gives an empty one. No row is asked for again once it has its answer.
     """
-    dtype = T._parse_datatype_string(ANSWERS)
+    dtype, chats = T._parse_datatype_string(ANSWERS), frozenset(chat_providers)
     schema = T.StructType([*requests.schema.fields, T.StructField(out, dtype)])
 
     def answer(client: Client, row: dict) -> dict:
@@ -123,7 +148,7 @@ def infer_attempts(
             got.append(
                 {"attempt": number, "provider": step["provider"], "model": step["model"], "body": body, "error": why}
             )
-            if readable(body, required):
+            if readable(body, step["provider"] in chats, required):
                 break
         return {out: got}
 
@@ -183,3 +208,18 @@ class OfflineFitClient(OfflineClient):
         if n % 4 == 2 or (n % 4 == 1 and model[-1] == "1"):
             del record["key_gaps"]
         return self.envelope(json.dumps(record), provider)
+
+
+class OfflineBrokenClient(OfflineClient):
+    """A stand-in for tests whose first model writes what looks like JSON to some parsers only."""
+
+    BROKEN = ('{"summary": NaN}', '{"summary": "one", "summary": "two"}', '{"skills": [Infinity], "summary": "x"}')
+
+    def __call__(self, prompt: str, provider: str, model: str) -> str | None:
+        n = len(prompt.split("Document:\n", 1)[-1])
+        if model[-1] == "1" and n % 4 < 3:
+            return self.envelope(self.BROKEN[n % 4], provider)
+        # The other provider's envelope, which nobody unwraps.
+        if model[-1] == "2" and n % 5 == 0:
+            return self.envelope(json.dumps({"summary": "lost"}), "p1" if provider in self.chat_providers else min(self.chat_providers))
+        return self.envelope(json.dumps({"summary": f"{model} read {n} characters"}), provider)

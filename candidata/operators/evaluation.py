@@ -47,7 +47,7 @@ def evaluate_with_model(
         attempts.alias("attempts"),
     )
     answered = infer_attempts(
-        requests, client_factory, required=FIT_REQUIRED, concurrency=concurrency, in_flight=in_flight
+        requests, client_factory, chat_providers, required=FIT_REQUIRED, concurrency=concurrency, in_flight=in_flight
     ).drop("prompt", "attempts")
     complete = lambda json: has_required(json, FIT_REQUIRED)
     resolved = answered.withColumn("r", resolve_answers(F.col("answers"), chat_providers, complete, trim=True))

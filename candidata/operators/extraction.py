@@ -29,14 +29,16 @@ def extract_documents(
     chat_providers: Sequence[str],
     concurrency: int | None = None,
     in_flight: int = 8,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One record per file of `scan_documents` or `stream_documents`, and `cause`.
+    """One record per file of `scan_documents` or `stream_documents`, `cause`, and `calls`.
 
     Plain text is decoded here. Other formats need a `text` column with what a parser made of
     them; without it they become error records, as do files that are rejected or blank. These
     are not sent to a model. All others are sent to the (provider, model) pairs in `attempts`
     (see `attempts_of` and `operators.usage.route_attempts`) until one answers with a record;
-    `cause` keeps why the last call failed.
+    `cause` keeps why the last call failed, `calls` the (provider, model) pairs that were asked.
+    keep: columns of the files to pass on.
     """
     for name in ("mime_type", "text"):
         if name not in files.columns:
@@ -52,19 +54,24 @@ def extract_documents(
         F.when(is_blank(F.col("text")), F.lit(NO_TEXT)),
     )
     requests = rows.select(
+        *keep,
         "filename",
         refused.alias("refused"),
         "attempts",
         F.char_length("text").alias("text_length"),
         F.when(refused.isNull(), extraction_prompt(F.col("text"))).alias("prompt"),
     )
-    answered = infer_attempts(requests, client_factory, concurrency=concurrency, in_flight=in_flight)
+    answered = infer_attempts(
+        requests, client_factory, chat_providers, concurrency=concurrency, in_flight=in_flight
+    )
     resolved = answered.drop("prompt", "attempts").withColumn(
         "r", resolve_answers(F.col("answers"), chat_providers, is_json_object)
     )
     known = lambda c: F.when(F.col("r.success"), F.col(c))
     records = resolved.select(
         F.when(F.col("r.success"), parse_loosely(F.col("r.json"), ANSWER)).alias("record"),
+        *keep,
+        F.transform("answers", lambda a: F.struct(a["provider"], a["model"])).alias("calls"),
         "filename",
         F.col("r.success").alias("success"),
         known("text_length").alias("text_length"),
@@ -74,4 +81,4 @@ def extract_documents(
         F.when(F.col("refused").isNull(), F.col("r.raw_response")).alias("raw_response"),
         F.when(F.col("refused").isNull(), F.col("r.cause")).alias("cause"),
     ).select("record.*", "*")
-    return clean_record(records).select(*CANDIDATE.fieldNames(), "cause")
+    return clean_record(records).select(*CANDIDATE.fieldNames(), "cause", "calls", *keep)

@@ -23,6 +23,7 @@ from candidata.functions.text import (
     strip,
     term_list,
 )
+from candidata.operators.phrases import longest_phrase, phrase_hits, phrase_index
 
 # The order in which requirements are listed; term kinds hold comma-separated terms.
 KINDS = (
@@ -149,10 +150,15 @@ def check_requirements(
     years: str = "years",
     education: str = "education",
     out: str = "checks",
+    found: str | None = None,
 ) -> DataFrame:
-    """Add `checks`: every requirement once, with `found` and the label it is listed under."""
+    """Add `checks`: every requirement once, with `found` and the label it is listed under.
 
-    def check(r: Column, words: Column) -> Column:
+    Terms are looked for in the text one after the other. found: a column with the places of those it
+    holds, null for none (see `found_terms`); then no text is searched.
+    """
+
+    def check(r: Column, in_text: Column) -> Column:
         experience = r["kind"] == "min_experience"
         enough = F.coalesce(F.col(years), F.lit(0.0)) >= r["term"].try_cast("double")
         studied = F.exists(
@@ -161,7 +167,7 @@ def check_requirements(
         found = F.coalesce(
             F.when(experience, enough)
             .when(r["kind"] == "edu_requirements", studied)
-            .otherwise(contains_phrase(words, r["needle"])),
+            .otherwise(in_text),
             F.lit(False),
         )
         label = (
@@ -174,10 +180,45 @@ def check_requirements(
             r["ord"].alias("ord"), r["kind"].alias("kind"), found.alias("found"), label.alias("label")
         )
 
-    return pairs.withColumn(
-        out,
-        bind(F.col(text), lambda words: F.transform("requirements", lambda r: check(r, words))),
+    if found is None:
+        searched = lambda words: F.transform(
+            "requirements", lambda r: check(r, contains_phrase(words, r["needle"]))
+        )
+        return pairs.withColumn(out, bind(F.col(text), searched))
+
+    def marked(held: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size("requirements") - 1)
+        at = lambda places, value: F.transform(
+            places, lambda i: check(F.get("requirements", i), F.lit(value))
+        )
+        # Sets are compared by hashing; the position comes first in a check and restores the order.
+        return F.array_sort(F.concat(at(held, True), at(F.array_except(every, held), False)))
+
+    held = F.coalesce(F.col(found), F.array().cast("array<int>"))
+    checks = F.when(F.size("requirements") > 0, bind(held, marked))
+    return pairs.withColumn(out, F.coalesce(checks, F.transform("requirements", lambda r: check(r, F.lit(False)))))
+
+
+def found_terms(
+    described: DataFrame, applications: DataFrame, jobs: DataFrame, request: str, keep: tuple[str, ...]
+) -> DataFrame:
+    """(keep, request, found): the places in `requirements` of the terms that a candidate's text holds.
+
+    For jobs with thousands of terms. All terms of all jobs make one index by first word, which the text of a
+    candidate meets once, however many jobs and terms there are; its hits then meet the terms of the jobs applied for
+    in equi-joins. Pairs without a hit have no row.
+    """
+    places = jobs.select(request, F.posexplode("requirements").alias("_at", "_r"))
+    terms = places.filter(~F.col("_r.kind").isin(*SINGLE_KINDS)).select(
+        request, "_at", F.trim("_r.needle").alias("_term")
     )
+    terms = terms.filter("_term <> ''")
+    index = phrase_index(terms, F.split("_term", " "))
+    words = F.array_remove(F.split("search_text", " "), "")
+    hits = phrase_hits(described, list(keep), words, index, longest_phrase(index)).distinct()
+    met = applications.select(*keep, request).join(hits, list(keep))
+    met = met.join(terms.withColumnRenamed("_term", "_phrase"), [request, "_phrase"])
+    return met.groupBy(*keep, request).agg(F.array_sort(F.collect_set("_at")).alias("found"))
 
 
 def match_requirements(checked: DataFrame, *keys: str) -> DataFrame:

@@ -7,9 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candidata.functions.binding import explode_once
 from candidata.functions.measures import fit_band, parse_percent
+from candidata.operators.grid import row_text
 from candidata.operators.positions import position
 
+# What a comparison shows of a result.
+SHOWN = ("candidate_name", "fit_percentage", "summary", "key_matches", "key_gaps")
+
 
 def drop_empty_results(results: DataFrame, result: str) -> DataFrame:
     """Evaluations without a result vanish; error records stay."""
@@ -65,8 +70,7 @@ def compare_two(ranked: DataFrame, request: str, by: str, first, second) -> Data
     Only the two rows are kept and brought together by an aggregate. Requests that
     lack one of them are left out.
     """
-    shown = ["candidate_name", "fit_percentage", "summary", "key_matches", "key_gaps"]
-    side = F.struct(*shown)
+    side = F.struct(*SHOWN)
     both = (
         ranked.filter(F.col(by).isin(first, second))
         .groupBy(request)
@@ -77,9 +81,30 @@ def compare_two(ranked: DataFrame, request: str, by: str, first, second) -> Data
         .filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     )
     return both.select(
-        request, *[F.col(f"{s}.{c}").alias(f"{c}{s}") for s in ("_a", "_b") for c in shown]
+        request, *[F.col(f"{s}.{c}").alias(f"{c}{s}") for s in ("_a", "_b") for c in SHOWN]
+    )
+
+
+def compare_top(fit: DataFrame, request: str, ordinal: str, k: int, score: str = "fit_percentage") -> DataFrame:
+    """All pairs of the best `k` results of every request side by side, the better one first.
+
+    Each task passes on at most `k` results of a request, and a request gathers `k`, so its
+    k * (k - 1) / 2 pairs are made within one row. `lead` is how many points the better one is ahead; `rank_a` and `rank_b`
+    are the ranks. A request with one result has no pair.
+    """
+    side = F.struct("rank", *SHOWN, parse_percent(F.col(score)).alias("points"))
+    best = top_candidates(fit, request, ordinal, k, score).groupBy(request).agg(
+        F.array_sort(F.collect_list(side)).alias("_top")
     )
 
+    def with_worse(a: Column, i: Column) -> Column:
+        return F.transform(F.slice("_top", i + 2, F.lit(k)), lambda b: F.struct(a.alias("a"), b.alias("b")))
+
+    pairs = explode_once(best, [request], F.flatten(F.transform("_top", with_worse)), "_pair")
+    sides = [F.col(f"_pair.{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("rank", *SHOWN)]
+    lead = (F.col("_pair.a.points") - F.col("_pair.b.points")).alias("lead")
+    return pairs.select(request, *sides, lead)
+
 
 def fit_histogram(fit: DataFrame, request: str, score: str = "fit_percentage") -> DataFrame:
     """Number of results per request and quarter."""
@@ -99,7 +124,7 @@ def grid_query(
     Pages are cut by position, so a deep one is not gathered in one task. `order` has to
     tell rows apart for pages that do not overlap.
     """
-    text = F.lower(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in grid.columns]))
+    text = row_text(grid)
     hits = reduce(lambda a, b: a & b, [F.contains(text, F.lit(t.lower())) for t in terms], F.lit(True))
     found = grid.filter(hits)
     if not offset and limit is None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candidata.functions.binding import bind, explode_once
+from candidata.functions.binding import bind
 from candidata.functions.text import (
     UNICODE,
     EMAIL,
@@ -19,6 +19,7 @@ from candidata.functions.text import (
     search_words,
     strip,
 )
+from candidata.operators.phrases import longest_phrase, phrase_hits, phrase_index
 from candidata.schemas import ANSWER, ARRAY_FIELDS, PERSONAL_INFO
 
 # Messages of error records and how much of a bad answer they keep.
@@ -279,26 +280,14 @@ def clean_record(df: DataFrame, skills_mode: str = "compat") -> DataFrame:
     )
 
 
-def _phrases(words: Column, longest: int) -> Column:
-    """All runs of 1 to `longest` neighbouring words."""
-
-    grams, longer = [words], words
-    for n in range(2, longest + 1):
-        following = F.slice(words, n, F.greatest(F.size(words) - (n - 1), F.lit(0)))
-        # Runs that reach past the last word have no partner and become null.
-        longer = F.zip_with(longer, following, lambda a, b: F.concat(a, F.lit(" "), b))
-        grams.append(F.filter(longer, lambda g: g.isNotNull()))
-    return F.array_distinct(F.concat(*grams))
-
-
 def rule_extract(
     docs: DataFrame, key: str, text: str, dictionary: DataFrame, skill: str
 ) -> DataFrame:
     """Contact data by pattern and skills by dictionary, without a model.
 
-    `dictionary` is a table of skills of any number of words; the longest decides which runs
-    of words are looked up. Runs carry the key only and meet the dictionary in an inner join;
-    found skills are gathered per key and joined with the narrow contact row.
+    `dictionary` is a table of skills of any number of words. Words of the text carry the key only
+    and meet the first words of the skills (`operators.phrases`); skills found are gathered per
+    key and joined with the narrow contact row.
     """
     page = F.regexp_extract(F.col(text), WEB_PAGE, 0)
     fields = {
@@ -309,13 +298,11 @@ def rule_extract(
         "linkedin": F.regexp_extract(F.col(text), LINKEDIN, 0),
         "portfolio": F.when(F.lower(page).contains("linkedin.com"), "").otherwise(page),
     }
-    words = search_words(F.col(skill))
-    known = dictionary.select(F.array_join(words, " ").alias("_phrase"), F.col(skill).alias("_skill"))
-    known = known.filter("_phrase <> ''").distinct()
-    longest = dictionary.agg(F.max(F.size(words))).first()[0] or 1
-    phrases = bind(search_words(F.col(text)), lambda w: _phrases(w, longest))
-    runs = explode_once(docs, [F.col(key).alias("_key")], phrases, "_phrase")
-    found = runs.join(known, "_phrase").groupBy("_key").agg(F.collect_set("_skill").alias("_skills"))
+    known = dictionary.select(F.col(skill).alias("_skill"), F.array_join(search_words(F.col(skill)), " ").alias("_phrase"))
+    index = phrase_index(dictionary, search_words(F.col(skill)))
+    words = search_words(F.col(text))
+    hits = phrase_hits(docs.withColumn("_key", F.col(key)), ["_key"], words, index, longest_phrase(index))
+    found = hits.join(known.distinct(), "_phrase").groupBy("_key").agg(F.collect_set("_skill").alias("_skills"))
     contacts = docs.select(key, *[c.alias(n) for n, c in fields.items()])
     skills = F.coalesce(F.array_sort("_skills"), F.array().cast("array<string>"))
     rows = contacts.join(found, F.col(key) == F.col("_key"), "left")

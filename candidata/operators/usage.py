@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candidata.cluster import written
 from candidata.functions.binding import explode_once
 from candidata.functions.measures import day_key
 from candidata.operators.positions import position, running_total
@@ -22,6 +23,8 @@ AVAILABLE, EXHAUSTED, LIMIT_REACHED = "Available", "Exhausted", "Daily limit rea
 USED, UNUSED = "Today", "Not used today"
 WINDOW_SECONDS = 60
 WINDOW_REQUESTS = 15
+# Request numbers in one block of the routing join.
+BLOCK = 1024
 
 
 def ledger_rows(df: DataFrame, text: str) -> DataFrame:
@@ -168,6 +171,19 @@ def capacity_intervals(catalog: DataFrame, usage: DataFrame) -> DataFrame:
     )
 
 
+def interval_blocks(intervals: DataFrame, asked: DataFrame, day: str = "day") -> DataFrame:
+    """The intervals cut at every `BLOCK` request numbers: (day, _block, lo, hi, provider, model).
+
+    `asked` has the number of requests of each day; what lies beyond it is left out. A block
+    of numbers holds at most `BLOCK` pieces, so a request meets few of them however many models a day has.
+    """
+    asked = asked.withColumnRenamed(day, "_day")
+    rows = intervals.join(asked, F.col(day) == F.col("_day")).filter("lo < hi AND lo < _asked")
+    last = F.floor((F.least("hi", "_asked") - 1) / BLOCK)
+    blocks = F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), last)).alias("_block")
+    return rows.select(day, blocks, "lo", "hi", "provider", "model")
+
+
 def route_models(
     requests: DataFrame,
     intervals: DataFrame,
@@ -177,42 +193,44 @@ def route_models(
     """Give each request of a day the first model with calls left, else an error.
 
     Requests are numbered within their day part by part, so a busy day is shared by many
-    tasks. The intervals of a day are one short list; it comes with the offset of the part,
-    and the range test then runs on the row.
+    tasks. Numbers and intervals meet in an equi-join on blocks of numbers, each as long as the
+    others, within which the few pieces of a block are compared.
     """
-    lists = intervals.groupBy(day).agg(
-        F.collect_list(F.struct("lo", "hi", "provider", "model")).alias("_intervals")
-    )
-    numbered = position(requests, [day], [F.col(c) for c in order], "request_no", attach=lists)
+    numbered = position(requests, [day], [F.col(c) for c in order], "request_no")
+    asked = requests.groupBy(day).agg(F.count(F.lit(1)).alias("_asked"))
+    pieces = interval_blocks(intervals, asked, day).select(
+        F.col(day).alias("_day"), F.col("_block").alias("_of"), "lo", "hi",
+        F.col("provider").alias("routed_provider"), F.col("model").alias("routed_model"),
+    )
+    # Stored first, so that its size is known when the join is planned.
+    pieces = written(pieces, "pieces")
     number = F.col("request_no")
-    hit = F.get(
-        F.filter("_intervals", lambda i: (i["lo"] < number) & (number <= i["hi"])), F.lit(0)
-    )
-    return (
-        numbered.withColumn("_hit", hit)
-        .withColumns(
-            {
-                "routed_provider": F.col("_hit.provider"),
-                "routed_model": F.col("_hit.model"),
-                "error": F.when(F.col("_hit").isNull(), F.lit(ALL_EXHAUSTED)),
-            }
-        )
-        .drop("_hit", "_intervals")
-    )
+    met = (F.col(day) == F.col("_day")) & (F.floor((number - 1) / BLOCK) == F.col("_of"))
+    routed = numbered.join(pieces, met & (F.col("lo") < number) & (number <= F.col("hi")), "left")
+    error = F.when(F.col("_day").isNull(), F.lit(ALL_EXHAUSTED))
+    return routed.withColumn("error", error).drop("_day", "_of", "lo", "hi")
 
 
 def route_attempts(
-    files: DataFrame, intervals: DataFrame, order: Sequence[str], attempts: int = MAX_ATTEMPTS, day: str = "day"
+    files: DataFrame,
+    intervals: DataFrame,
+    order: Sequence[str],
+    attempts: int = MAX_ATTEMPTS,
+    day: str = "day",
+    wave: str | None = None,
 ) -> DataFrame:
     """Add `attempts`: the models a file may ask, one after the other, as the limits allow.
 
     The first attempts of all files of a day are routed before the second ones. A file that
-    finds no capacity gets fewer attempts, or none. `order` has to tell files apart.
+    finds no capacity gets fewer attempts, or none. `order` has to tell files apart. wave: a
+    column by which files come one group after the other; all attempts of a wave are routed before the next
+    wave, as a stream has to do it.
     """
+    waves = [wave] if wave else []
     steps = files.select(
-        *order, day, F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("_step")
+        *waves, *order, day, F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("_step")
     )
-    routed = route_models(steps, intervals, ["_step", *order], day).filter("error IS NULL")
+    routed = route_models(steps, intervals, [*waves, "_step", *order], day).filter("error IS NULL")
     step = F.struct("_step", F.col("routed_provider").alias("provider"), F.col("routed_model").alias("model"))
     planned = routed.groupBy(*order, day).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
     rows = files.join(planned, [*order, day], "left")
@@ -221,6 +239,14 @@ def route_attempts(
     return rows.withColumn("attempts", F.coalesce(listed, nothing)).drop("_steps")
 
 
+def remaining_intervals(intervals: DataFrame, asked: DataFrame, day: str = "day") -> DataFrame:
+    """The intervals that are left once `_asked` requests of each day are routed, numbered from 0 again."""
+    taken = asked.withColumnRenamed(day, "_day")
+    rows = intervals.join(taken, F.col(day) == F.col("_day"), "left").withColumn("_asked", F.coalesce("_asked", F.lit(0)))
+    shifted = {"lo": F.greatest(F.col("lo") - F.col("_asked"), F.lit(0)), "hi": F.col("hi") - F.col("_asked")}
+    return rows.withColumns(shifted).filter("lo < hi").select(intervals.columns)
+
+
 def requests_in_window(
     log: DataFrame,
     key: str,
@@ -230,32 +256,25 @@ def requests_in_window(
 ) -> DataFrame:
     """Add the number of requests in the trailing window and whether it is over the limit.
 
-    A request counts from its time until just before `seconds` later. Each one is a +1
-    at its time and a -1, without the other columns, when it leaves the window. The count is
-    a running total, so neither a busy key nor a long window has to fit into one task.
+    A request counts from its time until just before `seconds` later. The requests of a key
+    and instant are counted first, before the shuffle; a running total over the instants, at
+    which the count rises and falls, then meets the requests in one join. So neither a busy key
+    nor a busy instant nor a long window has to fit into one task: the instant is one row on one
+    side of a join that Spark splits. A request without a time is in no window; its count is 0.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    payload = [f for f in log.schema.fields if f.name != key]
-    changes = F.inline(
-        F.array(
-            F.struct(at.alias("_at"), F.lit(1).alias("_change"), *[f.name for f in payload]),
-            F.struct(
-                (at + int(seconds * 1_000_000)).alias("_at"),
-                F.lit(-1).alias("_change"),
-                *[F.lit(None).cast(f.dataType).alias(f.name) for f in payload],
-            ),
-        )
-    )
-    counted = running_total(
-        log.select(key, changes),
-        [key],
-        [F.col("_at")],
-        F.col("_change"),
-        "in_window",
-        ties_together=True,
+    moves = F.array(
+        F.struct(at.alias("_at"), F.lit(1).cast("bigint").alias("_change")),
+        F.struct((at + int(seconds * 1_000_000)).alias("_at"), F.lit(-1).cast("bigint").alias("_change")),
     )
+    changes = log.select(F.col(key).alias("_key"), F.inline(moves))
+    changes = changes.groupBy("_key", "_at").agg(F.sum("_change").alias("_change"))
+    counted = running_total(changes, ["_key"], [F.col("_at")], F.col("_change"), "in_window")
+    # Inside a struct, null equals null.
+    counted = counted.select(F.struct("_key", "_at").alias("_when"), "in_window")
+    rows = log.withColumn("_when", F.struct(F.col(key).alias("_key"), at.alias("_at")))
     return (
-        counted.filter(F.col("_change") == 1)
-        .drop("_at", "_change")
+        rows.join(counted, "_when")
+        .drop("_when")
         .withColumn("over_limit", F.col("in_window") > max_requests)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from candidata.cluster import fresh_path
 from candidata.operators.jobs import latest_experience
+from candidata.operators.grid import read_page, store_grid
 from candidata.operators.ranking import grid_query
 from candidata.plans.fixture_sql import CAND_WITH
 from candidata.plans.fixtures import clean_candidates, stored_candidates
@@ -208,6 +209,13 @@ def _(spark, d):
     )
 
 
+def _kept_grid(spark, d):
+    """Folder of the grid, stored in the order of its pages."""
+    path = fresh_path(spark, "grid")
+    store_grid(_grid(spark, d), [F.desc("Name"), F.col("Email"), F.col("r_regionkey")], path, parts=16)
+    return path
+
+
 @query(
     "grid_query_from",
     GRID
@@ -219,6 +227,26 @@ def _(spark, d):
     return grid_query(_grid(spark, d), ["urgent"], order, offset=1000)
 
 
+@query(
+    "grid_page",
+    GRID + """SELECT * FROM grid ORDER BY "Name" DESC, "Email", r_regionkey OFFSET 300 LIMIT 50""",
+)
+def _(spark, d):
+    """One page of the stored grid."""
+    return read_page(spark, _kept_grid(spark, d), offset=300, limit=50)
+
+
+@query(
+    "grid_search",
+    GRID
+    + """SELECT * FROM grid WHERE lower("Experience") LIKE '%urgent%' AND lower("Skills") LIKE '%brand#7%'
+    ORDER BY "Name" DESC, "Email", r_regionkey OFFSET 20 LIMIT 30""",
+)
+def _(spark, d):
+    """One page of the rows that hold both terms, by the search index."""
+    return read_page(spark, _kept_grid(spark, d), ["BRAND#7", "Urgent"], offset=20, limit=30)
+
+
 @query(
     "export_formats",
     CAND_WITH

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from candidata.cluster import written
 from candidata.functions.measures import experience_years
 from candidata.operators import admission, matching, ranking
+from candidata.operators.positions import position
 from candidata.plans.fixture_sql import (
     APPLICATIONS,
     CAND_WITH,
@@ -143,6 +143,43 @@ def _(spark, d):
     return _check_rows(spark, d)
 
 
+@query(
+    "match_many_requirements",
+    with_(CANDIDATES, RECORD_WORDS)
+    + """, places AS (SELECT o_orderstatus AS s, n_name AS n, strftime(o_orderdate, '%m/%Y') AS m, n_regionkey AS r
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    terms AS (SELECT DISTINCT r AS job_id, 'Company ' || s || ' ' || n || ' ' || m AS term FROM places
+      UNION SELECT DISTINCT r, n || ' ' || m FROM places
+      UNION SELECT n_regionkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    pairs AS (SELECT candidate_id, r_regionkey AS job_id, txt FROM cand JOIN phrases USING (candidate_id) WHERE success),
+    hits AS (SELECT job_id, candidate_id, term, contains(txt, ' ' || lower(term) || ' ') AS found
+      FROM pairs JOIN terms USING (job_id))
+    SELECT job_id, candidate_id, count(*) FILTER (found) AS n_matches, count(*) FILTER (NOT found) AS n_gaps,
+      coalesce(string_agg(term, '|' ORDER BY term) FILTER (found), '') AS key_matches FROM hits GROUP BY ALL""",
+)
+def _(spark, d):
+    """Jobs with a term for every month, state and nation of an order, and for every customer, of their region."""
+    places = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    places = places.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    where = F.concat_ws(" ", "n_name", F.date_format("o_orderdate", "MM/yyyy"))
+    company = F.concat(F.lit("Company "), "o_orderstatus", F.lit(" "), where)
+    terms = places.select(F.col("n_regionkey").cast("bigint").alias("job_id"), F.explode(F.array(company, where)).alias("term"))
+    people = customers(spark, d).select(F.col("r_regionkey").cast("bigint").alias("job_id"), "candidate_id")
+    names = table(spark, d, "customer").join(people, F.col("c_custkey") == F.col("candidate_id"))
+    terms = terms.union(names.select("job_id", "c_name")).groupBy("job_id").agg(F.array_sort(F.collect_set("term")).alias("required_skills"))
+    jobs = written(matching.requirements(terms), "jobs")
+    able = clean_candidates(spark, d).filter("success").drop("r_regionkey")
+    described = written(matching.describe(able, F.lit(AS_OF_DAY), keep=("candidate_id",)), "described")
+    found = matching.found_terms(described, people, jobs, "job_id", ("candidate_id",))
+    pairs = described.join(people, "candidate_id").join(found, ["candidate_id", "job_id"], "left")
+    pairs = matching.pair_candidates(pairs, jobs.select("job_id", "requirements"), "job_id")
+    listed = matching.collect_matches(matching.check_requirements(pairs, found="found"))
+    return listed.select(
+        "job_id", "candidate_id", F.size("key_matches").cast("bigint").alias("n_matches"),
+        F.size("key_gaps").cast("bigint").alias("n_gaps"), F.array_join("key_matches", "|").alias("key_matches"),
+    )
+
+
 @query(
     "min_experience_check",
     FIT_WITH
@@ -256,7 +293,7 @@ def _(spark, d):
     "rank_candidates",
     FIT_WITH
     + """SELECT job_id, candidate_id, fit_percentage, row_number() OVER (PARTITION BY job_id
-      ORDER BY fit_percentage DESC, candidate_id)::INT AS place FROM fit""",
+      ORDER BY fit_percentage DESC, candidate_id) AS place FROM fit""",
 )
 def _(spark, d):
     """The sorted results with the place in which they come."""
@@ -265,8 +302,7 @@ def _(spark, d):
     ranked = ranking.rank_candidates(fit, "job_id", "candidate_id").withColumn(
         "_at", F.monotonically_increasing_id()
     )
-    place = F.row_number().over(Window.partitionBy("job_id").orderBy("_at"))
-    return written(ranked, "ranked").withColumn("place", place).drop("_at")
+    return position(written(ranked, "ranked"), ["job_id"], [F.col("_at")], "place").drop("_at")
 
 
 @query(
@@ -314,6 +350,24 @@ def _(spark, d):
     return compared.withColumns({c: F.array_join(c, ", ") for c in lists})
 
 
+@query(
+    "compare_top",
+    FIT_WITH
+    + """, best AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY fit_percentage DESC, candidate_id)::INT AS rank
+      FROM fit QUALIFY rank <= 4)
+    SELECT a.job_id, a.rank AS rank_a, b.rank AS rank_b, a.candidate_name AS candidate_name_a, b.candidate_name AS candidate_name_b,
+      a.fit_percentage AS fit_percentage_a, b.fit_percentage AS fit_percentage_b,
+      a.summary AS summary_a, b.summary AS summary_b, a.matches_text AS key_matches_a,
+      b.matches_text AS key_matches_b, a.gaps_text AS key_gaps_a, b.gaps_text AS key_gaps_b,
+      (a.fit_percentage - b.fit_percentage)::DOUBLE AS lead
+    FROM best a JOIN best b ON a.job_id = b.job_id AND a.rank < b.rank""",
+)
+def _(spark, d):
+    compared = ranking.compare_top(fit_results(spark, d), "job_id", "candidate_id", 4)
+    lists = [c for c in compared.columns if c.startswith("key_")]
+    return compared.withColumns({c: F.array_join(c, ", ") for c in lists}).withColumn("lead", F.col("lead").cast("double"))
+
+
 @query(
     "fit_band",
     FIT_WITH

@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import functions as F
 
 from candidata.cluster import fresh_path
-from candidata.inference.client import OfflineClient
+from candidata.inference.client import OfflineBrokenClient, OfflineClient
+from candidata.functions.measures import day_key
 from candidata.operators import jobs
 from candidata.operators.extraction import attempts_of, extract_documents
 from candidata.operators.usage import capacity_intervals, catalog_by_day, route_attempts, usage_counts
@@ -23,12 +24,13 @@ from candidata.plans.fixtures import (
     model_catalog,
     table,
 )
-from candidata.plans.registry import query
+from candidata.plans.registry import SQL, query
 from candidata.plans.usage_queries import LIMITS
-from candidata.sources.documents import drop_repeated_uploads, stream_documents
-from candidata.streaming.jobs import current_states, follow_jobs
-from candidata.streaming.rates import rates_of_ticks, stream_request_ticks
-from candidata.streaming.runs import append_to, latest, update_log
+from candidata.sources.documents import NO_TEXT, drop_repeated_uploads, stream_documents
+from candidata.streaming.jobs import current_states, follow_jobs, newest_states
+from candidata.streaming.quota import USAGE, extract_stream, ledger_stream, open_ledger, open_quota, route_stream
+from candidata.streaming.rates import rates_of_ticks, rocksdb_state, stream_request_ticks, stream_requests_in_window
+from candidata.streaming.runs import append_to, latest, snapshot_log, update_log
 
 TTL = 29.9 * 86_400
 ORDER = ("ts", "event_id")
@@ -118,55 +120,73 @@ def _(spark, d):
     return jobs.batch_summary(clean_candidates(spark, d), "r_regionkey")
 
 
-EVENT_FILES = 4
+QUARTERS = 4
 
 
-def _event_stream(spark, d):
-    """The events in four files, a quarter of the time each, read one after the other.
-
-    Every eighth event of a quarter comes with the next one.
-    """
-    folder = fresh_path(spark, "events")
-    events = table(spark, d, "events")
+def _quarter(spark, events):
+    """The quarter of the time in which an event arrives: its own, or the next for every eighth event."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min(us), F.max(us)).first()
-    quarter = F.least(F.lit(EVENT_FILES - 1), F.floor(EVENT_FILES * (us - first) / (last - first)))
-    late = (F.col("event_id") % 8 == 0) & (quarter < EVENT_FILES - 1)
-    rows = events.withColumn("_file", quarter + late.cast("int"))
-    for n in range(EVENT_FILES):
-        rows.filter(F.col("_file") == n).drop("_file").coalesce(1).write.parquet(f"{folder}/{n}")
-    return (
-        spark.readStream.schema(events.schema)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(folder)
-    )
+    quarter = F.least(F.lit(QUARTERS - 1), F.floor(QUARTERS * (us - first) / (last - first)))
+    late = (F.col("event_id") % 8 == 0) & (quarter < QUARTERS - 1)
+    return quarter + late.cast("int")
+
 
+def _fed(spark, d, run):
+    """The result of `run` on the event stream, after the last of four runs.
 
-def _updated(spark, stream, keys):
+    Each run finds the files of a quarter more and goes on from the same checkpoint.
+    """
+    events = table(spark, d, "events")
+    staged = fresh_path(spark, "staged")
+    events.withColumn("_quarter", _quarter(spark, events)).write.partitionBy("_quarter").parquet(staged)
+    folder, out = fresh_path(spark, "events"), None
+    for n in range(QUARTERS):
+        arrived = spark.read.parquet(staged).filter(F.col("_quarter") == n).drop("_quarter")
+        arrived.write.parquet(f"{folder}/{n}")
+        source = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true")
+        out = run(source.parquet(folder))
+    return out
+
+
+def _updated(spark, d, build, keys):
+    """The newest rows of a stream that is built on the events and runs in update mode."""
     folder = fresh_path(spark, "stream")
-    return latest(update_log(stream, f"{folder}/updates", f"{folder}/checkpoint"), keys)
+    log = _fed(spark, d, lambda s: update_log(build(s), f"{folder}/updates", f"{folder}/checkpoint"))
+    return latest(log, keys)
 
 
-def _appended(spark, stream):
+def _followed(spark, d, ttl):
+    """The log of all job states, as a snapshot and the batches after it."""
     folder = fresh_path(spark, "stream")
-    return append_to(stream, f"{folder}/rows", f"{folder}/checkpoint")
+    follow = lambda s: follow_jobs(as_job_events(s), "8 days", ttl)
+    run = lambda s: snapshot_log(follow(s), f"{folder}/log", f"{folder}/checkpoint", newest_states, every=3)
+    return _fed(spark, d, run)
 
 
 @query("job_state_stream", STATE_SQL)
 def _(spark, d):
     """States of all jobs; none is old enough to be forgotten."""
-    followed = follow_jobs(as_job_events(_event_stream(spark, d)), "8 days", 60 * 86_400)
-    return _text_times(current_states(_appended(spark, followed)).drop("expired"))
+    return _text_times(current_states(_followed(spark, d, 60 * 86_400)).drop("expired"))
+
+
+def _calls(stream):
+    kind = F.col("event_type")
+    provider = F.when(kind.isin("click", "view"), "p1").otherwise("p2")
+    return stream.select("ts", provider.alias("provider"), kind.alias("model"))
 
 
 @query("usage_counts_stream", with_(CALLS) + "SELECT provider, model, day, calls FROM used")
 def _(spark, d):
-    kind = F.col("event_type")
-    log = _event_stream(spark, d).select(
-        "ts", F.when(kind.isin("click", "view"), "p1").otherwise("p2").alias("provider"), kind.alias("model")
-    )
-    return _updated(spark, usage_counts(log), ["provider", "model", "day"])
+    return _updated(spark, d, lambda s: usage_counts(_calls(s)), ["provider", "model", "day"])
+
+
+@query("usage_ledger_stream", with_(CALLS) + "SELECT provider, model, day, calls FROM used")
+def _(spark, d):
+    """The ledger that a stream of calls keeps up to date."""
+    folder = fresh_path(spark, "ledger")
+    open_ledger(spark.createDataFrame([], USAGE), f"{folder}/ledger")
+    return _fed(spark, d, lambda s: ledger_stream(_calls(s), f"{folder}/ledger", f"{folder}/checkpoint"))
 
 
 @query(
@@ -177,8 +197,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """Jobs live for 15 days, and events may come 8 days late."""
-    followed = follow_jobs(as_job_events(_event_stream(spark, d)), "8 days", 15 * 86_400)
-    expired = current_states(_appended(spark, followed).filter("expired"))
+    expired = current_states(_followed(spark, d, 15 * 86_400)).filter("expired")
     return _text_times(expired.select("job_id", "status", "created_at"))
 
 
@@ -192,14 +211,32 @@ def _(spark, d):
     FROM wins""",
 )
 def _(spark, d):
-    log = _event_stream(spark, d).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    ticks = _updated(spark, stream_request_ticks(log, "user_id", slide="1 hour", delay="8 days"), ["user_id", "tick"])
+    log = lambda s: s.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    build = lambda s: stream_request_ticks(log(s), "user_id", slide="1 hour", delay="8 days")
+    ticks = _updated(spark, d, build, ["user_id", "tick"])
     return _text_times(rates_of_ticks(ticks, "user_id", window="1 day", slide="1 hour", max_requests=5))
 
 
+@query("requests_in_window_stream", SQL["requests_in_window"])
+def _(spark, d):
+    """Every request's trailing count, though every eighth request comes up to a quarter late."""
+
+    def build(stream):
+        log = stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+        return stream_requests_in_window(log, "user_id", "event_id", seconds=86_400, max_requests=5, delay="8 days")
+
+    with rocksdb_state(spark):
+        return _updated(spark, d, build, ["event_id"]).drop("at")
+
+
 BUNDLE = 20
 
 
+def _appended(spark, stream):
+    folder = fresh_path(spark, "stream")
+    return append_to(stream, f"{folder}/rows", f"{folder}/checkpoint")
+
+
 def _bundle_files(spark, d, copies=1):
     """The documents in text files of `BUNDLE` documents each; returns the folder."""
     folder = fresh_path(spark, "files")
@@ -288,6 +325,28 @@ def _(spark, d):
     return _extracted(docs(spark, d).withColumn("content", content).withColumn("text", text))
 
 
+@query(
+    "extract_despite_bad_json",
+    """SELECT doc_id AS id, first OR n % 5 <> 0 OR third AS success,
+      CASE WHEN first THEN 'm1' WHEN n % 5 <> 0 THEN 'm2' ELSE 'm3' END AS model,
+      CASE WHEN first THEN 1 WHEN n % 5 <> 0 THEN 2 ELSE 3 END AS n_calls,
+      CASE WHEN first THEN 'm1' WHEN n % 5 <> 0 THEN 'm2' ELSE 'm3' END || ' read ' || n || ' characters' AS summary
+    FROM (SELECT doc_id, length(text) AS n, length(text) % 4 = 3 AS first, true AS third FROM documents
+      WHERE regexp_matches(text, '[^\\s]'))""",
+)
+def _(spark, d):
+    """First answers with NaN or repeated keys, second ones in the wrong envelope: the next model is asked."""
+    client = functools.partial(OfflineBrokenClient, frozenset(CHAT_PROVIDERS))
+    files = table(spark, d, "documents").select(
+        F.concat("doc_id", F.lit(".docx")).alias("filename"), "text", F.lit(None).cast("string").alias("mime_type")
+    )
+    records = extract_documents(files, client, attempts_of(*MODELS), CHAT_PROVIDERS)
+    return records.filter(~F.coalesce(F.col("error") == NO_TEXT, F.lit(False))).select(
+        F.regexp_extract("filename", r"\d+", 0).cast("bigint").alias("id"),
+        "success", "model", F.size("calls").alias("n_calls"), "summary",
+    )
+
+
 @query(
     "stream_documents",
     _extracted_sql(
@@ -315,25 +374,112 @@ def _(spark, d):
     return _appended(spark, files.select(number, F.md5("content").alias("digest")))
 
 
-@query(
-    "route_attempts",
-    with_(CALLS, LIMITS)
-    + """, spans AS (
+def _routed_sql(order: str) -> str:
+    return (
+        with_(CALLS, LIMITS)
+        + f""", spans AS (
       SELECT *, sum(greatest(daily_limit - used, 0)) OVER (PARTITION BY day ORDER BY provider_ord, model_ord) AS hi,
         hi - greatest(daily_limit - used, 0) AS lo
       FROM (SELECT * REPLACE (CASE WHEN model = 'error' THEN used ELSE 0 END AS used) FROM limits WHERE enabled)),
+    times AS (SELECT min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events),
+    quarters AS (SELECT event_id, least(3, floor(4 * (epoch_us(ts) - first) / (last - first))) AS q FROM events, times),
+    waves AS (SELECT event_id, q + CASE WHEN event_id % 8 = 0 AND q < 3 THEN 1 ELSE 0 END AS wave FROM quarters),
     numbered AS (
-      SELECT event_id, day, step, row_number() OVER (PARTITION BY day ORDER BY step, ts, event_id) AS n
-      FROM calls, (SELECT unnest([1, 2, 3]) AS step) WHERE model <> 'error')
+      SELECT event_id, day, step, row_number() OVER (PARTITION BY day ORDER BY {order}) AS n
+      FROM calls JOIN waves USING (event_id), (SELECT unnest([1, 2, 3]) AS step) WHERE model <> 'error')
     SELECT event_id, n.day, coalesce(string_agg(s.provider || '/' || s.model, ' ' ORDER BY step), '') AS attempts
-    FROM numbered n LEFT JOIN spans s ON s.day = n.day AND lo < n AND n <= hi GROUP BY event_id, n.day""",
-)
-def _(spark, d):
-    """Three attempts for every call that did not end in an error, within the day's limits."""
+    FROM numbered n LEFT JOIN spans s ON s.day = n.day AND lo < n AND n <= hi GROUP BY event_id, n.day"""
+    )
+
+
+def _asking(spark, d):
+    """Calls that did not end in an error, and the request numbers that each model takes after the others."""
     log = call_log(spark, d)
     catalog = catalog_by_day(model_catalog(spark, d), *first_and_last_day(log))
     intervals = capacity_intervals(catalog, usage_counts(log.filter("model = 'error'")))
-    files = log.filter("model <> 'error'").select("event_id", "ts", "day")
-    routed = route_attempts(files, intervals, ["ts", "event_id"])
+    return log.filter("model <> 'error'").select("event_id", "ts", "day"), intervals
+
+
+def _shown(routed):
     shown = F.transform("attempts", lambda a: F.concat_ws("/", a["provider"], a["model"]))
     return routed.select("event_id", "day", F.array_join(shown, " ").alias("attempts"))
+
+
+@query("route_attempts", _routed_sql("step, ts, event_id"))
+def _(spark, d):
+    """Three attempts for every call that did not end in an error, within the day's limits."""
+    return _shown(route_attempts(*_asking(spark, d), ["ts", "event_id"]))
+
+
+@query("route_attempts_stream", _routed_sql("wave, step, ts, event_id"))
+def _(spark, d):
+    """The same on a stream: each quarter is routed with what the quarters before it left."""
+    folder = fresh_path(spark, "quota")
+    open_quota(_asking(spark, d)[1], folder)
+
+    def run(stream):
+        kind, at = F.col("event_type"), F.col("ts").cast("timestamp")
+        files = stream.filter(kind != "error").select("event_id", at.alias("ts"), day_key(at).alias("day"))
+        return route_stream(files, ["ts", "event_id"], folder, f"{folder}/checkpoint")
+
+    return _shown(_fed(spark, d, run))
+
+
+SETS, DAY = 4, "2024-01-01"
+LIMITED = (("p2", "m1"), ("p1", "m2"), ("p2", "m3"))
+
+
+def _limited_sql() -> str:
+    """Four sets of files, one after the other: plan, calls made, and what they leave."""
+    limits = ", ".join(f"('{p}', '{m}', {i})" for i, (p, m) in enumerate(LIMITED))
+    parts = [
+        f"""files AS (SELECT doc_id // {BUNDLE} AS id, sum(length(text) + 1)::BIGINT AS n FROM documents GROUP BY ALL),
+      catalog AS (SELECT provider, model, ord, (SELECT count(*) FROM files) * (ord + 3) // 10 AS daily_limit
+        FROM (VALUES {limits}) AS v(provider, model, ord)),
+      used_0 AS (SELECT provider, model, 0::BIGINT AS calls FROM catalog)"""
+    ]
+    for s in range(SETS):
+        parts.append(f"""spans_{s} AS (SELECT provider, model, sum(greatest(daily_limit - calls, 0)) OVER (ORDER BY ord) AS hi,
+        hi - greatest(daily_limit - calls, 0) AS lo FROM catalog JOIN used_{s} USING (provider, model)),
+      steps_{s} AS (SELECT id, n, step, row_number() OVER (ORDER BY step, id) AS number
+        FROM files, (SELECT unnest([1, 2, 3]) AS step) WHERE id % {SETS} = {s}),
+      plan_{s} AS (SELECT id, n, provider, model, row_number() OVER (PARTITION BY id ORDER BY step) AS attempt,
+        n % 4 = 1 AND model = 'm1' AS silent, n % 4 = 2 AND (model = 'm1' OR n % 8 = 2) AS empty
+        FROM steps_{s} JOIN spans_{s} ON lo < number AND number <= hi),
+      good_{s} AS (SELECT id, min(attempt) AS first FROM plan_{s} WHERE NOT silent AND NOT empty GROUP BY id),
+      made_{s} AS (SELECT p.*, first FROM plan_{s} p LEFT JOIN good_{s} USING (id) WHERE first IS NULL OR attempt <= first),
+      used_{s + 1} AS (SELECT provider, model, calls + count(id) AS calls FROM used_{s}
+        LEFT JOIN made_{s} USING (provider, model) GROUP BY provider, model, calls)""")
+    made = " UNION ALL ".join(f"SELECT * FROM made_{s}" for s in range(SETS))
+    return (
+        with_(*parts)
+        + f"""SELECT f.id, coalesce(bool_or(attempt = first), false) AS success, count(attempt) AS n_calls,
+      max(CASE WHEN attempt = first THEN model END) AS model,
+      CASE WHEN bool_or(attempt = first) THEN NULL WHEN count(attempt) = 0 THEN 'All API providers have reached their daily limits.'
+        WHEN arg_max(silent, attempt) THEN 'Failed to extract resume data after multiple attempts.'
+        ELSE 'Failed to parse AI response as JSON' END AS error
+      FROM files f LEFT JOIN ({made}) m ON f.id = m.id GROUP BY f.id"""
+    )
+
+
+@query("extract_within_limits", _limited_sql())
+def _(spark, d):
+    """Files that come in four sets, while the models' daily limits run out."""
+    texts = table(spark, d, "documents").select(F.floor(F.col("doc_id") / BUNDLE).alias("bundle"), "doc_id", F.col("text").alias("value"))
+    n_files = texts.select("bundle").distinct().count()
+    rows = [(p, 1, m, i, n_files * (i + 3) // 10, True) for i, (p, m) in enumerate(LIMITED)]
+    # The order of the models is that of the list, whatever their provider.
+    catalog = spark.createDataFrame(rows, "provider string, provider_ord int, model string, model_ord int, daily_limit bigint, enabled boolean")
+    folder, client = fresh_path(spark, "limited"), functools.partial(OfflineClient, frozenset(CHAT_PROVIDERS))
+    open_ledger(spark.createDataFrame([], USAGE), f"{folder}/ledger")
+    for s in range(SETS):
+        some = texts.filter(F.col("bundle") % SETS == s).repartition("bundle").sortWithinPartitions("bundle", "doc_id")
+        some.drop("doc_id").write.partitionBy("bundle").text(f"{folder}/files/{s}")
+        files = stream_documents(spark, f"{folder}/files", n_files)
+        number = F.regexp_extract("path", r"bundle=(\d+)/", 1)
+        files = files.withColumn("filename", F.concat(number, F.lit(".txt"))).withColumn("id", number.cast("bigint"))
+        records = extract_stream(files, client, catalog, F.lit(DAY), ["id"], folder, f"{folder}/checkpoint", CHAT_PROVIDERS)
+    return records.select(
+        F.regexp_extract("filename", r"\d+", 0).cast("bigint").alias("id"),
+        "success", F.size("calls").cast("bigint").alias("n_calls"), "model", "error",
+    )

@@ -85,15 +85,19 @@ def follow_jobs(events: DataFrame, delay: str, ttl_seconds: float = TTL_SECONDS)
     )
 
 
-def current_states(followed: DataFrame) -> DataFrame:
-    """The state of every job out of the stored rows of `follow_jobs`."""
+def newest_states(followed: DataFrame) -> DataFrame:
+    """The newest row of every job out of the stored rows of `follow_jobs`, for `snapshot_log`."""
     order = F.struct("updated_us", "updated_id", (-F.col("created_us")).alias("earlier"), "expired")
     values = [c for c in followed.columns if c != "job_id"]
     newest = followed.groupBy("job_id").agg(F.max_by(F.struct(*values), order).alias("r"))
-    return newest.select(
-        "job_id",
-        *[F.col(f"r.{c}").alias(c) for c in ("status", "type", "progress")],
-        F.timestamp_micros("r.created_us").alias("created_at"),
-        F.timestamp_micros("r.updated_us").alias("updated_at"),
-        "r.expired",
+    return newest.select("job_id", "r.*").select(followed.columns)
+
+
+def current_states(followed: DataFrame) -> DataFrame:
+    """The state of every job out of the stored rows of `follow_jobs`."""
+    return newest_states(followed).select(
+        *["job_id", "status", "type", "progress"],
+        F.timestamp_micros("created_us").alias("created_at"),
+        F.timestamp_micros("updated_us").alias("updated_at"),
+        "expired",
     )

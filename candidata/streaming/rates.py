@@ -2,10 +2,125 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import (
+    ExpiredTimerInfo,
+    StatefulProcessor,
+    StatefulProcessorHandle,
+    TimerValues,
+)
+
+from candidata.operators.usage import WINDOW_REQUESTS, WINDOW_SECONDS
+
+# Fixed names: the setting and the state store that processors with timers need.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+#: Windows in one span of a key, the unit that one state holds.
+SPAN_WINDOWS = 4
+
+
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started in this block keep their state in RocksDB, which state with timers needs."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+class TrailingCounts(StatefulProcessor):
+    """Requests of one key and span in order of time, and how many the window before each holds."""
+
+    def __init__(self, window: int, span: int, max_requests: int, names: tuple[str, ...]):
+        self.window, self.span, self.max_requests, self.names = window, span, max_requests, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.requests = handle.getListState("requests", "at bigint, id bigint, own boolean")
+
+    def counts(self, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """How many of the sorted times `at` lie in the windows that end at `of`."""
+        return np.searchsorted(at, of, "right") - np.searchsorted(at, of - self.window, "right")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        columns = ["at", "id", "own"]
+        new = pd.concat([batch[columns] for batch in rows])
+        known = pd.DataFrame(list(self.requests.get()) if self.requests.exists() else [], columns=columns)
+        if not len(known):
+            # After this time no row of the span, and none of the window before it, is accepted.
+            self.handle.registerTimer((int(key[1]) + 1) * self.span // 1000 + 1)
+        self.requests.appendList(list(new.itertuples(index=False, name=None)))
+        old = np.sort(known["at"].to_numpy(np.int64))
+        times = np.sort(np.concatenate([old, new["at"].to_numpy(np.int64)]))
+        new, known = new[new["own"].astype(bool)], known[known["own"].astype(bool)]
+        before = known["at"].to_numpy(np.int64)
+        changed = known[self.counts(times, before) != self.counts(old, before)]
+        out = pd.concat([new, changed]) if len(changed) else new
+        if len(out):
+            at = out["at"].to_numpy(np.int64)
+            found = self.counts(times, at)
+            values = (key[0], out["id"].to_numpy(np.int64), at, found, found > self.max_requests)
+            yield pd.DataFrame(dict(zip(self.names, values)))
 
-from candidata.operators.usage import WINDOW_REQUESTS
+    def handleExpiredTimer(
+        self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[pd.DataFrame]:
+        self.requests.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_requests_in_window(
+    log: DataFrame,
+    key: str,
+    id: str,
+    ts: str = "ts",
+    seconds: float = WINDOW_SECONDS,
+    max_requests: int = WINDOW_REQUESTS,
+    delay: str = "10 seconds",
+) -> DataFrame:
+    """(key, id, at, in_window, over_limit) of every request of a stream, for `update_log`.
+
+    As `operators.usage.requests_in_window`: how many requests of the key lie in the trailing
+    window, the request itself included; `at` is its time in microseconds. A request is counted
+    as it comes. One that comes late, by up to `delay`, changes the counts of those already given; these are given
+    again, so the newest row of an id is its count. Ids are whole numbers.
+
+    Time is cut into spans of `SPAN_WINDOWS` windows, and a state holds one key and span: its own
+    requests and those of the last window before it, which are sent to both. So a busy key is
+    spread over its spans, and a timer drops a span as soon as no request of it can come. Run it
+    within `rocksdb_state`.
+    """
+    window = int(seconds * 1_000_000)
+    span = window * SPAN_WINDOWS
+    at = F.unix_micros(ts)
+    rows = log.withWatermark(ts, delay).select(
+        F.col(key).alias("key"), ts, at.alias("at"), F.col(id).cast("bigint").alias("id"), F.floor(at / span).alias("_own")
+    )
+    # The window of a later span reaches back to requests of the last window of this one.
+    near_end = F.col("at") >= (F.col("_own") + 1) * span - window
+    spans = F.when(near_end, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))
+    rows = rows.withColumn("span", F.explode(spans)).withColumn("own", F.col("span") == F.col("_own")).drop("_own")
+    names = (key, id, "at", "in_window", "over_limit")
+    kind = log.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, `{id}` bigint, at bigint, in_window bigint, over_limit boolean"
+    return rows.groupBy("key", "span").transformWithStateInPandas(
+        statefulProcessor=TrailingCounts(window, span, max_requests, names),
+        outputStructType=schema,
+        outputMode="Update",
+        timeMode="EventTime",
+    )
 
 
 def stream_request_ticks(

@@ -8,7 +8,7 @@ from candidata.plans import registry
 from conftest import SMALL
 
 QUERIES, SQL = registry.QUERIES, registry.SQL
-PYTHON = {"infer", "extract_documents", "evaluate_with_model"}
+PYTHON = {"infer", "extract_documents", "extract_despite_bad_json", "evaluate_with_model"}
 
 
 @pytest.fixture(scope="module")

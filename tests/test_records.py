@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from candidata.inference.client import OfflineClient, infer, infer_attempts
+from candidata.inference.client import OfflineClient, infer, infer_attempts, readable
 from candidata.inference.prompts import fit_instructions
 from candidata.operators import records
 from candidata.schemas import ANSWER, FIT_REQUIRED
@@ -125,7 +125,7 @@ def test_attempts_end_with_the_first_readable_answer(spark):
         ("x", steps("broken", "good", "prose")), ("y", steps("broken", "silent")), ("z", steps("half", "prose")), ("n", []), (None, steps("good")), ("e", None),
     ]
     df = spark.createDataFrame(rows, "prompt string, attempts array<struct<provider:string,model:string>>")
-    answered = infer_attempts(df, Counting)
+    answered = infer_attempts(df, Counting, ["p2"])
     got = answered.withColumn("r", records.resolve_answers(F.col("answers"), ["p2"], records.is_json_object)).collect()
     got = {r["prompt"]: (len(r["answers"]), r["r"]) for r in got}
     assert got["x"][0] == 2 and got["x"][1]["success"] and got["x"][1]["model"] == "good" and got["x"][1]["cause"] is None
@@ -163,3 +163,25 @@ def test_lists_of_other_shapes_are_kept(spark):
     assert got["projects"][0] == {"name": "site", "description": "", "technologies": [], "duration": ""}
     assert got["awards"] == ["[first]", "2"] and got["summary"] == "5"
     assert got["certifications"] is None
+
+
+TEXTS = [
+    '{"a": 1}', '{"a": NaN}', '{"a": Infinity}', '{"a": -Infinity}', '{"a": 1, "a": 2}', '{"a": {"b": 1, "b": 1}}', '[{"a": 1, "a": 2}]',
+    '{"a": 1} {"b": 2}', '```json\n{"a": 1}\n```', 'x {"a": [1, {"b": null}]} y', '{"a": 1', "", "{}", "{'a': 1}", '{"a": 01}', '{"a": 1e5}',
+    '{"a": "\\u0041"}', '{"a": "two\nlines"}', '{"a": tru}', '{"a": 1,}', '{"a" 1}', "null", '{"a": "}"}', '{"a": 123456789012345678901234567890}',
+]
+
+
+def test_both_sides_agree_on_a_valid_answer(spark):
+    """The worker stops asking exactly at the answers that are kept later."""
+    bodies = [(i, OfflineClient().envelope(t, p), p) for p in ("p1", "p2") for i, t in enumerate(TEXTS)]
+    bodies += [(90, OfflineClient().envelope('{"a": 1}', "p1"), "p2"), (91, OfflineClient().envelope('{"a": 1}', "p2"), "p1")]
+    bodies += [(92, '{"choices": [{"message": {"content": null}}]}', "p2"), (93, '{"choices": [{"message": {"content": {"a": 1}}}]}', "p2")]
+    bodies += [(94, "no json", "p1"), (95, None, "p1"), (96, "[]", "p2"), (97, '{"choices": []}', "p2")]
+    df = spark.createDataFrame(bodies, "i int, body string, provider string")
+    text = records.clean_json(records.unwrap_response(F.col("body"), F.col("provider"), ["p2"]))
+    found = df.select("i", "body", "provider", records.is_json_object(text).alias("valid")).collect()
+    differ = [(r["i"], r["body"]) for r in found if r["valid"] != readable(r["body"], r["provider"] == "p2")]
+    assert differ == []
+    assert {r["i"] for r in found if r["valid"]} >= {0, 8, 9, 12, 15, 16, 93}
+    assert not {r["i"] for r in found if r["valid"]} & {1, 2, 3, 4, 5, 90, 91, 92, 94, 95, 96, 97}

@@ -1,11 +1,13 @@
 """Limits and ledgers."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from candidata.cluster import fresh_path
 from candidata.operators import usage
+from candidata.operators.ranking import compare_top
 from candidata.sources.records import scan_usage_ledger
 
 CATALOG = "provider string, provider_ord int, model string, model_ord int, daily_limit bigint, enabled boolean"
@@ -62,3 +64,40 @@ def test_ledger_files(spark):
     broken = fresh_path(spark, "ledger")
     spark.createDataFrame([("{not json",)], "v string").write.text(broken)
     assert scan_usage_ledger(spark, broken).collect() == []
+
+
+def test_thousands_of_models_a_day(spark):
+    """Requests meet only the intervals of their block of numbers."""
+    draw = random.Random(4)
+    rows, expected = [], {}
+    for day, asked in (("2025-01-01", 5000), ("2025-01-02", 40)):
+        lo, owner = 0, {}
+        for m in range(3000):
+            size = draw.choice([0, 1, 1, 2, 3, 900])
+            rows.append((day, lo, lo + size, "p", f"m{m}"))
+            owner.update({n: f"m{m}" for n in range(lo + 1, min(lo + size, asked) + 1)})
+            lo += size
+        expected |= {(day, i): owner.get(i + 1) for i in range(asked)}
+    intervals = spark.createDataFrame(rows, "day string, lo long, hi long, provider string, model string")
+    requests = spark.createDataFrame(list(expected), "day string, id long").repartition(5)
+    blocks = usage.interval_blocks(intervals, requests.groupBy("day").agg(F.count("*").alias("_asked")))
+    assert blocks.groupBy("day", "_block").count().agg(F.max("count")).first()[0] <= usage.BLOCK
+    routed = usage.route_models(requests, intervals, ["id"]).collect()
+    assert {(r["day"], r["id"]): r["routed_model"] for r in routed} == expected
+
+
+def test_what_is_left_of_intervals(spark):
+    rows = [("d", 0, 2, "p", "a"), ("d", 2, 5, "p", "b"), ("e", 0, 4, "p", "a")]
+    intervals = spark.createDataFrame(rows, "day string, lo long, hi long, provider string, model string")
+    asked = spark.createDataFrame([("d", 3), ("f", 9)], "day string, _asked long")
+    left = usage.remaining_intervals(intervals, asked).orderBy("day").collect()
+    assert [tuple(r) for r in left] == [("d", 0, 2, "p", "b"), ("e", 0, 4, "p", "a")]
+
+
+def test_pairs_of_the_best(spark):
+    rows = [("j", i, f"n{i}", p) for i, p in enumerate([70, 90, 90, 10, 80])] + [("k", 9, "x", 5)]
+    fit = spark.createDataFrame(rows, "job string, id long, candidate_name string, fit_percentage int")
+    nothing = F.array().cast("array<string>")
+    fit = fit.withColumns({"summary": F.lit("s"), "key_matches": nothing, "key_gaps": nothing})
+    got = [(r["job"], r["rank_a"], r["rank_b"], r["candidate_name_a"], r["candidate_name_b"], r["lead"]) for r in compare_top(fit, "job", "id", 3).orderBy("rank_a", "rank_b").collect()]
+    assert got == [("j", 1, 2, "n1", "n2", 0), ("j", 1, 3, "n1", "n4", 10), ("j", 2, 3, "n2", "n4", 10)]
