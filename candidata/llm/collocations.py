@@ -35,6 +35,8 @@ BUCKET = 1 << 15
 LONGEST = 5
 #: Text bytes that are split at once, and word numbers in a block; a longer piece stays whole.
 SLICE_BYTES, BLOCK = 1 << 22, 1 << 20
+#: Places of a block that are looked at together.
+PLACES = 1 << 18
 #: Frequencies of first words in one class differ by at most this factor.
 CLASS = 256
 GRAMS = "lang string, gram array<bigint>, kind int, key bigint, f bigint"
@@ -180,6 +182,11 @@ class Block:
         self.hash = np.append(hashes.view(np.uint64), np.uint64(0))
         self.found: list[pa.RecordBatch] = []
 
+    def places(self, first: np.ndarray) -> Iterator[np.ndarray]:
+        """The places whose word has the flag `first`, some at a time, so that what is made of them stays small."""
+        at = np.flatnonzero(first[self.ids])
+        return (at[i : i + PLACES] for i in range(0, len(at), PLACES))
+
     def flags(self, bits: np.ndarray) -> np.ndarray:
         """Per word, whether its hash is in the map; never at the end of a piece."""
         return np.append(_inside(bits, self.hash[:-1]), False)
@@ -231,6 +238,8 @@ def _pass(blocks: DataFrame, maps: dict[str, np.ndarray], use: Callable[[Block,
                 block = Block(langs[i].as_py(), hashes[i].values.to_numpy(), np.frombuffer(ids[i].as_buffer(), np.int32))
                 use(block, sent.value)
                 yield from block.found
+                del block
+                pa.default_memory_pool().release_unused()
 
     rows = blocks.select("lang", "hashes", "ids").mapInArrow(run, GRAMS)
     return rows.groupBy("lang", "gram", "kind").agg(F.min("key").alias("key"), F.sum("f").alias("f"))
@@ -246,18 +255,18 @@ def grow(length: int) -> Callable[[Block, dict], None]:
     def use(block: Block, maps: dict) -> None:
         frequent, open_ = block.flags(maps["frequent"]), block.flags(maps["unexpanded"])
         ids = block.ids
-        at = np.flatnonzero((block.flags(maps["roots"]) & frequent)[ids])
-        key = block.hash[ids[at]]
-        for step in range(1, length + 1):
-            on = frequent[ids[at + step]]
-            at, key = at[on], block.extend(at[on], key[on], step)
-            if step < length:
-                on = _inside(maps["phrases"], key)
+        for at in block.places(block.flags(maps["roots"]) & frequent):
+            key = block.hash[ids[at]]
+            for step in range(1, length + 1):
+                on = frequent[ids[at + step]]
+                at, key = at[on], block.extend(at[on], key[on], step)
+                if step < length:
+                    on = _inside(maps["phrases"], key)
+                    at, key = at[on], key[on]
+            if length > 1:
+                on = open_[ids[at + 1]] | _inside(maps["phrases"], block.keys(at + 1, length))
                 at, key = at[on], key[on]
-        if length > 1:
-            on = open_[ids[at + 1]] | _inside(maps["phrases"], block.keys(at + 1, length))
-            at, key = at[on], key[on]
-        block.tally(at, length + 1, 0, key)
+            block.tally(at, length + 1, 0, key)
 
     return use
 
@@ -265,18 +274,18 @@ def grow(length: int) -> Callable[[Block, dict], None]:
 def look(block: Block, maps: dict) -> None:
     """Count the wanted phrases (kind 0), and with each word before them those that contend (kind 1)."""
     ids, frequent = block.ids, block.flags(maps["frequent"])
-    at = np.flatnonzero(block.flags(maps["first"])[ids])
-    key = block.hash[ids[at]]
-    for length in range(2, LONGEST):
-        on = frequent[ids[at + length - 1]]
-        at, key = at[on], block.extend(at[on], key[on], length - 1)
-        on = _inside(maps["path"], key)
-        at, key = at[on], key[on]
-        on = _inside(maps["wanted"], key)
-        block.tally(at[on], length, 0, key[on])
-        # Place -1 before the first word is the end of a piece, too.
-        on = _inside(maps["contend"], key) & frequent[ids[at - 1]]
-        block.tally(at[on] - 1, length + 1, 1, key[on])
+    for at in block.places(block.flags(maps["first"])):
+        key = block.hash[ids[at]]
+        for length in range(2, LONGEST):
+            on = frequent[ids[at + length - 1]]
+            at, key = at[on], block.extend(at[on], key[on], length - 1)
+            on = _inside(maps["path"], key)
+            at, key = at[on], key[on]
+            on = _inside(maps["wanted"], key)
+            block.tally(at[on], length, 0, key[on])
+            # Place -1 before the first word is the end of a piece, too.
+            on = _inside(maps["contend"], key) & frequent[ids[at - 1]]
+            block.tally(at[on] - 1, length + 1, 1, key[on])
 
 
 # ---- scores

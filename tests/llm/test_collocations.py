@@ -74,6 +74,7 @@ def test_growth_and_bounds(spark, monkeypatch, seed, top, min_count, steps):
     # Many slices and blocks per batch.
     monkeypatch.setattr(collocations, "SLICE_BYTES", 3000)
     monkeypatch.setattr(collocations, "BLOCK", 400)
+    monkeypatch.setattr(collocations, "PLACES", 70)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     assert got(collocations.collocations(df, min_count=min_count, top=top)) == brute(rows, min_count, top)
