@@ -284,11 +284,18 @@ d AS (
   SELECT DISTINCT term, ln(1.0::DOUBLE + (SELECT count(*) FROM d)) FROM (
     SELECT unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM t)
   WHERE term <> '' AND term NOT IN (SELECT term FROM counts)
+), plain AS (
+  SELECT doc_id, path, list_transform(string_split(text, chr(10)), lambda x:
+    CASE WHEN NOT regexp_matches(lower(x), '""" + licenses.HOLDER + r"""') THEN x
+      WHEN contains(lower(x), 'all rights reserved') THEN 'copyright all rights reserved' ELSE 'copyright' END) AS lines
+  FROM d
 ), units AS (
-  SELECT doc_id, i AS place, lines[i] AS unit FROM (
-    SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
-    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d))
-  UNION ALL SELECT doc_id, 0, text FROM d WHERE ends_with(path, '/LICENSE')
+  SELECT doc_id, i * 9 + n AS place, array_to_string(lines[i:i + n - 1], chr(10)) AS unit FROM (
+    SELECT doc_id, lines, n, unnest(range(1, greatest(len(lines) - n + 2, 2))) AS i
+    FROM plain, (VALUES """
+    + ", ".join(f"({n})" for n in licenses.HEADER_LINES)
+    + r""") AS v(n))
+  UNION ALL SELECT doc_id, 0, array_to_string(lines, chr(10)) FROM plain WHERE ends_with(path, '/LICENSE')
 ), unit_terms AS (
   SELECT doc_id, place, term, count(*) * any_value(idf) AS w FROM (
     SELECT doc_id, place, unnest(list_filter(string_split_regex(lower(unit), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term
@@ -300,12 +307,19 @@ d AS (
 ), norms AS (SELECT doc_id, place, sqrt(sum(w * w)) AS norm FROM unit_terms GROUP BY ALL),
 template_norms AS (SELECT k, sqrt(sum(w * w)) AS norm FROM template_terms GROUP BY ALL),
 cosines AS (
-  SELECT doc_id, k, name, sum(u.w * x.w) / any_value(n.norm) / any_value(m.norm) AS cosine
+  SELECT doc_id, place, k, name, round(sum(u.w * x.w) / any_value(n.norm) / any_value(m.norm), 9) AS cosine
   FROM unit_terms u JOIN template_terms x USING (term) JOIN norms n USING (doc_id, place) JOIN template_norms m USING (k)
   WHERE n.norm > 0 GROUP BY doc_id, place, k, name
+), firsts AS (
+  SELECT doc_id, place, arg_max(name, (cosine, -k)) AS best, max(cosine) AS cosine, max((cosine, -k)) AS top FROM cosines GROUP BY ALL
+), told AS (
+  SELECT f.doc_id, f.best, f.cosine, f.top, f.best NOT IN ('proprietary', 'BSD-2-Clause') AS strong
+  FROM firsts f LEFT JOIN cosines c ON c.doc_id = f.doc_id AND c.place = f.place AND c.name <> f.best
+  GROUP BY f.doc_id, f.place, f.best, f.cosine, f.top
+  HAVING f.cosine >= 0.7 AND f.cosine >= coalesce(max(c.cosine), 0) + 0.01
 ), own AS (
-  SELECT doc_id, arg_max(name, (round(cosine, 9), -k)) AS own_license, round(max(cosine), 6) AS similarity
-  FROM cosines WHERE cosine >= 0.7 GROUP BY doc_id
+  SELECT doc_id, arg_max(best, (strong, top)) AS own_license, round(arg_max(cosine, (strong, top)), 6) AS similarity
+  FROM told GROUP BY doc_id
 ), files AS (
   SELECT doc_id, path, own_license, similarity, regexp_replace(path, '/?[^/]*$', '') AS dir FROM d LEFT JOIN own USING (doc_id)
 ), notices AS (

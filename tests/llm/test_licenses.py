@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -22,12 +23,21 @@ def brute(files, threshold=0.7):
     found = []
     for path, text in files:
         name = (path or "").rsplit("/", 1)[-1].lower()
-        units = (text or "").split("\n") + ([text or ""] if name in ("license", "licence", "copying", "license.txt") else [])
-        best = (0.0, 0)
-        for unit in units:
+        lines = []
+        for x in (text or "").split("\n"):
+            about = re.search(r"^[^a-z]*copyright (\(c\)|\u00a9|[0-9])", x.lower())
+            lines.append(x if not about else "copyright all rights reserved" if "all rights reserved" in x.lower() else "copyright")
+        units = ["\n".join(lines[i : i + n]) for n in licenses.HEADER_LINES for i in range(max(1, len(lines) - n + 1))]
+        units += ["\n".join(lines)] if name in ("license", "licence", "copying", "license.txt") else []
+        told = []
+        for unit in set(units):
             v = vector(unit)
-            best = max([best] + [(sum(w * v.get(t, 0) for t, w in tv.items()), -k) for k, (_, tv) in enumerate(templates)])
-        found.append((templates[-best[1]][0], round(best[0], 6)) if best[0] >= threshold else (None, None))
+            scores = [(round(sum(w * v.get(t, 0) for t, w in tv.items()), 9), -k, n) for k, (n, tv) in enumerate(templates)]
+            best = max(scores)
+            other = max((c for c, _, n in scores if n != best[2]), default=0)
+            if best[0] >= max(threshold, other + 0.01):
+                told.append((best[2] not in licenses.YIELDING, *best))
+        found.append((max(told)[3], round(max(told)[1], 6)) if told else (None, None))
     return found
 
 
@@ -59,7 +69,7 @@ def check(df):
 
 
 def test_tree(spark):
-    mit = licenses.TEMPLATES[9][1]
+    mit = licenses.MIT
     files = [
         ("LICENSE", "Licensed under CC BY-NC 4.0"), ("a/x.py", "code"), ("a/b/LICENSE.txt", mit + " extra"), ("a/b/c/d/y.py", "more code\nand so on"),
         ("a/b/z.py", "# Licensed under the Apache License, Version 2.0\nx = 1"), ("a/b/w.py", "the license of the version is under way"),
@@ -72,6 +82,66 @@ def test_tree(spark):
     assert rows["a/b/c/d/y.py"]["license_from"] == "a/b" and rows["a/b/z.py"]["own_license"] == "Apache-2.0"
 
 
+GPL_NOTICE = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+LGPL_NOTICE = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version."""
+MIT_TEXT = """MIT License
+
+Copyright (c) 2021 Some Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD_TEXT = """Copyright (c) 2019, The Holders. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution."""
+BSD_NAME = """
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission."""
+APACHE_NOTICE = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//     http://www.apache.org/licenses/LICENSE-2.0"""
+CASES = {
+    GPL_NOTICE: "GPL-3.0", GPL_NOTICE.replace("version 3", "version 2"): "GPL-2.0", GPL_NOTICE.replace("General", "Affero General"): "AGPL-3.0",
+    LGPL_NOTICE: "LGPL-2.1", "GNU Lesser General Public License, version 2.1": "LGPL-2.1", MIT_TEXT: "MIT", APACHE_NOTICE: "Apache-2.0",
+    BSD_TEXT: "BSD-2-Clause", BSD_TEXT + BSD_NAME: "BSD-3-Clause", "Copyright (c) 2024, Foo Project Contributors. All rights reserved.": "proprietary",
+    "SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: LGPL-3.0-or-later": "LGPL-3.0", "// SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+    "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "Copyright 2020 Somebody": None, "the general public may copy this": None,
+    "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this": "MPL-2.0",
+}
+
+
+def test_real_headers(spark, documents):
+    """Wrapped notices and whole licence texts among other lines, weighed over all documents."""
+    prose = [r["text"] for r in documents.filter("text IS NOT NULL").limit(len(CASES)).collect()]
+    files = [(f"src/f{i}.c", f"#!/bin/sh\n\n{case}\n\nimport x\n{prose[i][:300]}") for i, case in enumerate(CASES)]
+    own = spark.createDataFrame(files, "path string, text string")
+    others = documents.select(F.concat(F.lit("docs/"), "doc_id").alias("path"), "text")
+    rows = {r["path"]: r["own_license"] for r in licenses.scan(own.union(others)).filter("path LIKE 'src/%'").collect()}
+    wrong = {case[:60]: (rows[path], name) for (path, _), (case, name) in zip(files, CASES.items()) if rows[path] != name}
+    assert wrong == {}
+
+
 def test_documents_and_odd_rows(documents, odd, empty):
     i = F.coalesce("doc_id", F.lit(0))
     name = F.when(i % 3 == 0, "LICENSE").otherwise(F.concat(i, F.lit(".txt")))
