@@ -3,7 +3,7 @@
 Documents are dealt by ranges of their id, encoded, and laid end to end in blocks of whole
 documents. In each block frequent pairs of symbols are replaced by new symbols, round by round.
 A block stores the pairs (its rules), the length each rule expands to, the remaining sequence,
-and its documents with their lengths. Blocks are rows of a Parquet table, so writing commits and
+the number of ids before every so many symbols of it, and its documents with their lengths. Blocks are rows of a Parquet table, so writing commits and
 repeats like any Spark write.
 """
 
@@ -219,58 +219,91 @@ def find(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 class Block:
     """Reads ids of a block, all or a range."""
 
-    def __init__(self, terminals: int, rules: bytes, lengths: bytes, sequence: bytes, width: int):
+    def __init__(self, terminals: int, rules: bytes, lengths: bytes, sequence: bytes, width: int, marks: bytes = b""):
+        """The buffers are read where they are; nothing is expanded here."""
         self.terminals = terminals
-        self.rules = np.frombuffer(rules, np.uint32).reshape(-1, 2).astype(np.int64)
-        self.lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
-        self.sequence = np.frombuffer(sequence, np.uint16 if width == 2 else np.uint32).astype(np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        pool = np.concatenate((np.arange(terminals, dtype=np.uint32), np.empty(int(self.lengths.sum()), np.uint32)))
-        first = 0
-        # Rules whose symbols are all known by then are laid out together, each from its two parts.
-        whole = np.maximum.accumulate(self.rules.max(axis=1, initial=0)) - terminals
-        while first < len(self.rules):
-            last = int(np.searchsorted(whole, first, side="left"))
-            symbols = self.rules[first:last].ravel()
-            deep = symbols >= terminals
-            begins = symbols.copy()
-            begins[deep] = terminals + self.starts[symbols[deep] - terminals]
-            to = terminals + int(self.starts[first])
-            part = pool[ragged(begins, self._sizes(symbols))]
-            pool[to : to + len(part)] = part
-            first = last
-        self.pool = pool
+        self.rules = np.frombuffer(rules, np.uint32).reshape(-1, 2)
+        self.lengths = np.frombuffer(lengths, np.uint32)
+        self.sequence = np.frombuffer(sequence, np.uint16 if width == 2 else np.uint32)
+        self.marks = np.frombuffer(marks, np.int64) if marks else marks_of(self.sequence, self.lengths, terminals)
+        #: Symbols that `range` has looked at.
+        self.looked_at = 0
 
-    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
-        sizes = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.terminals
-        sizes[rule] = self.lengths[symbols[rule] - self.terminals]
-        return sizes
-
-    def _expand(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def ids(self) -> np.ndarray:
+        """All ids: the rules are laid out once, each from its two parts, then the sequence."""
+        lengths = self.lengths.astype(np.int64)
+        own = np.cumsum(lengths) - lengths
         # Terminals stand before the rules' expansions in one pool of ids.
-        rule = symbols >= self.terminals
-        starts = symbols.copy()
-        starts[rule] = self.terminals + self.starts[symbols[rule] - self.terminals]
-        return self.pool[ragged(starts, sizes)]
+        pool = np.concatenate((np.arange(self.terminals, dtype=np.uint32), np.empty(int(lengths.sum()), np.uint32)))
 
-    def ids(self) -> np.ndarray:
-        return self._expand(self.sequence, self._sizes(self.sequence))
+        def begins(symbols: np.ndarray) -> np.ndarray:
+            at, deep = symbols.copy(), symbols >= self.terminals
+            at[deep] = self.terminals + own[symbols[deep] - self.terminals]
+            return at
+
+        first, rules = 0, self.rules.astype(np.int64)
+        # Rules whose symbols are all known by then are laid out together.
+        whole = np.maximum.accumulate(rules.max(axis=1, initial=0)) - self.terminals
+        while first < len(rules):
+            last = int(np.searchsorted(whole, first, side="left"))
+            symbols = rules[first:last].ravel()
+            to = self.terminals + int(own[first])
+            part = pool[ragged(begins(symbols), sizes_of(symbols, self.lengths, self.terminals))]
+            pool[to : to + len(part)] = part
+            first = last
+        symbols = self.sequence.astype(np.int64)
+        return pool[ragged(begins(symbols), sizes_of(symbols, self.lengths, self.terminals))]
 
     def range(self, first: int, n: int) -> np.ndarray:
-        """`n` ids from place `first`; only the symbols over them are expanded."""
-        sizes = self._sizes(self.sequence)
-        ends = np.cumsum(sizes)
-        low, high = np.searchsorted(ends, first, side="right"), np.searchsorted(ends, first + n, side="left") + 1
-        part = self._expand(self.sequence[low:high], sizes[low:high])
-        skip = first - int(ends[low - 1] if low else 0)
-        return part[skip : skip + n]
+        """`n` ids from place `first`.
+
+        The marks lead to the symbols over them; these are replaced by their two parts, level by
+        level, and a part that ends before the range or begins after it is left out. So as many rules are read as the
+        range has ids, and the way down to its two ends.
+        """
+        low = max(0, int(np.searchsorted(self.marks, first, side="right")) - 1)
+        high = int(np.searchsorted(self.marks, first + n, side="left"))
+        symbols = self.sequence[low * MARK : high * MARK].astype(np.int64)
+        at = int(self.marks[low]) if len(self.marks) else 0
+        while True:
+            self.looked_at += len(symbols)
+            sizes = sizes_of(symbols, self.lengths, self.terminals)
+            ends = at + np.cumsum(sizes)
+            over = (ends > first) & (ends - sizes < first + n)
+            if over.any():
+                at = int((ends - sizes)[over][0])
+            symbols = symbols[over]
+            deep = symbols >= self.terminals
+            if not deep.any():
+                return symbols.astype(np.uint32)
+            parts = np.full((len(symbols), 2), -1, np.int64)
+            parts[:, 0] = symbols
+            parts[deep] = self.rules[symbols[deep] - self.terminals]
+            symbols = parts[parts >= 0]
+
+
+#: Symbols of a sequence between two marks.
+MARK = 2048
+
+
+def sizes_of(symbols: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    sizes = np.ones(len(symbols), np.int64)
+    rule = symbols >= terminals
+    sizes[rule] = lengths[symbols[rule] - terminals]
+    return sizes
+
+
+def marks_of(sequence: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """The number of ids before every `MARK`-th symbol."""
+    sizes = sizes_of(sequence.astype(np.int64), lengths, terminals)
+    return (np.cumsum(sizes) - sizes)[::MARK]
 
 
 def block_schema(id_type: str) -> str:
     return (
         "part int, block int, n_ids bigint, terminals int, doc_ids array<" + id_type + ">, doc_lengths array<bigint>, "
-        "rules binary, lengths binary, width int, sequence binary"
+        "rules binary, lengths binary, width int, sequence binary, marks binary"
     )
 
 
@@ -288,7 +321,7 @@ def encode_blocks(
     """One row per block, in the order of (part, block); documents in ascending order of id.
 
     A block is closed by the document that fills it to `block_ids`, so a task holds one block and
-    one batch of texts, however large its part is. The tokenizer is read by the driver and goes
+    one batch of texts, however large its part is. A document of more ids than that is a block of its own. The tokenizer is read by the driver and goes
     to the tasks.
 
     Null and empty texts have `end_id` only. Null ids come first. Rows of one id are in the order
@@ -322,6 +355,7 @@ def encode_blocks(
                 "lengths": pa.array([lengths.astype(np.uint32).tobytes()], pa.binary()),
                 "width": pa.array([width], pa.int32()),
                 "sequence": pa.array([sequence.astype(np.uint16 if width == 2 else np.uint32).tobytes()], pa.binary()),
+                "marks": pa.array([marks_of(sequence, lengths, encoder.size).tobytes()], pa.binary()),
             }
             return pa.RecordBatch.from_pydict(values)
 

@@ -87,6 +87,23 @@ def test_repair_goes_on_until_no_pair_occurs_twice():
     assert len(token_output.compress(copies.astype(np.uint32), 50_000)[2]) == 18
 
 
+def test_a_range_reads_only_what_it_needs():
+    """A few ids of a long block: the symbols between two marks, and the way down the rules over the range."""
+    draw = np.random.default_rng(3)
+    for ids in (np.minimum(draw.zipf(1.2, 300_000), 40_000), np.tile(draw.integers(0, 40_000, 5000), 60), np.zeros(200_000, int)):
+        ids = ids.astype(np.uint32)
+        rules, lengths, sequence = token_output.compress(ids, 50_000)
+        marks = token_output.marks_of(sequence, lengths, 50_000)
+        parts = [x.astype(np.uint32).tobytes() for x in (rules, lengths, sequence)]
+        block = token_output.Block(50_000, *parts, 4, marks.tobytes())
+        assert block.looked_at == 0 and len(marks) == -(-len(sequence) // token_output.MARK)
+        for first, n in [(0, 1), (len(ids) - 1, 1), (len(ids) // 2, 10), (12_345, 100), (0, 0), (len(ids), 0)]:
+            before = block.looked_at
+            assert block.range(first, n).tolist() == ids[first : first + n].tolist()
+            # Two stretches between marks at most, then two children a level at each end, and the range.
+            assert block.looked_at - before <= 2 * token_output.MARK + 60 * (n + 8)
+
+
 def test_blocks_fold_a_few_copies(spark):
     text = " ".join(f"word{k}" for k in range(300))
     df = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string").coalesce(1)
