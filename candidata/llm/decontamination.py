@@ -247,13 +247,13 @@ def contamination(
     window: int = 80,
     edit_rate: float = 0.08,
     block_chars: int = 2_000_000,
-    least: int | None = None,
+    least: int | None = 60,
 ) -> DataFrame:
     """(doc_id, __text, item_id, n_windows, start, end, edits) of documents that hold benchmark passages.
 
     Items are cut into windows of `window` characters that overlap by half; shorter items are
-    one window. Alone, this grid is sure to meet only passages of 1.5 windows or more. With
-    `least`, windows of so many characters are added at every word start and every eighth
+    one window. Alone, as with a `least` of None, this grid is sure to meet only passages of 1.5 windows or more. With
+    a `least`, windows of so many characters are added at every word start and every eighth
     character of longer words: a passage of `least` characters that begins with a word holds
     one, and one of `least` + 8 characters wherever it begins. A window is found where the text holds it with at most `edit_rate` times its
     length edits, in lower case and with single blanks. One row per document and item: windows
@@ -285,7 +285,10 @@ def contamination(
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **kwargs) -> DataFrame:
-    """The documents in which no benchmark passage is found."""
+    """The documents in which no benchmark passage is found; see `contamination` for the cases.
+
+    Null and empty texts stay, equal rows stay or go together, null ids are ids, all columns are passed on.
+    """
     found = contamination(docs, benchmark, doc_id, text, **kwargs)
     found = found.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash")).distinct()
     return docs.join(

@@ -70,11 +70,11 @@ def test_equals_brute_force(spark, planted):
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = brute(docs, items)
     for blocks in (2_000_000, 300):
-        rows = dec.contamination(df, bench, block_chars=blocks).collect()
+        rows = dec.contamination(df, bench, block_chars=blocks, least=None).collect()
         got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["edits"]) for r in rows}
         assert len(rows) == len(got) and got == expected
     gone = {d for d, _ in expected}
-    kept = sorted(repr(r["doc_id"]) for r in dec.without_benchmark(df, bench).collect())
+    kept = sorted(repr(r["doc_id"]) for r in dec.without_benchmark(df, bench, least=None).collect())
     assert kept == sorted(repr(d) for d, _ in docs if d not in gone)
 
 
@@ -128,7 +128,7 @@ def test_every_start(spark):
     assert [r["doc_id"] for r in dec.without_benchmark(df, bench, least=60).orderBy("doc_id").collect()] == [
         len(passages) + i for i in range(5)
     ]
-    grid = {r["doc_id"] for r in dec.contamination(df, bench).collect()}
+    grid = {r["doc_id"] for r in dec.contamination(df, bench, least=None).collect()}
     assert len(grid) < len(passages) / 2
 
 
