@@ -29,7 +29,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What makes a passage worth a look: a digit, an at sign, or a spelt one.
 TRIGGER = re.compile(r"[0-9@]|[\[({][\x20]?(?:at|dot)[\x20]?[\])}]", re.IGNORECASE)
 TOKEN = re.compile(r"[\[({][\x20]?(?:at|dot)[\x20]?[\])}]|[A-Za-z0-9]+|[^\sA-Za-z0-9]", re.IGNORECASE)
-CONTEXT, GAP, LONGEST = 40, 24, 14
+CONTEXT, GAP, LONGEST = 40, 24, 30
+#: Characters of an example for training that has no span.
+PLAIN = 400
 
 Span = tuple[str, int, int]
 
@@ -262,14 +264,17 @@ def plain_numbers(n: int, seed: int) -> list[tuple[str, list[Span]]]:
 
 
 def samples(text: str) -> list[tuple[str, Span | None]]:
-    """Passages of a text for training: each exact span that stands apart, and what else has triggers."""
+    """Passages of a text for training: each exact span that stands apart, and what else has triggers.
+
+    Of a passage without a span the first `PLAIN` characters are an example; nothing else is cut.
+    """
     spans = exact_spans(text)
     found = []
     for n, (kind, s, e) in enumerate(spans):
         low, high = max(0, s - CONTEXT), min(len(text), e + CONTEXT)
         if not any(m != n and x[1] < high and x[2] > low for m, x in enumerate(spans)):
             found.append((text[low:high], (kind, s - low, e - low)))
-    found += [(text[low : min(high, low + 400)], None) for low, high in passages(text, spans)]
+    found += [(text[low : min(high, low + PLAIN)], None) for low, high in passages(text, spans)]
     return found
 
 
