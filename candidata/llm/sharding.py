@@ -79,13 +79,14 @@ def shard(
 
     The law is `key`: the id and the number of shards decide. `grown_shard` is the place with
     one more shard. `size` is the text's UTF-8 bytes and one. `slot` counts from 0 without gaps
-    in each shard: a shard's rows are dealt by hash to many parts, part totals give offsets, and
-    only the rows of a part meet in a window, so neither a large shard nor an id that many rows
-    share lands in one task.
-
-    Null text: size 1, the checksum of no bytes. A null id is a key like others. Rows of one id
-    share a shard; equal rows get slots of their own. Columns with the name of a result are
-    replaced, others passed on.
+    in each shard: a shard's rows are dealt by hash of id, checksum and size to many parts, part totals give
+    offsets, and only the rows of a part meet in a window, so neither a large shard nor an id with many
+    texts lands in one task. Rows that are equal in all three share a part, however many there are: they are
+    numbered in one task, as a sort that spills.
+
+    Null text: size 1, the checksum of no bytes. A null id is a key like others. Very long texts are read
+    once for their size and checksum. Rows of one id share a shard; equal rows get slots of their own.
+    Columns with the name of a result are replaced, others passed on. An empty table gives an empty result.
     """
     rows = without(docs, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     utf8 = F.coalesce(F.col(text), F.lit("")).cast("binary")

@@ -13,7 +13,12 @@ from candidata.operators.positions import running_total
 
 
 def encoded_lengths(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., n_tokens) for every document: ids of the whole text, without an end id."""
+    """(keep..., n_tokens) for every document: ids of the whole text, without an end id.
+
+    Null and empty texts have no ids. Every row counts, equal ones each. Texts are encoded whole, however
+    long. A kept column called n_tokens gives way to the result; other columns are not read. An empty
+    table gives an empty result.
+    """
     tokenizer = read_tokenizer(tokenizer_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
