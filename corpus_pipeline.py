@@ -13,7 +13,11 @@ from candidata.llm import decontamination, mixing, quality_rules, sharding, simh
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose the lines that too many documents share."""
+    """Rejected documents go; the others lose the lines that too many documents share.
+
+    Null, empty and blank texts are rejected, as all texts under 50 words are. Equal rows stay or go together; null
+    ids and sources are values. All columns are passed on, `text` and `n_chars` anew.
+    """
     judged = quality_rules.judge(docs).filter("kept")
     text = F.col("clean_text").alias("text")
     n_chars = F.char_length("clean_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
@@ -21,23 +25,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: that of the smallest id, one of equal rows.
+
+    A null id stays only where its group has no other. All columns are passed on.
+    """
     return simhash_index.keep_one(docs).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and empty texts and items hold nothing; equal rows stay or go together. An empty benchmark keeps all.
+    All columns are passed on.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.without_benchmark(docs, benchmark, least=60)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares; a document may stand in the mix twice."""
+    """Sources in their target shares; a document may stand in the mix twice.
+
+    A null source is a source. Documents without words are not in the mix. All columns are passed on.
+    """
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row."""
+    """Shard and slot of every row, copies and equal rows included; columns of these names are replaced.
+
+    Very long texts go through all stages whole; an empty table gives an empty one after each.
+    """
     return sharding.shard(docs)
 
 
