@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candidata.cluster import written
+from candidata.functions.binding import bind
 from candidata.llm.common import computed, same, without, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+#: Seeds of the sketch that tells near copies from texts that share a line only.
+SEEDS = (1, 2, 3)
 LINES = ("n_shared_lines", "n_shared_words", "clean_text", "kept")
 
 
@@ -69,37 +72,66 @@ def base_statistics(docs: DataFrame, text: str = "text", min_words: int = 50, re
 
 
 def normalised_lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """One row per non-blank line: keys of its document, place, hash, number of words.
+    """One row per non-blank line: keys of its document, place, hash, number of words, and the
+    document's sketch (see `sketch`).
 
     Lines are compared in lower case with single blanks.
     """
     flat = F.lower(F.regexp_replace(F.col(text), r"[\x20\x09\x0B-\x0D]+", " "))
+    lines = F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
     rows = docs.select(
-        F.col(doc_id).alias("__doc"),
-        F.col(host).alias("__host"),
-        F.xxhash64(text).alias("__text"),
-        F.posexplode(F.split(flat, "\n")).alias("__place", "__line"),
+        F.col(doc_id).alias("__doc"), F.col(host).alias("__host"), F.xxhash64(text).alias("__text"), lines.alias("__lines")
     )
-    line = F.trim("__line")
-    n_words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return rows.filter(line != "").select(
-        "__doc", "__host", "__text", "__place", F.xxhash64(line).alias("__line"), n_words.alias("__n")
+    rows = computed(rows, __sketch=sketch(F.filter("__lines", lambda x: x != "")))
+    rows = rows.select("__doc", "__host", "__text", "__sketch", F.posexplode("__lines").alias("__place", "__line"))
+    n_words = F.length("__line") - F.length(F.replace("__line", F.lit(" "), F.lit(""))) + 1
+    return rows.filter("__line != ''").select(
+        "__doc", "__host", "__text", "__place", F.xxhash64("__line").alias("__line"), n_words.alias("__n"), "__sketch"
     )
 
 
-def shared_lines(lines: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """Host and hash of lines that stand in at least `min_docs` different documents of the
-    host and in more than this share of them. Documents of equal text are one document, so
-    that a group of copies does not condemn its own text.
+def sketch(lines: Column) -> Column:
+    """For each seed, the line of least hash (`first`, its hash `h`) and the hash of the next one (`next`).
+
+    Texts that share most of their lines mostly have the same, others hardly ever.
     """
-    hosts = lines.groupBy("__host").agg(F.count_distinct("__text").alias("__docs"))
-    found = lines.groupBy("__host", "__line").agg(F.count_distinct("__text").alias("__in"))
-    found = found.filter(F.col("__in") >= min_docs)
-    return (
-        found.join(hosts, same(found, hosts, "__host"))
-        .filter(F.col("__in") > share * F.col("__docs"))
-        .select(found["__host"], "__line")
+
+    def hashed(seed: int) -> Column:
+        return F.transform(
+            lines, lambda x: F.struct(F.substring(F.md5(F.concat(x, F.lit(f"#{seed}"))), 1, 15).alias("h"), F.xxhash64(x).alias("id"))
+        )
+
+    def least(each: Column) -> Column:
+        def two(first: Column) -> Column:
+            others = F.filter(each, lambda x: x["h"] != first["h"])
+            return F.struct(first["id"].alias("first"), first["h"].alias("h"), F.array_min(others)["h"].alias("next"))
+
+        return bind(F.array_min(each), two)
+
+    return F.array(*[bind(hashed(seed), least) for seed in SEEDS])
+
+
+def shared_lines(lines: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """`keys` of the lines that stand in at least `min_docs` different texts, near copies being one.
+
+    Texts are grouped by the line of least hash that they have beside this one: near copies fall into
+    one group, texts with nothing else in common into groups of their own. With n texts in groups of c, the
+    line stands in n * n / sum(c * c) independent texts, which has to reach the limit for most seeds. So neither
+    a group of copies nor one of near copies condemns its own lines, and the limit is the same for a host of any size.
+    """
+    found = lines.groupBy(*keys).agg(F.count_distinct("__text").alias("__in")).filter(F.col("__in") >= min_docs)
+    found = written(found.select(keys), "found")
+    holders = lines.join(found, same(lines, found, *keys), "left_semi").select(
+        *keys, "__line", "__text", F.posexplode("__sketch").alias("__seed", "__s")
+    )
+    kin = F.when(F.col("__s.first") == F.col("__line"), F.col("__s.next")).otherwise(F.col("__s.h"))
+    holders = holders.select(*[F.col(k) for k in keys], "__seed", "__text", kin.alias("__kin")).distinct()
+    groups = holders.groupBy(*keys, "__seed", "__kin").agg(F.count(F.lit(1)).alias("__c"))
+    spread = groups.groupBy(*keys, "__seed").agg(
+        (F.sum("__c") * F.sum("__c") >= min_docs * F.sum(F.col("__c") * F.col("__c"))).alias("__wide")
     )
+    wide = spread.groupBy(*keys).agg(F.count_if("__wide").alias("__n_wide"))
+    return written(wide.filter(2 * F.col("__n_wide") > len(SEEDS)).select(keys), "shared")
 
 
 def judge(
@@ -108,13 +140,14 @@ def judge(
     text: str = "text",
     host: str = "source",
     min_docs: int = 10,
-    share: float = 0.05,
+    long_line: int = 50,
     depleted_percent: int = 50,
 ) -> DataFrame:
     """Add the base statistics, what the shared lines take away, the text without them, and `kept`.
 
-    A document is rejected if it fails the base rules, or if lines shared by too many
-    documents of its host hold more than `depleted_percent` of its words.
+    A line goes if it stands in at least `min_docs` independent texts (see `shared_lines`) of its host, or,
+    with `long_line` words or more, of all hosts. A document is rejected if it fails the base rules, or if
+    such lines hold more than `depleted_percent` of its words.
 
     Line hashes are written once. Documents are counted per host and line with a count
     that combines before the shuffle; a line that a third of all documents have only meets
@@ -126,8 +159,12 @@ def judge(
     """
     docs = without(docs, *LINES)
     lines = written(normalised_lines(docs, doc_id, text, host), "lines")
-    shared = shared_lines(lines, min_docs, share)
-    hits = lines.join(shared, same(lines, shared, "__host", "__line"), "left_semi")
+    shared = shared_lines(lines, ["__host", "__line"], min_docs)
+    everywhere = shared_lines(lines.filter(F.col("__n") >= long_line), ["__line"], min_docs)
+    narrow = lines.drop("__sketch")
+    hits = narrow.join(shared, same(narrow, shared, "__host", "__line"), "left_semi").unionByName(
+        narrow.join(everywhere, same(narrow, everywhere, "__line"), "left_semi")
+    )
     # Sets, as equal rows bring the same lines again.
     removed = hits.groupBy("__doc", "__host", "__text").agg(
         F.collect_set(F.struct("__place", "__n")).alias("__removed")

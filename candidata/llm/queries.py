@@ -63,15 +63,29 @@ WITH d AS (
     SELECT doc_id, source, text,
            trim(unnest(string_split(lower(regexp_replace(t, '[\x20\x09\x0B-\x0D]+', ' ', 'g')), chr(10))), ' ') AS line
     FROM d) WHERE line <> ''
-), hosts AS (
-  SELECT source, count(DISTINCT text) AS n_docs FROM lines GROUP BY source
+), held AS (
+  SELECT DISTINCT source, text, line, length(line) - length(replace(line, ' ', '')) + 1 AS n FROM lines
+), hashed AS (
+  SELECT text, line, seed, substr(md5(line || '#' || seed), 1, 15) AS h
+  FROM (SELECT DISTINCT text, line FROM held), (VALUES (1), (2), (3)) AS s(seed)
+), firsts AS (
+  SELECT text, seed, min(h) AS h, arg_min(line, h) AS line, list_sort(list(h))[2] AS next FROM hashed GROUP BY ALL
+), limits AS (
+  SELECT source, true AS of_host, line FROM held GROUP BY source, line HAVING count(*) >= 10
+  UNION ALL SELECT NULL, false, line FROM held WHERE n >= 50 GROUP BY line HAVING count(DISTINCT text) >= 10
+), kin AS (
+  SELECT DISTINCT l.source, of_host, l.line, f.seed, h.text, CASE WHEN f.line = l.line THEN f.next ELSE f.h END AS kin
+  FROM limits l JOIN held h ON l.line = h.line AND (NOT of_host OR l.source IS NOT DISTINCT FROM h.source)
+  JOIN firsts f ON f.text = h.text
+), spread AS (
+  SELECT source, of_host, line, seed, sum(c) * sum(c) >= 10 * sum(c * c) AS wide FROM (
+    SELECT source, of_host, line, seed, kin, count(*) AS c FROM kin GROUP BY ALL) GROUP BY source, of_host, line, seed
 ), shared AS (
-  SELECT l.source, line FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, line, n_docs
-  HAVING count(DISTINCT text) >= 10 AND count(DISTINCT text) > 0.05 * n_docs
+  SELECT source, of_host, line FROM spread GROUP BY ALL HAVING count(*) FILTER (wide) >= 2
 ), removed AS (
-  SELECT doc_id, count(*) AS n_lines, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1) AS n_words
-  FROM lines l JOIN shared s ON l.line = s.line AND l.source IS NOT DISTINCT FROM s.source GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_lines, sum(length(line) - length(replace(line, ' ', '')) + 1) AS n_words
+  FROM lines l WHERE EXISTS (SELECT 1 FROM shared s WHERE s.line = l.line AND (NOT s.of_host OR l.source IS NOT DISTINCT FROM s.source))
+  GROUP BY doc_id
 ), stats AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,

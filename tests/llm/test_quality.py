@@ -53,7 +53,7 @@ def hosts(spark):
 
 
 def test_shared_lines(hosts):
-    rows = {r["doc_id"]: r for r in quality_rules.judge(hosts, share=0.5).collect()}
+    rows = {r["doc_id"]: r for r in quality_rules.judge(hosts).collect()}
     for i in range(30):
         assert (rows[i]["n_shared_lines"], rows[i]["n_shared_words"], rows[i]["kept"]) == (1, 5, True)
         assert rows[i]["clean_text"].split("\n") == [x for x in rows[i]["text"].split("\n") if "NEWS" not in x]
@@ -69,3 +69,26 @@ def test_no_python_and_no_text_in_shuffles(documents):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert df.agg(F.count("*")).first()[0] == documents.count()
+
+
+def test_limits_do_not_depend_on_the_size_of_a_host(spark):
+    """A line in 26 of 60 and in 26 of 900 texts of a host goes; one in 6 stays, and one that near copies share."""
+    word = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    body = lambda i: [word(10 * i + k) for k in range(6)]
+    rows = []
+    for host, n in (("small", 60), ("large", 900)):
+        for i in range(n):
+            lines = body(len(rows)) + (["a line of many texts"] if i < 26 else []) + (["a line of six texts"] if i % (n // 6) == 0 else [])
+            rows.append((len(rows), "\n".join(lines), host))
+    base = body(5000)
+    # Near copies: one of their lines is another in each.
+    for i in range(200):
+        rows.append((len(rows), "\n".join(base[: i % 6] + [word(90_000 + i)] + base[i % 6 + 1 :]), "small"))
+    long = " ".join(f"long{k}" for k in range(55))
+    for i in range(12):
+        rows.append((len(rows), "\n".join(body(7000 + i) + [long, f"short line {i % 2}"]), f"host{i}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    lost = {r["doc_id"]: set((r["text"]).split("\n")) - set(r["clean_text"].split("\n")) for r in quality_rules.judge(df).collect()}
+    for i, (_, text, host) in enumerate(rows):
+        expected = {x for x in text.split("\n") if x in ("a line of many texts", long)}
+        assert lost[i] == expected, (i, host, lost[i])
