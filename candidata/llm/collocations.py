@@ -34,9 +34,11 @@ MAP_BITS = 1 << 24
 BUCKET = 1 << 15
 LONGEST = 5
 #: Text bytes that are split at once, and word numbers in a block; a longer piece stays whole.
-SLICE_BYTES, BLOCK = 1 << 22, 1 << 20
+SLICE_BYTES, BLOCK = 1 << 22, 1 << 18
 #: Places of a block that are looked at together.
 PLACES = 1 << 18
+#: The end of a piece, where places in the list of words have 16 bits.
+STOP = (1 << 16) - 1
 #: Frequencies of first words in one class differ by at most this factor.
 CLASS = 256
 GRAMS = "lang string, gram array<bigint>, kind int, key bigint, f bigint"
@@ -85,9 +87,9 @@ def _blocks(ids: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def corpus_blocks(docs: DataFrame, text: str, lang: str, seed: int, hash_words: Callable) -> DataFrame:
-    """(lang, words, hashes, counts, ids): runs of pieces of one language.
+    """(lang, words, hashes, counts, width, ids): runs of pieces of one language.
 
-    `ids` holds 32-bit places in the lists of different words, -1 at the end of every piece.
+    `ids` holds places in the lists of different words, of `width` bytes, and an end of every piece.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +107,8 @@ def corpus_blocks(docs: DataFrame, text: str, lang: str, seed: int, hash_words:
                         used = np.flatnonzero(found)
                         if not len(used):
                             continue
-                        place = np.full(len(words) + 1, -1, np.int32)
+                        kind, stop = (np.uint16, STOP) if len(used) < STOP else (np.int32, -1)
+                        place = np.full(len(words) + 1, stop, kind)
                         place[used] = np.arange(len(used))
                         mine = words.take(pa.array(used)).cast(pa.string())
                         hashes = np.array(hash_words(mine.to_pylist(), name, seed), np.uint64).view(np.int64)
@@ -116,9 +119,10 @@ def corpus_blocks(docs: DataFrame, text: str, lang: str, seed: int, hash_words:
                                 pa.ListArray.from_arrays(one, mine),
                                 pa.ListArray.from_arrays(one, pa.array(hashes)),
                                 pa.ListArray.from_arrays(one, pa.array(found[used].astype(np.int64))),
+                                pa.array([place.itemsize], pa.int32()),
                                 pa.array([place[block].tobytes()], pa.binary()),
                             ],
-                            names=["lang", "words", "hashes", "counts", "ids"],
+                            names=["lang", "words", "hashes", "counts", "width", "ids"],
                         )
                 pa.default_memory_pool().release_unused()
 
@@ -126,7 +130,7 @@ def corpus_blocks(docs: DataFrame, text: str, lang: str, seed: int, hash_words:
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("__lang"),
         F.concat(F.coalesce(text, F.lit("")), F.lit("\n")).alias("__text"),
     )
-    schema = "lang string, words array<string>, hashes array<bigint>, counts array<bigint>, ids binary"
+    schema = "lang string, words array<string>, hashes array<bigint>, counts array<bigint>, width int, ids binary"
     return written(rows.mapInArrow(cut, schema), "blocks")
 
 
@@ -141,6 +145,15 @@ def read_corpus(docs: DataFrame, text: str, lang: str, hash_words: Callable) ->
             return blocks, words
 
 
+def read_places(ids: pa.Scalar, width: int) -> np.ndarray:
+    """The places of a block, -1 at the end of a piece."""
+    if width == 4:
+        return np.frombuffer(ids.as_buffer(), np.int32)
+    places = np.frombuffer(ids.as_buffer(), np.uint16).astype(np.int32)
+    places[places == STOP] = -1
+    return places
+
+
 # ---- bit maps
 
 
@@ -233,15 +246,15 @@ def _pass(blocks: DataFrame, maps: dict[str, np.ndarray], use: Callable[[Block,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, hashes, ids = batch.columns
+            langs, hashes, widths, ids = batch.columns
             for i in range(batch.num_rows):
-                block = Block(langs[i].as_py(), hashes[i].values.to_numpy(), np.frombuffer(ids[i].as_buffer(), np.int32))
+                block = Block(langs[i].as_py(), hashes[i].values.to_numpy(), read_places(ids[i], widths[i].as_py()))
                 use(block, sent.value)
                 yield from block.found
                 del block
                 pa.default_memory_pool().release_unused()
 
-    rows = blocks.select("lang", "hashes", "ids").mapInArrow(run, GRAMS)
+    rows = blocks.select("lang", "hashes", "width", "ids").mapInArrow(run, GRAMS)
     return rows.groupBy("lang", "gram", "kind").agg(F.min("key").alias("key"), F.sum("f").alias("f"))
 
 

@@ -137,6 +137,15 @@ def test_scores_are_exact_beyond_64_bits(spark):
     assert row["bound"] == 1000 * big * 10**16 // ((big + 7) * (big + 11)) and row["exact"]
 
 
+def test_blocks_of_many_words(spark, monkeypatch):
+    """Places of four bytes where a block has more different words than two bytes can tell."""
+    rows = [(" ".join(f"v{i}x{k}" for k in range(400)) + ". ra rb, rc", "en") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    blocks, _ = collocations.read_corpus(df, "text", "lang", collocations.hashed_words)
+    assert {r["width"] for r in blocks.select("width").collect()} == {4}
+    assert got(collocations.collocations(df, min_count=100, top=9)) == brute(rows, 100, 9)
+
+
 def test_blocks_end_between_pieces(monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK", 4)
     ids = np.array([1, 2, 3, -1, 4, -1, 5, 6, 7, 8, 9, 10, -1, -1, 2, -1])
