@@ -240,8 +240,8 @@ class Block:
         )
 
 
-def _pass(blocks: DataFrame, maps: dict[str, np.ndarray], use: Callable[[Block, dict], None]) -> DataFrame:
-    """(lang, gram, kind, key, f): what `use` tallies over all blocks."""
+def _pass(blocks: DataFrame, maps: dict[str, np.ndarray], use: Callable[[Block, dict], None], least: int = 1) -> DataFrame:
+    """(lang, gram, kind, key, f): what `use` tallies over all blocks, stored, from `least` occurrences on."""
     sent = blocks.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,11 @@ def _pass(blocks: DataFrame, maps: dict[str, np.ndarray], use: Callable[[Block,
                 pa.default_memory_pool().release_unused()
 
     rows = blocks.select("lang", "hashes", "width", "ids").mapInArrow(run, GRAMS)
-    return rows.groupBy("lang", "gram", "kind").agg(F.min("key").alias("key"), F.sum("f").alias("f"))
+    rows = rows.groupBy("lang", "gram", "kind").agg(F.min("key").alias("key"), F.sum("f").alias("f"))
+    found = written(rows.filter(F.col("f") >= least), "grams")
+    # The result is stored, so nobody will ask for the maps again.
+    sent.destroy()
+    return found
 
 
 def grow(length: int) -> Callable[[Block, dict], None]:
@@ -414,9 +418,9 @@ class Search:
         return rows.filter(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).drop("least")
 
     def counts(self) -> DataFrame:
-        """(lang, gram, f) of all words and phrases counted so far."""
+        """(lang, gram, f) of all words and phrases counted so far, each once."""
         words = self.words.select("lang", F.array("h").alias("gram"), "f")
-        return _union([words, *[t.select("lang", "gram", "f") for t in self.phrases + self.extra]]).distinct()
+        return written(_union([words, *self.phrases, *self.extra]).distinct(), "counts")
 
     def unexpanded(self) -> DataFrame:
         return self.words.join(_union(self.roots), ["lang", "h"], "left_anti")
@@ -429,54 +433,57 @@ class Search:
         self.roots.append(roots)
         self.maps |= {"roots": bit_map(roots, "h"), "unexpanded": bit_map(self.unexpanded(), "h")}
         for length in range(1, LONGEST):
-            found = _pass(self.blocks, self.maps, grow(length)).filter(F.col("f") >= self.min_count)
-            found = found.withColumn("h", F.get("gram", F.lit(0))).join(roots, ["lang", "h"], "left_semi")
-            found = written(found.select("lang", "gram", "f", "key"), "phrases")
+            # False hits of the map of roots are phrases of other words, counted in full as well.
+            found = _pass(self.blocks, self.maps, grow(length), self.min_count)
             if found.isEmpty():
                 return
-            self.phrases.append(found.drop("key"))
+            self.phrases.append(found.select("lang", "gram", "f"))
             self.maps["phrases"] = self.maps["phrases"] | bit_map(found, "key")
 
-    def contenders(self) -> DataFrame:
-        """Phrases not settled that may be in a list, without those known to be inside another."""
-        phrases = _union(self.phrases)
-        rows = self.worth_it(scored(phrases, self.counts(), self.totals))
+    def contenders(self, counts: DataFrame) -> DataFrame:
+        """Phrases not settled that may be in a list, without those known to be inside another; stored."""
+        rows = self.worth_it(scored(_union(self.phrases).distinct(), counts, self.totals))
         if self.settled:
             rows = rows.join(_union(self.settled).select("lang", "gram"), ["lang", "gram"], "left_anti")
-        rows = rows.join(_within(phrases), ["lang", "gram"], "left")
-        return rows.filter(F.col("longer").isNull() | (F.col("longer") < F.col("f"))).drop("longer")
+        rows = rows.join(_within(counts), ["lang", "gram"], "left")
+        rows = rows.filter(F.col("longer").isNull() | (F.col("longer") < F.col("f")))
+        return written(rows.drop("longer"), "contenders")
 
     def settle(self) -> None:
         """Settle the contenders with the best bounds, about twice as many as a list holds, then
         those that can still enter a list."""
-        rows = written(self.contenders(), "contenders")
+        counts = self.counts()
+        rows = self.contenders(counts)
         by_bound = Window.partitionBy("lang").orderBy(F.desc("bound"))
         best = rows.select("lang", "bound", F.row_number().over(by_bound).alias("__i"))
         best = best.filter(F.col("__i") <= 2 * self.top).groupBy("lang").agg(F.min("bound").alias("__cut"))
-        rows = written(rows.join(best, "lang"), "contenders")
-        self.settle_all(rows.filter("bound >= __cut").drop("__cut"))
-        self.settle_all(self.worth_it(rows.filter("bound < __cut").drop("__cut")))
+        rows = rows.join(written(best, "cut"), "lang")
+        self.settle_all(rows.filter("bound >= __cut").drop("__cut"), counts)
+        self.settle_all(self.worth_it(rows.filter("bound < __cut").drop("__cut")), counts)
 
-    def settle_all(self, rows: DataFrame) -> None:
+    def settle_all(self, rows: DataFrame, counts: DataFrame) -> None:
         """Count what is missing for these contenders, drop those inside a longer phrase, and find
         the least score of each list anew."""
-        rows = written(rows, "contenders")
         if rows.isEmpty():
             return
         tails = F.transform(F.sequence(F.lit(2), F.size("gram") - 1), lambda k: F.slice("gram", k, LONGEST))
         wanted = rows.filter(~F.col("exact")).select("lang", F.explode(tails).alias("gram")).distinct()
-        wanted = written(wanted.join(self.counts(), ["lang", "gram"], "left_anti"), "wanted")
+        wanted = written(wanted.join(counts, ["lang", "gram"], "left_anti"), "wanted")
         # A phrase of the greatest length is inside no other.
         open_ = rows.filter(F.size("gram") < LONGEST).select("lang", "gram")
         roles = _roles(wanted.withColumn("role", F.lit(0)).union(open_.withColumn("role", F.lit(1))))
         of_role = bit_maps(roles, "key", "role")
         maps = {name: of_role[i] for i, name in enumerate(("wanted", "contend", "path", "first"))}
-        seen = written(_pass(self.blocks, maps | {"frequent": self.maps["frequent"]}, look), "seen")
-        of_rest = seen.filter("kind = 0").select("lang", "gram", "f")
-        self.extra.append(written(of_rest.join(wanted, ["lang", "gram"], "left_semi"), "rests"))
+        seen = _pass(self.blocks, maps | {"frequent": self.maps["frequent"]}, look)
         before = seen.filter("kind = 1").select("lang", F.slice("gram", 2, LONGEST).alias("gram"), "f")
         before = before.groupBy("lang", "gram").agg(F.max("f").alias("longer"))
-        new = scored(rows.select("lang", "gram", "f"), self.counts(), self.totals)
+        new = rows
+        if not wanted.isEmpty():
+            of_rest = seen.filter("kind = 0").select("lang", "gram", "f")
+            rests = written(of_rest.join(wanted, ["lang", "gram"], "left_semi"), "rests")
+            self.extra.append(rests)
+            exact = scored(rows.filter(~F.col("exact")).select("lang", "gram", "f"), counts.union(rests), self.totals)
+            new = rows.filter("exact").unionByName(exact)
         new = new.join(before, ["lang", "gram"], "left")
         kept = F.col("longer").isNull() | (F.col("longer") < F.col("f"))
         self.settled.append(written(new.withColumn("kept", kept).drop("longer"), "settled"))
@@ -493,7 +500,7 @@ class Search:
         if not self.unexpanded().isEmpty():
             self.settle()
             return self.worth_it(_union(self.settled).filter("kept").drop("kept"))
-        rows = self.contenders()
+        rows = self.contenders(self.counts())
         if self.settled:
             rows = rows.unionByName(_union(self.settled).filter("kept").drop("kept"))
         return self.worth_it(rows)
