@@ -80,8 +80,8 @@ def _holding(index: DataFrame, term: str) -> DataFrame:
     places = sorted({*range(0, last + 1, GRAM), last})
     wanted = [(term[p : p + GRAM], p) for p in places]
     is_gram = lambda g: F.col("gram") == g if len(g) == GRAM else F.col("gram").startswith(g)
-    at_bucket = F.col("bucket").isin(*{ord(g[0]) % BUCKETS for g, _ in wanted})
-    hits = [(at_bucket & is_gram(g), p) for g, p in wanted]
+    # The bucket of a constant is a constant, by which folders are left out.
+    hits = [((F.col("bucket") == _bucket(F.lit(g))) & is_gram(g), p) for g, p in wanted]
     rows = index.filter(reduce(lambda a, b: a | b, [h for h, _ in hits]))
     offsets = F.array_compact(F.array(*[F.when(h, F.lit(p)) for h, p in hits]))
     # A run that stands twice in the term is there at each of its distances.

@@ -15,7 +15,7 @@ def order():
 
 def people(n=600):
     draw = random.Random(5)
-    some = ["Ann", "bob", "Größe", "日本語 x", "", None, "aaaa", "aaa a", "o'Neil %_", "tab\there"]
+    some = ["Ann", "bob", "Größe", "日本語 x", "", None, "aaaa", "aaa a", "o'Neil %_", "tab\there", "x😀y z"]
     return [(i, draw.choice(some), draw.choice(some), draw.random() if i % 3 else None) for i in range(n)]
 
 
@@ -33,6 +33,7 @@ def grid(spark):
         ([], 0, 10), ([], 595, 20), ([], 100, None), ([], 700, 5), ([], 0, 0), (["ANN"], 0, 7), (["ann", "bob"], 3, 5), (["größe"], 0, None),
         (["本語 x"], 2, 9), (["aaa"], 0, None), (["aaaa"], 1, 3), (["a a"], 0, 4), (["a"], 10, 10), (["l "], 0, None), (["%_"], 0, 3),
         (["no such"], 0, 5), (["0.1"], 0, 5), (["", "bob"], 0, 3), (["ann ann"], 0, 9), (["\there"], 0, 2), (["7"], 5, 5),
+        (["😀y"], 1, 4), (["😀"], 0, None), (["x😀y z"], 0, 3),
     ],
 )
 def test_pages(spark, grid, terms, offset, limit):
