@@ -202,7 +202,8 @@ def check_requirements(
 def found_terms(
     described: DataFrame, applications: DataFrame, jobs: DataFrame, request: str, keep: tuple[str, ...]
 ) -> DataFrame:
-    """(keep, request, found): the places in `requirements` of the terms that a candidate's text holds.
+    """(keep, request, found, listed): the places in `requirements` of the terms that a candidate's text holds,
+    and these requirements.
 
     For jobs with thousands of terms. All terms of all jobs make one index by first word, which the text of a
     candidate meets once, however many jobs and terms there are; its hits then meet the terms of the jobs applied for
@@ -210,7 +211,7 @@ def found_terms(
     """
     places = jobs.select(request, F.posexplode("requirements").alias("_at", "_r"))
     terms = places.filter(~F.col("_r.kind").isin(*SINGLE_KINDS)).select(
-        request, "_at", F.trim("_r.needle").alias("_term")
+        request, "_at", "_r", F.trim("_r.needle").alias("_term")
     )
     terms = terms.filter("_term <> ''")
     index = phrase_index(terms, F.split("_term", " "))
@@ -218,7 +219,37 @@ def found_terms(
     hits = phrase_hits(described, list(keep), words, index, longest_phrase(index)).distinct()
     met = applications.select(*keep, request).join(hits, list(keep))
     met = met.join(terms.withColumnRenamed("_term", "_phrase"), [request, "_phrase"])
-    return met.groupBy(*keep, request).agg(F.array_sort(F.collect_set("_at")).alias("found"))
+    return met.groupBy(*keep, request).agg(
+        F.array_sort(F.collect_set("_at")).alias("found"), F.array_sort(F.collect_set("_r")).alias("listed")
+    )
+
+
+def without_terms(jobs: DataFrame, *keep: str) -> DataFrame:
+    """(keep, requirements, n_required): of the requirements only those that are no terms of a text, and how many
+    of all are gaps where they are not found.
+
+    For jobs with thousands of terms: a pair then holds what it found, not every term of its job.
+    """
+    singles = F.filter("requirements", lambda r: r["kind"].isin(*SINGLE_KINDS))
+    required = F.size(F.filter("requirements", lambda r: r["kind"] != "nice_to_have")).cast("bigint")
+    return jobs.select(*keep, singles.alias("requirements"), required.alias("n_required"))
+
+
+def with_found(pairs: DataFrame, listed: str = "listed", out: str = "found") -> DataFrame:
+    """Add the requirements that `found_terms` has listed to those of `without_terms`, and their places, for
+    `check_requirements`."""
+    both = F.concat("requirements", F.coalesce(F.col(listed), F.array().cast(REQUIREMENT)))
+    # The position comes first in a requirement.
+    merged = pairs.withColumn("requirements", F.array_sort(both))
+    is_term = lambda i: ~F.get("requirements", i)["kind"].isin(*SINGLE_KINDS)
+    every = F.when(F.size("requirements") > 0, F.sequence(F.lit(0), F.size("requirements") - 1))
+    return merged.withColumn(out, F.filter(every, is_term))
+
+
+def count_gaps(checked: DataFrame, checks: str = "checks", out: str = "n_gaps") -> DataFrame:
+    """Add the number of gaps from `n_required` of `without_terms`: the length `key_gaps` has over all checks."""
+    met = F.size(F.filter(checks, lambda c: c["found"] & (c["kind"] != "nice_to_have")))
+    return checked.withColumn(out, F.col("n_required") - met)
 
 
 def match_requirements(checked: DataFrame, *keys: str) -> DataFrame:

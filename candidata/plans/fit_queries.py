@@ -171,12 +171,14 @@ def _(spark, d):
     able = clean_candidates(spark, d).filter("success").drop("r_regionkey")
     described = written(matching.describe(able, F.lit(AS_OF_DAY), keep=("candidate_id",)), "described")
     found = matching.found_terms(described, people, jobs, "job_id", ("candidate_id",))
+    found = found.drop("found")
     pairs = described.join(people, "candidate_id").join(found, ["candidate_id", "job_id"], "left")
-    pairs = matching.pair_candidates(pairs, jobs.select("job_id", "requirements"), "job_id")
-    listed = matching.collect_matches(matching.check_requirements(pairs, found="found"))
+    # A pair holds what it found: a job has a term for every customer, and a list for each pair is their square.
+    pairs = matching.with_found(matching.pair_candidates(pairs, matching.without_terms(jobs, "job_id"), "job_id"))
+    listed = matching.count_gaps(matching.collect_matches(matching.check_requirements(pairs, found="found")))
     return listed.select(
         "job_id", "candidate_id", F.size("key_matches").cast("bigint").alias("n_matches"),
-        F.size("key_gaps").cast("bigint").alias("n_gaps"), F.array_join("key_matches", "|").alias("key_matches"),
+        "n_gaps", F.array_join("key_matches", "|").alias("key_matches"),
     )
 
 

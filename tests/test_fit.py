@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from candidata.functions.text import search_text
 from candidata.inference.prompts import fit_instructions, option_texts
 from candidata.operators import matching, ranking
 from candidata.operators.admission import validate_weights
@@ -116,3 +117,27 @@ def test_missing_years_do_not_meet_a_minimum(spark):
     )
     check = matching.check_requirements(pairs).first()["checks"][0]
     assert (check["found"], check["label"]) == (False, "Lacks minimum experience requirement (5 years)")
+
+
+def test_pairs_hold_what_they_found(spark):
+    """Jobs with many terms: counts, matches and gaps are those of all checks, and no pair lists every term."""
+    terms = [f"word{n} of" for n in range(400)] + ["of", "word7", "word7"]
+    jobs = matching.requirements(
+        spark.createDataFrame(
+            [(1, terms, "2", ["of", "rare thing"], "Law"), (2, ["nothing"], None, [], None), (3, [], None, None, None)],
+            "job long, required_skills array<string>, min_experience string, nice_to_have array<string>, edu_requirements string",
+        )
+    )
+    people = [(1, "word1 of word2 of word399 of", 3.0), (2, "", None), (3, "rare thing word7 nothing", 1.0)]
+    described = spark.createDataFrame(people, "id long, text string, years double").select(
+        "id", "years", search_text(F.col("text")).alias("search_text"), F.array().cast("array<struct<degree:string>>").alias("education")
+    )
+    sent = spark.createDataFrame([(i, j) for i in (1, 2, 3) for j in (1, 2, 3)], "id long, job long")
+    found = matching.found_terms(described, sent, jobs, "job", ("id",)).drop("found")
+    pairs = described.join(sent, "id").join(found, ["id", "job"], "left")
+    pairs = matching.with_found(matching.pair_candidates(pairs, matching.without_terms(jobs, "job"), "job"))
+    few = matching.count_gaps(matching.collect_matches(matching.check_requirements(pairs, found="found")))
+    every = matching.collect_matches(matching.check_requirements(matching.pair_candidates(described.join(sent, "id"), jobs, "job")))
+    got = {(r["id"], r["job"]): (r["key_matches"], r["n_gaps"]) for r in few.collect()}
+    assert got == {(r["id"], r["job"]): (r["key_matches"], len(r["key_gaps"])) for r in every.collect()}
+    assert max(len(r["checks"]) for r in few.collect()) < 10
