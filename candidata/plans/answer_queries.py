@@ -231,7 +231,9 @@ def _(spark, d):
     """Options as lists give what their comma-separated twins give."""
     texts, lists = part_options(spark, d), _listed_options(spark, d)
     found = []
+    # What is made of a row is far larger than the row, so the rows are dealt by the key of the join before.
     for options, name in ((texts, "texts"), (lists, "lists")):
+        options = options.repartition("job_id")
         shown = prompts.option_texts(options.drop("job_id"))
         if name == "texts":
             terms = ("priority_keywords", "required_skills", "deal_breakers", "nice_to_have", "technical_skills")
@@ -241,7 +243,8 @@ def _(spark, d):
                 F.col("job_id"), F.struct("requirements", prompts.fit_instructions(shown).alias("text")).alias(name)
             )
         )
-    both = found[0].join(found[1], "job_id")
+    # By their files both sides look small enough for a broadcast.
+    both = found[0].join(found[1].hint("merge"), "job_id")
     return both.select(
         "job_id",
         F.col("texts.requirements").eqNullSafe(F.col("lists.requirements")).alias("same_requirements"),

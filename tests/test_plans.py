@@ -161,3 +161,10 @@ def test_words_meet_the_first_words_of_phrases(spark):
     skills = spark.createDataFrame([("b c d e f g h i j k l m",)], "skill string")
     text = plan(records.rule_extract(docs, "id", "text", skills, "skill"))
     assert "slice(_words" in text and "CartesianProduct" not in text
+
+
+def test_listed_options_are_dealt_by_key(spark):
+    """Rows made of a small table are large: none of them is broadcast, and no task makes them all."""
+    plan = registry.QUERIES["listed_options"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    assert "REPARTITION_BY_COL" in plan
