@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ANSWERS = "array<struct<attempt:int,provider:string,model:string,body:string,error:string>>"
+#: Rows whose answers a task holds at a time; a batch of Spark may hold thousands of long texts.
+SLICE = 64
 
 
 class Client(Protocol):
@@ -29,6 +31,29 @@ def _asked(client: Client, prompt: str, provider: str, model: str) -> tuple[str
         return None, f"{type(failure).__name__}: {failure}"
 
 
+def answered(
+    batches: Iterator[pd.DataFrame],
+    client_factory: Callable[[], Client],
+    answer: Callable[[Client, dict], dict],
+    added: Sequence[str],
+    columns: Sequence[str],
+    in_flight: int,
+) -> Iterator[pd.DataFrame]:
+    """The batches in parts of at most `SLICE` rows with the columns `added`; one call of `answer` per row.
+
+    What is made for a row, its request as a dictionary and its answers, is held for one part only.
+    """
+    client = client_factory()
+    with ThreadPoolExecutor(in_flight) as pool:
+        for batch in batches:
+            # An empty batch is passed on, so that there is one at least.
+            for first in range(0, max(1, len(batch)), SLICE):
+                part = batch.iloc[first : first + SLICE]
+                rows = part[list(columns)].to_dict("records")
+                found = list(pool.map(lambda row: answer(client, row), rows))
+                yield part.assign(**{name: [x[name] for x in found] for name in added})
+
+
 def _rows(
     requests: DataFrame,
     schema: T.StructType,
@@ -39,15 +64,10 @@ def _rows(
     in_flight: int,
 ) -> DataFrame:
     """One call of `answer` per row, at most `in_flight` at a time in each task."""
+    added = [name for name in schema.names if name not in requests.columns]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = client_factory()
-        with ThreadPoolExecutor(in_flight) as pool:
-            for batch in batches:
-                rows = batch[list(columns)].to_dict("records")
-                found = list(pool.map(lambda row: answer(client, row), rows))
-                added = [f.name for f in schema.fields if f.name not in batch.columns]
-                yield batch.assign(**{name: [x[name] for x in found] for name in added})
+        return answered(batches, client_factory, answer, added, columns, in_flight)
 
     if concurrency is not None:
         requests = requests.repartition(concurrency)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candidata.cluster import fresh_path
-from candidata.inference.client import OfflineClient
+from candidata.inference.client import SLICE, OfflineClient, answered
 from candidata.operators.extraction import attempts_of, extract_documents
 from candidata.operators.records import ALL_EXHAUSTED, NO_ATTEMPT_WORKED
 from candidata.plans import fixtures
@@ -143,3 +143,15 @@ def test_records_from_arrays_and_of_other_shapes(spark, tmp_path):
     first, second = scan_candidates(spark, str(tmp_path), multi_line=True).collect()
     assert first["skills"] == ["x"] and first["experience"][0]["title"] == "did y"
     assert second["filename"] == "b" and second["success"] and second["skills"] is None
+
+
+def test_answers_are_passed_on_in_parts():
+    """A batch of many requests is answered part by part; an empty one is passed on."""
+    rows = pd.DataFrame({"prompt": [f"{n}" for n in range(1000)], "other": range(1000)})
+    parts = answered(iter([rows, rows[:0]]), lambda: None, lambda client, row: {"body": row["prompt"] + "!"}, ["body"], ["prompt"], 4)
+    sizes, got = [], []
+    for part in parts:
+        sizes.append(len(part))
+        got += list(part.itertuples(index=False, name=None))
+    assert max(sizes) <= SLICE and sizes[-1] == 0
+    assert got == [(f"{n}", n, f"{n}!") for n in range(1000)]
