@@ -47,3 +47,13 @@ def test_empty_grid(spark):
     path = fresh_path(spark, "grid")
     store_grid(rows, [F.col("id")], path)
     assert read_page(spark, path).collect() == [] == read_page(spark, path, ["a"]).collect()
+
+
+def test_a_run_has_a_row_for_many_characters(spark):
+    """The index has a row per run and part, not one per character; a long row is indexed whole."""
+    rows = spark.createDataFrame([(i, "aaaa " * 50) for i in range(200)] + [(999, "xyz" * 400_000)], "id long, name string")
+    path = fresh_path(spark, "grid")
+    store_grid(rows, [F.col("id")], path, parts=2)
+    assert spark.read.parquet(f"{path}/grams").count() < 1000
+    assert [r["id"] for r in read_page(spark, path, ["aaaa a"], 150, 3).collect()] == [150, 151, 152]
+    assert [r["id"] for r in read_page(spark, path, ["yzxyzx"]).collect()] == [999]
