@@ -30,7 +30,7 @@ from candidata.sources.documents import NO_TEXT, drop_repeated_uploads, stream_d
 from candidata.streaming.jobs import current_states, follow_jobs, newest_states
 from candidata.streaming.quota import USAGE, extract_stream, ledger_stream, open_ledger, open_quota, route_stream
 from candidata.streaming.rates import rates_of_ticks, rocksdb_state, stream_request_ticks, stream_requests_in_window
-from candidata.streaming.runs import append_to, latest, snapshot_log, update_log
+from candidata.streaming.runs import append_to, latest, listed_in, snapshot_log, update_log
 
 TTL = 29.9 * 86_400
 ORDER = ("ts", "event_id")
@@ -475,10 +475,12 @@ def _(spark, d):
     for s in range(SETS):
         some = texts.filter(F.col("bundle") % SETS == s).repartition("bundle").sortWithinPartitions("bundle", "doc_id")
         some.drop("doc_id").write.partitionBy("bundle").text(f"{folder}/files/{s}")
-        files = stream_documents(spark, f"{folder}/files", n_files)
         number = F.regexp_extract("path", r"bundle=(\d+)/", 1)
-        files = files.withColumn("filename", F.concat(number, F.lit(".txt"))).withColumn("id", number.cast("bigint"))
-        records = extract_stream(files, client, catalog, F.lit(DAY), ["id"], folder, f"{folder}/checkpoint", CHAT_PROVIDERS)
+        # A file has a folder of its own.
+        with listed_in(spark):
+            files = stream_documents(spark, f"{folder}/files", n_files)
+            files = files.withColumn("filename", F.concat(number, F.lit(".txt"))).withColumn("id", number.cast("bigint"))
+            records = extract_stream(files, client, catalog, F.lit(DAY), ["id"], folder, f"{folder}/checkpoint", CHAT_PROVIDERS)
     return records.select(
         F.regexp_extract("filename", r"\d+", 0).cast("bigint").alias("id"),
         "success", F.size("calls").cast("bigint").alias("n_calls"), "model", "error",

@@ -13,7 +13,7 @@ from candidata.operators import usage
 from candidata.streaming import quota
 from candidata.streaming.jobs import current_states, follow_jobs, newest_states
 from candidata.streaming.rates import rocksdb_state, stream_requests_in_window
-from candidata.streaming.runs import latest, newest_version, read_log, snapshot_log, update_log
+from candidata.streaming.runs import LISTING, latest, listed_in, newest_version, read_log, snapshot_log, update_log
 
 T0 = datetime.datetime(2025, 1, 1)
 USED = "provider string, model string, day string, calls long"
@@ -179,3 +179,18 @@ def test_requests_beyond_the_delay_are_not_counted(spark):
         log = fed(spark, batches, "id long, k string, ts timestamp", run)
     got = {r["id"]: r["in_window"] for r in latest(log, ["id"]).collect()}
     assert got == {1: 1, 2: 2, 3: 1, 5: 3}
+
+
+def test_folders_are_listed_in_few_tasks(spark):
+    """A source with a folder per file is listed by a bounded number of tasks, and the setting comes back."""
+    folder = fresh_path(spark, "in")
+    spark.range(120).select(F.col("id").alias("n"), F.col("id").cast("string").alias("value")).write.partitionBy("n").text(folder)
+    before, group = spark.conf.get(LISTING), fresh_path(spark, "listing")
+    spark.sparkContext.setJobGroup(group, "listing")
+    with listed_in(spark, 8):
+        rows = spark.read.option("recursiveFileLookup", True).text(folder)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("", "")
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 8
+    assert rows.count() == 120 and spark.conf.get(LISTING) == before
