@@ -30,7 +30,7 @@ from candidata.sources.documents import NO_TEXT, drop_repeated_uploads, stream_d
 from candidata.streaming.jobs import current_states, follow_jobs, newest_states
 from candidata.streaming.quota import USAGE, extract_stream, ledger_stream, open_ledger, open_quota, route_stream
 from candidata.streaming.rates import rates_of_ticks, rocksdb_state, stream_request_ticks, stream_requests_in_window
-from candidata.streaming.runs import append_to, latest, listed_in, snapshot_log, update_log
+from candidata.streaming.runs import append_to, latest, listed_in, snapshot_log, state_per_core, update_log
 
 TTL = 29.9 * 86_400
 ORDER = ("ts", "event_id")
@@ -369,9 +369,11 @@ def _(spark, d):
 )
 def _(spark, d):
     """Every file is uploaded twice and taken once."""
-    files = drop_repeated_uploads(stream_documents(spark, _bundle_files(spark, d, copies=2), 30), "1 day")
-    number = F.regexp_extract("path", r"bundle=(\d+)/", 1).cast("bigint").alias("id")
-    return _appended(spark, files.select(number, F.md5("content").alias("digest")))
+    folder = _bundle_files(spark, d, copies=2)
+    with listed_in(spark), state_per_core(spark):
+        files = drop_repeated_uploads(stream_documents(spark, folder, 30), "1 day")
+        number = F.regexp_extract("path", r"bundle=(\d+)/", 1).cast("bigint").alias("id")
+        return _appended(spark, files.select(number, F.md5("content").alias("digest")))
 
 
 def _routed_sql(order: str) -> str:
