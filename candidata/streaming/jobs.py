@@ -57,8 +57,8 @@ def _followed(jobs: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
 
     def newest(known: pd.DataFrame, steps: pd.DataFrame, at: list[str], values: list[str]) -> pd.DataFrame:
         names = dict(zip(["us", "event_id", *values], [*at, *values]))
-        rows = pd.concat([known[["job_id", *names.values()]], steps[["job_id", *names]].rename(columns=names)])
-        rows = rows.astype({c: JOBS[c] for c in rows})
+        parts = known[["job_id", *names.values()]], steps[["job_id", *names]].rename(columns=names)
+        rows = pd.concat([part.astype({c: JOBS[c] for c in part}) for part in parts])
         return rows.sort_values(at, kind="stable").drop_duplicates("job_id", keep="last").set_index("job_id")
 
     updated = newest(jobs, steps, ["updated_us", "updated_id"], ["type", "status"])
@@ -66,8 +66,8 @@ def _followed(jobs: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
         jobs[jobs["progress_us"].notna()], steps[steps["progress"].notna()], ["progress_us", "progress_id"], ["progress"]
     )
     begun = steps.loc[steps["status"] == "pending", ["job_id", "us"]].rename(columns={"us": "created_us"})
-    begun = pd.concat([jobs.loc[jobs["created_us"].notna(), ["job_id", "created_us"]], begun])
-    created = begun.astype({"created_us": "Int64"}).groupby("job_id").min()
+    begun = pd.concat([jobs.loc[jobs["created_us"].notna(), ["job_id", "created_us"]], begun.astype({"created_us": "Int64"})])
+    created = begun.groupby("job_id").min()
     return updated.join(moved).join(created).reset_index()[[*JOBS]]
 
 
