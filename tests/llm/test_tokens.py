@@ -42,6 +42,43 @@ def test_distinct_words_encode_like_whole_texts(tokenizer):
         assert ids.tolist() == sum(expected, [])
 
 
+def test_words_are_encoded_once_per_worker(tokenizer, monkeypatch):
+    """Signs after a word do not make it an odd one, and a later batch asks only for what is new to the process."""
+    import pyarrow as pa
+
+    long = "abcdefg" * 20
+    batches = [
+        ["Alpha### beta$$$ \u00c9t\u00e9%%% (no) x'' y\"}] alpha", None, f"beta {long} gamma"],
+        ["gamma GAMMA*** \u00e9t\u00e9 beta,### alpha~ `alpha", f"{long} delta's don't x' epsilon", ""],
+        ["alpha <b> a<|b c<|", "beta|> gamma&&& \u00e9T\u00c9 delta epsilon zeta"],
+    ]
+    text, ends = token_output.read_tokenizer(PATH)
+    token_output._encoders.clear()
+    encoder = token_output.worker_encoder(text, ends)
+    assert token_output.worker_encoder(text, ends) is encoder
+    asked = []
+    for name in ("_plain", "_one_by_one"):
+        real = getattr(encoder, name)
+        words_of = lambda words: words if isinstance(words, list) else words.to_pylist()
+        monkeypatch.setattr(encoder, name, lambda words, name=name, real=real: (asked.append((name, words_of(words))), real(words))[1])
+
+    def plain_words(part):
+        asked.clear()
+        ids, sizes = encoder.encode(pa.array(part, pa.string()), 1)
+        expected = [ids_of(tokenizer, t) + [1] for t in part]
+        assert (sizes.tolist(), ids.tolist()) == (list(map(len, expected)), sum(expected, []))
+        return sorted(w for name, words in asked if name == "_plain" for w in words)
+
+    assert plain_words(batches[0]) == sorted(["alpha", "beta", "\u00e9t\u00e9", "x", "y", "gamma", long])
+    assert [w for name, words in asked[1:2] for w in words if w] == ["(no)"]
+    assert plain_words(batches[1]) == sorted([long, "epsilon"])
+    # Beyond the bound words are encoded again, with the same ids.
+    monkeypatch.setattr(token_output, "KEPT", len(encoder.kept) + 1)
+    first, again = plain_words(batches[2]), plain_words(batches[2])
+    assert len(encoder.kept) == token_output.KEPT and len(again) == len(first) - 1 > 0 and set(again) < set(first)
+    token_output._encoders.clear()
+
+
 @pytest.mark.parametrize("pairs,rounds", [(1, 40), (7, 5), (2048, 4)])
 def test_repair_round_trip(pairs, rounds):
     draw = np.random.default_rng(pairs)
