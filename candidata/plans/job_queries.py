@@ -30,7 +30,7 @@ from candidata.sources.documents import NO_TEXT, drop_repeated_uploads, stream_d
 from candidata.streaming.jobs import current_states, follow_jobs, newest_states
 from candidata.streaming.quota import USAGE, extract_stream, ledger_stream, open_ledger, open_quota, route_stream
 from candidata.streaming.rates import rates_of_ticks, rocksdb_state, stream_request_ticks, stream_requests_in_window
-from candidata.streaming.runs import append_to, latest, listed_in, snapshot_log, state_per_core, update_log
+from candidata.streaming.runs import append_side_by_side, append_to, latest, listed_in, snapshot_log, state_per_core, update_log
 
 TTL = 29.9 * 86_400
 ORDER = ("ts", "event_id")
@@ -237,6 +237,18 @@ def _appended(spark, stream):
     return append_to(stream, f"{folder}/rows", f"{folder}/checkpoint")
 
 
+def _bundle_folders(spark, d, n):
+    """The same files in at most `n` folders, which have about as many files each."""
+    folder = fresh_path(spark, "files")
+    bundle = F.floor(F.col("doc_id") / BUNDLE)
+    dealt = F.coalesce(F.pmod(bundle, F.lit(n)), F.lit(0)).alias("part")
+    texts = table(spark, d, "documents").select(dealt, bundle.alias("bundle"), "doc_id", F.col("text").alias("value"))
+    ordered = texts.repartition("bundle").sortWithinPartitions("part", "bundle", "doc_id").drop("doc_id")
+    ordered.write.partitionBy("part", "bundle").text(folder)
+    parts = [r["part"] for r in texts.select("part").distinct().orderBy("part").collect()]
+    return [f"{folder}/part={p}" for p in parts] or [folder]
+
+
 def _bundle_files(spark, d, copies=1):
     """The documents in text files of `BUNDLE` documents each; returns the folder."""
     folder = fresh_path(spark, "files")
@@ -355,11 +367,16 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    folder = _bundle_files(spark, d)
-    files = stream_documents(spark, folder, files_per_batch=20)
+    """Files that arrive in several folders, each folder followed by a stream of its own."""
+    # Two cores to a stream; more than eight would only wait for the driver.
+    folders = _bundle_folders(spark, d, max(1, min(8, spark.sparkContext.defaultParallelism // 2)))
     # The files are all called part-...; their folders tell them apart.
     named = F.concat(F.regexp_extract("path", r"bundle=(\d+)/", 1), F.lit(".txt"))
-    return _appended(spark, _extracted(files.withColumn("filename", named)))
+    out = fresh_path(spark, "stream")
+    with listed_in(spark):
+        files = [stream_documents(spark, folder, files_per_batch=20) for folder in folders]
+        records = [_extracted(f.withColumn("filename", named)) for f in files]
+        return append_side_by_side(records, f"{out}/rows", f"{out}/checkpoint")
 
 
 @query(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from candidata.cluster import fresh_path
 from candidata.operators.jobs import expire_jobs, job_state
 from candidata.streaming.jobs import current_states, follow_jobs
-from candidata.streaming.runs import append_to, compact, latest, update_log
+from candidata.sources.documents import stream_documents
+from candidata.streaming.runs import append_side_by_side, append_to, compact, latest, update_log
 
 SCHEMA = "job_id bigint, ts timestamp, event_id bigint, type string, status string, progress bigint"
 T0 = datetime.datetime(2025, 1, 1)
@@ -107,3 +108,52 @@ def test_a_job_lives_through_the_last_second(spark):
     }
     assert kept(3600) == {1, 2, 3, 4}
     assert kept(3600.000001) == {2, 3, 4}
+
+
+def test_folders_are_followed_side_by_side(spark, tmp_path):
+    """The first file of each folder is not done before that of the other has begun; later files are added."""
+    folders = [tmp_path / "in" / str(k) for k in range(2)]
+    for k, folder in enumerate(folders):
+        folder.mkdir(parents=True)
+        for n in range(3):
+            (folder / f"{n}.txt").write_text(f"{k}-{n}")
+    begun = tmp_path / "begun"
+    begun.mkdir()
+
+    def streams():
+        def wait(k):
+            def meet(batches):
+                import time
+
+                (begun / str(k)).touch()
+                for _ in range(600):
+                    if len(list(begun.iterdir())) == 2:
+                        break
+                    time.sleep(0.1)
+                else:
+                    raise TimeoutError("the other folder is not followed")
+                yield from batches
+
+            return meet
+
+        files = [stream_documents(spark, str(folder), 1).select(F.decode("content", "UTF-8").alias("text")) for folder in folders]
+        return [f.mapInPandas(wait(k), "text string") for k, f in enumerate(files)]
+
+    run = lambda made: sorted(r["text"] for r in append_side_by_side(made, f"{tmp_path}/rows", f"{tmp_path}/at").collect())
+    expected = [f"{k}-{n}" for k in range(2) for n in range(3)]
+    assert run(streams()) == expected
+    batches = [sum(x.name.isdigit() for x in (tmp_path / "at" / str(k) / "commits").iterdir()) for k in range(2)]
+    assert batches == [3, 3]
+    (folders[1] / "3.txt").write_text("1-3")
+    assert run(streams()) == [*expected, "1-3"]
+
+
+def test_a_failed_stream_ends_the_others(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "a.txt").write_text("x")
+    streams = [stream_documents(spark, str(tmp_path / str(k)), 1).select("filename") for k in range(2)]
+    streams[0] = streams[0].select(F.raise_error(F.lit("broken")).cast("string").alias("filename"))
+    with pytest.raises(Exception, match="broken"):
+        append_side_by_side(streams, f"{tmp_path}/rows", f"{tmp_path}/at")
+    assert not spark.streams.active
