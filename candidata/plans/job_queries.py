@@ -237,27 +237,17 @@ def _appended(spark, stream):
     return append_to(stream, f"{folder}/rows", f"{folder}/checkpoint")
 
 
-def _bundle_folders(spark, d, n):
-    """The same files in at most `n` folders, which have about as many files each."""
+def _bundle_folders(spark, d, n, copies=1):
+    """The documents in text files of `BUNDLE` documents each, in at most `n` folders of about as many files a copy."""
     folder = fresh_path(spark, "files")
     bundle = F.floor(F.col("doc_id") / BUNDLE)
     dealt = F.coalesce(F.pmod(bundle, F.lit(n)), F.lit(0)).alias("part")
     texts = table(spark, d, "documents").select(dealt, bundle.alias("bundle"), "doc_id", F.col("text").alias("value"))
     ordered = texts.repartition("bundle").sortWithinPartitions("part", "bundle", "doc_id").drop("doc_id")
-    ordered.write.partitionBy("part", "bundle").text(folder)
+    for copy in range(copies):
+        ordered.write.partitionBy("part", "bundle").text(f"{folder}/{copy}")
     parts = [r["part"] for r in texts.select("part").distinct().orderBy("part").collect()]
-    return [f"{folder}/part={p}" for p in parts] or [folder]
-
-
-def _bundle_files(spark, d, copies=1):
-    """The documents in text files of `BUNDLE` documents each; returns the folder."""
-    folder = fresh_path(spark, "files")
-    bundle = F.floor(F.col("doc_id") / BUNDLE).alias("bundle")
-    texts = table(spark, d, "documents").select(bundle, "doc_id", F.col("text").alias("value"))
-    texts = texts.repartition("bundle").sortWithinPartitions("bundle", "doc_id").drop("doc_id")
-    for n in range(copies):
-        texts.write.partitionBy("bundle").text(f"{folder}/{n}")
-    return folder
+    return [f"{folder}/{copy}/part={p}" for copy in range(copies) for p in parts] or [folder]
 
 
 MODELS = (("p2", "m1"), ("p1", "m2"), ("p2", "m3"))
@@ -385,10 +375,10 @@ def _(spark, d):
       string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY ALL) GROUP BY ALL""",
 )
 def _(spark, d):
-    """Every file is uploaded twice and taken once."""
-    folder = _bundle_files(spark, d, copies=2)
-    with listed_in(spark), state_per_core(spark):
-        files = drop_repeated_uploads(stream_documents(spark, folder, 30), "1 day")
+    """Every file is uploaded twice, into one of several folders each time, and taken once."""
+    folders = _bundle_folders(spark, d, 8, copies=2)
+    with listed_in(spark, 2 * spark.sparkContext.defaultParallelism), state_per_core(spark):
+        files = drop_repeated_uploads([stream_documents(spark, folder, 30) for folder in folders], "1 day")
         number = F.regexp_extract("path", r"bundle=(\d+)/", 1).cast("bigint").alias("id")
         return _appended(spark, files.select(number, F.md5("content").alias("digest")))
 

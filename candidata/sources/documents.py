@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,9 +60,25 @@ def stream_documents(spark: SparkSession, path: str, files_per_batch: int | None
     return _named(reader.load(path))
 
 
-def drop_repeated_uploads(files: DataFrame, delay: str) -> DataFrame:
-    """Of files with the same bytes in a stream only the first, as long as they come within `delay`."""
-    marked = files.withColumn("_digest", F.sha2("content", 256)).withWatermark("modificationTime", delay)
+def as_one_stream(streams: Sequence[DataFrame]) -> DataFrame:
+    """The files of several streams as one; a batch takes from each what a batch of its own would take.
+
+    Planning and committing a batch takes about as long for many folders as for one. Spark makes a task of every few
+    files, which would be many short tasks here; a batch has at most two tasks per core instead.
+    """
+    cores = streams[0].sparkSession.sparkContext.defaultParallelism
+    return functools.reduce(DataFrame.unionByName, streams).coalesce(2 * cores)
+
+
+def drop_repeated_uploads(files: DataFrame | Sequence[DataFrame], delay: str) -> DataFrame:
+    """Of files with the same bytes in a stream only the first, as long as they come within `delay`.
+
+    files: a stream, or one for each of several folders. Their files meet in one state, which waits for the folder
+    that is furthest behind: no file is late because other folders have newer ones.
+    """
+    streams = [files] if isinstance(files, DataFrame) else files
+    timed = [s.withWatermark("modificationTime", delay) for s in streams]
+    marked = (timed[0] if isinstance(files, DataFrame) else as_one_stream(timed)).withColumn("_digest", F.sha2("content", 256))
     return marked.dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
 
 

@@ -1,6 +1,7 @@
 """Streams of many small batches, and states that hold many keys."""
 
 import datetime
+import os
 
 from pyspark.sql import functions as F
 
@@ -33,6 +34,24 @@ def test_a_small_stream_has_one_state_partition_per_core(spark, tmp_path):
     assert stores.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
 
 
+def test_uploads_to_several_folders_meet_in_one_state(spark, tmp_path):
+    """A batch takes a file of each folder; old files of one folder are not late because of newer ones of another."""
+    days = [[(0, "a"), (0.1, "b"), (5, "c"), (10, "d")], [(10, "d"), (900, "x"), (900.1, "y"), (900.2, "x")]]
+    for k, files in enumerate(days):
+        (tmp_path / str(k)).mkdir()
+        for n, (day, text) in enumerate(files):
+            path = tmp_path / str(k) / f"{n}.txt"
+            path.write_text(text)
+            os.utime(path, (1.6e9 + day * 86_400,) * 2)
+    folder = fresh_path(spark, "stream")
+    with state_per_core(spark):
+        files = drop_repeated_uploads([stream_documents(spark, str(tmp_path / str(k)), 1) for k in range(2)], "1 day")
+        found = append_to(files.select("content"), f"{folder}/rows", f"{folder}/checkpoint")
+    assert sorted(bytes(r["content"]).decode() for r in found.collect()) == list("abcdxy")
+    # One more may follow the last files, without rows.
+    assert spark.read.text(f"{folder}/checkpoint/commits").select(F.input_file_name()).distinct().count() <= 5
+
+
 def _arriving(spark, rows, path):
     """The rows as a stream of two batches, of odd and even numbers."""
     for n in (0, 1):
