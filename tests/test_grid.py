@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candidata.cluster import fresh_path
-from candidata.operators.grid import read_page, store_grid
+from candidata.operators.grid import LIST, READING, read_page, store_grid
 from candidata.operators.ranking import grid_query
 
 def order():
@@ -57,3 +57,15 @@ def test_a_run_has_a_row_for_many_characters(spark):
     assert spark.read.parquet(f"{path}/grams").count() < 1000
     assert [r["id"] for r in read_page(spark, path, ["aaaa a"], 150, 3).collect()] == [150, 151, 152]
     assert [r["id"] for r in read_page(spark, path, ["yzxyzx"]).collect()] == [999]
+
+
+def test_lists_of_places_are_bounded(spark):
+    """A frequent run has many lists, as readers hold some rows of the index at once; pages join them again."""
+    rows = spark.createDataFrame([(i, "ab ab " * (i % 7)) for i in range(3000)], "id long, name string")
+    path, before = fresh_path(spark, "grid"), spark.conf.get(READING)
+    store_grid(rows, [F.col("id")], path, parts=2)
+    longest, n = spark.read.parquet(f"{path}/grams").filter("gram = 'ab '").agg(F.max(F.size("at")), F.sum(F.size("at"))).first()
+    assert longest == LIST and n == sum(2 * (i % 7) for i in range(3000))
+    shown = [r["id"] for r in read_page(spark, path, ["b ab a"], 100, 1000).collect()]
+    assert shown == [i for i in range(3000) if i % 7 > 1][100:1100]
+    assert spark.conf.get(READING) == before
