@@ -26,7 +26,7 @@ from candidata.plans.fixtures import (
 )
 from candidata.plans.registry import SQL, query
 from candidata.plans.usage_queries import LIMITS
-from candidata.sources.documents import NO_TEXT, drop_repeated_uploads, stream_documents
+from candidata.sources.documents import NO_TEXT, as_one_stream, drop_repeated_uploads, stream_documents
 from candidata.streaming.jobs import current_states, follow_jobs, newest_states
 from candidata.streaming.quota import USAGE, extract_stream, ledger_stream, open_ledger, open_quota, route_stream
 from candidata.streaming.rates import rates_of_ticks, rocksdb_state, stream_request_ticks, stream_requests_in_window
@@ -230,6 +230,8 @@ def _(spark, d):
 
 
 BUNDLE = 20
+#: Folders of files that one stream follows.
+FOLDERS = 16
 
 
 def _appended(spark, stream):
@@ -357,14 +359,16 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    """Files that arrive in several folders, each folder followed by a stream of its own."""
+    """Files that arrive in several folders; several streams go on at the same time and follow some folders each."""
     # Two cores to a stream; more than eight would only wait for the driver.
-    folders = _bundle_folders(spark, d, max(1, min(8, spark.sparkContext.defaultParallelism // 2)))
+    n_streams = max(1, min(8, spark.sparkContext.defaultParallelism // 2))
+    folders = _bundle_folders(spark, d, FOLDERS * n_streams)
     # The files are all called part-...; their folders tell them apart.
     named = F.concat(F.regexp_extract("path", r"bundle=(\d+)/", 1), F.lit(".txt"))
     out = fresh_path(spark, "stream")
-    with listed_in(spark):
+    with listed_in(spark, 2 * spark.sparkContext.defaultParallelism):
         files = [stream_documents(spark, folder, files_per_batch=20) for folder in folders]
+        files = [as_one_stream(files[n::n_streams]) for n in range(min(n_streams, len(files)))]
         records = [_extracted(f.withColumn("filename", named)) for f in files]
         return append_side_by_side(records, f"{out}/rows", f"{out}/checkpoint")
 
@@ -376,7 +380,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """Every file is uploaded twice, into one of several folders each time, and taken once."""
-    folders = _bundle_folders(spark, d, 8, copies=2)
+    folders = _bundle_folders(spark, d, FOLDERS // 2, copies=2)
     with listed_in(spark, 2 * spark.sparkContext.defaultParallelism), state_per_core(spark):
         files = drop_repeated_uploads([stream_documents(spark, folder, 30) for folder in folders], "1 day")
         number = F.regexp_extract("path", r"bundle=(\d+)/", 1).cast("bigint").alias("id")

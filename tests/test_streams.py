@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from candidata.cluster import fresh_path
 from candidata.operators.jobs import expire_jobs, job_state
 from candidata.streaming.jobs import current_states, follow_jobs
-from candidata.sources.documents import stream_documents
+from candidata.sources.documents import as_one_stream, stream_documents
 from candidata.streaming.runs import append_side_by_side, append_to, compact, latest, update_log
 
 SCHEMA = "job_id bigint, ts timestamp, event_id bigint, type string, status string, progress bigint"
@@ -148,6 +148,27 @@ def test_folders_are_followed_side_by_side(spark, tmp_path):
     assert run(streams()) == [*expected, "1-3"]
 
 
+def test_one_stream_follows_several_folders(spark, tmp_path):
+    """A batch takes a file of each folder, in two tasks per core; later files are added."""
+    n_folders = 2 * spark.sparkContext.defaultParallelism + 4
+    for k in range(n_folders):
+        (tmp_path / "in" / str(k)).mkdir(parents=True)
+        for n in range(2):
+            (tmp_path / "in" / str(k) / f"{n}.txt").write_text(f"{k}-{n}")
+
+    def run():
+        streams = [stream_documents(spark, f"{tmp_path}/in/{k}", 1) for k in range(n_folders)]
+        texts = as_one_stream(streams).select(F.decode("content", "UTF-8").alias("text"))
+        return sorted(r["text"] for r in append_to(texts, f"{tmp_path}/rows", f"{tmp_path}/at").collect())
+
+    expected = [f"{k}-{n}" for k in range(n_folders) for n in range(2)]
+    assert run() == sorted(expected)
+    assert sum(x.name.isdigit() for x in (tmp_path / "at" / "commits").iterdir()) == 2
+    assert len(list((tmp_path / "rows").glob("part-*"))) <= 4 * spark.sparkContext.defaultParallelism
+    (tmp_path / "in" / "3" / "9.txt").write_text("later")
+    assert run() == sorted([*expected, "later"])
+
+
 def test_a_failed_stream_ends_the_others(spark, tmp_path):
     for k in range(2):
         (tmp_path / str(k)).mkdir()
